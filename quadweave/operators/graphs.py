@@ -47,9 +47,8 @@ def append_triples(quads: DataFrame, graph: str, triples: DataFrame) -> DataFram
 
 def clone(live: DataFrame, pairs: DataFrame) -> DataFrame:
     """Content of all live graphs in ``pairs(lg, dg)`` under the draft names, in one pass."""
-    small = lookup.is_small(pairs.select("lg", "dg"))
-    wanted = lookup.keep(live, pairs, key="lg", small=small)
-    return lookup.translate(wanted, pairs, "lg", "dg", GRAPH_POSITION, small=small)
+    pairs = lookup.local(pairs.select("lg", "dg"))
+    return lookup.translate(lookup.keep(live, pairs, key="lg"), pairs, "lg", "dg", GRAPH_POSITION)
 
 
 def upsert_single_value(quads: DataFrame, values: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def inferred_types(quads: DataFrame, closed: DataFrame | None = None, with_thing
     """rdf:type quads that follow from the hierarchy and are not stated. ``with_thing`` adds the top class."""
     closed = closure(subclass_edges(quads)) if closed is None else closed
     typed = quads.filter((F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI))
-    small = lookup.is_small(closed)
+    closed, small = lookup.settle(closed)
     side = F.broadcast(closed) if small else closed
     found = typed.join(side, F.col("o") == F.col("sub")).withColumn("o", F.col("sup")).select(*QUAD_COLS)
     if with_thing:

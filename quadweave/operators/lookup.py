@@ -1,9 +1,12 @@
 """Joins against key lists and term dictionaries, broadcast only when their measured size allows.
 
 A dictionary of graph names is usually tiny next to the quads, but nothing guarantees it. Every
-helper here measures the small side first (reading at most ``BROADCAST_ROWS + 1`` row sizes) and
-otherwise falls back to a salted shuffle join, so one hot graph, subject or predicate holding a
-third of all quads is spread over ``SALTS`` tasks instead of one.
+helper here measures the small side first, reading at most ``BROADCAST_ROWS + 1`` rows of it:
+
+* within the bounds, those rows become a local relation, so the dictionary is computed once however
+  often the plan uses it, and Catalyst knows its exact size;
+* beyond them, the join is a salted shuffle join: one hot graph, subject or predicate holding a
+  third of all quads is spread over ``SALTS`` tasks instead of one.
 """
 
 from __future__ import annotations
@@ -14,23 +17,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.schema import GRAPH_REF_POSITIONS, IRI, QUAD_COLS
+from quadweave.schema import GRAPH_REF_POSITIONS, IRI, QUAD_COLS, local_table
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
+PUSHDOWN_KEYS = 200
 SALTS = 16
+_PLAIN = (T.StringType, T.BooleanType, T.IntegerType, T.LongType)
 
 
-def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
-    """True when ``df`` has at most ``rows`` rows and ``size`` bytes of text. Stops reading early."""
+def settle(df: DataFrame, rows: int | None = None, size: int | None = None) -> tuple[DataFrame, bool]:
+    """(``df`` as a local relation, True) when it has at most ``rows`` rows and ``size`` bytes of text,
+    else (``df``, False). Reading stops as soon as the bound is passed."""
+    if getattr(df, "_settled", False):
+        return df, True
     rows = BROADCAST_ROWS if rows is None else rows
     size = BROADCAST_BYTES if size is None else size
+    if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
+        raise TypeError("only text, boolean and integer columns can be settled")
+    # A row far wider than the bound allows on average is not fetched at all: only its length is.
     width = F.lit(16)
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    sizes = df.select(width.alias("n")).limit(rows + 1).collect()
-    return len(sizes) <= rows and sum(r.n for r in sizes) <= size
+    fits = F.when(width <= size // max(rows, 1) * 16, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    fetched = df.select(width.alias("n"), fits.alias("row")).limit(rows + 1).collect()
+    if len(fetched) > rows or sum(r.n for r in fetched) > size or any(r.row is None for r in fetched):
+        return df, False
+    local = local_table(df.sparkSession, [tuple(r.row) for r in fetched], df.schema)
+    local._settled = True
+    return local, True
+
+
+def local(df: DataFrame) -> DataFrame:
+    """``df``, computed once and held as a local relation if it is small."""
+    return settle(df)[0]
 
 
 def _salt_of(df: DataFrame) -> Column:
@@ -47,7 +68,6 @@ def translate(
     source: str,
     target: str,
     positions: Sequence[tuple[str, str | None]] = GRAPH_REF_POSITIONS,
-    small: bool | None = None,
     mark: str | None = None,
 ) -> DataFrame:
     """Replace every IRI found in ``pairs[source]`` by ``pairs[target]``; keep all other terms.
@@ -55,7 +75,7 @@ def translate(
     ``positions`` names (value column, kind column); literals and blank nodes are never replaced.
     ``pairs[source]`` must be unique. ``mark`` adds a flag: did any position match?
     """
-    small = is_small(pairs) if small is None else small
+    pairs, small = settle(pairs.select(source, target))
     columns = df.columns
     if not small:
         df = df.withColumn("_salt", _salt_of(df))
@@ -76,10 +96,14 @@ def translate(
     return df.select(*out)
 
 
-def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str, small: bool | None) -> DataFrame:
-    side = keys.select(F.col(key).alias("_key"))
-    small = is_small(side) if small is None else small
+def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str) -> DataFrame:
+    side, small = settle(keys.select(F.col(key).alias("_key")))
     if small:
+        few = side.limit(PUSHDOWN_KEYS + 1).collect()
+        if len(few) <= PUSHDOWN_KEYS:
+            # A literal list reaches the Parquet scan and prunes files and row groups.
+            inside = F.col(column).isin([r[0] for r in few])
+            return df.filter(inside if how == "left_semi" else ~F.coalesce(inside, F.lit(False)))
         return df.join(F.broadcast(side), F.col(column) == F.col("_key"), how)
     side = side.distinct().withColumn("_key_salt", _copies())
     salted = df.withColumn("_salt", _salt_of(df))
@@ -87,42 +111,34 @@ def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str, sma
     return salted.join(side, match, how).drop("_salt")
 
 
-def keep(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = None, small: bool | None = None):
+def keep(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = None) -> DataFrame:
     """Rows whose ``column`` is in ``keys`` (semi join)."""
-    return _by_key(df, keys, column, key or keys.columns[0], "left_semi", small)
+    return _by_key(df, keys, column, key or keys.columns[0], "left_semi")
 
 
-def drop(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = None, small: bool | None = None):
+def drop(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = None) -> DataFrame:
     """Rows whose ``column`` is not in ``keys`` (anti join)."""
-    return _by_key(df, keys, column, key or keys.columns[0], "left_anti", small)
+    return _by_key(df, keys, column, key or keys.columns[0], "left_anti")
 
 
 def minus(df: DataFrame, gone: DataFrame, columns: Sequence[str] = QUAD_COLS) -> DataFrame:
     """Set difference over whole terms. A small ``gone`` is broadcast, so ``df`` is not shuffled."""
     columns = list(columns)
-    side = gone.select(*columns)
-    if is_small(side):
+    side, small = settle(gone.select(*columns))
+    if small:
         return df.join(F.broadcast(side), columns, "left_anti")
     return df.join(side.dropDuplicates(), columns, "left_anti")
 
 
-def common(df: DataFrame, other: DataFrame, columns: Sequence[str] = QUAD_COLS) -> DataFrame:
-    columns = list(columns)
-    side = other.select(*columns)
-    if is_small(side):
-        return df.join(F.broadcast(side), columns, "left_semi")
-    return df.join(side.dropDuplicates(), columns, "left_semi")
-
-
 def add_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Union of two quad sets, ``existing`` already being a set.
 
     A small batch is reduced to its unseen rows by one broadcast pass over ``existing``, which then
     passes through unshuffled; a large batch pays one shuffle of both sides on the whole row.
     """
-    incoming = incoming.select(*QUAD_COLS)
-    if is_small(incoming):
-        seen = existing.join(F.broadcast(incoming), QUAD_COLS, "left_semi")
+    incoming, small = settle(incoming.select(*QUAD_COLS))
+    if small:
+        seen = existing.join(F.broadcast(incoming), QUAD_COLS, "left_semi").select(*QUAD_COLS)
         fresh = incoming.dropDuplicates().join(seen, QUAD_COLS, "left_anti")
         return existing.select(*QUAD_COLS).unionByName(fresh)
     return existing.select(*QUAD_COLS).unionByName(incoming).dropDuplicates()

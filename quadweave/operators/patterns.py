@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.functions.terms import TERM, graph_term, object_term, predicate_term, subject_term
-from quadweave.schema import BNODE, IRI, LITERAL, TRIPLE_COLS, XSD
+from quadweave.schema import BNODE, IRI, LITERAL, TRIPLE_COLS, XSD, local_table
 
 Constant = tuple[str, str, str, str]  # value, kind, datatype, language
 
@@ -148,7 +148,8 @@ def union(*parts: DataFrame) -> DataFrame:
 def values(spark: SparkSession, name: str, terms: Sequence[Constant]) -> DataFrame:
     """Inline data for one variable; no terms means no rows."""
     schema = T.StructType([T.StructField(name, TERM)])
-    return spark.createDataFrame([(t,) for t in terms], schema)
+    names = TERM.fieldNames()
+    return local_table(spark, [(dict(zip(names, t)),) for t in terms], schema)
 
 
 def bind(rows: DataFrame, name: str, expression: Column) -> DataFrame:
@@ -213,7 +214,7 @@ def construct(rows: DataFrame, template: Sequence[tuple]) -> DataFrame:
     t = F.col("t")
     legal = (
         t["s"].isNotNull() & t["p"].isNotNull() & t["o"].isNotNull()
-        & t["s.kind"].isin(IRI, BNODE) & (t["p.kind"] == IRI)
+        & t["s"]["kind"].isin(IRI, BNODE) & (t["p"]["kind"] == IRI)
     )
     return (
         rows.select(F.explode(triples).alias("t"))

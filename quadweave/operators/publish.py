@@ -15,12 +15,11 @@ def published_quads(snap: Snapshot, draftset: str, vocab: Vocabulary) -> DataFra
 
     Both sides are one filtered pass with a broadcast of the graph names: no shuffle of quads.
     """
-    pairs = writes.user_pairs(snap, draftset, vocab)
-    small = lookup.is_small(pairs)
-    untouched = lookup.drop(snap.live, pairs, key="lg", small=small)
-    mine = lookup.keep(snap.draft, pairs, key="dg", small=small)
+    pairs = lookup.local(writes.user_pairs(snap, draftset, vocab))
+    untouched = lookup.drop(snap.live, pairs, key="lg")
+    mine = lookup.keep(snap.draft, pairs, key="dg")
     moved = lookup.translate(
-        mine, pairs, "dg", "lg", [*rewrite.GRAPH_POSITION, *GRAPH_REF_POSITIONS], small=small
+        mine, pairs, "dg", "lg", [*rewrite.GRAPH_POSITION, *GRAPH_REF_POSITIONS]
     )
     return untouched.select(*QUAD_COLS).unionByName(moved.select(*QUAD_COLS))
 

@@ -21,11 +21,15 @@ ALL_POSITIONS = [*GRAPH_POSITION, *GRAPH_REF_POSITIONS]
 
 def non_empty(pairs: DataFrame, draft: DataFrame) -> DataFrame:
     """Pairs whose draft graph holds at least one quad. Only the distinct graph names are shuffled."""
-    return pairs.join(draft.select(F.col("g").alias("dg")).distinct(), "dg", "left_semi")
+    return lookup.local(pairs.join(_names(pairs, draft), "dg", "left_semi"))
+
+
+def _names(pairs: DataFrame, draft: DataFrame) -> DataFrame:
+    return lookup.keep(draft.select(F.col("g").alias("dg")), pairs, "dg", "dg").distinct()
 
 
 def emptied(pairs: DataFrame, draft: DataFrame) -> DataFrame:
-    return pairs.join(draft.select(F.col("g").alias("dg")).distinct(), "dg", "left_anti")
+    return lookup.local(pairs.join(_names(pairs, draft), "dg", "left_anti"))
 
 
 def _select_pairs(
@@ -41,7 +45,7 @@ def _select_pairs(
         pairs = pairs.filter(F.col("lg").isin(list(live_graphs)))
     if drafts is not None:
         pairs = pairs.filter(F.col("dg").isin(list(drafts)))
-    return pairs
+    return pairs.select("lg", "dg")
 
 
 def _apply(draft: DataFrame, scope: DataFrame, pairs: DataFrame, source: str, target: str) -> DataFrame:
@@ -54,8 +58,7 @@ def _apply(draft: DataFrame, scope: DataFrame, pairs: DataFrame, source: str, ta
     outside = lookup.drop(draft, scope, key="dg")
     names = pairs.select(F.col(source).alias("from"), F.col(target).alias("to"))
     names = names.unionByName(names.select(F.col("to").alias("from"), "to"))
-    small = lookup.is_small(scope.select("lg", "dg"))
-    marked = lookup.translate(inside, names, "from", "to", small=small, mark="_hit")
+    marked = lookup.translate(inside, names, "from", "to", mark="_hit")
     plain = marked.filter(~F.col("_hit")).select(*QUAD_COLS)
     merged = marked.filter("_hit").select(*QUAD_COLS).dropDuplicates()
     return outside.select(*QUAD_COLS).unionByName(plain).unionByName(merged)
@@ -63,7 +66,7 @@ def _apply(draft: DataFrame, scope: DataFrame, pairs: DataFrame, source: str, ta
 
 def rewrite_draftset(draft: DataFrame, draft_graphs: DataFrame, draftset: str) -> DataFrame:
     """Published names to draft names inside a draftset, skipping references to emptied drafts."""
-    scope = _select_pairs(draft_graphs, draftset, None, None)
+    scope = lookup.local(_select_pairs(draft_graphs, draftset, None, None))
     return _apply(draft, scope, non_empty(scope, draft), "lg", "dg")
 
 
@@ -76,16 +79,16 @@ def unrewrite_draftset(
     drafts: Iterable[str] | None = None,
 ) -> DataFrame:
     """Draft names back to published names; ``only_emptied`` limits it to references to empty drafts."""
-    scope = _select_pairs(draft_graphs, draftset, None, None)
+    scope = lookup.local(_select_pairs(draft_graphs, draftset, None, None))
     pairs = _select_pairs(scope, None, live_graphs, drafts)
     if only_emptied:
         pairs = emptied(pairs, draft)
     return _apply(draft, scope, pairs, "dg", "lg")
 
 
-def show_published(quads: DataFrame, pairs: DataFrame, small: bool | None = None) -> DataFrame:
+def show_published(quads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Draft quads under published names in every position, for reading."""
-    return lookup.translate(quads, pairs, "dg", "lg", ALL_POSITIONS, small=small)
+    return lookup.translate(quads, pairs, "dg", "lg", ALL_POSITIONS)
 
 
 def rewrite_bindings(rows: DataFrame, pairs: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

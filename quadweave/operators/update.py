@@ -79,10 +79,9 @@ def graph_meta(
     mine = draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg")
     public = managed_graphs.filter("is_public").select("lg", F.lit(True).alias("_live"))
     wanted = graphs_.join(mine, "lg", "left").join(public, "lg", "left")
-    small = lookup.is_small(graphs_.select("lg"))
-    live_sizes = state.bounded_counts(lookup.keep(live, graphs_, key="lg", small=small), most)
+    live_sizes = state.bounded_counts(lookup.keep(live, graphs_, key="lg"), most)
     drafts = wanted.filter(F.col("dg").isNotNull()).select("dg")
-    draft_sizes = state.bounded_counts(lookup.keep(draft, drafts, key="dg", small=small), most)
+    draft_sizes = state.bounded_counts(lookup.keep(draft, drafts, key="dg"), most)
     zero = F.lit(0).cast("bigint")
     return (
         wanted.join(live_sizes.select(F.col("g").alias("lg"), F.col("size").alias("_ls")), "lg", "left")
@@ -145,7 +144,7 @@ def update(
 ) -> Snapshot:
     """Apply an ordered batch of insert, delete and drop rows to a draftset."""
     validate(ops, vocab, max_size)
-    planned = plan(snap, draftset, ops, max_size)
+    planned = lookup.local(plan(snap, draftset, ops, max_size))
     # At most max_size graphs can be named by a batch of max_size rows.
     failed = planned.filter(F.col("error").isNotNull()).orderBy("lg").select("lg", "error").first()
     if failed:
@@ -154,25 +153,25 @@ def update(
     work = planned.filter(F.col("setup") != "nothing")
     if work.limit(1).isEmpty():
         return snap
-    fresh = work.filter(F.col("setup") != "touch").select("lg")
+    fresh = lookup.local(work.filter(F.col("setup") != "touch").select("lg"))
     created = state.new_drafts(fresh, draftset, now, vocab)
-    pairs = writes.pairs_of(snap, draftset).unionByName(created.select("lg", "dg"))
-    touched = pairs.join(work.select("lg"), "lg", "left_semi")
-    cloned = created.join(work.filter(F.col("setup") == "clone").select("lg"), "lg", "left_semi")
+    new_pairs = lookup.local(created.select("lg", "dg"))
+    pairs = lookup.local(writes.pairs_of(snap, draftset).unionByName(new_pairs))
+    touched = lookup.local(pairs.join(work.select("lg"), "lg", "left_semi"))
+    cloned = new_pairs.join(work.filter(F.col("setup") == "clone").select("lg"), "lg", "left_semi")
     mine, others = writes.split_draft(snap, draftset)
-    content = mine.unionByName(graphs.clone(snap.live, cloned.select("lg", "dg")))
+    content = mine.unionByName(graphs.clone(snap.live, cloned))
     dropped = pairs.join(planned.filter(F.col("last_drop").isNotNull()).select("lg"), "lg", "left_semi")
-    kept = lookup.drop(content, dropped, key="dg", small=True)
-    small = lookup.is_small(pairs)
-    shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS, small=small)
-    final = lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION, small=small)
+    kept = lookup.drop(content, dropped, key="dg")
+    shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
+    final = lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION)
     # The batch is at most max_size rows, so both sides of the change are broadcast.
     rest = shown.join(F.broadcast(final.select(*QUAD_COLS)), QUAD_COLS, "left_anti")
     after = rest.select(*QUAD_COLS).unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
     named = rewrite.non_empty(pairs, after)
     snap = snap.but(
         draft=others.unionByName(
-            lookup.translate(after, named, "lg", "dg", GRAPH_REF_POSITIONS, small=small)
+            lookup.translate(after, named, "lg", "dg", GRAPH_REF_POSITIONS)
         ),
         draft_graphs=snap.draft_graphs.unionByName(created),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),

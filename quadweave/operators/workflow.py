@@ -12,11 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadweave.functions import scalars as S
 from quadweave.operators import state
 from quadweave.operators.state import instant
-from quadweave.schema import Snapshot, Vocabulary, struct
+from quadweave.schema import Snapshot, Vocabulary, local_table, struct
 from quadweave.session import cut_lineage
 
 # What each role adds to the one before it.
@@ -50,7 +51,14 @@ def role_permissions(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
         have = [*have, *[vocab.permission_namespace + m for m in more]]
         rows.append((role, sorted(have), rank))
     rows.append((SYSTEM_ROLE, rows[-1][1], None))
-    return spark.createDataFrame(rows, "role STRING, permissions ARRAY<STRING>, rank INT")
+    schema = T.StructType(
+        [
+            T.StructField("role", T.StringType()),
+            T.StructField("permissions", T.ArrayType(T.StringType())),
+            T.StructField("rank", T.IntegerType()),
+        ]
+    )
+    return local_table(spark, rows, schema)
 
 
 def with_role_permissions(users: DataFrame, vocab: Vocabulary) -> DataFrame:

@@ -18,29 +18,26 @@ from quadweave.sources.quads import assign_graph, check_graphs
 
 
 def pairs_of(snap: Snapshot, draftset: str) -> DataFrame:
-    return snap.draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg")
+    return lookup.local(snap.draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg"))
 
 
 def split_draft(snap: Snapshot, draftset: str) -> tuple[DataFrame, DataFrame]:
     """Stored draft quads (of this draftset, of all others)."""
     pairs = pairs_of(snap, draftset)
-    small = lookup.is_small(pairs)
-    mine = lookup.keep(snap.draft, pairs, key="dg", small=small)
-    return mine, lookup.drop(snap.draft, pairs, key="dg", small=small)
+    mine = lookup.keep(snap.draft, pairs, key="dg")
+    return mine, lookup.drop(snap.draft, pairs, key="dg")
 
 
 def _to_stored(quads: DataFrame, named: DataFrame, all_pairs: DataFrame) -> DataFrame:
     """Graph names by ``all_pairs``; references only to the non-empty drafts ``named``."""
-    small = lookup.is_small(all_pairs)
-    moved = lookup.translate(quads, all_pairs, "lg", "dg", rewrite.GRAPH_POSITION, small=small)
-    return lookup.translate(moved, named, "lg", "dg", GRAPH_REF_POSITIONS, small=small)
+    moved = lookup.translate(quads, all_pairs, "lg", "dg", rewrite.GRAPH_POSITION)
+    return lookup.translate(moved, named, "lg", "dg", GRAPH_REF_POSITIONS)
 
 
 def _renew(quads: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
     """Stored quads after the set of non-empty drafts changed to ``named``."""
-    small = lookup.is_small(pairs)
-    shown = lookup.translate(quads, pairs, "dg", "lg", GRAPH_REF_POSITIONS, small=small)
-    return lookup.translate(shown, named, "lg", "dg", GRAPH_REF_POSITIONS, small=small)
+    shown = lookup.translate(quads, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
+    return lookup.translate(shown, named, "lg", "dg", GRAPH_REF_POSITIONS)
 
 
 def append(
@@ -49,23 +46,30 @@ def append(
     """Add quads. A live graph changed for the first time is cloned; unknown graphs become private drafts."""
     if graph is not None:
         quads = assign_graph(quads, graph)
-    check_graphs(quads)
-    if quads.limit(1).isEmpty():
+    incoming = lookup.local(quads.select(*QUAD_COLS))
+    check_graphs(incoming)
+    touched = lookup.local(incoming.select(F.col("g").alias("lg")).distinct())
+    if touched.limit(1).isEmpty():
         return snap
-    incoming = quads.select(*QUAD_COLS)
-    touched = incoming.select(F.col("g").alias("lg")).distinct()
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
-    fresh = touched.join(old, "lg", "left_anti")
+    fresh = lookup.local(touched.join(old, "lg", "left_anti"))
     created = state.new_drafts(fresh, draftset, now, vocab)
+    new_pairs = lookup.local(created.select("lg", "dg"))
     public = snap.managed_graphs.filter("is_public").select("lg")
-    pairs = old.unionByName(created.select("lg", "dg"))
-    filled = snap.draft.select(F.col("g").alias("dg")).distinct().join(pairs, "dg").select("lg")
-    named = pairs.join(filled.unionByName(touched).distinct(), "lg", "left_semi")
+    pairs = lookup.local(old.unionByName(new_pairs))
     mine, others = split_draft(snap, draftset)
-    cloned = graphs.clone(snap.live, created.join(public, "lg", "left_semi").select("lg", "dg"))
-    small = lookup.is_small(pairs)
-    base = lookup.translate(mine.unionByName(cloned), named, "lg", "dg", GRAPH_REF_POSITIONS, small=small)
+    filled = rewrite.non_empty(old, mine)
+    # Stored references change only for graphs that get their first quad now.
+    started = lookup.local(
+        pairs.join(touched, "lg", "left_semi").join(filled.select("lg"), "lg", "left_anti").select("lg", "dg")
+    )
+    named = lookup.local(filled.select("lg", "dg").unionByName(started))
+    cloned = graphs.clone(snap.live, new_pairs.join(public, "lg", "left_semi"))
+    base = mine.select(*QUAD_COLS)
+    if not started.limit(1).isEmpty():
+        base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
+    base = base.unionByName(lookup.translate(cloned, named, "lg", "dg", GRAPH_REF_POSITIONS))
     after = lookup.add_new(base, _to_stored(incoming, named, pairs))
     snap = snap.but(
         draft=others.unionByName(after),
@@ -85,9 +89,10 @@ def delete(
     """
     if graph is not None:
         quads = assign_graph(quads, graph)
-    check_graphs(quads)
+    outgoing = lookup.local(quads.select(*QUAD_COLS))
+    check_graphs(outgoing)
     managed = snap.managed_graphs.select("lg", "is_public")
-    touched = quads.select(F.col("g").alias("lg")).distinct().join(managed, "lg")
+    touched = lookup.local(outgoing.select(F.col("g").alias("lg")).distinct().join(managed, "lg"))
     if touched.limit(1).isEmpty():
         return snap
     state.check_unprotected(touched, vocab)
@@ -95,18 +100,18 @@ def delete(
     created = state.new_drafts(
         touched.filter("is_public").join(old, "lg", "left_anti"), draftset, now, vocab
     )
-    pairs = old.unionByName(created.select("lg", "dg"))
+    new_pairs = lookup.local(created.select("lg", "dg"))
+    pairs = lookup.local(old.unionByName(new_pairs))
     mine, others = split_draft(snap, draftset)
-    content = mine.unionByName(graphs.clone(snap.live, created.select("lg", "dg")))
+    content = mine.unionByName(graphs.clone(snap.live, new_pairs))
     # Compare under published names: a stored reference may carry either name, depending on
     # whether the graph it points to is empty at the moment.
-    small = lookup.is_small(pairs)
-    shown = lookup.translate(content, pairs, "dg", "lg", GRAPH_REF_POSITIONS, small=small)
-    gone = lookup.translate(quads.select(*QUAD_COLS), pairs, "lg", "dg", rewrite.GRAPH_POSITION, small=small)
+    shown = lookup.translate(content, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
+    gone = lookup.translate(outgoing, pairs, "lg", "dg", rewrite.GRAPH_POSITION)
     left = lookup.minus(shown, gone).select(*QUAD_COLS)
     named = rewrite.non_empty(pairs, left)
-    after = lookup.translate(left, named, "lg", "dg", GRAPH_REF_POSITIONS, small=small)
-    vanished = (
+    after = lookup.translate(left, named, "lg", "dg", GRAPH_REF_POSITIONS)
+    vanished = lookup.local(
         pairs.join(touched.filter(~F.col("is_public")), "lg", "left_semi")
         .join(named.select("dg"), "dg", "left_anti")
         .select("lg", "dg")
@@ -118,7 +123,7 @@ def delete(
         draft_graphs=draft_graphs,
         managed_graphs=times.drop_orphans(snap.managed_graphs, draft_graphs, vanished),
     )
-    kept = pairs.join(touched, "lg", "left_semi").join(vanished.select("dg"), "dg", "left_anti")
+    kept = lookup.local(pairs.join(touched, "lg", "left_semi").join(vanished.select("dg"), "dg", "left_anti"))
     return _after_delete(snap, draftset, kept, vanished, now, vocab)
 
 
@@ -144,8 +149,8 @@ def delete_graph(
     pairs = pairs_of(snap, draftset)
     target = pairs.filter(F.col("lg") == graph)
     mine, others = split_draft(snap, draftset)
-    emptied = lookup.drop(mine, target, key="dg", small=True)
-    after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS, small=True)
+    emptied = lookup.drop(mine, target, key="dg")
+    after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS)
     snap = snap.but(draft=others.unionByName(after))
     return times.touch(snap, draftset, target, now, vocab)
 
@@ -158,7 +163,7 @@ def revert_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocabula
     one = snap.draft_graphs.filter(F.col("dg") == dg).select("lg", "dg")
     mine, others = split_draft(snap, draftset)
     # References to the reverted draft become references to the published graph.
-    rest = lookup.translate(mine.filter(F.col("g") != dg), one, "dg", "lg", GRAPH_REF_POSITIONS, small=True)
+    rest = lookup.translate(mine.filter(F.col("g") != dg), one, "dg", "lg", GRAPH_REF_POSITIONS)
     draft_graphs = snap.draft_graphs.filter(F.col("dg") != dg)
     after = snap.but(
         draft=others.unionByName(rest),
@@ -179,7 +184,7 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     pairs = pairs_of(snap, draftset)
     target = pairs.filter(F.col("lg") == graph)
     mine, others = split_draft(snap, draftset)
-    content = lookup.drop(mine, target, key="dg", small=True).unionByName(graphs.clone(snap.live, target))
+    content = lookup.drop(mine, target, key="dg").unionByName(graphs.clone(snap.live, target))
     return snap.but(draft=others.unionByName(_renew(content, pairs, rewrite.non_empty(pairs, content))))
 
 

@@ -12,6 +12,7 @@ from quadweave.plans import fixtures as fx
 from quadweave.plans import views
 from quadweave.plans.catalog import register
 from quadweave.plans.fixtures import P, sql
+from quadweave.schema import local_table, struct
 
 
 def live(spark, sf_dir):
@@ -52,7 +53,7 @@ def select_distinct(spark, sf_dir):
     sql(
         """SELECT a.s, a.o AS cents, b.o AS status FROM live_q a JOIN live_q b ON a.s = b.s AND a.g = b.g
         WHERE a.p = 'http://example.com/p/priceCents' AND b.p = 'http://example.com/p/status'
-        AND CAST(a.o AS BIGINT) > 30000000 AND b.o <> 'F'"""
+        AND TRY_CAST(a.o AS BIGINT) > 30000000 AND b.o <> 'F'"""
     ),
 )
 def filter_comparisons(spark, sf_dir):
@@ -81,7 +82,7 @@ def inline_values_empty(spark, sf_dir):
 @register(
     "b6_bind",
     sql(
-        """SELECT s, o, CASE WHEN o_dt = 'http://www.w3.org/2001/XMLSchema#integer' THEN CAST(o AS BIGINT) // 100 END AS whole
+        """SELECT s, o, CASE WHEN o_dt = 'http://www.w3.org/2001/XMLSchema#integer' THEN TRY_CAST(o AS BIGINT) // 100 END AS whole
         FROM live_q WHERE p IN ('http://example.com/p/priceCents', 'http://example.com/p/priority')"""
     ),
 )
@@ -274,7 +275,7 @@ def mapping_lookup(spark, sf_dir):
 @register(
     "c8_keyed_merge",
     sql(
-        """SELECT coalesce(a.graph, b.graph) AS graph, epoch_ms(CASE WHEN a.modified > b.modified THEN TIMESTAMP '2024-03-01 12:00:00'
+        """SELECT coalesce(a.graph, b.graph) AS graph, epoch_us(CASE WHEN a.modified > b.modified THEN TIMESTAMP '2024-03-01 12:00:00'
           ELSE coalesce(b.modified, a.modified) END) AS modified
         FROM (SELECT 'u'||(user_id % 500) AS graph, max(ts) AS modified FROM events WHERE event_type <> 'click' GROUP BY ALL) a
         FULL JOIN (SELECT 'u'||(user_id % 300) AS graph, max(ts) AS modified FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.graph = b.graph"""
@@ -290,7 +291,7 @@ def keyed_merge(spark, sf_dir):
 
     click = F.col("event_type") == "click"
     merged = times.merge_times(latest(events.filter(~click), 500), latest(events.filter(click), 300), fx.NOW)
-    return merged.select("graph", F.unix_millis("modified").alias("modified"))
+    return merged.select("graph", F.unix_micros("modified").alias("modified"))
 
 
 @register("c9_key_intersection", sql("SELECT d.draftset, d.lg, d.dg, m.is_public FROM part_drafts d JOIN part_graphs m USING (lg)"))
@@ -340,14 +341,14 @@ def limit_offset(spark, sf_dir):
 def first_or_error(spark, sf_dir):
     found = plain(pt.select(of(live(spark, sf_dir), "status", s="?s").filter(F.col("s.value") == fx.ORDER + "5"), "s", "o"))
     row = pt.first_or_error(found)
-    return spark.createDataFrame([row] if row else [], "s STRING, o STRING")
+    return local_table(spark, [row] if row else [], struct("s STRING, o STRING"))
 
 
-@register("f4_top_one_by_time", sql("SELECT graph, epoch_ms(modified) AS modified FROM times WHERE scope = 'live' ORDER BY times.modified DESC, graph LIMIT 1"))
+@register("f4_top_one_by_time", sql("SELECT graph, epoch_us(modified) AS modified FROM times WHERE scope = 'live' ORDER BY times.modified DESC, graph LIMIT 1"))
 def top_one_by_time(spark, sf_dir):
     snap = fx.snapshot(spark, sf_dir)
     rows = times.modification_times(snap.graph_modified).orderBy(F.desc_nulls_last("modified"), "graph").limit(1)
-    return rows.select("graph", F.unix_millis("modified").alias("modified"))
+    return rows.select("graph", F.unix_micros("modified").alias("modified"))
 
 
 @register("f5_reduced", sql("SELECT g, o FROM live_q WHERE p = 'http://example.com/p/status'"))

@@ -6,13 +6,15 @@ them. ``PRELUDE`` states the same tables once more as SQL, independently of the
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadweave.functions import terms as T
 from quadweave.functions.scalars import draft_graph_iri, version_iri
 from quadweave.operators import lookup, rewrite
-from quadweave.schema import GRAPH_REF_POSITIONS, LIVE_SCOPE, QUAD_COLS, XSD, Snapshot, Vocabulary
+from quadweave.schema import GRAPH_REF_POSITIONS, LIVE_SCOPE, QUAD_COLS, XSD, Snapshot, Vocabulary, empty_table, local_table, struct
 from quadweave.sources.quads import from_table
 
 VOCAB = Vocabulary()
@@ -93,7 +95,7 @@ def draft_contents(live: DataFrame, lineitem: DataFrame) -> dict[str, DataFrame]
 
 def _graph_rows(spark: SparkSession, draftset: str, numbers: list[int]) -> DataFrame:
     lgs = [GRAPH + str(n) for n in numbers] + [VOCAB.modified_graph]
-    rows = spark.createDataFrame([(lg,) for lg in lgs], "lg STRING")
+    rows = local_table(spark, [(lg,) for lg in lgs], struct("lg STRING"))
     return rows.select(
         draft_graph_iri(F.lit(draftset), F.col("lg"), VOCAB).alias("dg"),
         "lg",
@@ -102,6 +104,7 @@ def _graph_rows(spark: SparkSession, draftset: str, numbers: list[int]) -> DataF
     )
 
 
+@lru_cache(maxsize=8)
 def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     """Sixteen public graphs, two draftsets over them."""
     live = order_quads(read(spark, sf_dir, "orders"))
@@ -112,8 +115,8 @@ def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     for ds, content in contents.items():
         pairs = rows[ds].select("lg", "dg")
         filled = pairs.filter(~F.col("lg").isin([GRAPH + str(n) for n in DS1_EMPTIED]))
-        moved = lookup.translate(content, pairs, "lg", "dg", rewrite.GRAPH_POSITION, small=True)
-        stored.append(lookup.translate(moved, filled, "lg", "dg", GRAPH_REF_POSITIONS, small=True))
+        moved = lookup.translate(content, pairs, "lg", "dg", rewrite.GRAPH_POSITION)
+        stored.append(lookup.translate(moved, filled, "lg", "dg", GRAPH_REF_POSITIONS))
     managed = spark.range(18).select(
         graph_iri(F.col("id")).alias("lg"),
         (F.col("id") < 16).alias("is_public"),
@@ -124,7 +127,9 @@ def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
             F.lit(VOCAB.modified_graph).alias("lg"), F.lit(True).alias("is_public"), F.lit(None).cast("timestamp").alias("issued")
         )
     )
-    sets = spark.createDataFrame([(DS1, "ann", "First"), (DS2, "bob", None)], "draftset STRING, owner STRING, title STRING")
+    sets = local_table(
+        spark, [(DS1, "ann", "First"), (DS2, "bob", None)], struct("draftset STRING, owner STRING, title STRING")
+    )
     made = F.lit("2024-02-01 00:00:00").cast("timestamp")
     draftsets = sets.select(
         "draftset",
@@ -143,16 +148,14 @@ def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
         F.lit("2024-02-10 00:00:00").cast("timestamp").alias("modified"),
         version_iri(F.md5(F.lit("public")), VOCAB).alias("version"),
     )
-    nobody = spark.createDataFrame([], "draftset STRING, submission STRING, claim_user STRING, claim_permission STRING")
-    unshared = spark.createDataFrame([], "draftset STRING, view_user STRING, view_permission STRING")
     return Snapshot(
         live=live.select(*QUAD_COLS),
         draft=stored[0].unionByName(stored[1]).select(*QUAD_COLS),
         managed_graphs=managed,
         draft_graphs=rows[DS1].unionByName(rows[DS2]),
         draftsets=draftsets,
-        submissions=nobody,
-        shares=unshared,
+        submissions=empty_table(spark, "submissions"),
+        shares=empty_table(spark, "shares"),
         graph_modified=event_times(read(spark, sf_dir, "events"), rows),
         endpoints=endpoints,
     )
@@ -185,6 +188,7 @@ def ds1_content_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_GRAPH = EX + "graph/part/"
 
 
+@lru_cache(maxsize=8)
 def registry(spark: SparkSession, sf_dir: str) -> Snapshot:
     part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
     lineitem, events = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "events")

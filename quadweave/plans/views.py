@@ -27,10 +27,9 @@ def draft_view(snap: Snapshot, draftset: str, union_with_live: bool = False) ->
     One pass over the draft and one over live: graph lists are broadcast, no quad is shuffled. The
     stored names map one to one, so no duplicates can arise.
     """
-    pairs = state.mapping(snap.draft_graphs, snap.managed_graphs, draftset)
-    small = lookup.is_small(snap.draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg"))
-    mine = lookup.keep(snap.draft, pairs, key="dg", small=small)
-    shown = rewrite.show_published(mine, pairs, small=small).select(*QUAD_COLS)
+    pairs = lookup.local(state.mapping(snap.draft_graphs, snap.managed_graphs, draftset).select("lg", "dg"))
+    mine = lookup.keep(snap.draft, pairs, key="dg")
+    shown = rewrite.show_published(mine, pairs).select(*QUAD_COLS)
     if not union_with_live:
         return shown
     unchanged = state.live_graphs(snap.managed_graphs).join(pairs.select("lg"), "lg", "left_anti")
@@ -101,8 +100,7 @@ def changed_graphs_report(snap: Snapshot, draftset: str, vocab: Vocabulary) -> D
     """Visible graphs of the draft over live, with statement and subject counts and what changed."""
     view = draft_view(snap, draftset, union_with_live=True)
     pairs = snap.draft_graphs.filter(F.col("draftset") == draftset)
-    small = lookup.is_small(pairs.select("lg", "dg"))
-    mine = lookup.keep(snap.draft.select("g"), pairs, key="dg", small=small)
+    mine = lookup.keep(snap.draft.select("g"), pairs, key="dg")
     changes = state.change_rows(pairs, snap.managed_graphs, mine).select(F.col("lg").alias("g"), "status")
     # Distinct subjects first, partially aggregated: one huge graph never meets in one task.
     subjects = view.groupBy("g", "s", "s_kind").agg(F.count("*").alias("n"))

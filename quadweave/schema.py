@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS_SUBCLASS = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
@@ -124,8 +127,16 @@ class Snapshot:
         return self.live.sparkSession
 
 
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
+    """Rows held by the driver as a local relation: its size is known to Catalyst, unlike an RDD's."""
+    rows = list(rows)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
 def empty_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[name])
+    return local_table(spark, [], TABLES[name])
 
 
 def empty_snapshot(spark: SparkSession) -> Snapshot:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadweave.functions import terms as T
-from quadweave.schema import BNODE, IRI, LITERAL, QUAD_COLS, QUADS, RDF_LANG_STRING, XSD
+from quadweave.schema import BNODE, IRI, LITERAL, QUAD_COLS, QUADS, RDF_LANG_STRING, XSD, local_table
 
 # N-Triples / N-Quads. Escapes are masked before matching, so a literal body is one character class
 # and texts of any length match without backtracking or recursion.
@@ -123,7 +123,7 @@ def assign_graph(statements: DataFrame, graph: str | Column) -> DataFrame:
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """In-memory statements ``(g, s, s_kind, p, o, o_kind, o_dt, o_lang)`` as a source."""
-    return spark.createDataFrame(list(rows), QUADS)
+    return local_table(spark, rows, QUADS)
 
 
 def from_table(df: DataFrame, graph: Column, subject: Column, attributes: Mapping[str, Column]) -> DataFrame:
