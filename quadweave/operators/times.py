@@ -88,18 +88,18 @@ def drop_orphans(managed_graphs: DataFrame, draft_graphs: DataFrame, candidates)
     return managed_graphs.join(gone, "lg", "left_anti").select(*managed_graphs.columns)
 
 
-def touch_updated(snap: Snapshot, draftset: str, drafts: DataFrame, now, vocab: Vocabulary) -> Snapshot:
+def touch_updated(
+    snap: Snapshot, draftset: str, drafts: DataFrame, filled: DataFrame, now, vocab: Vocabulary
+) -> Snapshot:
     """Times after an update batch: touched drafts are stamped, emptied private ones lose their time.
 
-    If only the entry of the times graph itself would remain, the times graph goes too.
+    ``filled(dg)`` are the draft graphs of the draftset that hold quads. If only the entry of the times graph itself would remain, the times graph goes too.
     """
     snap = touch(snap, draftset, drafts, now, vocab)
-    changes = state.change_rows(
-        snap.draft_graphs.filter(F.col("draftset") == draftset), snap.managed_graphs, snap.draft
-    )
     private = snap.managed_graphs.filter(~F.col("is_public")).select("lg")
     emptied = (
-        changes.filter((F.col("status") == "deleted") & (F.col("lg") != vocab.modified_graph))
+        snap.draft_graphs.filter((F.col("draftset") == draftset) & (F.col("lg") != vocab.modified_graph))
+        .join(filled.select("dg"), "dg", "left_anti")
         .join(private, "lg", "left_semi")
         .select(F.lit(draftset).alias("scope"), F.col("dg").alias("graph"))
     )

@@ -143,6 +143,7 @@ def update(
     snap: Snapshot, draftset: str, ops: DataFrame, now, vocab: Vocabulary, max_size: int = MAX_UPDATE_SIZE
 ) -> Snapshot:
     """Apply an ordered batch of insert, delete and drop rows to a draftset."""
+    ops = lookup.local(ops.select(*UPDATE_OPS.fieldNames()))
     validate(ops, vocab, max_size)
     planned = lookup.local(plan(snap, draftset, ops, max_size))
     # At most max_size graphs can be named by a batch of max_size rows.
@@ -164,9 +165,8 @@ def update(
     dropped = pairs.join(planned.filter(F.col("last_drop").isNotNull()).select("lg"), "lg", "left_semi")
     kept = lookup.drop(content, dropped, key="dg")
     shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
-    final = lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION)
-    # The batch is at most max_size rows, so both sides of the change are broadcast.
-    rest = shown.join(F.broadcast(final.select(*QUAD_COLS)), QUAD_COLS, "left_anti")
+    final = lookup.local(lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION))
+    rest = lookup.minus(shown, final)
     after = rest.select(*QUAD_COLS).unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
     named = rewrite.non_empty(pairs, after)
     snap = snap.but(
@@ -176,4 +176,4 @@ def update(
         draft_graphs=snap.draft_graphs.unionByName(created),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),
     )
-    return times.touch_updated(snap, draftset, touched, now, vocab)
+    return times.touch_updated(snap, draftset, touched, named, now, vocab)

@@ -8,6 +8,7 @@ found by pointer doubling. No draftset's log is ever gathered in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from quadweave.functions import scalars as S
 from quadweave.operators import state
 from quadweave.operators.state import instant
-from quadweave.schema import Snapshot, Vocabulary, local_table, struct
+from quadweave.schema import TABLES, Snapshot, Vocabulary, local_table, struct
 from quadweave.session import cut_lineage
 
 # What each role adds to the one before it.
@@ -205,6 +206,52 @@ def set_metadata(draftsets: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def act(
+    snap: Snapshot,
+    draftset: str,
+    actor: str,
+    action: str,
+    permissions: Sequence[str] = (),
+    target: str | None = None,
+    permission: str | None = None,
+) -> tuple[str, Snapshot]:
+    """One action on one draftset: its outcome and the tables after it."""
+    mine = F.col("draftset") == draftset
+    row = snap.draftsets.filter(mine).join(snap.submissions, "draftset", "left").first()
+    if row is None:
+        return "not-found", snap
+    owns = row.owner == actor
+    if action == CLAIM:
+        if row.owner is None:
+            named = actor in (row.submitted_by, row.claim_user) or row.claim_permission in permissions
+            if not named:
+                return "forbidden", snap
+        elif not owns:
+            return "forbidden", snap
+        owner = F.when(mine, F.lit(actor)).otherwise(F.col("owner"))
+        return "ok", snap.but(
+            draftsets=snap.draftsets.withColumn("owner", owner), submissions=snap.submissions.filter(~mine)
+        )
+    if not owns:
+        return "ignored", snap
+    if action in SUBMITS:
+        sets = snap.draftsets.withColumns(
+            {
+                "owner": F.when(~mine, F.col("owner")),
+                "submitted_by": F.when(mine, F.lit(actor)).otherwise(F.col("submitted_by")),
+            }
+        )
+        offer = (draftset, str(uuid.uuid4()), target, permission)
+        submissions = local_table(snap.spark, [offer], TABLES["submissions"])
+        return "ok", snap.but(draftsets=sets, submissions=snap.submissions.filter(~mine).unionByName(submissions))
+    if action in (SHARE_USER, SHARE_PERMISSION):
+        share = local_table(snap.spark, [(draftset, target, permission)], TABLES["shares"])
+        return "ok", snap.but(shares=snap.shares.unionByName(share).distinct())
+    if action == UNSHARE:
+        return "ok", snap.but(shares=snap.shares.filter(~mine))
+    raise ValueError(f"unknown action: {action}")
+
+
 # Replay of an action log.
 
 LOG = struct(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quadweave.functions import terms as T
 from quadweave.functions.scalars import draft_graph_iri, version_iri
 from quadweave.operators import lookup, rewrite
+from quadweave.plans.workspace import stored
 from quadweave.schema import GRAPH_REF_POSITIONS, LIVE_SCOPE, QUAD_COLS, XSD, Snapshot, Vocabulary, empty_table, local_table, struct
 from quadweave.sources.quads import from_table
 
@@ -106,7 +107,11 @@ def _graph_rows(spark: SparkSession, draftset: str, numbers: list[int]) -> DataF
 
 @lru_cache(maxsize=8)
 def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """Sixteen public graphs, two draftsets over them."""
+    """Sixteen public graphs, two draftsets over them, stored as Parquet."""
+    return stored(derived_snapshot(spark, sf_dir))
+
+
+def derived_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     live = order_quads(read(spark, sf_dir, "orders"))
     contents = draft_contents(live, read(spark, sf_dir, "lineitem"))
     numbers = {DS1: DS1_CHANGED + DS1_EMPTIED + DS1_NEW, DS2: DS2_CHANGED}
@@ -190,6 +195,10 @@ PART_GRAPH = EX + "graph/part/"
 
 @lru_cache(maxsize=8)
 def registry(spark: SparkSession, sf_dir: str) -> Snapshot:
+    return stored(derived_registry(spark, sf_dir))
+
+
+def derived_registry(spark: SparkSession, sf_dir: str) -> Snapshot:
     part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
     lineitem, events = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "events")
     key = F.col("p_partkey")
