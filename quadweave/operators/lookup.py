@@ -1,11 +1,12 @@
 """Joins against key lists and term dictionaries, broadcast only when their measured size allows.
 
 A dictionary of graph names is usually tiny next to the quads, but nothing guarantees it. Every
-helper here measures the small side first, reading at most ``BROADCAST_ROWS + 1`` rows of it:
+helper here measures the small side first, reading at most ``BROADCAST_ROWS + 1`` row sizes of it:
 
-* within the bounds, those rows become a local relation, so the dictionary is computed once however
+* up to ``LOCAL_ROWS`` rows become a local relation, so the dictionary is computed once however
   often the plan uses it, and Catalyst knows its exact size;
-* beyond them, the join is a salted shuffle join: one hot graph, subject or predicate holding a
+* up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes are broadcast;
+* beyond that, the join is a salted shuffle join: one hot graph, subject or predicate holding a
   third of all quads is spread over ``SALTS`` tasks instead of one.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.schema import GRAPH_REF_POSITIONS, IRI, QUAD_COLS, local_table
+from quadweave.session import stage
 
+LOCAL_ROWS = 5_000
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 PUSHDOWN_KEYS = 200
@@ -26,34 +29,71 @@ SALTS = 16
 _PLAIN = (T.StringType, T.BooleanType, T.IntegerType, T.LongType)
 
 
-def settle(df: DataFrame, rows: int | None = None, size: int | None = None) -> tuple[DataFrame, bool]:
-    """(``df`` as a local relation, True) when it has at most ``rows`` rows and ``size`` bytes of text,
-    else (``df``, False). Reading stops as soon as the bound is passed."""
-    if getattr(df, "_settled", False):
+def _row_size(df: DataFrame) -> Column:
+    size = F.lit(16)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    return size
+
+
+def settle(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(``df``, is it small enough to broadcast?); a very small one comes back as a local relation.
+
+    Reading stops as soon as a bound is passed.
+    """
+    if _is_local(df):
         return df, True
-    rows = BROADCAST_ROWS if rows is None else rows
-    size = BROADCAST_BYTES if size is None else size
     if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
         raise TypeError("only text, boolean and integer columns can be settled")
     # A row far wider than the bound allows on average is not fetched at all: only its length is.
-    width = F.lit(16)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    fits = F.when(width <= size // max(rows, 1) * 16, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    fetched = df.select(width.alias("n"), fits.alias("row")).limit(rows + 1).collect()
-    if len(fetched) > rows or sum(r.n for r in fetched) > size or any(r.row is None for r in fetched):
-        return df, False
-    local = local_table(df.sparkSession, [tuple(r.row) for r in fetched], df.schema)
-    local._settled = True
-    return local, True
+    size = _row_size(df)
+    narrow = size <= BROADCAST_BYTES // max(LOCAL_ROWS, 1)
+    row = F.when(narrow, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    fetched = df.select(row.alias("row")).limit(LOCAL_ROWS + 1).collect()
+    if len(fetched) <= LOCAL_ROWS and all(r.row is not None for r in fetched):
+        return _localise(df, [tuple(r.row) for r in fetched]), True
+    return df, is_small(df)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Within the bounds for a broadcast? Reads lengths only, and no more than the bound."""
+    known = getattr(df, "_small", None)
+    if known is None:
+        sizes = df.select(_row_size(df).alias("n")).limit(BROADCAST_ROWS + 1).collect()
+        known = len(sizes) <= BROADCAST_ROWS and sum(r.n for r in sizes) <= BROADCAST_BYTES
+        df._small = known
+    return known
+
+
+def _localise(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    made = local_table(df.sparkSession, rows, df.schema)
+    made._settled, made._rows = True, rows
+    return made
 
 
 def local(df: DataFrame) -> DataFrame:
-    """``df``, computed once and held as a local relation if it is small."""
+    """``df``, computed once and held as a local relation if it is very small."""
     return settle(df)[0]
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df``, computed once: a local relation if very small, else staged in the shared folder.
+
+    For input that several passes read, such as a batch parsed from text.
+    """
+    found, small = settle(df)
+    if _is_local(found):
+        return found
+    staged = stage(df)
+    staged._small = small
+    return staged
+
+
+def _is_local(df: DataFrame) -> bool:
+    return getattr(df, "_settled", False)
+
+
 def _salt_of(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
 
@@ -75,7 +115,7 @@ def translate(
     ``positions`` names (value column, kind column); literals and blank nodes are never replaced.
     ``pairs[source]`` must be unique. ``mark`` adds a flag: did any position match?
     """
-    pairs, small = settle(pairs.select(source, target))
+    pairs, small = settle(pairs if _is_local(pairs) else pairs.select(source, target))
     columns = df.columns
     if not small:
         df = df.withColumn("_salt", _salt_of(df))
@@ -97,13 +137,14 @@ def translate(
 
 
 def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str) -> DataFrame:
-    side, small = settle(keys.select(F.col(key).alias("_key")))
+    keys, small = settle(keys if _is_local(keys) else keys.select(key))
+    if _is_local(keys) and len(keys._rows) <= PUSHDOWN_KEYS:
+        # A literal list reaches the Parquet scan and prunes files and row groups.
+        at = keys.columns.index(key)
+        inside = F.col(column).isin([row[at] for row in keys._rows])
+        return df.filter(inside if how == "left_semi" else ~F.coalesce(inside, F.lit(False)))
+    side = keys.select(F.col(key).alias("_key"))
     if small:
-        few = side.limit(PUSHDOWN_KEYS + 1).collect()
-        if len(few) <= PUSHDOWN_KEYS:
-            # A literal list reaches the Parquet scan and prunes files and row groups.
-            inside = F.col(column).isin([r[0] for r in few])
-            return df.filter(inside if how == "left_semi" else ~F.coalesce(inside, F.lit(False)))
         return df.join(F.broadcast(side), F.col(column) == F.col("_key"), how)
     side = side.distinct().withColumn("_key_salt", _copies())
     salted = df.withColumn("_salt", _salt_of(df))
@@ -121,22 +162,29 @@ def drop(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = No
     return _by_key(df, keys, column, key or keys.columns[0], "left_anti")
 
 
-def minus(df: DataFrame, gone: DataFrame, columns: Sequence[str] = QUAD_COLS) -> DataFrame:
+def _batch(df: DataFrame, like: DataFrame | None) -> tuple[DataFrame, bool]:
+    """Settle a batch of quads, or judge it by ``like``, the same rows before their names were mapped."""
+    if like is None:
+        return settle(df)
+    return (local(df), True) if _is_local(like) else (df, is_small(like))
+
+
+def minus(df: DataFrame, gone: DataFrame, columns: Sequence[str] = QUAD_COLS, like: DataFrame | None = None) -> DataFrame:
     """Set difference over whole terms. A small ``gone`` is broadcast, so ``df`` is not shuffled."""
     columns = list(columns)
-    side, small = settle(gone.select(*columns))
+    side, small = _batch(gone.select(*columns), like)
     if small:
         return df.join(F.broadcast(side), columns, "left_anti")
     return df.join(side.dropDuplicates(), columns, "left_anti")
 
 
-def add_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def add_new(existing: DataFrame, incoming: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Union of two quad sets, ``existing`` already being a set.
 
     A small batch is reduced to its unseen rows by one broadcast pass over ``existing``, which then
     passes through unshuffled; a large batch pays one shuffle of both sides on the whole row.
     """
-    incoming, small = settle(incoming.select(*QUAD_COLS))
+    incoming, small = _batch(incoming.select(*QUAD_COLS), like)
     if small:
         seen = existing.join(F.broadcast(incoming), QUAD_COLS, "left_semi").select(*QUAD_COLS)
         fresh = incoming.dropDuplicates().join(seen, QUAD_COLS, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def ensure_protected_draft(
     managed_graphs: DataFrame, draft_graphs: DataFrame, graph: str, draftset: str, now, vocab: Vocabulary
 ) -> tuple[DataFrame, DataFrame]:
     """Managed row and draft row of one protected graph, made when absent."""
-    if not draft_graphs.sparkSession.range(1).select(is_protected(F.lit(graph), vocab).alias("x")).first().x:
+    if not re.match(vocab.protected_regex, graph):
         raise ProtectedGraph(f"not a protected graph: {graph}")
     one = draft_graphs.sparkSession.range(1).select(F.lit(graph).alias("lg"))
     return ensure_managed(managed_graphs, one), create_drafts(draft_graphs, one, draftset, now, vocab)

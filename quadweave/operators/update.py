@@ -157,12 +157,15 @@ def update(
     fresh = lookup.local(work.filter(F.col("setup") != "touch").select("lg"))
     created = state.new_drafts(fresh, draftset, now, vocab)
     new_pairs = lookup.local(created.select("lg", "dg"))
-    pairs = lookup.local(writes.pairs_of(snap, draftset).unionByName(new_pairs))
+    old = writes.pairs_of(snap, draftset)
+    pairs = lookup.local(old.unionByName(new_pairs))
     touched = lookup.local(pairs.join(work.select("lg"), "lg", "left_semi"))
     cloned = new_pairs.join(work.filter(F.col("setup") == "clone").select("lg"), "lg", "left_semi")
-    mine, others = writes.split_draft(snap, draftset)
+    mine, others = writes.split_draft(snap, draftset, old)
     content = mine.unionByName(graphs.clone(snap.live, cloned))
-    dropped = pairs.join(planned.filter(F.col("last_drop").isNotNull()).select("lg"), "lg", "left_semi")
+    dropped = lookup.local(
+        pairs.join(planned.filter(F.col("last_drop").isNotNull()).select("lg"), "lg", "left_semi")
+    )
     kept = lookup.drop(content, dropped, key="dg")
     shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
     final = lookup.local(lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION))

@@ -21,9 +21,9 @@ def pairs_of(snap: Snapshot, draftset: str) -> DataFrame:
     return lookup.local(snap.draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg"))
 
 
-def split_draft(snap: Snapshot, draftset: str) -> tuple[DataFrame, DataFrame]:
+def split_draft(snap: Snapshot, draftset: str, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Stored draft quads (of this draftset, of all others)."""
-    pairs = pairs_of(snap, draftset)
+    pairs = pairs_of(snap, draftset) if pairs is None else pairs
     mine = lookup.keep(snap.draft, pairs, key="dg")
     return mine, lookup.drop(snap.draft, pairs, key="dg")
 
@@ -34,6 +34,31 @@ def _to_stored(quads: DataFrame, named: DataFrame, all_pairs: DataFrame) -> Data
     return lookup.translate(moved, named, "lg", "dg", GRAPH_REF_POSITIONS)
 
 
+def _is_empty(df: DataFrame) -> bool:
+    return df.limit(1).isEmpty()
+
+
+def _with_clones(
+    snap: Snapshot, mine: DataFrame, old: DataFrame, clones: DataFrame, started: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs that held quads, pairs that now start to, stored quads with the clones added).
+
+    ``clones(lg, dg)`` are live graphs to copy in; ``started`` the drafts that get quads now, by
+    default the clones. Stored references change only for graphs that start to hold quads.
+    """
+    filled = rewrite.non_empty(old, mine).select("lg", "dg")
+    started = clones if started is None else started
+    started = lookup.local(started.join(filled.select("lg"), "lg", "left_anti").select("lg", "dg"))
+    base = mine.select(*QUAD_COLS)
+    if not _is_empty(started):
+        base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
+    if not _is_empty(clones):
+        named = lookup.local(filled.unionByName(started))
+        cloned = graphs.clone(snap.live, clones)
+        base = base.unionByName(lookup.translate(cloned, named, "lg", "dg", GRAPH_REF_POSITIONS))
+    return filled, started, base
+
+
 def _renew(quads: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
     """Stored quads after the set of non-empty drafts changed to ``named``."""
     shown = lookup.translate(quads, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
@@ -46,10 +71,10 @@ def append(
     """Add quads. A live graph changed for the first time is cloned; unknown graphs become private drafts."""
     if graph is not None:
         quads = assign_graph(quads, graph)
-    incoming = lookup.local(quads.select(*QUAD_COLS))
+    incoming = lookup.once(quads.select(*QUAD_COLS))
     check_graphs(incoming)
     touched = lookup.local(incoming.select(F.col("g").alias("lg")).distinct())
-    if touched.limit(1).isEmpty():
+    if _is_empty(touched):
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
@@ -58,19 +83,12 @@ def append(
     new_pairs = lookup.local(created.select("lg", "dg"))
     public = snap.managed_graphs.filter("is_public").select("lg")
     pairs = lookup.local(old.unionByName(new_pairs))
-    mine, others = split_draft(snap, draftset)
-    filled = rewrite.non_empty(old, mine)
-    # Stored references change only for graphs that get their first quad now.
-    started = lookup.local(
-        pairs.join(touched, "lg", "left_semi").join(filled.select("lg"), "lg", "left_anti").select("lg", "dg")
-    )
-    named = lookup.local(filled.select("lg", "dg").unionByName(started))
-    cloned = graphs.clone(snap.live, new_pairs.join(public, "lg", "left_semi"))
-    base = mine.select(*QUAD_COLS)
-    if not started.limit(1).isEmpty():
-        base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
-    base = base.unionByName(lookup.translate(cloned, named, "lg", "dg", GRAPH_REF_POSITIONS))
-    after = lookup.add_new(base, _to_stored(incoming, named, pairs))
+    mine, others = split_draft(snap, draftset, old)
+    clones = lookup.local(new_pairs.join(public, "lg", "left_semi"))
+    hit = pairs.join(touched, "lg", "left_semi")
+    filled, started, base = _with_clones(snap, mine, old, clones, hit)
+    named = lookup.local(filled.unionByName(started))
+    after = lookup.add_new(base, _to_stored(incoming, named, pairs), like=incoming)
     snap = snap.but(
         draft=others.unionByName(after),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),
@@ -89,11 +107,11 @@ def delete(
     """
     if graph is not None:
         quads = assign_graph(quads, graph)
-    outgoing = lookup.local(quads.select(*QUAD_COLS))
+    outgoing = lookup.once(quads.select(*QUAD_COLS))
     check_graphs(outgoing)
     managed = snap.managed_graphs.select("lg", "is_public")
     touched = lookup.local(outgoing.select(F.col("g").alias("lg")).distinct().join(managed, "lg"))
-    if touched.limit(1).isEmpty():
+    if _is_empty(touched):
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
@@ -102,19 +120,17 @@ def delete(
     )
     new_pairs = lookup.local(created.select("lg", "dg"))
     pairs = lookup.local(old.unionByName(new_pairs))
-    mine, others = split_draft(snap, draftset)
-    content = mine.unionByName(graphs.clone(snap.live, new_pairs))
-    # Compare under published names: a stored reference may carry either name, depending on
-    # whether the graph it points to is empty at the moment.
-    shown = lookup.translate(content, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
-    gone = lookup.translate(outgoing, pairs, "lg", "dg", rewrite.GRAPH_POSITION)
-    left = lookup.minus(shown, gone).select(*QUAD_COLS)
-    named = rewrite.non_empty(pairs, left)
-    after = lookup.translate(left, named, "lg", "dg", GRAPH_REF_POSITIONS)
+    mine, others = split_draft(snap, draftset, old)
+    filled, started, base = _with_clones(snap, mine, old, new_pairs)
+    named = lookup.local(filled.unionByName(started))
+    left = lookup.minus(base, _to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
+    hit = lookup.local(pairs.join(touched.select("lg"), "lg", "left_semi"))
+    still = rewrite.non_empty(hit, left)
+    # References to drafts that have just lost their last quad go back to the published name.
+    ended = lookup.local(hit.join(still.select("dg"), "dg", "left_anti").select("lg", "dg"))
+    after = left if _is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
     vanished = lookup.local(
-        pairs.join(touched.filter(~F.col("is_public")), "lg", "left_semi")
-        .join(named.select("dg"), "dg", "left_anti")
-        .select("lg", "dg")
+        ended.join(touched.filter(~F.col("is_public")), "lg", "left_semi").select("lg", "dg")
     )
     draft_graphs = snap.draft_graphs.unionByName(created).join(vanished.select("dg"), "dg", "left_anti")
     draft_graphs = draft_graphs.select(*state.columns_of("draft_graphs"))
@@ -123,13 +139,13 @@ def delete(
         draft_graphs=draft_graphs,
         managed_graphs=times.drop_orphans(snap.managed_graphs, draft_graphs, vanished),
     )
-    kept = lookup.local(pairs.join(touched, "lg", "left_semi").join(vanished.select("dg"), "dg", "left_anti"))
+    kept = lookup.local(hit.join(vanished.select("dg"), "dg", "left_anti"))
     return _after_delete(snap, draftset, kept, vanished, now, vocab)
 
 
 def _after_delete(snap: Snapshot, draftset: str, kept: DataFrame, vanished: DataFrame, now, vocab: Vocabulary):
     """Drafts still there get a new time; without any, only the vanished times go."""
-    if not kept.limit(1).isEmpty():
+    if not _is_empty(kept):
         snap = times.touch(snap, draftset, kept, now, vocab)
     return times.forget(snap, draftset, vanished, now, vocab)
 
@@ -147,8 +163,8 @@ def delete_graph(
     draft_graphs = state.create_drafts(snap.draft_graphs, one, draftset, now, vocab)
     snap = snap.but(draft_graphs=draft_graphs)
     pairs = pairs_of(snap, draftset)
-    target = pairs.filter(F.col("lg") == graph)
-    mine, others = split_draft(snap, draftset)
+    target = lookup.local(pairs.filter(F.col("lg") == graph))
+    mine, others = split_draft(snap, draftset, pairs)
     emptied = lookup.drop(mine, target, key="dg")
     after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS)
     snap = snap.but(draft=others.unionByName(after))
@@ -182,8 +198,8 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     draft_graphs = state.create_drafts(snap.draft_graphs, one, draftset, now, vocab)
     snap = snap.but(draft_graphs=draft_graphs)
     pairs = pairs_of(snap, draftset)
-    target = pairs.filter(F.col("lg") == graph)
-    mine, others = split_draft(snap, draftset)
+    target = lookup.local(pairs.filter(F.col("lg") == graph))
+    mine, others = split_draft(snap, draftset, pairs)
     content = lookup.drop(mine, target, key="dg").unionByName(graphs.clone(snap.live, target))
     return snap.but(draft=others.unionByName(_renew(content, pairs, rewrite.non_empty(pairs, content))))
 

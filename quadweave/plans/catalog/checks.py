@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadweave.functions import terms as T
 from quadweave.operators import inference, times, validate, writes
 from quadweave.plans import fixtures as fx
+from quadweave.plans import views
 from quadweave.plans.catalog import register
 from quadweave.plans.fixtures import DS1, EX, GRAPH, NOW, VOCAB, sql
 from quadweave.schema import QUAD_COLS, RDF_TYPE, RDFS_SUBCLASS
@@ -112,7 +113,7 @@ def backfill_claim_permissions(spark, sf_dir):
 def consistency_gaps(spark, sf_dir):
     """The stored draft against mapping(input - deletes), after some quads were lost from the store."""
     snap = fx.snapshot(spark, sf_dir)
-    inputs = fx.ds1_content_rows(spark, sf_dir)
+    inputs = views.draft_view(snap, DS1)
     status = F.col("p") == fx.P + "status"
     deletes = inputs.filter(status & (F.col("o") == "F"))
     number = F.regexp_extract("s", r"(\d+)$", 1).try_cast("bigint")

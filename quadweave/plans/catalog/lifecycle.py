@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadweave.functions import terms as T
 from quadweave.operators import graphs, publish, rewrite, state, update, writes
 from quadweave.plans import fixtures as fx
+from quadweave.plans import views
 from quadweave.plans.catalog import register
 from quadweave.plans.fixtures import DS1, EX, GRAPH, NOW, VOCAB, P, sql
 from quadweave.schema import QUAD_COLS
@@ -198,7 +199,7 @@ _GONE = f"""{_STATUS} AND g IN ({_g(0, 7)})
 def quads_to_delete(spark, sf_dir):
     """Part of a draft, part of a live graph, quads of an unmanaged graph, a whole new draft, references."""
     snap = fx.snapshot(spark, sf_dir)
-    content = fx.ds1_content_rows(spark, sf_dir)
+    content = views.draft_view(snap, DS1)
     status = snap.live.filter(F.col("p") == P + "status")
     return (
         fx.in_graphs(status, [0, 7])

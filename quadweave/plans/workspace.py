@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadweave.functions.scalars import draft_graph_iri
 from quadweave.operators import lookup, publish, times, update, workflow, writes
@@ -121,9 +122,10 @@ class Workspace:
         done = self.commits()
         number = done[-1] + 1 if done else 1
         base = f"{self.root}/data/{number}-{uuid.uuid4()}"
+        first = not manifest
         for name, schema in TABLES.items():
             table = getattr(after, name)
-            if before is not None and manifest and table is getattr(before, name):
+            if before is not None and not first and table is getattr(before, name):
                 continue
             if name in QUAD_TABLES:
                 touched = self._buckets_for(live if name == "live" else draft)
@@ -148,10 +150,8 @@ class Workspace:
         placed = quads.select(*QUAD_COLS, self._bucket_of(F.col("g")).alias("bucket"))
         spread = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "g", "p", "s")
         spread.write.partitionBy("bucket").parquet(path)
-        written = self.spark.read.parquet(path)
-        if "bucket" not in written.columns:
-            return {}
-        names = written.select("bucket").distinct().collect()
+        schema = T.StructType([*QUADS.fields, T.StructField("bucket", T.IntegerType())])
+        names = self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()
         return {r.bucket: f"{path}/bucket={r.bucket}" for r in names}
 
     def load(self, snapshot: Snapshot) -> Workspace:
