@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadweave.operators import lookup
 from quadweave.schema import IRI, OWL_THING, QUAD_COLS, RDF_TYPE, RDFS_SUBCLASS
-from quadweave.session import cut_lineage
+from quadweave.session import stage
 
 
 def subclass_edges(quads: DataFrame) -> DataFrame:
@@ -20,15 +20,15 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All ``(sub, sup)`` pairs reachable in one or more steps. Cycles are fine.
 
     Path lengths double each round, so the number of rounds is logarithmic in the depth. Each round
-    is checkpointed to the shared folder: plans stay short and lost executors do not restart it all.
+    is staged in the shared folder: plans stay short and lost executors do not restart it all.
     """
-    paths = cut_lineage(edges.distinct())
+    paths = stage(edges.distinct())
     size = paths.count()
     for _ in range(max_rounds):
         longer = paths.select("sub", F.col("sup").alias("mid")).join(
             paths.select(F.col("sub").alias("mid"), "sup"), "mid"
         )
-        paths = cut_lineage(paths.unionByName(longer.select("sub", "sup")).distinct())
+        paths = stage(paths.unionByName(longer.select("sub", "sup")).distinct())
         grown = paths.count()
         if grown == size:
             return paths

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quadweave.schema import GRAPH_REF_POSITIONS, IRI, QUAD_COLS, local_table
 from quadweave.session import stage
 
-LOCAL_ROWS = 5_000
+LOCAL_ROWS = 2_000
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 PUSHDOWN_KEYS = 200
@@ -46,14 +46,21 @@ def settle(df: DataFrame) -> tuple[DataFrame, bool]:
         return df, True
     if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
         raise TypeError("only text, boolean and integer columns can be settled")
-    # A row far wider than the bound allows on average is not fetched at all: only its length is.
-    size = _row_size(df)
-    narrow = size <= BROADCAST_BYTES // max(LOCAL_ROWS, 1)
+    fetched = _fetch(df)
+    return (df, is_small(df)) if fetched is None else (_localise(df, fetched), True)
+
+
+def _fetch(df: DataFrame) -> list[tuple] | None:
+    """The rows, if at most ``LOCAL_ROWS``. A row far wider than the byte bound allows on average is
+    not fetched at all."""
+    if _is_local(df):
+        return df._rows
+    narrow = _row_size(df) <= BROADCAST_BYTES // max(LOCAL_ROWS, 1)
     row = F.when(narrow, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     fetched = df.select(row.alias("row")).limit(LOCAL_ROWS + 1).collect()
-    if len(fetched) <= LOCAL_ROWS and all(r.row is not None for r in fetched):
-        return _localise(df, [tuple(r.row) for r in fetched]), True
-    return df, is_small(df)
+    if len(fetched) > LOCAL_ROWS or any(r.row is None for r in fetched):
+        return None
+    return [tuple(r.row) for r in fetched]
 
 
 def is_small(df: DataFrame) -> bool:
@@ -82,11 +89,17 @@ def once(df: DataFrame) -> DataFrame:
 
     For input that several passes read, such as a batch parsed from text.
     """
-    found, small = settle(df)
-    if _is_local(found):
-        return found
+    if getattr(df, "_once", False):
+        return df
+    fetched = _fetch(df)
+    if fetched is not None:
+        made = _localise(df, fetched)
+        made._once = True
+        return made
     staged = stage(df)
-    staged._small = small
+    staged._once = True
+    total = staged.agg(F.count("*").alias("rows"), F.sum(_row_size(staged)).alias("size")).first()
+    staged._small = total.rows <= BROADCAST_ROWS and (total.size or 0) <= BROADCAST_BYTES
     return staged
 
 

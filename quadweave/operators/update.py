@@ -143,7 +143,7 @@ def update(
     snap: Snapshot, draftset: str, ops: DataFrame, now, vocab: Vocabulary, max_size: int = MAX_UPDATE_SIZE
 ) -> Snapshot:
     """Apply an ordered batch of insert, delete and drop rows to a draftset."""
-    ops = lookup.local(ops.select(*UPDATE_OPS.fieldNames()))
+    ops = lookup.once(ops if ops.columns == UPDATE_OPS.fieldNames() else ops.select(*UPDATE_OPS.fieldNames()))
     validate(ops, vocab, max_size)
     planned = lookup.local(plan(snap, draftset, ops, max_size))
     # At most max_size graphs can be named by a batch of max_size rows.
@@ -168,8 +168,8 @@ def update(
     )
     kept = lookup.drop(content, dropped, key="dg")
     shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
-    final = lookup.local(lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION))
-    rest = lookup.minus(shown, final)
+    final = lookup.once(lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION))
+    rest = lookup.minus(shown, final, like=final)
     after = rest.select(*QUAD_COLS).unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
     named = rewrite.non_empty(pairs, after)
     snap = snap.but(

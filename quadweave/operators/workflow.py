@@ -19,7 +19,7 @@ from quadweave.functions import scalars as S
 from quadweave.operators import state
 from quadweave.operators.state import instant
 from quadweave.schema import TABLES, Snapshot, Vocabulary, local_table, struct
-from quadweave.session import cut_lineage
+from quadweave.session import stage
 
 # What each role adds to the one before it.
 ROLE_STEPS = [
@@ -336,17 +336,17 @@ def _successors(log: DataFrame, users: DataFrame) -> DataFrame:
 
 def _reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes reachable from ``roots`` along ``(draftset, seq) -> next``, in O(log n) joins."""
-    jumps = [cut_lineage(edges)]
+    jumps = [stage(edges)]
     while not jumps[-1].limit(1).isEmpty():
         last = jumps[-1]
         further = last.select("draftset", F.col("next").alias("seq"), F.col("seq").alias("_from"))
         further = further.join(last, ["draftset", "seq"]).select("draftset", F.col("_from").alias("seq"), "next")
-        jumps.append(cut_lineage(further))
+        jumps.append(stage(further))
     reached = roots.select("draftset", "seq")
     for jump in reversed(jumps[:-1]):
         ahead = jump.join(reached, ["draftset", "seq"], "left_semi").select("draftset", F.col("next").alias("seq"))
-        reached = reached.unionByName(ahead)
-    return cut_lineage(reached)
+        reached = stage(reached.unionByName(ahead))
+    return reached
 
 
 def replay(log: DataFrame, users: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def append(
     """Add quads. A live graph changed for the first time is cloned; unknown graphs become private drafts."""
     if graph is not None:
         quads = assign_graph(quads, graph)
-    incoming = lookup.once(quads.select(*QUAD_COLS))
+    incoming = lookup.once(quads if quads.columns == QUAD_COLS else quads.select(*QUAD_COLS))
     check_graphs(incoming)
     touched = lookup.local(incoming.select(F.col("g").alias("lg")).distinct())
     if _is_empty(touched):
@@ -107,7 +107,7 @@ def delete(
     """
     if graph is not None:
         quads = assign_graph(quads, graph)
-    outgoing = lookup.once(quads.select(*QUAD_COLS))
+    outgoing = lookup.once(quads if quads.columns == QUAD_COLS else quads.select(*QUAD_COLS))
     check_graphs(outgoing)
     managed = snap.managed_graphs.select("lg", "is_public")
     touched = lookup.local(outgoing.select(F.col("g").alias("lg")).distinct().join(managed, "lg"))

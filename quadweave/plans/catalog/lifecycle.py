@@ -133,8 +133,7 @@ def _mixed(spark, sf_dir):
     """Draft of ds-1 as if no reference had been rewritten, next to the stored draft of ds-2."""
     snap = fx.snapshot(spark, sf_dir)
     pairs = snap.draft_graphs.filter(F.col("draftset") == DS1)
-    content = fx.ds1_content_rows(spark, sf_dir)
-    raw = content.join(F.broadcast(pairs.select(F.col("lg").alias("g"), "dg")), "g").withColumn("g", F.col("dg"))
+    raw = views.draft_view(snap, DS1).join(F.broadcast(pairs.select(F.col("lg").alias("g"), "dg")), "g").withColumn("g", F.col("dg"))
     return snap, raw.select(*QUAD_COLS).unionByName(_mine(snap, fx.DS2))
 
 

@@ -232,12 +232,12 @@ class Workspace:
             self.commit(before, after, live=graphs, draft=drafts)
 
     def append(self, draftset: str, quads: DataFrame, graph: str | None = None) -> None:
-        quads = assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS)
+        quads = lookup.once(assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS))
         named = quads.select(F.col("g").alias("lg")).distinct()
         self._write(draftset, named, lambda s: writes.append(s, draftset, quads, self.clock(), self.vocab))
 
     def delete(self, draftset: str, quads: DataFrame, graph: str | None = None) -> None:
-        quads = assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS)
+        quads = lookup.once(assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS))
         named = quads.select(F.col("g").alias("lg")).distinct()
         self._write(draftset, named, lambda s: writes.delete(s, draftset, quads, self.clock(), self.vocab))
 
@@ -265,6 +265,7 @@ class Workspace:
         return outcome[0]
 
     def update(self, draftset: str, ops: DataFrame, max_size: int = update.MAX_UPDATE_SIZE) -> None:
+        ops = lookup.once(ops.select(*update.UPDATE_OPS.fieldNames()))
         named = ops.select(F.col("g").alias("lg")).distinct()
 
         def change(s):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,10 +61,16 @@ class Parsed:
     rejects: DataFrame  # line, reason
 
 
-def parse_lines(lines: DataFrame, line: str = "value", document: Column | None = None) -> Parsed:
+def parse_lines(
+    lines: DataFrame,
+    line: str = "value",
+    document: Column | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> Parsed:
     """Parse one statement per row. Comments and blank lines are skipped, bad lines become rejects.
 
     ``document`` identifies the file of a row: blank node labels only mean something inside it.
+    ``keep`` may stage the split lines when both quads and rejects will be read.
     """
     doc = F.lit("") if document is None else F.hex(F.xxhash64(document))
     text = F.col(line)
@@ -72,11 +78,15 @@ def parse_lines(lines: DataFrame, line: str = "value", document: Column | None =
         text = F.replace(text, F.lit(raw), F.lit(masked))
     joined = "\x02".join(f"${i + 1}" for i in range(len(_FIELDS)))
     split = F.split(F.regexp_replace(F.col("_masked"), _LINE, joined), "\x02")
+    # The generator keeps Catalyst from moving the filters below, and with them a second evaluation
+    # of the pattern, under this projection.
     rows = (
         lines.filter(~F.col(line).rlike(r"(?s)^\s*(#.*)?\z"))
         .select(F.col(line).alias("line"), text.alias("_masked"), doc.alias("_doc"))
-        .select("line", "_doc", F.col("_masked").rlike(_BAD_ESCAPE).alias("_bad"), split.alias("f"))
+        .select("line", "_doc", F.col("_masked").rlike(_BAD_ESCAPE).alias("_bad"), F.explode(F.array(split)).alias("f"))
     )
+    if keep is not None:
+        rows = keep(rows)
     field = {name: F.get(F.col("f"), F.lit(i)) for i, name in enumerate(_FIELDS)}
     matched = F.size("f") == len(_FIELDS)
     reason = F.when(~matched, "not a statement").when(F.col("_bad"), "bad escape")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quadweave.schema import QUAD_COLS
+from quadweave.session import stage
 from quadweave.sources.quads import Parsed, assign_graph, graph_problems, parse_lines
 
 
@@ -23,7 +24,7 @@ def read_line_stream(spark: SparkSession, path: str, max_files: int = 1000) -> D
 
 def parsed_batch(lines: DataFrame, graph: str | None = None) -> Parsed:
     """Quads and rejects of a batch. A bad line or graph goes to the rejects, the rest goes on."""
-    parsed = parse_lines(lines, "value", F.col("_file") if "_file" in lines.columns else None)
+    parsed = parse_lines(lines, "value", F.col("_file") if "_file" in lines.columns else None, keep=stage)
     quads = assign_graph(parsed.quads, graph) if graph else parsed.quads
     bad = graph_problems(quads).select(F.concat_ws(" ", "s", "p", "o").alias("line"), "reason")
     good = quads.filter(F.col("g").isNotNull() & ~F.startswith("g", F.lit("_:")))
@@ -45,14 +46,10 @@ def run(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            parsed = parsed_batch(batch, graph)
-            if rejects_path:
-                parsed.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-            apply(parsed.quads, batch_id)
-        finally:
-            batch.unpersist()
+        parsed = parsed_batch(batch, graph)
+        if rejects_path:
+            parsed.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        apply(parsed.quads, batch_id)
 
     writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
