@@ -182,11 +182,6 @@ def event_times(events: DataFrame, rows: dict[str, DataFrame]) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def ds1_content_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = order_quads(read(spark, sf_dir, "orders"))
-    return draft_contents(live, read(spark, sf_dir, "lineitem"))[DS1]
-
-
 # A registry whose bookkeeping tables grow with the data: a managed graph per part, a draftset per
 # supplier, a draft graph per (part, supplier) pair of returned line items, a user per customer.
 
@@ -277,26 +272,25 @@ def derived_registry(spark: SparkSession, sf_dir: str) -> Snapshot:
     return Snapshot(live, draft, managed, drafts, sets, offered, shares.distinct(), times, endpoints)
 
 
-_XSD = XSD
 PRELUDE = f"""
 WITH live_q AS (
   SELECT 'http://example.com/graph/'||(o_custkey % 16) AS g, 'http://example.com/order/'||o_orderkey AS s, 'iri' AS s_kind,
-         'http://example.com/p/status' AS p, o_orderstatus AS o, 'literal' AS o_kind, '{_XSD}string' AS o_dt, '' AS o_lang, o_orderkey AS k FROM orders
+         'http://example.com/p/status' AS p, o_orderstatus AS o, 'literal' AS o_kind, '{XSD}string' AS o_dt, '' AS o_lang, o_orderkey AS k FROM orders
   UNION ALL SELECT 'http://example.com/graph/'||(o_custkey % 16), 'http://example.com/order/'||o_orderkey, 'iri',
-         'http://example.com/p/priority', o_orderpriority, 'literal', '{_XSD}string', '', o_orderkey FROM orders
+         'http://example.com/p/priority', o_orderpriority, 'literal', '{XSD}string', '', o_orderkey FROM orders
   UNION ALL SELECT 'http://example.com/graph/'||(o_custkey % 16), 'http://example.com/order/'||o_orderkey, 'iri',
          'http://example.com/p/customer', 'http://example.com/customer/'||o_custkey, 'iri', '', '', o_orderkey FROM orders
   UNION ALL SELECT 'http://example.com/graph/'||(o_custkey % 16), 'http://example.com/order/'||o_orderkey, 'iri',
-         'http://example.com/p/priceCents', CAST(CAST(round(o_totalprice*100) AS BIGINT) AS VARCHAR), 'literal', '{_XSD}integer', '', o_orderkey FROM orders
+         'http://example.com/p/priceCents', CAST(CAST(round(o_totalprice*100) AS BIGINT) AS VARCHAR), 'literal', '{XSD}integer', '', o_orderkey FROM orders
   UNION ALL SELECT 'http://example.com/graph/'||(o_custkey % 16), 'http://example.com/order/'||o_orderkey, 'iri',
-         'http://example.com/p/date', strftime(o_orderdate, '%Y-%m-%d'), 'literal', '{_XSD}date', '', o_orderkey FROM orders
+         'http://example.com/p/date', strftime(o_orderdate, '%Y-%m-%d'), 'literal', '{XSD}date', '', o_orderkey FROM orders
   UNION ALL SELECT 'http://example.com/graph/'||(o_custkey % 16), 'http://example.com/order/'||o_orderkey, 'iri',
          'http://example.com/p/seeAlso', 'http://example.com/graph/'||(o_orderkey % 16), 'iri', '', '', o_orderkey FROM orders WHERE o_orderkey % 20 = 0
 ),
 line_q AS (
   SELECT DISTINCT * FROM (
   SELECT 'http://example.com/graph/'||(l_suppkey % 18) AS g, 'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'iri' AS s_kind,
-         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{_XSD}date' AS o_dt, '' AS o_lang, l_suppkey % 18 AS home FROM lineitem
+         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{XSD}date' AS o_dt, '' AS o_lang, l_suppkey % 18 AS home FROM lineitem
   UNION ALL SELECT 'http://example.com/graph/'||(l_suppkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
          'http://example.com/p/partOf', 'http://example.com/order/'||l_orderkey, 'iri', '', '', l_suppkey % 18 FROM lineitem
   UNION ALL SELECT 'http://example.com/graph/'||(l_suppkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,18 +124,23 @@ class Workspace:
         number = done[-1] + 1 if done else 1
         base = f"{self.root}/data/{number}-{uuid.uuid4()}"
         first = not manifest
-        for name, schema in TABLES.items():
-            table = getattr(after, name)
-            if before is not None and not first and table is getattr(before, name):
-                continue
-            if name in QUAD_TABLES:
-                touched = self._buckets_for(live if name == "live" else draft)
-                kept = {b: p for b, p in manifest.get(name, {}).items() if touched is not None and b not in touched}
-                manifest[name] = {**kept, **self._write_quads(table, f"{base}/{name}")}
-            else:
-                path = f"{base}/{name}"
-                table.select(*schema.fieldNames()).write.parquet(path)
-                manifest[name] = {NO_BUCKET: path}
+        changed = [
+            n for n in TABLES if before is None or first or getattr(after, n) is not getattr(before, n)
+        ]
+
+        def write(name: str) -> dict[int, str]:
+            table, path = getattr(after, name), f"{base}/{name}"
+            if name not in QUAD_TABLES:
+                table.select(*TABLES[name].fieldNames()).write.parquet(path)
+                return {NO_BUCKET: path}
+            touched = self._buckets_for(live if name == "live" else draft)
+            kept = {b: p for b, p in manifest.get(name, {}).items() if touched is not None and b not in touched}
+            return {**kept, **self._write_quads(table, path)}
+
+        # The tables are independent jobs; the small ones fill the cores the large ones leave idle.
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            written = dict(zip(changed, pool.map(write, changed)))
+        manifest.update(written)
         rows = [(t, b, p) for t, buckets in manifest.items() for b, p in buckets.items()]
         # Both writes refuse to replace an existing folder, so of two racing writers one fails.
         local_table(self.spark, rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/{number}")

@@ -44,9 +44,10 @@ def _unmask(value: Column, quoted: bool = True) -> Column:
         value = F.when(
             F.contains(value, F.lit("\\")), _unicode(_unicode(_simple(value), "u", 4, "UTF-16BE"), "U", 8, "UTF-32")
         ).otherwise(value)
+    plain = value
     for raw, masked in (("\x02", "\x01d"), ('"', "\x01c"), ("\\", "\x01b"), ("\x01", "\x01a")):
-        value = F.replace(value, F.lit(masked), F.lit(raw))
-    return value
+        plain = F.replace(plain, F.lit(masked), F.lit(raw))
+    return F.when(F.contains(value, F.lit("\x01")), plain).otherwise(value)
 
 
 def _simple(value: Column) -> Column:
@@ -73,9 +74,10 @@ def parse_lines(
     ``keep`` may stage the split lines when both quads and rejects will be read.
     """
     doc = F.lit("") if document is None else F.hex(F.xxhash64(document))
-    text = F.col(line)
+    raw_text = masked_text = F.col(line)
     for raw, masked in _MASKS:
-        text = F.replace(text, F.lit(raw), F.lit(masked))
+        masked_text = F.replace(masked_text, F.lit(raw), F.lit(masked))
+    text = F.when(raw_text.rlike(r"[\\\x01\x02]"), masked_text).otherwise(raw_text)
     joined = "\x02".join(f"${i + 1}" for i in range(len(_FIELDS)))
     split = F.split(F.regexp_replace(F.col("_masked"), _LINE, joined), "\x02")
     # The generator keeps Catalyst from moving the filters below, and with them a second evaluation
