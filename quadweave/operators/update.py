@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.functions.scalars import is_protected
-from quadweave.operators import graphs, lookup, rewrite, state, times, writes
+from quadweave.operators import lookup, rewrite, state, times, writes
 from quadweave.operators.state import GraphNotFound, ProtectedGraph
 from quadweave.schema import GRAPH_REF_POSITIONS, QUAD_COLS, QUADS, Snapshot, Vocabulary, struct
 
@@ -160,22 +160,27 @@ def update(
     old = writes.pairs_of(snap, draftset)
     pairs = lookup.local(old.unionByName(new_pairs))
     touched = lookup.local(pairs.join(work.select("lg"), "lg", "left_semi"))
-    cloned = new_pairs.join(work.filter(F.col("setup") == "clone").select("lg"), "lg", "left_semi")
+    cloned = lookup.local(new_pairs.join(work.filter(F.col("setup") == "clone").select("lg"), "lg", "left_semi"))
     mine, others = writes.split_draft(snap, draftset, old)
-    content = mine.unionByName(graphs.clone(snap.live, cloned))
+    filled, started, base = writes.with_clones(snap, mine, old, cloned)
+    before = lookup.local(filled.unionByName(started))
     dropped = lookup.local(
         pairs.join(planned.filter(F.col("last_drop").isNotNull()).select("lg"), "lg", "left_semi")
     )
-    kept = lookup.drop(content, dropped, key="dg")
-    shown = lookup.translate(kept, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
-    final = lookup.once(lookup.translate(final_rows(ops), pairs, "lg", "dg", rewrite.GRAPH_POSITION))
-    rest = lookup.minus(shown, final, like=final)
+    kept = lookup.drop(base, dropped, key="dg")
+    final = lookup.once(writes.to_stored(final_rows(ops), before, pairs))
+    rest = lookup.minus(kept, final, like=final)
     after = rest.select(*QUAD_COLS).unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
-    named = rewrite.non_empty(pairs, after)
+    named = rewrite.non_empty(pairs, after).select("lg", "dg")
+    # References change only for drafts that went from empty to filled or back.
+    ended = lookup.local(before.join(named.select("dg"), "dg", "left_anti").select("lg", "dg"))
+    begun = lookup.local(named.join(before.select("dg"), "dg", "left_anti").select("lg", "dg"))
+    if not writes.is_empty(ended):
+        after = lookup.translate(after, ended, "dg", "lg", GRAPH_REF_POSITIONS)
+    if not writes.is_empty(begun):
+        after = lookup.translate(after, begun, "lg", "dg", GRAPH_REF_POSITIONS)
     snap = snap.but(
-        draft=others.unionByName(
-            lookup.translate(after, named, "lg", "dg", GRAPH_REF_POSITIONS)
-        ),
+        draft=others.unionByName(after),
         draft_graphs=snap.draft_graphs.unionByName(created),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),
     )

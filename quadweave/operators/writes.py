@@ -28,17 +28,17 @@ def split_draft(snap: Snapshot, draftset: str, pairs: DataFrame | None = None) -
     return mine, lookup.drop(snap.draft, pairs, key="dg")
 
 
-def _to_stored(quads: DataFrame, named: DataFrame, all_pairs: DataFrame) -> DataFrame:
+def to_stored(quads: DataFrame, named: DataFrame, all_pairs: DataFrame) -> DataFrame:
     """Graph names by ``all_pairs``; references only to the non-empty drafts ``named``."""
     moved = lookup.translate(quads, all_pairs, "lg", "dg", rewrite.GRAPH_POSITION)
     return lookup.translate(moved, named, "lg", "dg", GRAPH_REF_POSITIONS)
 
 
-def _is_empty(df: DataFrame) -> bool:
+def is_empty(df: DataFrame) -> bool:
     return df.limit(1).isEmpty()
 
 
-def _with_clones(
+def with_clones(
     snap: Snapshot, mine: DataFrame, old: DataFrame, clones: DataFrame, started: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs that held quads, pairs that now start to, stored quads with the clones added).
@@ -50,21 +50,15 @@ def _with_clones(
     started = clones if started is None else started
     started = lookup.local(started.join(filled.select("lg"), "lg", "left_anti").select("lg", "dg"))
     base = mine.select(*QUAD_COLS)
-    if not _is_empty(started):
+    if not is_empty(started):
         base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
-    if not _is_empty(clones):
+    if not is_empty(clones):
         named = lookup.local(filled.unionByName(started))
         cloned = graphs.clone(snap.live, clones)
         base = base.unionByName(lookup.translate(cloned, named, "lg", "dg", GRAPH_REF_POSITIONS))
     return filled, started, base
 
 
-def _renew(quads: DataFrame, pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """Stored quads after the set of non-empty drafts changed to ``named``."""
-    shown = lookup.translate(quads, pairs, "dg", "lg", GRAPH_REF_POSITIONS)
-    return lookup.translate(shown, named, "lg", "dg", GRAPH_REF_POSITIONS)
-
-
 def append(
     snap: Snapshot, draftset: str, quads: DataFrame, now, vocab: Vocabulary, graph: str | None = None
 ) -> Snapshot:
@@ -74,7 +68,7 @@ def append(
     incoming = lookup.once(quads if quads.columns == QUAD_COLS else quads.select(*QUAD_COLS))
     check_graphs(incoming)
     touched = lookup.local(incoming.select(F.col("g").alias("lg")).distinct())
-    if _is_empty(touched):
+    if is_empty(touched):
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
@@ -86,9 +80,9 @@ def append(
     mine, others = split_draft(snap, draftset, old)
     clones = lookup.local(new_pairs.join(public, "lg", "left_semi"))
     hit = pairs.join(touched, "lg", "left_semi")
-    filled, started, base = _with_clones(snap, mine, old, clones, hit)
+    filled, started, base = with_clones(snap, mine, old, clones, hit)
     named = lookup.local(filled.unionByName(started))
-    after = lookup.add_new(base, _to_stored(incoming, named, pairs), like=incoming)
+    after = lookup.add_new(base, to_stored(incoming, named, pairs), like=incoming)
     snap = snap.but(
         draft=others.unionByName(after),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),
@@ -111,7 +105,7 @@ def delete(
     check_graphs(outgoing)
     managed = snap.managed_graphs.select("lg", "is_public")
     touched = lookup.local(outgoing.select(F.col("g").alias("lg")).distinct().join(managed, "lg"))
-    if _is_empty(touched):
+    if is_empty(touched):
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
@@ -121,14 +115,14 @@ def delete(
     new_pairs = lookup.local(created.select("lg", "dg"))
     pairs = lookup.local(old.unionByName(new_pairs))
     mine, others = split_draft(snap, draftset, old)
-    filled, started, base = _with_clones(snap, mine, old, new_pairs)
+    filled, started, base = with_clones(snap, mine, old, new_pairs)
     named = lookup.local(filled.unionByName(started))
-    left = lookup.minus(base, _to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
+    left = lookup.minus(base, to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
     hit = lookup.local(pairs.join(touched.select("lg"), "lg", "left_semi"))
     still = rewrite.non_empty(hit, left)
     # References to drafts that have just lost their last quad go back to the published name.
     ended = lookup.local(hit.join(still.select("dg"), "dg", "left_anti").select("lg", "dg"))
-    after = left if _is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
+    after = left if is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
     vanished = lookup.local(
         ended.join(touched.filter(~F.col("is_public")), "lg", "left_semi").select("lg", "dg")
     )
@@ -145,7 +139,7 @@ def delete(
 
 def _after_delete(snap: Snapshot, draftset: str, kept: DataFrame, vanished: DataFrame, now, vocab: Vocabulary):
     """Drafts still there get a new time; without any, only the vanished times go."""
-    if not _is_empty(kept):
+    if not is_empty(kept):
         snap = times.touch(snap, draftset, kept, now, vocab)
     return times.forget(snap, draftset, vanished, now, vocab)
 
@@ -200,8 +194,12 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     pairs = pairs_of(snap, draftset)
     target = lookup.local(pairs.filter(F.col("lg") == graph))
     mine, others = split_draft(snap, draftset, pairs)
-    content = lookup.drop(mine, target, key="dg").unionByName(graphs.clone(snap.live, target))
-    return snap.but(draft=others.unionByName(_renew(content, pairs, rewrite.non_empty(pairs, content))))
+    emptied = lookup.drop(mine, target, key="dg")
+    if state.is_graph_empty(snap.live, graph):
+        after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS)
+    else:
+        _, _, after = with_clones(snap, emptied, pairs, target)
+    return snap.but(draft=others.unionByName(after))
 
 
 def delete_draftset(snap: Snapshot, draftset: str) -> Snapshot:

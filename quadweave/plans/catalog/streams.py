@@ -14,7 +14,7 @@ from quadweave.session import shared_folder
 from quadweave.sources import sinks
 from quadweave.streaming import ingest
 
-FILES, FILES_PER_BATCH = 4, 2
+FILES, FILES_PER_BATCH = 3, 2
 
 
 def _folder(spark) -> str:
