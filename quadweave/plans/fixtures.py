@@ -65,8 +65,8 @@ def order_quads(orders: DataFrame) -> DataFrame:
 
 def line_quads(lineitem: DataFrame) -> DataFrame:
     """Additions of the first draftset, in four published and two new graphs."""
-    home = F.col("l_suppkey") % 18
-    see = F.when(F.col("l_orderkey") % 20 == 0, graph_iri(F.col("l_partkey") % 18))
+    home = F.col("l_partkey") % 18
+    see = F.when(F.col("l_orderkey") % 20 == 0, graph_iri(F.expr("(l_partkey div 18) % 18")))
     return from_table(
         lineitem.filter(home.isin(DS1_CHANGED + DS1_NEW)),
         graph_iri(home),
@@ -289,12 +289,12 @@ WITH live_q AS (
 ),
 line_q AS (
   SELECT DISTINCT * FROM (
-  SELECT 'http://example.com/graph/'||(l_suppkey % 18) AS g, 'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'iri' AS s_kind,
-         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{XSD}date' AS o_dt, '' AS o_lang, l_suppkey % 18 AS home FROM lineitem
-  UNION ALL SELECT 'http://example.com/graph/'||(l_suppkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
-         'http://example.com/p/partOf', 'http://example.com/order/'||l_orderkey, 'iri', '', '', l_suppkey % 18 FROM lineitem
-  UNION ALL SELECT 'http://example.com/graph/'||(l_suppkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
-         'http://example.com/p/seeAlso', 'http://example.com/graph/'||(l_partkey % 18), 'iri', '', '', l_suppkey % 18 FROM lineitem WHERE l_orderkey % 20 = 0
+  SELECT 'http://example.com/graph/'||(l_partkey % 18) AS g, 'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'iri' AS s_kind,
+         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{XSD}date' AS o_dt, '' AS o_lang, l_partkey % 18 AS home FROM lineitem
+  UNION ALL SELECT 'http://example.com/graph/'||(l_partkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
+         'http://example.com/p/partOf', 'http://example.com/order/'||l_orderkey, 'iri', '', '', l_partkey % 18 FROM lineitem
+  UNION ALL SELECT 'http://example.com/graph/'||(l_partkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
+         'http://example.com/p/seeAlso', 'http://example.com/graph/'||((l_partkey // 18) % 18), 'iri', '', '', l_partkey % 18 FROM lineitem WHERE l_orderkey % 20 = 0
   ) WHERE home IN (0,1,2,3,16,17)
 ),
 numbers AS (SELECT unnest(range(18)) AS n),
