@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.llm import exact, mixing, shards, urls
+from quadweave.llm import bpe, exact, mixing, shards, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
+from quadweave.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +87,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op7_wavelet_tokens")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
+    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.digests(wavelet.read(spark, path))
+
+
 @query("op8_lpt_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), 24)
@@ -92,3 +102,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
