@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.arrow import binaries, lists, sliced
+from quadweave.llm.arrow import binaries, lists, mapped, sliced
 from quadweave.llm.common import whole
 
 #: Texts longer than this many characters are cut into pieces of about that many.
@@ -64,7 +64,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_id
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists(flat, [len(x) for x in ids])], ["doc_id", "ids"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return mapped(slim, run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -82,7 +82,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id",
             out = binaries([back(x) for x in batch["ids"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], out], ["doc_id", "ids", "decoded"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return mapped(slim, run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.llm import bpe, exact, mixing, shards, urls, wavelet
+from quadweave.llm import bpe, exact, mixing, shards, simhash, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
 from quadweave.session import shared_folder
@@ -70,6 +70,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op2_simhash_classes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op6_exact_dedup",
     """

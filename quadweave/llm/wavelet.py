@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quadweave.llm.arrow import binaries, lists, sliced
+from quadweave.llm.arrow import binaries, lists, mapped, sliced
 from quadweave.llm.common import running, whole
 
 #: Tokens in a shard; a longer document has a shard of its own.
@@ -242,7 +242,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, te
             before += matrix.size
 
     schema = f"part int, before long, size long, doc_ids array<{kind}>, lengths array<long>, matrix binary"
-    ordered.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    mapped(ordered, run, schema).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
@@ -269,7 +269,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 columns = [names, pa.array(starts + batch["start"][i].as_py()), pa.array(lengths), binaries(blobs)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return mapped(shards, run, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def _per_shard(spark: SparkSession, path: str, answer: Callable[[Matrix], np.ndarray], name: str) -> DataFrame:
@@ -282,7 +282,7 @@ def _per_shard(spark: SparkSession, path: str, answer: Callable[[Matrix], np.nda
                 start = pa.array(np.full(len(found), batch["start"][i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([start, pa.array(found)], ["start", name])
 
-    return shards.mapInArrow(run, f"start long, {name} long")
+    return mapped(shards, run, f"start long, {name} long")
 
 
 def count(spark: SparkSession, path: str, token: int) -> DataFrame:
