@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.llm import bpe, exact, mixing, shards, simhash, urls, wavelet
+from quadweave.llm import bpe, exact, mixing, quality, shards, simhash, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
 from quadweave.session import shared_folder
@@ -75,6 +75,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_ratio")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return quality.judge(docs, quality.weights(docs, trusted)).select(*names)
+
+
 @query(
     "op6_exact_dedup",
     """
