@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.llm import bpe, exact, mixing, quality, shards, simhash, urls, wavelet
+from quadweave.llm import bpe, exact, mixing, quality, shards, simhash, toxicity, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
 from quadweave.session import shared_folder
@@ -75,6 +75,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 @query("op5_quality_ratio")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
