@@ -85,11 +85,12 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id",
     return mapped(slim, run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256."""
+def digests(decoded: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, ``extra`` columns, n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id",
+        *extra,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The characters that separate words, for Java patterns and for translate().
@@ -32,6 +32,24 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(pieces - edges).cast("long")
 
 
+def pick_rows(docs: DataFrame, keys: DataFrame, own: list[Column], names: list[str], *extra: str) -> DataFrame:
+    """One row of ``docs``, with all its columns and ``extra`` ones of ``keys``, for each row of ``keys``.
+
+    ``own`` are expressions over ``docs`` that match the columns ``names`` of ``keys``, nulls with
+    nulls; of rows that agree in them one is taken. The text is shuffled once: rows meet their keys and
+    are numbered in the same partitions.
+    """
+    mine = [f"_own{i}" for i in range(len(own))]
+    rows = docs.withColumns(dict(zip(mine, own))).withColumn("_own", F.xxhash64(*mine))
+    keys = keys.select(F.xxhash64(*names).alias("_key"), *[F.col(n).alias(f"_key{i}") for i, n in enumerate(names)], *extra)
+    same = F.col("_own") == F.col("_key")
+    for i, name in enumerate(mine):
+        same = same & F.col(name).eqNullSafe(F.col(f"_key{i}"))
+    first = F.row_number().over(Window.partitionBy("_own", *mine).orderBy("_own"))
+    picked = rows.join(keys, same).withColumn("_first", first).filter("_first = 1")
+    return picked.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
+
+
 def fill_rank(df: DataFrame, group: str, part: Column, order: list[Column], name: str) -> DataFrame:
     """Adds a gapless rank from 0 within ``group``; no window holds more than one ``part`` of a group.
 
@@ -47,8 +65,6 @@ def running(df: DataFrame, group: list[str], part: Column, order: list[Column],
     Rows come in the order of ``part``, then ``order``. A group of any size is summed by parts:
     totals of the parts first, then within each part.
     """
-    from pyspark.sql import Window
-
     df = df.withColumn("_part", part).withColumn("_amount", amount)
     keys = [*group, "_part"]
     totals = df.groupBy(*keys).agg(F.sum("_amount").alias("_sum"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import lower_ascii, whole
+from quadweave.llm.common import lower_ascii, pick_rows, whole
 
 #: Leaf runs of the tree, and how many runs meet in one merge: with these two rounds.
 RUNS, FAN_IN_BITS = 256, 4
@@ -60,16 +60,10 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", largest:
     )
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", largest: bool = True) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", largest: bool = True) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     Of rows that repeat text and identifier one stays, whatever their other columns hold.
     """
-    key = F.xxhash64("_id", "_digest")
-    marked = dedup(docs, text, doc_id, largest).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    marked = marked.select(key.alias("_key"), "_id", "_digest")
-    rows = docs.withColumns({"_own_id": F.col(doc_id), "_own_digest": digest(F.col(text))})
-    rows = rows.withColumn("_own_key", F.xxhash64("_own_id", "_own_digest"))
-    same = (F.col("_own_key") == F.col("_key")) & F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
-    first = F.row_number().over(Window.partitionBy("_own_key", "_own_id", "_own_digest").orderBy("_own_key"))
-    return rows.join(marked, same).withColumn("_first", first).filter("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = dedup(docs, text, doc_id, largest).filter("kept")
+    return pick_rows(docs, kept, [F.col(doc_id), digest(F.col(text))], ["doc_id", "text_sha256"])

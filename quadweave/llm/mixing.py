@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import running, word_count, whole
+from quadweave.llm.common import pick_rows, running, whole, word_count
 
 #: Words in a block.
 BLOCK = 1024
@@ -89,16 +89,19 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def streams(docs: DataFrame, text: str, doc_id: str, source: str, seed: int) -> DataFrame:
-    """(doc_id, source, size, at): each document's place in its source's shuffled stream of words."""
+    """(doc_id, source, size, mixed, at): each document's place in its source's shuffled stream of words.
+
+    ``mixed`` is the hash that shuffles.
+    """
     slim = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(whole(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_mixed"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("mixed"),
     )
-    part = F.shiftrightunsigned("_mixed", 64 - (STREAM_PARTS.bit_length() - 1))
-    order = [F.col("_mixed"), F.col("doc_id"), F.col("size")]
-    return running(slim, ["source"], part, order, F.col("size"), "at").drop("_mixed")
+    part = F.shiftrightunsigned("mixed", 64 - (STREAM_PARTS.bit_length() - 1))
+    order = [F.col("mixed"), F.col("doc_id"), F.col("size")]
+    return running(slim, ["source"], part, order, F.col("size"), "at")
 
 
 def mix(
@@ -137,7 +140,7 @@ def mix(
 
 
 def taken(pieces: DataFrame, placed: DataFrame, plan: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and full for every document.
+    """doc_id, source, mixed, size, source_size, target, taken and full for every document.
 
     ``full`` is the number of readings in which at least half of the document's words are taken.
     """
@@ -149,5 +152,18 @@ def taken(pieces: DataFrame, placed: DataFrame, plan: DataFrame) -> DataFrame:
     both = placed.join(per, mine, "left").join(sums, F.col("source").eqNullSafe(F.col("_of")), "left")
     full = F.size(F.filter(F.coalesce("_laps", F.array().cast("array<long>")), lambda x: x * 2 >= F.col("size")))
     return both.select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), full.alias("full")
+        "doc_id", "source", "mixed", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), full.alias("full")
+    )
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, each once for every reading that takes at least half of its words.
+
+    Of rows that repeat identifier, text and source, one stands for all, as often as they all are taken.
+    """
+    found = taken(*mix(docs, weights, share, text, doc_id, source, seed=seed))
+    copies = found.groupBy("doc_id", "source", "mixed").agg(F.sum("full").alias("_copies")).filter("_copies > 0")
+    marked = pick_rows(
+        docs, copies, [F.col(doc_id), F.col(source), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))], ["doc_id", "source", "mixed"], "_copies"
     )
+    return marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

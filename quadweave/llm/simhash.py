@@ -10,6 +10,7 @@ their own, so that every two of its fingerprints are still compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.arrow import mapped, sliced
-from quadweave.llm.common import whole
+from quadweave.llm.common import pick_rows, whole
 from quadweave.llm.graph import components
 from quadweave.session import stage
 
@@ -52,25 +53,39 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(docs: DataFrame, kinds: Sequence[tuple[int, int, bool]], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with one fingerprint (long) f0, f1, ... per kind.
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes as if of another seed; turn 0 leaves them."""
+    if not turn:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    A kind is (words in a shingle, seed, distinct shingles only?). A-Z are lower-cased, words are what
-    stands between spaces and the control characters from tab to carriage return. A text without
-    words, null included, has fingerprint 0.
+
+def fingerprints(docs: DataFrame, kinds: Sequence[tuple[int, int, bool, int]], text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of ``docs`` with fingerprints (long) f0, f1, ... of each kind in turn.
+
+    A kind is (words in a shingle, seed, distinct shingles only?, number of fingerprints). A-Z are
+    lower-cased, words are what stands between spaces and the control characters from tab to carriage
+    return. A text without words, null included, has fingerprint 0.
     """
+    total = sum(k[3] for k in kinds)
     slim = docs.select(*[F.col(c) for c in keep], whole(text).cast("binary").alias("_text"))
-    fields = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(len(kinds))])
-    names = [*keep, *[f"f{i}" for i in range(len(kinds))]]
+    fields = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + [f"f{i} long" for i in range(total)])
+    names = [*keep, *[f"f{i}" for i in range(total)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
-            found = np.zeros((len(kinds), batch.num_rows), np.uint64)
+            found = np.zeros((total, batch.num_rows), np.uint64)
             for row, text in enumerate(batch["_text"].to_pylist()):
-                words = text.lower().split()
-                for i, (width, seed, distinct) in enumerate(kinds):
+                words, at = text.lower().split(), 0
+                for width, seed, distinct, count in kinds:
                     hashes = shingle_hashes(words, width, seed)
-                    found[i, row] = majority(np.unique(hashes) if distinct else hashes)
+                    hashes = np.unique(hashes) if distinct else hashes
+                    for turn in range(count):
+                        found[at, row] = majority(remixed(hashes, turn))
+                        at += 1
             columns = [batch[c] for c in keep] + [pa.array(x.view(np.int64)) for x in found]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -180,7 +195,7 @@ def classes(docs: DataFrame, distance: int = 4, blocks: int = 7, width: int = 4,
     unless a component has no other; repeated rows each get a row. Fingerprints are computed once and
     held in the shared folder.
     """
-    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), [(width, seed, False)])
+    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), [(width, seed, False, 1)])
     prints = stage(prints.select("doc_id", F.col("f0").alias("fp")))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = links(nodes.select("fp"), block_keys("fp", blocks, distance), "fp", ["fp"], distance)
@@ -189,6 +204,49 @@ def classes(docs: DataFrame, distance: int = 4, blocks: int = 7, width: int = 4,
     return whole_rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Differing bits, of so many, that two texts with this Jaccard similarity of shingles may have.
+
+    Their vectors of shingles meet at the angle whose cosine is 2s / (1 + s), and that angle's share of a half
+    turn is the chance of a bit to differ; 1.25 standard deviations are granted.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * chance + 1.25 * math.sqrt(bits * chance * (1 - chance)))
+
+
+def near_groups(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 3, blocks: int = 6, checks: int = 4, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, text_hash, least): every row with the (doc_id, text_hash) that stays for its group.
+
+    A single fingerprint of long shingles is too coarse for similar texts: at a similarity of 0.8 a
+    tenth of its bits differ. So texts meet by the blocks of ``tables`` fingerprints of their single
+    words, which few edits move, and are then held to the distance that ``similarity`` allows between
+    ``checks`` fingerprints of their distinct ``width``-word shingles. Groups are what links reach.
+    Texts without words are one group; the row with the smallest identifier stays, a null one last,
+    and of rows that share an identifier the one with the smallest hash of its text.
+    """
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    prints = stage(fingerprints(slim, [(1, 42, True, tables), (width, 42, True, checks)], keep=["doc_id", "text_hash"]))
+    names = [f"f{i}" for i in range(tables + checks)]
+    prints = prints.withColumn("fp", F.xxhash64(*names))
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    nodes = prints.groupBy("fp", *names).agg(F.min(own).alias("first"))
+    keys, choices = [], math.comb(blocks, 4)
+    for i in range(tables):
+        keys += block_keys(f"f{i}", blocks, 4, table=i * choices)
+    check = names[tables:]
+    found = links(nodes, keys, "fp", check, allowed_bits(similarity, 64 * checks))
+    labels = component_ids(nodes.select("fp", "first"), found)
+    return prints.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", F.col("_component").alias("least"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies, with all its columns; see :func:`near_groups`."""
+    least = near_groups(docs, similarity, width, text=text, doc_id=doc_id).select("least.doc_id", "least.text_hash").distinct()
+    return pick_rows(docs, least, [F.col(doc_id), F.xxhash64(F.col(text))], ["doc_id", "text_hash"])
+
+
 def component_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(_fp, _component): for each node its component's smallest ``first``."""
     roots = components(found, "a", "b").select(F.col("node").alias("_node"), "root")
