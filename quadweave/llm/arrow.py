@@ -35,9 +35,11 @@ def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> Dat
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``limit`` bytes of ``column``, or of one row."""
+    """The batches in slices of at most ``limit`` bytes (list elements) of ``column``, or of one row."""
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        values = batch[column]
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        ends = np.cumsum(pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at, done = 0, 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))

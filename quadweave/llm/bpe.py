@@ -18,6 +18,8 @@ from quadweave.llm.common import whole
 
 #: Texts longer than this many characters are cut into pieces of about that many.
 PIECE = 1 << 16
+#: Ids that a task decodes at once.
+SLICE_IDS = 1 << 20
 #: No match of the pattern spans from a character that is not white space to one that is, and what
 #: comes after such a place has no part in a match before it.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
@@ -78,8 +80,8 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = encoding(ranks, pattern).decode_bytes
-        for batch in batches:
-            out = binaries([back(x) for x in batch["ids"].to_pylist()])
+        for batch in sliced(batches, "ids", SLICE_IDS):
+            out = binaries([back(batch["ids"][i].values.to_numpy().tolist()) for i in range(batch.num_rows)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], out], ["doc_id", "ids", "decoded"])
 
     return mapped(slim, run, f"doc_id {kind}, ids array<int>, decoded binary")
