@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +34,28 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(pieces - edges).cast("long")
 
 
+def others(docs: DataFrame, names: Iterable[str]) -> list[Column]:
+    """The columns of ``docs`` that are none of ``names``, out of its rows packed as ``row``."""
+    taken = {n.lower() for n in names}
+    return [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken]
+
+
 def pick_rows(docs: DataFrame, keys: DataFrame, own: list[Column], names: list[str], *extra: str) -> DataFrame:
-    """One row of ``docs``, with all its columns and ``extra`` ones of ``keys``, for each row of ``keys``.
+    """One row of ``docs``, packed as ``row``, with ``extra`` columns of ``keys`` for each row of ``keys``.
 
     ``own`` are expressions over ``docs`` that match the columns ``names`` of ``keys``, nulls with
     nulls; of rows that agree in them one is taken. The text is shuffled once: rows meet their keys and
     are numbered in the same partitions.
     """
-    mine = [f"_own{i}" for i in range(len(own))]
-    rows = docs.withColumns(dict(zip(mine, own))).withColumn("_own", F.xxhash64(*mine))
-    keys = keys.select(F.xxhash64(*names).alias("_key"), *[F.col(n).alias(f"_key{i}") for i, n in enumerate(names)], *extra)
-    same = F.col("_own") == F.col("_key")
+    mine = [f"own{i}" for i in range(len(own))]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(m) for x, m in zip(own, mine)])
+    rows = rows.withColumn("own", F.xxhash64(*mine))
+    keys = keys.select(F.xxhash64(*names).alias("key"), *[F.col(n).alias(f"key{i}") for i, n in enumerate(names)], *extra)
+    same = F.col("own") == F.col("key")
     for i, name in enumerate(mine):
-        same = same & F.col(name).eqNullSafe(F.col(f"_key{i}"))
-    first = F.row_number().over(Window.partitionBy("_own", *mine).orderBy("_own"))
-    picked = rows.join(keys, same).withColumn("_first", first).filter("_first = 1")
-    return picked.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
+        same = same & F.col(name).eqNullSafe(F.col(f"key{i}"))
+    first = F.row_number().over(Window.partitionBy("own", *mine).orderBy("own"))
+    return rows.join(keys, same).withColumn("first", first).filter("first = 1").select("row", *extra)
 
 
 def fill_rank(df: DataFrame, group: str, part: Column, order: list[Column], name: str) -> DataFrame:

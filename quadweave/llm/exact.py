@@ -66,4 +66,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", larges
     Of rows that repeat text and identifier one stays, whatever their other columns hold.
     """
     kept = dedup(docs, text, doc_id, largest).filter("kept")
-    return pick_rows(docs, kept, [F.col(doc_id), digest(F.col(text))], ["doc_id", "text_sha256"])
+    return pick_rows(docs, kept, [F.col(doc_id), digest(F.col(text))], ["doc_id", "text_sha256"]).select("row.*")

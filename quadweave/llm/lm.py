@@ -156,7 +156,7 @@ class Totals:
         return (counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
 
 
-def shard_of(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, shards: int, hot: int = HOT) -> np.ndarray:
+def shard_of(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, shards: int, hot: int) -> np.ndarray:
     """Contexts' shards; the words after a hot context are spread in proportion to its count."""
     parts = (counts // hot + 1).astype(np.uint64)
     part = _mixed(words.astype(np.uint64)) % parts
@@ -275,7 +275,7 @@ def _ask_words(shards: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _prepared(rows: list[dict], shards: int, totals: Totals, order: int, strength: Sequence[float]) -> tuple[Chunk, dict]:
+def _prepared(rows: list[dict], shards: int, totals: Totals, order: int, strength: Sequence[float], hot: int) -> tuple[Chunk, dict]:
     """A chunk from its own row and the answers of all levels so far; grams asked last, if any."""
     own = next(r for r in rows if r["level"].as_py() == 0)
     answers = lambda level: [(r["shard"].as_py(), unbundle(r["data"].as_py())) for r in rows if r["level"].as_py() == level]
@@ -288,7 +288,7 @@ def _prepared(rows: list[dict], shards: int, totals: Totals, order: int, strengt
     chunk.learn_words(np.concatenate(ids), np.concatenate(counts), totals)
     for level in range(2, order + 1):
         grams = chunk.grams()
-        shard = shard_of(grams[0], grams[1], grams[3], shards)
+        shard = shard_of(grams[0], grams[1], grams[3], shards, hot)
         place = np.argsort(shard, kind="stable")
         found = [a for _, a in sorted(answers(level), key=lambda x: x[0])]
         columns = [np.concatenate([a[i] for a in found]) if found else np.empty(0, np.int64) for i in range(len(found[0]) if found else 1)]
@@ -300,7 +300,7 @@ def _prepared(rows: list[dict], shards: int, totals: Totals, order: int, strengt
     return chunk, own
 
 
-def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float], more: bool) -> Callable[[Batches], Batches]:
+def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float], more: bool, hot: int) -> Callable[[Batches], Batches]:
     def pack(contexts: np.ndarray, words: np.ndarray, trained: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
         edges = np.flatnonzero(np.diff(contexts, prepend=-1))
         lengths = np.diff(edges, append=len(contexts))
@@ -308,9 +308,9 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
 
     def run(batches: Batches) -> Batches:
         for name, rows in groups(batches, "chunk"):
-            chunk, _ = _prepared(rows, shards, totals, level - 1, strength)
+            chunk, _ = _prepared(rows, shards, totals, level - 1, strength, hot)
             grams = chunk.grams()
-            yield _asks(name, shard_of(grams[0], grams[1], grams[3], shards), grams, pack)
+            yield _asks(name, shard_of(grams[0], grams[1], grams[3], shards, hot), grams, pack)
 
     def answer(batches: Batches) -> Batches:
         k = strength[level - 2]
@@ -358,6 +358,7 @@ def score(
     strength: Sequence[float] = STRENGTH,
     text: str = "text",
     doc_id: str = "doc_id",
+    hot: int = HOT,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Scores of all documents by a model of those marked ``training``, and the model's levels.
 
@@ -391,14 +392,14 @@ def score(
         answers = answered.filter("chunk >= 0").select("chunk", F.lit(level).alias("level"), "shard", "data", blank.alias("doc_ids"))
         rows = rows.unionByName(answers)
         if level < order:
-            ask = _ask_level(level + 1, shards, totals, strength, level + 1 < order)
+            ask = _ask_level(level + 1, shards, totals, strength, level + 1 < order, hot)
             slim = rows.select("chunk", "level", "shard", "data").repartition("chunk").sortWithinPartitions("chunk", "level", "shard")
             asked = mapped(slim, ask, _ASK)
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def sums(batches: Batches) -> Batches:
         for _, found in groups(batches, "chunk"):
-            chunk, own = _prepared(found, shards, totals, order, strength)
+            chunk, own = _prepared(found, shards, totals, order, strength, hot)
             starts = (np.cumsum(chunk.lengths) - chunk.lengths).astype(np.int64)
             add = lambda x: np.add.reduceat(x, starts)
             columns = [own["doc_ids"].values, pa.array(chunk.training.astype(bool)), pa.array(chunk.lengths.astype(np.int64))]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadweave.llm.common import pick_rows, running, whole, word_count
+from quadweave.session import stage
 
 #: Words in a block.
 BLOCK = 1024
@@ -120,9 +121,10 @@ def mix(
     the document that starts at word ``at`` of its source's stream, from its word ``first`` on, in the
     first or second reading (``lap``) of the stream. A null text has no words and no pieces; null
     sources are a source of their own, last in order; repeated rows have places of their own. The
-    order is that of a hash of the seed, the identifier and the text, so reruns agree.
+    order is that of a hash of the seed, the identifier and the text, so reruns agree. The texts are read
+    once; the streams stand in the shared folder.
     """
-    placed = streams(docs, text, doc_id, source, seed)
+    placed = stage(streams(docs, text, doc_id, source, seed))
     plan = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share)
     slots = schedule(plan, block).select(F.col("source").alias("_s"), "turn", "slot", "length")
     sizes = plan.select(F.col("source").alias("_of"), "source_size")
@@ -162,8 +164,8 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     Of rows that repeat identifier, text and source, one stands for all, as often as they all are taken.
     """
     found = taken(*mix(docs, weights, share, text, doc_id, source, seed=seed))
-    copies = found.groupBy("doc_id", "source", "mixed").agg(F.sum("full").alias("_copies")).filter("_copies > 0")
+    copies = found.groupBy("doc_id", "source", "mixed").agg(F.sum("full").cast("int").alias("copies")).filter("copies > 0")
     marked = pick_rows(
-        docs, copies, [F.col(doc_id), F.col(source), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))], ["doc_id", "source", "mixed"], "_copies"
+        docs, copies, [F.col(doc_id), F.col(source), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))], ["doc_id", "source", "mixed"], "copies"
     )
-    return marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import WHITE, WHITE_CHARS, whole
+from quadweave.llm.common import WHITE, WHITE_CHARS, others, whole
 
 #: Cells of the hashed n-grams: what is gathered from the corpus is one count per cell.
 CELLS = 1 << 16
@@ -103,7 +103,8 @@ def judge(
     and repeated rows get the same verdict. Without ``ratios`` (no trusted document) scores are zero
     and the base rules decide.
     """
-    body = whole(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(text).alias("body"))
+    body = F.col("body")
     lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.translate(line, WHITE_CHARS, "")) > 0)
     table = None if ratios is None else F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
 
@@ -113,18 +114,18 @@ def judge(
             total = F.aggregate(ngrams(words, cells), F.lit(0.0), lambda a, cell: a + F.get(table, cell.cast("int")))
         return F.struct(F.size(words).alias("n"), repeated_words(words).alias("r"), total.alias("llr"))
 
-    found = docs.withColumn("_found", let(words_of(body), measure))
-    count = F.col("_found.n")
-    long = lambda x: x.cast("long")
-    found = found.withColumns(
-        {
-            "n_words": long(count),
-            "word_chars": long(F.length(F.translate(body, WHITE_CHARS, ""))),
-            "n_symbols": long(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))),
-            "n_dup_lines": long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))),
-            "n_repeat_words": long(F.col("_found.r")),
-            "base_failed": (count < 10) | (100 * F.col("_found.r") > 20 * count),
-            "score": F.when(count == 0, 0.0).otherwise(F.col("_found.llr") / (2 * count - 1)),
-        }
-    )
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_found")
+    found = rows.withColumn("found", let(words_of(body), measure))
+    count, repeats = F.col("found.n"), F.col("found.r")
+    failed = (count < 10) | (100 * repeats > 20 * count)
+    mean = F.when(count == 0, 0.0).otherwise(F.col("found.llr") / (2 * count - 1))
+    measured = {
+        "n_words": count.cast("long"),
+        "word_chars": F.length(F.translate(body, WHITE_CHARS, "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeats.cast("long"),
+        "base_failed": failed,
+        "score": mean,
+        "kept": ~failed & (mean >= threshold),
+    }
+    return found.select(*others(docs, measured), *[x.alias(name) for name, x in measured.items()])

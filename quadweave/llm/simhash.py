@@ -244,7 +244,7 @@ def near_groups(
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of near copies, with all its columns; see :func:`near_groups`."""
     least = near_groups(docs, similarity, width, text=text, doc_id=doc_id).select("least.doc_id", "least.text_hash").distinct()
-    return pick_rows(docs, least, [F.col(doc_id), F.xxhash64(F.col(text))], ["doc_id", "text_hash"])
+    return pick_rows(docs, least, [F.col(doc_id), F.xxhash64(F.col(text))], ["doc_id", "text_hash"]).select("row.*")
 
 
 def component_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:

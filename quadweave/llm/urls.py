@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.common import lower_ascii
+from quadweave.llm.common import lower_ascii, others
 
 BROADCAST_RULES = 200_000
 PREFIX_HEX = 8
@@ -79,9 +79,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     Rules up to a checked number are broadcast; a longer list is joined by shuffle, on expressions of
     distinct (host, path) pairs, where adaptive execution splits a prefix shared by many hosts.
     """
+    names = ["host", "path", "rule", "verdict"]
     host, path = host_and_path(F.col(url))
-    pages = pages.drop("rule", "verdict") if url not in ("rule", "verdict") else pages
-    pages = pages.withColumns({"host": host, "path": path})
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
     rules = compile_rules(rules)
     shape = rules.agg(
         F.array_sort(F.collect_set("labels")).alias("labels"),
@@ -89,15 +89,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.count("*").alias("n"),
     ).first()
     if not shape.n:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    sites = pages.select("host", "path").distinct()
+        return rows.select(*others(pages, names), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    sites = rows.select("host", "path").distinct()
     found = expressions(sites, shape.labels, shape.lengths)
     side = rules.select("prefix", F.col("digest").alias("r_digest"), "rule", "verdict", "rule_length")
     side = F.broadcast(side) if shape.n <= BROADCAST_RULES else side
     hits = found.join(side, "prefix").filter(F.col("digest") == F.col("r_digest"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct("rule_length", "rule", "verdict")).alias("best"))
-    best = best.select(
-        F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")
-    )
-    joined = pages.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct("rule_length", "rule", "verdict")).alias("best"))
+    joined = rows.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    verdict = F.coalesce("best.verdict", F.lit(default))
+    return joined.select(*others(pages, names), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
