@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from quadweave.llm.common import running, whole
 SHARD_TOKENS = 1 << 20
 #: Bits between two entries of a plane's rank directory.
 BLOCK = 512
-#: Words a task remembers with their ids.
-MEMO = 400_000
+#: Words a task remembers with their ids, and words encoded in one call.
+MEMO, TOGETHER = 800_000, 2_000
 # Characters that end the word before them, if that is a letter or a digit.
 _ENDING = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LETTER_END = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]$")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
 class Matrix:
@@ -165,31 +168,53 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = {}
+        parts = []
         for word in words:
             core = word.rstrip(_ENDING)
-            whole_word = not core or core == word or not _LETTER_END.search(core.decode())
-            core, tail = (word, b"") if whole_word else (core, word[len(core) :])
-            parts[word] = (core.lower() if core.isascii() else core, tail)
-        fresh = [x for x in {y for pair in parts.values() for y in pair if y} if x not in self.cores]
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
-        self.cores.update((x, np.array(e.ids, np.uint32).tobytes()) for x, e in zip(fresh, found))
-        self.cores[b""] = b""
-        self.known.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in parts.items())
+            tail = word[len(core) :]
+            if tail and not (core and (core[-1] in _PLAIN or _LETTER_END.search(core.decode()))):
+                core, tail = word, b""
+            parts.append((word, core.lower() if core.isascii() else core, tail))
+        if len(self.cores) > MEMO:
+            self.cores = {b"": b""}
+        cores = self.cores
+        fresh = {x for _, core, tail in parts for x in (core, tail)}.difference(cores)
+        simple = [x for x in fresh if _LETTERS.match(x.decode())]
+        for at in range(0, len(simple), TOGETHER):
+            self._encode_letters(simple[at : at + TOGETHER])
+        self._encode([x for x in fresh if x not in cores])
+        self.known.update((word, cores[core] + cores[tail]) for word, core, tail in parts)
+
+    def _encode(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.cores.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(words, found))
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, encoded as one text: each ends with the one token that ends words."""
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, ends):
+            self.cores[word] = data[start:end]
+            start = end
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [x.split() for x in texts]
-        words = {w for ws in split for w in ws}
-        if len(self.known) + len(words) > MEMO:
-            self.known, self.cores = {}, {}
-        self._learn({w for w in words if w not in self.known})
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        if len(self.known) > MEMO:
+            self.known = {}
+        self._learn({w for ws in split for w in filterfalse(self.known.__contains__, ws)})
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=1)
