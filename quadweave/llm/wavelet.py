@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,13 @@ class Matrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> Matrix:
-        ids = np.asarray(ids, np.uint32)
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        ids = np.asarray(ids).astype(np.uint16 if depth <= 16 else np.uint32)
         blocks = len(ids) // BLOCK + 1
         planes = np.zeros((depth, blocks * BLOCK // 8), np.uint8)
         zeros = np.zeros(depth, np.int64)
         for level in range(depth):
-            bit = ((ids >> np.uint32(depth - 1 - level)) & np.uint32(1)).astype(bool)
+            bit = (ids & ids.dtype.type(1 << (depth - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
             low = ids[~bit]
@@ -107,15 +108,15 @@ class Matrix:
     def all(self) -> np.ndarray:
         """All ids in order: planes are undone from the last to the first."""
         depth = len(self.zeros)
-        ids = np.zeros(self.size, np.uint32)
+        ids = np.zeros(self.size, np.uint16 if depth <= 16 else np.uint32)
         for level in range(depth - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
             back = np.empty_like(ids)
             zeros = int(self.zeros[level])
             back[~bit] = ids[:zeros]
-            back[bit] = ids[zeros:] | np.uint32(1 << (depth - 1 - level))
+            back[bit] = ids[zeros:] | ids.dtype.type(1 << (depth - 1 - level))
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
     def _range(self, token: int) -> tuple[int, int]:
         """The token's run below the last plane."""
@@ -154,12 +155,24 @@ class Matrix:
         return np.sort(at)
 
 
+class Numbers(dict):
+    """Words by number; a new word gets the next one and waits to be learnt."""
+
+    def __init__(self) -> None:
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.waiting.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class Words:
     """A tokenizer over texts, with the ids of words remembered.
 
     For vocabularies that drop white space and cut words at changes between letters, digits and
     other signs: there the ids of a text are those of its words, and the signs after a word's last
-    letter can be taken alone.
+    letter can be taken alone. All ids learnt stand end to end; a word is a stretch of them.
     """
 
     def __init__(self, path: str) -> None:
@@ -171,50 +184,78 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {b"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.starts, self.lengths = array("q"), array("q")
+        self.ids = array("I")
+        # Stretches of the parts of words: start << 32 | length.
+        self.cores: dict[bytes, int] = {b"": 0}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self) -> None:
         parts = []
-        for word in words:
+        for word in self.numbers.waiting:
+            if word.isalnum():
+                parts.append((word.lower(), b""))
+                continue
             core = word.rstrip(_ENDING)
             tail = word[len(core) :]
             if tail and not (core and (core[-1] in _PLAIN or _LETTER_END.search(core.decode()))):
                 core, tail = word, b""
-            parts.append((word, core.lower() if core.isascii() else core, tail))
-        if len(self.cores) > MEMO:
-            self.cores = {b"": b""}
+            parts.append((core.lower() if core.isascii() else core, tail))
+        self.numbers.waiting.clear()
         cores = self.cores
-        fresh = {x for _, core, tail in parts for x in (core, tail)}.difference(cores)
-        simple = [x for x in fresh if _LETTERS.match(x.decode())]
+        fresh = {x for pair in parts for x in pair}.difference(cores)
+        simple = [x for x in fresh if x.isalpha() or _LETTERS.match(x.decode())]
         for at in range(0, len(simple), TOGETHER):
             self._encode_letters(simple[at : at + TOGETHER])
         self._encode([x for x in fresh if x not in cores])
-        self.known.update((word, cores[core] + cores[tail]) for word, core, tail in parts)
+        mask, ids = (1 << 32) - 1, self.ids
+        for core, tail in parts:
+            at = cores[core]
+            if tail:
+                start, more = len(ids), cores[tail]
+                for x in (at, more):
+                    ids.extend(ids[x >> 32 : (x >> 32) + (x & mask)])
+                at = start << 32 | ((at & mask) + (more & mask))
+            self.starts.append(at >> 32)
+            self.lengths.append(at & mask)
 
     def _encode(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.cores.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(words, found))
+        for word, e in zip(words, found):
+            self.cores[word] = len(self.ids) << 32 | len(e.ids)
+            self.ids.extend(e.ids)
 
     def _encode_letters(self, words: list[bytes]) -> None:
         """Words of letters alone, encoded as one text: each ends with the one token that ends words."""
         (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
-        ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+        ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(words):
             return
-        data, start = ids.tobytes(), 0
-        for word, end in zip(words, ends):
-            self.cores[word] = data[start:end]
-            start = end
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        starts = np.concatenate([[0], ends[:-1]])
+        self.cores.update(zip(words, (((starts + len(self.ids)) << 32) | (ends - starts)).tolist()))
+        self.ids.frombytes(ids.tobytes())
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if len(self.numbers) > MEMO:
+            self.forget()
         split = [x.split() for x in texts]
-        if len(self.known) > MEMO:
-            self.known = {}
-        self._learn({w for ws in split for w in filterfalse(self.known.__contains__, ws)})
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.numbers.waiting:
+            self._learn()
+        lengths = np.frombuffer(self.lengths, np.int64)[words] if len(words) else words
+        starts = np.frombuffer(self.starts, np.int64)[words] if len(words) else words
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(starts - ends + lengths, lengths) + np.arange(total)
+        ids = np.frombuffer(self.ids, np.uint32)[at] if total else np.empty(0, np.uint32)
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, np.diff(edges)
 
 
 @lru_cache(maxsize=1)
@@ -248,7 +289,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, te
     kind = slim.schema["doc_id"].dataType.simpleString()
     ordered = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered = ordered.select("doc_id", F.col("text").cast("binary").alias("text"))
-    end = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
     names_type = pa.list_(to_arrow_schema(slim.schema).field("doc_id").type)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +298,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, te
 
         def encoded():
             for batch in sliced(batches, "text"):
-                for name, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist())):
-                    yield name, np.frombuffer(ids + end, np.uint32)
+                ids, lengths = words.encode(batch["text"].to_pylist())
+                for name, own in zip(batch["doc_id"].to_pylist(), np.split(ids, np.cumsum(lengths)[:-1])):
+                    yield name, np.concatenate([own, end])
 
         for names, lengths, matrix in shards_of(encoded()):
             columns = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([matrix.size], pa.int64())]
