@@ -66,7 +66,7 @@ def user_iri(user: Column) -> Column:
 
 
 def user_name(user_iri_: Column) -> Column:
-    return F.when(F.startswith(user_iri_, F.lit(MAILTO)), F.substring(user_iri_, len(MAILTO) + 1, 1 << 20))
+    return F.when(F.startswith(user_iri_, F.lit(MAILTO)), F.substr(user_iri_, F.lit(len(MAILTO) + 1)))
 
 
 def append_path(base: Column, *segments: Column) -> Column:

@@ -16,24 +16,22 @@ def subclass_edges(quads: DataFrame) -> DataFrame:
     return stated.select(F.col("s").alias("sub"), F.col("o").alias("sup")).distinct()
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All ``(sub, sup)`` pairs reachable in one or more steps. Cycles are fine.
 
-    Path lengths double each round, so the number of rounds is logarithmic in the depth. Each round
-    is staged in the shared folder: plans stay short and lost executors do not restart it all.
+    Each round joins only the pairs found in the round before with all known ones, so path lengths
+    double and no pair of old paths meets twice. Rounds end when one finds nothing new; each is
+    staged in the shared folder, so plans stay short and lost executors do not restart it all.
     """
-    paths = stage(edges.distinct())
-    size = paths.count()
-    for _ in range(max_rounds):
-        longer = paths.select("sub", F.col("sup").alias("mid")).join(
-            paths.select(F.col("sub").alias("mid"), "sup"), "mid"
-        )
-        paths = stage(paths.unionByName(longer.select("sub", "sup")).distinct())
-        grown = paths.count()
-        if grown == size:
-            return paths
-        size = grown
-    raise ValueError(f"class hierarchy deeper than 2^{max_rounds}")
+    known = new = stage(edges.select("sub", "sup").distinct())
+    while True:
+        ahead = new.select("sub", F.col("sup").alias("mid")).join(known.select(F.col("sub").alias("mid"), "sup"), "mid")
+        behind = known.select("sub", F.col("sup").alias("mid")).join(new.select(F.col("sub").alias("mid"), "sup"), "mid")
+        found = ahead.unionByName(behind).select("sub", "sup").distinct()
+        new = stage(found.join(known, ["sub", "sup"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = stage(known.unionByName(new))
 
 
 def inferred_types(quads: DataFrame, closed: DataFrame | None = None, with_thing: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,64 +81,120 @@ def shared(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
 
-def join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Natural join on all shared variables, which must be bound on both sides."""
-    on = shared(left, right)
-    if not on:
+def _loose(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None) -> list[str]:
+    """Shared variables that a row may leave unbound: the named ones; by default those with a nullable column."""
+    if maybe_unbound is None:
+        return [v for v in shared(left, right) if left.schema[v].nullable or right.schema[v].nullable]
+    return [v for v in shared(left, right) if v in set(maybe_unbound)]
+
+
+def _by_bound(df: DataFrame, loose: list[str]) -> list[tuple[frozenset, DataFrame]]:
+    """``df`` in parts, one per choice of the ``loose`` variables bound in a row; the unbound are dropped."""
+    parts = []
+    for flags in product((True, False), repeat=len(loose)):
+        bound = frozenset(v for v, has in zip(loose, flags) if has)
+        part = df
+        for v in loose:
+            part = part.filter(F.col(v).isNotNull() if v in bound else F.col(v).isNull())
+        parts.append((bound, part.drop(*[v for v in loose if v not in bound])))
+    return parts
+
+
+def _cases(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None) -> list[tuple[DataFrame, list[tuple[DataFrame, list[str]]]]]:
+    """For each part of ``left``: the parts of ``right`` with the variables that both have bound.
+
+    An unbound variable is compatible with any value, so two rows match if they agree in those: within
+    two parts that is an equi join.
+    """
+    loose = _loose(left, right, maybe_unbound)
+    firm = [v for v in shared(left, right) if v not in loose]
+    rights = _by_bound(right, loose)
+    return [(part, [(r, [*firm, *sorted(has & bound)]) for has, r in rights]) for bound, part in _by_bound(left, loose)]
+
+
+def _same_columns(parts: list[DataFrame], columns: Sequence[str], like: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """The union of parts, with the columns that all of them leave unbound as NULL."""
+    whole = union(*parts)
+    kinds = {f.name: f.dataType for d in (other, like) if d is not None for f in d.schema.fields}
+    return whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+
+
+def join(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None = None) -> DataFrame:
+    """Natural join on all shared variables; one that is unbound on a side is compatible with any value.
+
+    Variables that may be unbound are named, or else read off the schema (a nullable column). Rows are
+    split by which of them are bound, and each pair of parts is an equi join; a pair that shares no bound
+    variable would be a product and is refused.
+    """
+    if not shared(left, right):
         raise ValueError("patterns share no variable; a product of patterns is not supported")
-    return left.join(right, on)
+    if not _loose(left, right, maybe_unbound):
+        return left.join(right, shared(left, right))
+    parts = [l_part.join(r_part, on or _need_shared()) for l_part, rights in _cases(left, right, maybe_unbound) for r_part, on in rights]
+    return _same_columns(parts, [*left.columns, *[c for c in right.columns if c not in left.columns]], left, right)
 
 
 def bgp(*parts: DataFrame) -> DataFrame:
     return reduce(join, parts)
 
 
-def optional(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] = ()) -> DataFrame:
+def optional(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None = None) -> DataFrame:
     """Keep all left rows; right variables are unbound where nothing matches.
 
-    ``maybe_unbound`` names shared variables that may be unbound on either side; an unbound one is
-    compatible with any value and takes it. That is not an equi join, so rows are split by which
-    side has a value, and each part is an equi join on the variables bound in it.
+    Shared variables that may be unbound, any number of them, are handled as in :func:`join`.
     """
-    on = shared(left, right)
-    loose = [v for v in maybe_unbound if v in on]
-    if not loose:
-        return left.join(right, on, "left") if on else _need_shared()
-    if len(loose) > 1:
-        raise ValueError("at most one shared variable may be unbound")
-    v = loose[0]
-    firm = [c for c in on if c != v] or _need_shared()
-    columns = [*left.columns, *[c for c in right.columns if c not in left.columns]]
-    l_has, l_none = left.filter(F.col(v).isNotNull()), left.filter(F.col(v).isNull()).drop(v)
-    r_has, r_none = right.filter(F.col(v).isNotNull()), right.filter(F.col(v).isNull()).drop(v)
-    matches = [
-        l_has.join(r_has, on),
-        l_has.join(r_none, firm),
-        l_none.join(right, firm),
-    ]
-    alone = [
-        l_has.join(r_has, on, "left_anti").join(r_none, firm, "left_anti"),
-        l_none.join(right, firm, "left_anti"),
-    ]
-    return union(*matches, *alone).select(*columns)
+    on = shared(left, right) or _need_shared()
+    if not _loose(left, right, maybe_unbound):
+        return left.join(right, on, "left")
+    return union(join(left, right, maybe_unbound), not_exists(left, right, maybe_unbound=maybe_unbound))
 
 
 def _need_shared():
     raise ValueError("an optional pattern must share a bound variable")
 
 
-def exists(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, shared(left, right) or _need_shared(), "left_semi")
-
-
-def not_exists(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
-    return left.join(right, list(on) if on else shared(left, right) or _need_shared(), "left_anti")
-
-
-def minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Anti join on shared variables; with none of them shared, nothing is removed."""
+def exists(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None = None) -> DataFrame:
+    """Left rows with a compatible right row, each as often as it stands on the left."""
+    on = shared(left, right) or _need_shared()
+    if not _loose(left, right, maybe_unbound):
+        return left.join(right, on, "left_semi")
+    parts = []
+    for rest, rights in _cases(left, right, maybe_unbound):
+        for r_part, keys in rights:
+            parts.append(rest.join(r_part, keys or _need_shared(), "left_semi"))
+            rest = rest.join(r_part, keys, "left_anti")
+    return _same_columns(parts, left.columns, left)
+
+
+def not_exists(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None, maybe_unbound: Iterable[str] | None = None) -> DataFrame:
+    """Left rows without a compatible right row; ``on`` limits which variables count as shared."""
+    if on:
+        right = right.select(*on)
+    keys = shared(left, right) or _need_shared()
+    if not _loose(left, right, maybe_unbound):
+        return left.join(right, keys, "left_anti")
+    parts = []
+    for rest, rights in _cases(left, right, maybe_unbound):
+        for r_part, both in rights:
+            rest = rest.join(r_part, both or _need_shared(), "left_anti")
+        parts.append(rest)
+    return _same_columns(parts, left.columns, left)
+
+
+def minus(left: DataFrame, right: DataFrame, maybe_unbound: Iterable[str] | None = None) -> DataFrame:
+    """Left rows without a compatible right row that has a bound variable in common.
+
+    With no variable shared, nothing is removed.
+    """
     on = shared(left, right)
-    return left.join(right, on, "left_anti") if on else left
+    if not on or not _loose(left, right, maybe_unbound):
+        return left.join(right, on, "left_anti") if on else left
+    parts = []
+    for rest, rights in _cases(left, right, maybe_unbound):
+        for r_part, both in rights:
+            rest = rest.join(r_part, both, "left_anti") if both else rest
+        parts.append(rest)
+    return _same_columns(parts, left.columns, left)
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -147,7 +204,7 @@ def union(*parts: DataFrame) -> DataFrame:
 
 def values(spark: SparkSession, name: str, terms: Sequence[Constant]) -> DataFrame:
     """Inline data for one variable; no terms means no rows."""
-    schema = T.StructType([T.StructField(name, TERM)])
+    schema = T.StructType([T.StructField(name, TERM, False)])
     names = TERM.fieldNames()
     return local_table(spark, [(dict(zip(names, t)),) for t in terms], schema)
 

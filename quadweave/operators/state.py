@@ -166,9 +166,10 @@ def changes_map(changes: DataFrame) -> DataFrame:
     )
 
 
-def bounded_counts(quads: DataFrame, most: int) -> DataFrame:
-    """Statements per graph, reported as ``most + 1`` beyond the bound."""
-    return quads.groupBy("g").agg(F.least(F.count("*"), F.lit(most + 1)).alias("size"))
+def bounded_counts(quads: DataFrame, most: int | None = None) -> DataFrame:
+    """Statements per graph, reported as ``most + 1`` beyond the bound if there is one."""
+    size = F.count("*") if most is None else F.least(F.count("*"), F.lit(most + 1))
+    return quads.groupBy("g").agg(size.alias("size"))
 
 
 def graph_size(quads: DataFrame, graph: str, most: int) -> int:

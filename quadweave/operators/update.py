@@ -1,12 +1,12 @@
 """Ordered update batches: rows ``(seq, op, silent, quad)`` with op insert, delete or drop.
 
-A batch is at most ``max_size`` quads and drops, checked before anything is written, so the batch
-itself is small; only the graphs it touches may be large, and those are never shuffled.
+A batch may be of any size. A caller that wants small ones gives ``max_size``: larger batches, and
+batches that would clone or drop larger graphs, are then refused before anything is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,8 @@ from quadweave.operators import lookup, rewrite, state, times, writes
 from quadweave.operators.state import GraphNotFound, ProtectedGraph
 from quadweave.schema import GRAPH_REF_POSITIONS, QUAD_COLS, QUADS, Snapshot, Vocabulary, struct
 
-MAX_UPDATE_SIZE = 5000  # fixed value: production limit
+#: Fixed value: the limit of a production service. It holds only where a caller asks for it.
+MAX_UPDATE_SIZE = 5000
 UPDATE_OPS = T.StructType(struct("seq INT, op STRING, silent BOOLEAN").fields + QUADS.fields)
 KINDS = ["insert", "delete", "drop"]
 
@@ -32,17 +33,17 @@ class CannotCopy(ValueError):
     pass
 
 
-def problems(ops: DataFrame, vocab: Vocabulary, max_size: int = MAX_UPDATE_SIZE) -> DataFrame:
+def problems(ops: DataFrame, vocab: Vocabulary, max_size: int | None = None) -> DataFrame:
     """One row of the batch's totals and violations; an insert or delete row is one quad, a drop counts one."""
     return ops.agg(
         F.count("*").cast("bigint").alias("size"),
         F.count_if(is_protected(F.col("g"), vocab)).alias("protected"),
         F.count_if(~F.col("op").isin(KINDS)).alias("unprocessable"),
-        (F.count("*") > max_size).alias("too_large"),
+        (F.lit(False) if max_size is None else F.count("*") > max_size).alias("too_large"),
     )
 
 
-def validate(ops: DataFrame, vocab: Vocabulary, max_size: int = MAX_UPDATE_SIZE) -> None:
+def validate(ops: DataFrame, vocab: Vocabulary, max_size: int | None = None) -> None:
     found = problems(ops, vocab, max_size).first()
     if found.protected:
         raise ProtectedGraph("protected graphs in update")
@@ -73,7 +74,7 @@ def graph_meta(
     draft: DataFrame,
     managed_graphs: DataFrame,
     draft_graphs: DataFrame,
-    most: int = MAX_UPDATE_SIZE,
+    most: int | None = None,
 ) -> DataFrame:
     """State and bounded sizes of ``graphs_(lg)``; drafts in other draftsets do not count."""
     mine = draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg")
@@ -101,15 +102,13 @@ def graph_meta(
 
 def final_rows(ops: DataFrame) -> DataFrame:
     """Last word on each quad: rows after the graph's last drop, the latest operation winning."""
-    last_drop = F.max(F.when(F.col("op") == "drop", F.col("seq"))).over(Window.partitionBy("g"))
-    live_rows = (
-        ops.withColumn("_drop", last_drop)
-        .filter((F.col("op") != "drop") & (F.col("_drop").isNull() | (F.col("seq") > F.col("_drop"))))
-    )
+    drops = ops.filter("op = 'drop'").groupBy(F.col("g").alias("_g")).agg(F.max("seq").alias("_drop"))
+    after = F.col("_drop").isNull() | (F.col("seq") > F.col("_drop"))
+    live_rows = ops.filter("op != 'drop'").join(drops, F.col("g") == F.col("_g"), "left").filter(after)
     return live_rows.groupBy(*QUAD_COLS).agg(F.max_by("op", "seq").alias("op"))
 
 
-def plan(snap: Snapshot, draftset: str, ops: DataFrame, max_size: int = MAX_UPDATE_SIZE) -> DataFrame:
+def plan(snap: Snapshot, draftset: str, ops: DataFrame, max_size: int | None = None) -> DataFrame:
     """What each affected graph needs first: touch, clone, empty draft, new draft, or nothing.
 
     ``error`` names what stops the batch: a live graph too large to clone, a draft too large to
@@ -129,9 +128,10 @@ def plan(snap: Snapshot, draftset: str, ops: DataFrame, max_size: int = MAX_UPDA
         .when(F.col("first_data").isNotNull(), "new_draft")
         .otherwise("nothing")
     )
+    beyond = lambda size: F.lit(False) if max_size is None else F.col(size) > max_size
     error = (
-        F.when((F.col("state") == "live") & data_first & (F.col("live_size") > max_size), "clone_too_large")
-        .when((F.col("state") == "draft") & (F.col("drops") > 0) & (F.col("draft_size") > max_size), "drop_too_large")
+        F.when((F.col("state") == "live") & data_first & beyond("live_size"), "clone_too_large")
+        .when((F.col("state") == "draft") & (F.col("drops") > 0) & beyond("draft_size"), "drop_too_large")
         .when(missing, "not_found")
     )
     return joined.select(
@@ -140,13 +140,12 @@ def plan(snap: Snapshot, draftset: str, ops: DataFrame, max_size: int = MAX_UPDA
 
 
 def update(
-    snap: Snapshot, draftset: str, ops: DataFrame, now, vocab: Vocabulary, max_size: int = MAX_UPDATE_SIZE
+    snap: Snapshot, draftset: str, ops: DataFrame, now, vocab: Vocabulary, max_size: int | None = None
 ) -> Snapshot:
     """Apply an ordered batch of insert, delete and drop rows to a draftset."""
     ops = lookup.once(ops if ops.columns == UPDATE_OPS.fieldNames() else ops.select(*UPDATE_OPS.fieldNames()))
     validate(ops, vocab, max_size)
     planned = lookup.local(plan(snap, draftset, ops, max_size))
-    # At most max_size graphs can be named by a batch of max_size rows.
     failed = planned.filter(F.col("error").isNotNull()).orderBy("lg").select("lg", "error").first()
     if failed:
         kind = GraphNotFound if failed.error == "not_found" else CannotCopy

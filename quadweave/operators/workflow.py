@@ -104,7 +104,7 @@ def permitted_operations(user: Column, permissions: Column, vocab: Vocabulary) -
     prefix = vocab.permission_prefix
     held = F.transform(
         F.filter(permissions, lambda p: p.startswith(prefix)),
-        lambda p: F.substring(p, len(prefix) + 1, 1 << 20),
+        lambda p: F.substr(p, F.lit(len(prefix) + 1)),
     )
     nothing = F.array().cast("array<string>")
     return (

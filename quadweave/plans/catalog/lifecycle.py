@@ -38,20 +38,20 @@ _LIVE = f"SELECT {_COLS} FROM live_q"
 
 # Quads of one customer attribute each, spread over drafted, emptied, live, new and unknown graphs.
 _IN_SQL = f"""
-  SELECT 'http://example.com/graph/'||(c_custkey % 20) AS g, 'http://example.com/customer/'||c_custkey AS s, 'iri' AS s_kind, 'http://example.com/p/name' AS p,
-    c_name AS o, 'literal' AS o_kind, {_STRING} AS o_dt, '' AS o_lang, c_custkey % 20 AS home FROM customer
-  UNION ALL SELECT 'http://example.com/graph/'||(c_custkey % 20), 'http://example.com/customer/'||c_custkey, 'iri', 'http://example.com/p/seeAlso',
-    'http://example.com/graph/'||((c_custkey * 7) % 20), 'iri', '', '', c_custkey % 20 FROM customer"""
+  SELECT 'http://example.com/graph/'||([0,4,6,16,18])[c_custkey % 5 + 1] AS g, 'http://example.com/customer/'||c_custkey AS s, 'iri' AS s_kind, 'http://example.com/p/name' AS p,
+    c_name AS o, 'literal' AS o_kind, {_STRING} AS o_dt, '' AS o_lang FROM customer
+  UNION ALL SELECT 'http://example.com/graph/'||([0,4,6,16,18])[c_custkey % 5 + 1], 'http://example.com/customer/'||c_custkey, 'iri', 'http://example.com/p/seeAlso',
+    'http://example.com/graph/'||((c_custkey * 7) % 20), 'iri', '', '' FROM customer"""
 _IN_HOMES = [0, 4, 6, 16, 18]
-_IN = f"SELECT {_COLS} FROM ({_IN_SQL}) WHERE home IN (0, 4, 6, 16, 18)"
+_IN = f"SELECT {_COLS} FROM ({_IN_SQL})"
 
 
 def customer_quads(spark, sf_dir):
     customer = fx.read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return from_table(
-        customer.filter((k % 20).isin(_IN_HOMES)),
-        fx.graph_iri(k % 20),
+        customer,
+        fx.graph_iri(F.element_at(F.array(*map(F.lit, _IN_HOMES)), (k % len(_IN_HOMES) + 1).cast("int"))),
         F.concat(F.lit(fx.CUSTOMER), k.cast("string")),
         {P + "name": T.literal(F.col("c_name")), P + "seeAlso": T.iri(fx.graph_iri((k * 7) % 20))},
     )

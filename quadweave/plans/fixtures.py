@@ -64,11 +64,12 @@ def order_quads(orders: DataFrame) -> DataFrame:
 
 
 def line_quads(lineitem: DataFrame) -> DataFrame:
-    """Additions of the first draftset, in four published and two new graphs."""
-    home = F.col("l_partkey") % 18
+    """Additions of the first draftset: every line item, in four published and two new graphs."""
+    homes = DS1_CHANGED + DS1_NEW
+    home = F.element_at(F.array(*map(F.lit, homes)), (F.col("l_partkey") % len(homes) + 1).cast("int"))
     see = F.when(F.col("l_orderkey") % 20 == 0, graph_iri(F.expr("(l_partkey div 18) % 18")))
     return from_table(
-        lineitem.filter(home.isin(DS1_CHANGED + DS1_NEW)),
+        lineitem,
         graph_iri(home),
         F.concat(F.lit(LINE), _text(F.col("l_orderkey")), F.lit("-"), _text(F.col("l_linenumber"))),
         {
@@ -167,14 +168,13 @@ def derived_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
 
 
 def event_times(events: DataFrame, rows: dict[str, DataFrame]) -> DataFrame:
-    """Published times per graph from all events; draft times from clicks only, a day later."""
+    """Published times per graph from all events; draft times from all, by other graphs, a day later."""
     ts = F.col("ts").cast("timestamp")
     live = events.groupBy(graph_iri(F.col("user_id") % 16).alias("graph")).agg(F.max(ts).alias("modified"))
     whole = events.agg(F.max(ts).alias("modified")).select(F.lit(VOCAB.modified_graph).alias("graph"), "modified")
-    clicks = events.filter(F.col("event_type") == "click")
     later = F.max(ts) + F.expr("INTERVAL 1 DAY")
-    per_graph = clicks.groupBy(graph_iri(F.col("user_id") % 18).alias("lg")).agg(later.alias("modified"))
-    own = clicks.agg(later.alias("modified")).select(F.lit(VOCAB.modified_graph).alias("lg"), "modified")
+    per_graph = events.groupBy(graph_iri(F.col("user_id") % 18).alias("lg")).agg(later.alias("modified"))
+    own = events.agg(later.alias("modified")).select(F.lit(VOCAB.modified_graph).alias("lg"), "modified")
     parts = [live.unionByName(whole).select(F.lit(LIVE_SCOPE).alias("scope"), "graph", "modified")]
     for ds, pairs in rows.items():
         named = per_graph.unionByName(own).join(F.broadcast(pairs), "lg")
@@ -183,7 +183,8 @@ def event_times(events: DataFrame, rows: dict[str, DataFrame]) -> DataFrame:
 
 
 # A registry whose bookkeeping tables grow with the data: a managed graph per part, a draftset per
-# supplier, a draft graph per (part, supplier) pair of returned line items, a user per customer.
+# supplier, a draft graph per (part, supplier) pair of line items (empty if none is finished), a user
+# per customer.
 
 PART_GRAPH = EX + "graph/part/"
 
@@ -204,9 +205,8 @@ def derived_registry(spark: SparkSession, sf_dir: str) -> Snapshot:
         public.alias("is_public"),
         F.when(public, F.timestamp_add("MINUTE", (key % 100_000).cast("int"), origin)).alias("issued"),
     )
-    returned = lineitem.filter(F.col("l_returnflag") == "R")
     drafts = (
-        returned.select("l_partkey", "l_suppkey")
+        lineitem.select("l_partkey", "l_suppkey")
         .distinct()
         .select(
             F.concat(F.lit("ds-"), _text(F.col("l_suppkey"))).alias("draftset"),
@@ -214,7 +214,7 @@ def derived_registry(spark: SparkSession, sf_dir: str) -> Snapshot:
         )
     )
     drafts = drafts.select(draft_graph_iri(F.col("draftset"), F.col("lg"), VOCAB).alias("dg"), "lg", "draftset", origin.alias("created"))
-    filled = returned.filter(F.col("l_linestatus") == "F")
+    filled = lineitem.filter(F.col("l_linestatus") == "F")
     home = draft_graph_iri(
         F.concat(F.lit("ds-"), _text(F.col("l_suppkey"))), F.concat(F.lit(PART_GRAPH), _text(F.col("l_partkey"))), VOCAB
     )
@@ -289,13 +289,13 @@ WITH live_q AS (
 ),
 line_q AS (
   SELECT DISTINCT * FROM (
-  SELECT 'http://example.com/graph/'||(l_partkey % 18) AS g, 'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'iri' AS s_kind,
-         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{XSD}date' AS o_dt, '' AS o_lang, l_partkey % 18 AS home FROM lineitem
-  UNION ALL SELECT 'http://example.com/graph/'||(l_partkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
-         'http://example.com/p/partOf', 'http://example.com/order/'||l_orderkey, 'iri', '', '', l_partkey % 18 FROM lineitem
-  UNION ALL SELECT 'http://example.com/graph/'||(l_partkey % 18), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
-         'http://example.com/p/seeAlso', 'http://example.com/graph/'||((l_partkey // 18) % 18), 'iri', '', '', l_partkey % 18 FROM lineitem WHERE l_orderkey % 20 = 0
-  ) WHERE home IN (0,1,2,3,16,17)
+  SELECT 'http://example.com/graph/'||(([0,1,2,3,16,17])[l_partkey % 6 + 1]) AS g, 'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'iri' AS s_kind,
+         'http://example.com/p/shipDate' AS p, strftime(l_shipdate, '%Y-%m-%d') AS o, 'literal' AS o_kind, '{XSD}date' AS o_dt, '' AS o_lang FROM lineitem
+  UNION ALL SELECT 'http://example.com/graph/'||(([0,1,2,3,16,17])[l_partkey % 6 + 1]), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
+         'http://example.com/p/partOf', 'http://example.com/order/'||l_orderkey, 'iri', '', '' FROM lineitem
+  UNION ALL SELECT 'http://example.com/graph/'||(([0,1,2,3,16,17])[l_partkey % 6 + 1]), 'http://example.com/line/'||l_orderkey||'-'||l_linenumber, 'iri',
+         'http://example.com/p/seeAlso', 'http://example.com/graph/'||((l_partkey // 18) % 18), 'iri', '', '' FROM lineitem WHERE l_orderkey % 20 = 0
+  )
 ),
 numbers AS (SELECT unnest(range(18)) AS n),
 modg AS (SELECT 'http://example.org/quadweave/graphs/graph-modified-times' AS lg),
@@ -334,8 +334,8 @@ times AS (
   SELECT 'live' AS scope, 'http://example.com/graph/'||(user_id % 16) AS graph, max(ts) AS modified FROM events GROUP BY ALL
   UNION ALL SELECT 'live', (SELECT lg FROM modg), max(ts) FROM events
   UNION ALL SELECT d.draftset, d.dg, t.modified FROM dgs d JOIN (
-      SELECT 'http://example.com/graph/'||(user_id % 18) AS lg, max(ts) + INTERVAL 1 DAY AS modified FROM events WHERE event_type = 'click' GROUP BY ALL
-      UNION ALL SELECT (SELECT lg FROM modg), max(ts) + INTERVAL 1 DAY FROM events WHERE event_type = 'click') t ON t.lg = d.lg
+      SELECT 'http://example.com/graph/'||(user_id % 18) AS lg, max(ts) + INTERVAL 1 DAY AS modified FROM events GROUP BY ALL
+      UNION ALL SELECT (SELECT lg FROM modg), max(ts) + INTERVAL 1 DAY FROM events) t ON t.lg = d.lg
 ),
 draftsets AS (
   SELECT 'ds-1' AS draftset, 'http://example.org/quadweave/version/'||md5('ds-1') AS version, 'ann' AS owner
@@ -348,12 +348,12 @@ part_graphs AS (
 part_drafts AS (
   SELECT 'http://example.org/quadweave/graphs/draft/'||md5(draftset||'|'||lg) AS dg, lg, draftset, filled FROM (
     SELECT 'ds-'||l_suppkey AS draftset, 'http://example.com/graph/part/'||l_partkey AS lg, bool_or(l_linestatus = 'F') AS filled
-    FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+    FROM lineitem GROUP BY ALL)
 ),
 part_q AS (
   SELECT DISTINCT 'http://example.org/quadweave/graphs/draft/'||md5('ds-'||l_suppkey||'|http://example.com/graph/part/'||l_partkey) AS g,
     'http://example.com/line/'||l_orderkey||'-'||l_linenumber AS s, 'http://example.com/p/quantity' AS p, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS o
-  FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'
+  FROM lineitem WHERE l_linestatus = 'F'
 ),
 part_sets AS (
   SELECT 'ds-'||s_suppkey AS draftset, s_suppkey AS k, TIMESTAMP '2020-01-01' + to_hours(s_suppkey % 10000) AS modified,

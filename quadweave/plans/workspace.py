@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.functions.scalars import draft_graph_iri
-from quadweave.operators import lookup, publish, times, update, workflow, writes
+from quadweave.operators import lookup, publish, state, times, update, workflow, writes
 from quadweave.plans import views
 from quadweave.schema import (
     QUAD_COLS,
@@ -30,12 +30,13 @@ from quadweave.schema import (
     local_table,
     struct,
 )
-from quadweave.session import shared_folder
+from quadweave.session import hadoop_path, shared_folder
 from quadweave.sources.quads import assign_graph
 
 QUAD_TABLES = ("live", "draft")
 MANIFEST = struct("table STRING, bucket INT, path STRING")
 NO_BUCKET = -1
+FIRST_BUCKETS, FEWEST_BUCKETS = 256, 16
 LIVE = "live"
 
 
@@ -43,8 +44,36 @@ def utc_now() -> str:
     return dt.datetime.now(dt.UTC).replace(tzinfo=None).isoformat(sep=" ")
 
 
+#: Quads in a bucket that a table written whole aims at.
+BUCKET_ROWS = 4_000_000
+
+
+class StaleCommit(RuntimeError):
+    """Another commit has changed what this one was made from; read again and repeat."""
+
+
+class DraftsetNotFound(LookupError):
+    pass
+
+
+class DraftsetExists(ValueError):
+    pass
+
+
+class NotOwner(PermissionError):
+    pass
+
+
 class Workspace:
-    """Drafts over published quads in one folder."""
+    """Drafts over published quads in one folder.
+
+    A commit is one file, created only if it is not there, that names the manifest of all tables; so
+    of two writers that aim at one number exactly one gets it. The other joins its change to the new
+    commit if that left its tables and buckets alone, and fails otherwise: no write is lost.
+
+    ``buckets`` is the number of buckets of a quads table that starts empty; a table that is written
+    whole, as by :meth:`load` and :meth:`rebucket`, gets as many as its rows ask for.
+    """
 
     def __init__(
         self,
@@ -52,7 +81,7 @@ class Workspace:
         root: str | None = None,
         vocab: Vocabulary | None = None,
         clock=utc_now,
-        buckets: int = 256,
+        buckets: int | None = None,
     ):
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/workspace-{uuid.uuid4()}"
@@ -62,53 +91,63 @@ class Workspace:
 
     # Storage
 
-    def _bucket_of(self, graph):
-        return F.pmod(F.xxhash64(graph), F.lit(self.buckets)).cast("int")
+    def _bucket_of(self, graph, buckets: int):
+        return F.pmod(F.xxhash64(graph), F.lit(buckets)).cast("int")
 
     def commits(self) -> list[int]:
-        try:
-            rows = self.spark.read.schema("commit INT").parquet(f"{self.root}/log").select("commit").collect()
-        except Exception as error:  # the folder does not exist before the first commit
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        return sorted(r.commit for r in rows)
+        """Numbers of the commits kept, from the names of their files."""
+        folder, files = hadoop_path(self.spark, f"{self.root}/log")
+        if not files.exists(folder):
+            return []
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def latest(self) -> int:
+        """Number of the newest commit, 0 without one."""
+        return max(self.commits(), default=0)
 
-    def _manifest(self) -> dict[str, dict[int, str]]:
-        """Folder of each bucket of each table: at most two entries per bucket and one per small table."""
-        done = self.commits()
-        if not done:
+    def _manifest(self, commit: int | None = None) -> dict[str, dict[int, str]]:
+        """Folder of each bucket of each table: at most two entries per bucket and one per small table.
+
+        A quads table's entry at ``NO_BUCKET`` is its number of buckets.
+        """
+        commit = self.latest() if commit is None else commit
+        if not commit:
             return {}
+        folder = self.spark.read.text(f"{self.root}/log/{commit}").first().value
         found: dict[str, dict[int, str]] = {}
-        for r in self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{done[-1]}").collect():
+        for r in self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{folder}").collect():
             found.setdefault(r.table, {})[r.bucket] = r.path
         return found
 
-    def _buckets_for(self, graphs: DataFrame | None) -> set[int] | None:
+    def _bucket_count(self, manifest, table: str) -> int:
+        return int(manifest.get(table, {}).get(NO_BUCKET) or self.buckets or FIRST_BUCKETS)
+
+    def _buckets_for(self, graphs: DataFrame | None, buckets: int) -> set[int] | None:
         if graphs is None:
             return None
-        rows = graphs.select(self._bucket_of(F.col(graphs.columns[0])).alias("b")).distinct()
+        rows = graphs.select(self._bucket_of(F.col(graphs.columns[0]), buckets).alias("b")).distinct()
         return {r.b for r in rows.collect()}  # at most ``buckets`` values
 
-    def _read_quads(self, manifest, table: str, buckets: set[int] | None) -> DataFrame:
-        paths = [p for b, p in manifest.get(table, {}).items() if buckets is None or b in buckets]
+    def _read_quads(self, manifest, table: str, graphs: DataFrame | None) -> DataFrame:
+        found = {b: p for b, p in manifest.get(table, {}).items() if b != NO_BUCKET}
+        wanted = self._buckets_for(graphs, self._bucket_count(manifest, table))
+        paths = [p for b, p in found.items() if wanted is None or b in wanted]
         if not paths:
             return local_table(self.spark, [], QUADS)
         return self.spark.read.schema(QUADS).parquet(*paths)
 
-    def snapshot(self, live: DataFrame | None = None, draft: DataFrame | None = None) -> Snapshot:
-        """Tables of the latest commit, the quads limited to the buckets of the given graphs."""
-        manifest = self._manifest()
+    def snapshot(self, live: DataFrame | None = None, draft: DataFrame | None = None, at: int | None = None) -> Snapshot:
+        """Tables of a commit (the latest), the quads limited to the buckets of the given graphs."""
+        commit = self.latest() if at is None else at
+        manifest = self._manifest(commit)
         if not manifest:
-            return empty_snapshot(self.spark)
+            return empty_snapshot(self.spark).at(commit)
         tables = {}
         for name, schema in TABLES.items():
             if name not in QUAD_TABLES:
                 tables[name] = self.spark.read.schema(schema).parquet(manifest[name][NO_BUCKET])
         return Snapshot(
-            live=self._read_quads(manifest, "live", self._buckets_for(live)),
-            draft=self._read_quads(manifest, "draft", self._buckets_for(draft)),
-            **tables,
+            live=self._read_quads(manifest, "live", live), draft=self._read_quads(manifest, "draft", draft), **tables, commit=commit
         )
 
     def commit(
@@ -117,49 +156,115 @@ class Workspace:
         after: Snapshot,
         live: DataFrame | None = None,
         draft: DataFrame | None = None,
-    ) -> None:
-        """Write what changed. ``live`` and ``draft`` name the graphs whose buckets were read."""
-        manifest = self._manifest()
-        done = self.commits()
-        number = done[-1] + 1 if done else 1
-        base = f"{self.root}/data/{number}-{uuid.uuid4()}"
-        first = not manifest
-        changed = [
-            n for n in TABLES if before is None or first or getattr(after, n) is not getattr(before, n)
-        ]
-
-        def write(name: str) -> dict[int, str]:
+    ) -> int:
+        """Write what changed since ``before`` was read. ``live`` and ``draft`` name the graphs whose buckets were read.
+
+        Raises :class:`StaleCommit` if a later commit changed one of the tables or buckets written here.
+        """
+        number = self.latest() if before is None or before.commit is None else before.commit
+        manifest = self._manifest(number)
+        base = f"{self.root}/data/{number + 1}-{uuid.uuid4()}"
+        changed = [n for n in TABLES if before is None or not manifest or getattr(after, n) is not getattr(before, n)]
+
+        def write(name: str) -> tuple[set[int] | None, dict[int, str]]:
             table, path = getattr(after, name), f"{base}/{name}"
             if name not in QUAD_TABLES:
                 table.select(*TABLES[name].fieldNames()).write.parquet(path)
-                return {NO_BUCKET: path}
-            touched = self._buckets_for(live if name == "live" else draft)
-            kept = {b: p for b, p in manifest.get(name, {}).items() if touched is not None and b not in touched}
-            return {**kept, **self._write_quads(table, path)}
+                return None, {NO_BUCKET: path}
+            graphs = live if name == "live" else draft
+            buckets = self._bucket_count(manifest, name) if graphs is not None or self.buckets else self._fitting(table)
+            return self._buckets_for(graphs, buckets), self._write_quads(table, path, buckets) | {NO_BUCKET: str(buckets)}
 
         # The tables are independent jobs; the small ones fill the cores the large ones leave idle.
         with ThreadPoolExecutor(max_workers=4) as pool:
             written = dict(zip(changed, pool.map(write, changed)))
-        manifest.update(written)
-        rows = [(t, b, p) for t, buckets in manifest.items() for b, p in buckets.items()]
-        # Both writes refuse to replace an existing folder, so of two racing writers one fails.
-        local_table(self.spark, rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/{number}")
-        local_table(self.spark, [(number,)], struct("commit INT")).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/log"
-        )
+        while True:
+            entries = {n: dict(b) for n, b in manifest.items()}
+            for name, (touched, paths) in written.items():
+                kept = {b: p for b, p in entries.get(name, {}).items() if touched is not None and b not in touched}
+                entries[name] = {**kept, **paths}
+            rows = [(t, b, p) for t, buckets in entries.items() for b, p in buckets.items()]
+            folder = f"{number + 1}-{uuid.uuid4()}"
+            local_table(self.spark, rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/{folder}")
+            if self._claim(number + 1, folder):
+                return number + 1
+            newest = self.latest()
+            theirs = self._manifest(newest)
+            for name, (touched, _) in written.items():
+                was, now = manifest.get(name, {}), theirs.get(name, {})
+                differ = {b for b in was.keys() | now.keys() if was.get(b) != now.get(b)}
+                if differ and (touched is None or NO_BUCKET in differ or differ & touched):
+                    raise StaleCommit(f"commit {newest} changed {name}, which was read at commit {number}")
+            number, manifest = newest, theirs
+
+    def _claim(self, number: int, folder: str) -> bool:
+        """Make the file of a commit if there is none: the one step that decides between writers."""
+        path, files = hadoop_path(self.spark, f"{self.root}/log/{number}")
+        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/log/.{folder}")
+        out = files.create(draft, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        only_new = self.spark.sparkContext._gateway.new_array(options, 1)
+        only_new[0] = options.NONE
+        try:
+            context.rename(draft, path, only_new)
+        except Exception as error:
+            files.delete(draft, False)
+            if "FileAlreadyExists" in str(error) or files.exists(path):
+                return False
+            raise
+        return True
+
+    def _fitting(self, quads: DataFrame) -> int:
+        """Buckets, a power of two, for the rows of a table that is written whole."""
+        rows = quads.count()
+        return max(FEWEST_BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
 
-    def _write_quads(self, quads: DataFrame, path: str) -> dict[int, str]:
+    def _write_quads(self, quads: DataFrame, path: str, buckets: int) -> dict[int, str]:
         """Bucket folders, sorted inside for row-group pruning.
 
         Rebalancing lets AQE split the bucket of a huge graph into many files and merge small ones.
         """
-        placed = quads.select(*QUAD_COLS, self._bucket_of(F.col("g")).alias("bucket"))
+        placed = quads.select(*QUAD_COLS, self._bucket_of(F.col("g"), buckets).alias("bucket"))
         spread = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "g", "p", "s")
         spread.write.partitionBy("bucket").parquet(path)
         schema = T.StructType([*QUADS.fields, T.StructField("bucket", T.IntegerType())])
         names = self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()
         return {r.bucket: f"{path}/bucket={r.bucket}" for r in names}
 
+    def rebucket(self) -> None:
+        """Write the quads anew in as many buckets as their rows ask for."""
+        before = self.snapshot()
+        same = before.but(**{n: getattr(before, n).select(*QUAD_COLS) for n in QUAD_TABLES})
+        held, self.buckets = self.buckets, None
+        try:
+            self.commit(before, same)
+        finally:
+            self.buckets = held
+
+    def expire(self, keep: int = 1) -> int:
+        """Remove commits before the ``keep`` newest with all files that only they name.
+
+        Readers of a removed commit fail. Data of commits in the making is newer than the newest
+        commit, by its number, and is left alone. Returns the number of commits removed.
+        """
+        numbers = self.commits()
+        old, kept = numbers[:-keep], numbers[-keep:]
+        if not old:
+            return 0
+        named = {p for n in kept for b in self._manifest(n).values() for p in b.values()}
+        manifests = {n: self.spark.read.text(f"{self.root}/log/{n}").first().value for n in old}
+        dropped = {p for n in old for t in self._manifest(n).values() for b, p in t.items() if "/" in p} - named
+        for n in old:  # the log first: what is no longer named by a commit is no longer read
+            path, files = hadoop_path(self.spark, f"{self.root}/log/{n}")
+            files.delete(path, False)
+        for p in [*dropped, *[f"{self.root}/manifest/{m}" for m in manifests.values()]]:
+            path, files = hadoop_path(self.spark, p)
+            files.delete(path, True)
+        return len(old)
+
     def load(self, snapshot: Snapshot) -> Workspace:
         """Replace everything by a snapshot."""
         self.commit(None, snapshot)
@@ -170,7 +275,9 @@ class Workspace:
     def create_draftset(self, user: str, title: str | None = None, description: str | None = None, id: str | None = None):
         """Make a draftset owned by its creator; returns its id."""
         draftset = id or str(uuid.uuid4())
-        before = self.snapshot()
+        before = self.snapshot(live=self._none(), draft=self._none())
+        if state.draftset_exists(before.draftsets, draftset):
+            raise DraftsetExists(draftset)
         sets = workflow.create_draftset(before.draftsets, draftset, user, self.clock(), self.vocab, title, description)
         self.commit(before, before.but(draftsets=sets))
         return draftset
@@ -180,8 +287,17 @@ class Workspace:
     ) -> DataFrame:
         return workflow.listing(self.snapshot(), user, permissions, include, union_with_live, self.vocab)
 
-    def set_metadata(self, draftset: str, title: str | None = None, description: str | None = None) -> None:
+    def check(self, snap: Snapshot, draftset: str, user: str | None = None) -> None:
+        """Refuse a draftset that is not there, or of which ``user``, if given, is not the owner."""
+        found = snap.draftsets.filter(F.col("draftset") == draftset).select("owner").first()
+        if found is None:
+            raise DraftsetNotFound(draftset)
+        if user is not None and found.owner != user:
+            raise NotOwner(f"{user} does not own {draftset}")
+
+    def set_metadata(self, draftset: str, title: str | None = None, description: str | None = None, user: str | None = None) -> None:
         before = self.snapshot()
+        self.check(before, draftset, user)
         row = local_table(
             self.spark, [(draftset, title, description)], struct("draftset STRING, title STRING, description STRING")
         )
@@ -212,11 +328,12 @@ class Workspace:
             self.commit(before, after)
         return outcome
 
-    # Data. Each write reads only the buckets of the graphs it may change.
+    # Data. Each write reads only the buckets of the graphs it may change, all of them at one commit. It
+    # refuses an unknown draftset and, where a user is given, one that the user does not own.
 
-    def _drafts_of(self, draftset: str, more: DataFrame | None = None) -> DataFrame:
+    def _drafts_of(self, draftset: str, more: DataFrame | None = None, at: int | None = None) -> DataFrame:
         """Draft graph names a write to the draftset may change, ``more(lg)`` included."""
-        names = self.snapshot(live=self._none(), draft=self._none()).draft_graphs
+        names = self.snapshot(live=self._none(), draft=self._none(), at=at).draft_graphs
         names = names.filter(F.col("draftset") == draftset).select("lg")
         if more is not None:
             names = names.unionByName(more.select("lg"))
@@ -229,37 +346,39 @@ class Workspace:
     def _one(self, graph: str) -> DataFrame:
         return local_table(self.spark, [(graph,)], struct("lg STRING"))
 
-    def _write(self, draftset: str, graphs: DataFrame, change) -> None:
+    def _write(self, draftset: str, graphs: DataFrame, change, user: str | None) -> None:
+        at = self.latest()
+        self.check(self.snapshot(live=self._none(), draft=self._none(), at=at), draftset, user)
         graphs = lookup.local(graphs)
-        drafts = self._drafts_of(draftset, graphs)
-        before = self.snapshot(live=graphs, draft=drafts)
+        drafts = self._drafts_of(draftset, graphs, at)
+        before = self.snapshot(live=graphs, draft=drafts, at=at)
         after = change(before)
         if after is not before:
             self.commit(before, after, live=graphs, draft=drafts)
 
-    def append(self, draftset: str, quads: DataFrame, graph: str | None = None) -> None:
+    def append(self, draftset: str, quads: DataFrame, graph: str | None = None, user: str | None = None) -> None:
         quads = lookup.once(assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS))
         named = quads.select(F.col("g").alias("lg")).distinct()
-        self._write(draftset, named, lambda s: writes.append(s, draftset, quads, self.clock(), self.vocab))
+        self._write(draftset, named, lambda s: writes.append(s, draftset, quads, self.clock(), self.vocab), user)
 
-    def delete(self, draftset: str, quads: DataFrame, graph: str | None = None) -> None:
+    def delete(self, draftset: str, quads: DataFrame, graph: str | None = None, user: str | None = None) -> None:
         quads = lookup.once(assign_graph(quads, graph) if graph else quads.select(*QUAD_COLS))
         named = quads.select(F.col("g").alias("lg")).distinct()
-        self._write(draftset, named, lambda s: writes.delete(s, draftset, quads, self.clock(), self.vocab))
+        self._write(draftset, named, lambda s: writes.delete(s, draftset, quads, self.clock(), self.vocab), user)
 
-    def delete_graph(self, draftset: str, graph: str, silent: bool = False) -> None:
+    def delete_graph(self, draftset: str, graph: str, silent: bool = False, user: str | None = None) -> None:
         def change(s):
             return writes.delete_graph(s, draftset, graph, self.clock(), self.vocab, silent)
 
-        self._write(draftset, self._one(graph), change)
+        self._write(draftset, self._one(graph), change, user)
 
-    def copy_live_graph(self, draftset: str, graph: str) -> None:
+    def copy_live_graph(self, draftset: str, graph: str, user: str | None = None) -> None:
         def change(s):
             return writes.copy_live_graph(s, draftset, graph, self.clock(), self.vocab)
 
-        self._write(draftset, self._one(graph), change)
+        self._write(draftset, self._one(graph), change, user)
 
-    def revert_graph(self, draftset: str, graph: str) -> str:
+    def revert_graph(self, draftset: str, graph: str, user: str | None = None) -> str:
         outcome = []
 
         def change(s):
@@ -267,29 +386,33 @@ class Workspace:
             outcome.append(word)
             return after
 
-        self._write(draftset, self._one(graph), change)
+        self._write(draftset, self._one(graph), change, user)
         return outcome[0]
 
-    def update(self, draftset: str, ops: DataFrame, max_size: int = update.MAX_UPDATE_SIZE) -> None:
+    def update(self, draftset: str, ops: DataFrame, max_size: int | None = None, user: str | None = None) -> None:
         ops = lookup.once(ops.select(*update.UPDATE_OPS.fieldNames()))
         named = ops.select(F.col("g").alias("lg")).distinct()
 
         def change(s):
             return update.update(s, draftset, ops, self.clock(), self.vocab, max_size)
 
-        self._write(draftset, named, change)
+        self._write(draftset, named, change, user)
 
-    def delete_draftset(self, draftset: str) -> None:
-        drafts = self._drafts_of(draftset)
-        before = self.snapshot(live=self._none(), draft=drafts)
+    def delete_draftset(self, draftset: str, user: str | None = None) -> None:
+        at = self.latest()
+        drafts = self._drafts_of(draftset, at=at)
+        before = self.snapshot(live=self._none(), draft=drafts, at=at)
+        self.check(before, draftset, user)
         self.commit(before, writes.delete_draftset(before, draftset), draft=drafts)
 
-    def publish(self, draftset: str, now: str | None = None) -> None:
+    def publish(self, draftset: str, now: str | None = None, user: str | None = None) -> None:
         """Make the draftset live; visible to readers all at once with the new commit."""
-        state = self.snapshot(live=self._none(), draft=self._none())
-        graphs = lookup.local(writes.user_pairs(state, draftset, self.vocab).select("lg"))
-        drafts = self._drafts_of(draftset)
-        before = self.snapshot(live=graphs, draft=drafts)
+        at = self.latest()
+        tables = self.snapshot(live=self._none(), draft=self._none(), at=at)
+        self.check(tables, draftset, user)
+        graphs = lookup.local(writes.user_pairs(tables, draftset, self.vocab).select("lg"))
+        drafts = self._drafts_of(draftset, at=at)
+        before = self.snapshot(live=graphs, draft=drafts, at=at)
         endpoints = times.ensure_endpoint(before.endpoints, now or self.clock(), self.vocab)
         after = publish.publish(before.but(endpoints=endpoints), draftset, now or self.clock(), self.vocab)
         self.commit(before, after, live=graphs, draft=drafts)

@@ -118,10 +118,15 @@ class Snapshot:
     shares: DataFrame
     graph_modified: DataFrame
     endpoints: DataFrame
+    #: Number of the commit that the tables were read from, if they were read from a workspace.
+    commit: int | None = None
 
     def but(self, **tables: DataFrame) -> Snapshot:
         return replace(self, **tables)
 
+    def at(self, commit: int) -> Snapshot:
+        return replace(self, commit=commit)
+
     @property
     def spark(self) -> SparkSession:
         return self.live.sparkSession

@@ -20,6 +20,9 @@ SETTINGS = {
 }
 
 
+_STAGED: list[str] = []
+
+
 def build_session(app: str = "quadweave", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -46,8 +49,27 @@ def stage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: its lineage ends there.
 
     It is computed once, survives lost executors, and is read columnar. A checkpoint would compute
-    the last stage twice.
+    the last stage twice. The files stay until :func:`release` removes them.
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4()}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all that :func:`stage` has written since the last call; results not yet read from it are lost.
+
+    For the end of a unit of work whose results are written. Returns the number of folders.
+    """
+    paths = [_STAGED.pop() for _ in range(len(_STAGED))]
+    for path in paths:
+        folder, files = hadoop_path(spark, path)
+        files.delete(folder, True)
+    return len(paths)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, of whatever kind."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -52,11 +52,15 @@ def graph_plan(spark: SparkSession, statements: int, graphs: int, references: in
     weights = spark.range(1, graphs + 1).select(
         F.col("id").alias("graph_no"), (_number(seed, "size", F.col("id"), 1 << 16) + 1).alias("w")
     )
-    share = F.expr(f"w * {statements}L div sum(w) over ()")
+    # Products of counts pass the range of a long long before the counts do.
+    big = "decimal(38,0)"
+    share = F.expr(f"cast(cast(w as {big}) * cast({statements} as {big}) div sum(w) over () as bigint)")
     sized = weights.withColumn("size", share)
     left_over = F.lit(statements) - F.sum("size").over(everything)
     sized = sized.withColumn("size", F.col("size") + F.when(F.col("graph_no") == graphs, left_over).otherwise(0))
-    wanted = F.expr(f"(size * {references}L + {statements - 1}L) div {max(statements, 1)}L")
+    wanted = F.expr(
+        f"cast((cast(size as {big}) * cast({references} as {big}) + {max(statements - 1, 0)}) div cast({max(statements, 1)} as {big}) as bigint)"
+    )
     spread = (
         sized.withColumn("wanted", wanted)
         .withColumn("used", F.coalesce(F.sum("wanted").over(before), F.lit(0)))
@@ -80,7 +84,7 @@ def generate(
         "size",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(CHUNK).cast("bigint"))).alias("first"),
     )
-    partitions = max(1, min(statements // CHUNK + graphs, 1 << 15))
+    partitions = max(1, statements // CHUNK + graphs)
     rows = chunks.repartition(partitions, "graph_no", "first").select(
         "graph_no",
         "refs",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadweave.functions import terms as T
 from quadweave.schema import BNODE, IRI, LITERAL, QUAD_COLS, QUADS, RDF_LANG_STRING, XSD, local_table
+from quadweave.session import stage
 
 # N-Triples / N-Quads. Escapes are masked before matching, so a literal body is one character class
 # and texts of any length match without backtracking or recursion.
@@ -32,7 +33,7 @@ def _unicode(value: Column, marker: str, digits: int, charset: str) -> Column:
     decoded = F.transform(
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda x: F.concat(
-            F.decode(F.unhex(F.substring(x, 1, digits)), charset), F.substring(x, digits + 1, 1 << 30)
+            F.decode(F.unhex(F.substring(x, 1, digits)), charset), F.substr(x, F.lit(digits + 1))
         ),
     )
     joined = F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
@@ -85,13 +86,15 @@ def parse_lines(
     rows = (
         lines.filter(~F.col(line).rlike(r"(?s)^\s*(#.*)?\z"))
         .select(F.col(line).alias("line"), text.alias("_masked"), doc.alias("_doc"))
-        .select("line", "_doc", F.col("_masked").rlike(_BAD_ESCAPE).alias("_bad"), F.explode(F.array(split)).alias("f"))
+        .select("line", "_doc", F.explode(F.array(split)).alias("f"))
     )
     if keep is not None:
         rows = keep(rows)
     field = {name: F.get(F.col("f"), F.lit(i)) for i, name in enumerate(_FIELDS)}
     matched = F.size("f") == len(_FIELDS)
-    reason = F.when(~matched, "not a statement").when(F.col("_bad"), "bad escape")
+    # Only the terms are held to the escapes; a comment after the statement may hold anything.
+    bad = F.exists("f", lambda term: term.rlike(_BAD_ESCAPE))
+    reason = F.when(~matched, "not a statement").when(bad, "bad escape")
     rejects = rows.filter(reason.isNotNull()).select("line", reason.alias("reason"))
 
     def name(iri: Column, label: Column) -> Column:
@@ -182,12 +185,28 @@ def check_graphs(quads: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.reason}: {r.s} {r.p} {r.o}" for r in bad))
 
 
+def dense_rank_by_parts(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the 0-based rank of ``order``, a unique column of any values, without one global window.
+
+    Rows are dealt by range, counted per part, and ranked inside their part; only the counts, one row per
+    part, are put in order.
+    """
+    ranged = stage(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    bases = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    ranked = ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_part")
+    return ranked.withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
+
+
 def batch_by_graph(df: DataFrame, order: str, size: int = 75_000, graph: str = "g") -> DataFrame:
     """Number the batches of at most ``size`` rows of one graph each.
 
-    Rows are taken ``4 * size`` at a time in ``order`` (a unique integer column), then split by
-    graph, so no window partition exceeds ``4 * size`` rows whatever the size of a graph.
+    Rows are taken ``4 * size`` at a time in ``order`` (a unique column; its values may be sparse),
+    then split by graph, so no window partition exceeds ``4 * size`` rows whatever the size of a graph.
     """
-    chunk = F.floor(F.col(order) / F.lit(4 * size))
+    ranked = dense_rank_by_parts(df, order, "_rank")
+    ranked = ranked.withColumn("chunk", F.floor(F.col("_rank") / F.lit(4 * size))).drop("_rank")
     rank = F.row_number().over(Window.partitionBy("chunk", graph).orderBy(order)) - 1
-    return df.withColumn("chunk", chunk).withColumn("batch", F.floor(rank / F.lit(size)))
+    return ranked.withColumn("batch", F.floor(rank / F.lit(size)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.functions.terms import TERM_DDL, term_syntax, to_syntax
-from quadweave.schema import IRI, TRIPLE_COLS
+from quadweave.schema import BNODE, IRI, TRIPLE_COLS, XSD, local_table, struct
 
 
 def _statement(with_graph: bool) -> Column:
@@ -56,10 +56,11 @@ def _is_term(df: DataFrame, name: str) -> bool:
 
 
 def csv_bindings(rows: DataFrame) -> DataFrame:
-    """SPARQL CSV: plain values, unbound is empty."""
+    """SPARQL CSV: plain values, blank nodes with ``_:``, unbound is empty."""
     out = []
     for c in rows.columns:
-        value = F.col(f"`{c}`.value") if _is_term(rows, c) else F.col(f"`{c}`").cast("string")
+        marked = F.when(F.col(f"`{c}`.kind") == BNODE, F.concat(F.lit("_:"), F.col(f"`{c}`.value"))) if _is_term(rows, c) else None
+        value = F.coalesce(marked, F.col(f"`{c}`.value")) if _is_term(rows, c) else F.col(f"`{c}`").cast("string")
         out.append(F.coalesce(value, F.lit("")).alias(c))
     return rows.select(*out)
 
@@ -85,7 +86,7 @@ def json_bindings(rows: DataFrame) -> DataFrame:
             return F.col(f"`{c}`")
         t = F.col(f"`{c}`")
         kind = F.create_map(*[F.lit(x) for pair in _JSON_TYPES.items() for x in pair])[t["kind"]]
-        plain = (t["dt"] == "") | t["dt"].endswith("#string") | (t["lang"] != "")
+        plain = (t["dt"] == "") | (t["dt"] == XSD + "string") | (t["lang"] != "")
         return F.when(
             t.isNotNull(),
             F.struct(
@@ -99,12 +100,31 @@ def json_bindings(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*[cell(c).alias(c) for c in rows.columns])).alias("value"))
 
 
+def tsv_lines(rows: DataFrame) -> DataFrame:
+    """SPARQL TSV as lines: the names of the variables first, then one line per row.
+
+    Terms go out as they are, tabs and line ends inside them escaped, so nothing is quoted again.
+    """
+    header = local_table(rows.sparkSession, [("\t".join(f"?{c}" for c in rows.columns),)], struct("value STRING"))
+    terms = tsv_bindings(rows)
+    return header.unionByName(terms.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in rows.columns]).alias("value")))
+
+
 def write_bindings(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Solutions as part files.
+
+    ``csv`` has its header line in every file, ``tsv`` in the first file alone, so that its files end
+    to end are one document. ``json`` is one binding object per line, to be read in parallel, without
+    the head and results of a whole document; see :func:`json_bindings`.
+    """
     if fmt == "json":
         json_bindings(rows).write.mode("overwrite").text(path)
-        return
-    shaped, sep = (csv_bindings(rows), ",") if fmt == "csv" else (tsv_bindings(rows), "\t")
-    shaped.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    elif fmt == "csv":
+        csv_bindings(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    elif fmt == "tsv":
+        tsv_lines(rows).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"unknown format: {fmt}")
 
 
 def boolean_result(answer: DataFrame, fmt: str = "text") -> DataFrame:

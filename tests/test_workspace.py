@@ -3,7 +3,8 @@ from __future__ import annotations
 import pytest
 
 from conftest import shown
-from quadweave.plans.workspace import Workspace
+from quadweave.plans.workspace import DraftsetExists, DraftsetNotFound, NotOwner, StaleCommit, Workspace
+from quadweave.session import release, stage
 from quadweave.sources import sinks
 from quadweave.streaming import ingest
 
@@ -91,3 +92,85 @@ def test_failed_batch_keeps_finished_ones_and_replay_changes_nothing(space, spar
     (tmp_path / "again").touch()
     ingest.run(lines, fragile, str(tmp_path / "cp"), once=True).awaitTermination()
     assert shown(space.view(ds)) == set(rows)
+
+
+def test_unknown_draftsets_and_other_owners_are_refused(space, quads):
+    ds = space.create_draftset("ann", id="one")
+    with pytest.raises(DraftsetExists):
+        space.create_draftset("bob", id="one")
+    start = space.latest()
+    verbs = [
+        lambda d, u: space.append(d, quads(A), user=u),
+        lambda d, u: space.delete(d, quads(A), user=u),
+        lambda d, u: space.delete_graph(d, "g1", silent=True, user=u),
+        lambda d, u: space.copy_live_graph(d, "g1", user=u),
+        lambda d, u: space.revert_graph(d, "g1", user=u),
+        lambda d, u: space.set_metadata(d, "x", user=u),
+        lambda d, u: space.publish(d, user=u),
+        lambda d, u: space.delete_draftset(d, user=u),
+    ]
+    for verb in verbs:
+        with pytest.raises(DraftsetNotFound):
+            verb("no-such-draftset", None)
+        with pytest.raises(NotOwner):
+            verb(ds, "bob")
+    assert space.latest() == start
+    space.append(ds, quads(A), user="ann")
+    assert shown(space.view(ds)) == {A}
+
+
+def test_no_write_is_lost(space, spark, quads):
+    """Of two writers from one commit, the second joins the first's commit or fails."""
+    ds = space.create_draftset("ann", id="mine")
+    space.append(ds, quads(*[("s", "p", "o", f"g{i}") for i in range(8)]))
+    space.publish(ds)
+    other = Workspace(spark, space.root, clock=space.clock, buckets=8)
+    stale = space.snapshot()
+    other.create_draftset("bob", id="theirs")
+    with pytest.raises(StaleCommit):
+        space.commit(stale, stale.but(draftsets=stale.draftsets.limit(0)))
+    assert {r.draftset for r in space.snapshot().draftsets.collect()} == {"theirs"}
+    # Other tables: both changes are there.
+    stale = space.snapshot()
+    other.create_draftset("bob", id="third")
+    space.commit(stale, stale.but(shares=spark.createDataFrame([("theirs", "eve", None)], stale.shares.schema)))
+    now = space.snapshot()
+    assert {r.draftset for r in now.draftsets.collect()} == {"theirs", "third"} and now.shares.count() == 1
+    # Other buckets of the same table join, the same bucket does not.
+    by_bucket = {}
+    for i in range(8):
+        by_bucket.setdefault(next(iter(space._buckets_for(space._one(f"g{i}"), 8))), f"g{i}")
+    first, second = list(by_bucket.values())[:2]
+    for mine, theirs, fails in ((first, second, False), (first, first, True)):
+        graph = space._one(mine)
+        stale = space.snapshot(live=graph)
+        later = other.snapshot(live=space._one(theirs))
+        other.commit(later, later.but(live=later.live.unionByName(quads(("new", "p", "o", theirs)))), live=space._one(theirs))
+        change = stale.but(live=stale.live.unionByName(quads(("newer", "p", "o", mine))))
+        if fails:
+            with pytest.raises(StaleCommit):
+                space.commit(stale, change, live=graph)
+        else:
+            space.commit(stale, change, live=graph)
+            assert {("new", "p", "o", theirs), ("newer", "p", "o", mine)} <= shown(space.view())
+
+
+def test_old_commits_expire_and_buckets_follow_the_rows(space, spark, quads):
+    ds = space.create_draftset("ann")
+    space.append(ds, quads(*[("s", "p", "o", f"g{i}") for i in range(9)]))
+    space.append(ds, quads(("t", "p", "o", "g1")))
+    shown_before, count = shown(space.view(ds)), len(space.commits())
+    assert space.expire() == count - 1 and len(space.commits()) == 1 and space.expire() == 0
+    assert shown(space.view(ds)) == shown_before
+    space.rebucket()
+    assert space._bucket_count(space._manifest(), "draft") == 16
+    space.append(ds, quads(("u", "p", "o", "g2")))
+    assert shown(space.view(ds)) == shown_before | {("u", "p", "o", "g2")}
+
+
+def test_staged_folders_are_released(spark):
+    release(spark)
+    kept = stage(spark.range(5))
+    assert kept.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        kept.count()
