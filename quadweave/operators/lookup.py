@@ -6,8 +6,9 @@ helper here measures the small side first, reading at most ``BROADCAST_ROWS + 1`
 * up to ``LOCAL_ROWS`` rows become a local relation, so the dictionary is computed once however
   often the plan uses it, and Catalyst knows its exact size;
 * up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes are broadcast;
-* beyond that, the join is a salted shuffle join: one hot graph, subject or predicate holding a
-  third of all quads is spread over ``SALTS`` tasks instead of one.
+* beyond that, it is a plain shuffle join, with the dictionary on the side that is repeated: adaptive
+  execution cuts the partition of a hot graph, subject or predicate into as many tasks as its size
+  asks for, however large it is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ LOCAL_ROWS = 2_000
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 PUSHDOWN_KEYS = 200
-SALTS = 16
 _PLAIN = (T.StringType, T.BooleanType, T.IntegerType, T.LongType)
 
 
@@ -107,14 +107,6 @@ def _is_local(df: DataFrame) -> bool:
     return getattr(df, "_settled", False)
 
 
-def _salt_of(df: DataFrame) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
-
-
-def _copies() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-
-
 def translate(
     df: DataFrame,
     pairs: DataFrame,
@@ -130,18 +122,12 @@ def translate(
     """
     pairs, small = settle(pairs if _is_local(pairs) else pairs.select(source, target))
     columns = df.columns
-    if not small:
-        df = df.withColumn("_salt", _salt_of(df))
     for i, (value, kind) in enumerate(positions):
         side = pairs.select(F.col(source).alias(f"_k{i}"), F.col(target).alias(f"_v{i}"))
         match = F.col(value) == F.col(f"_k{i}")
         if kind:
             match = match & (F.col(kind) == IRI)
-        if small:
-            df = df.join(F.broadcast(side), match, "left")
-        else:
-            side = side.withColumn(f"_salt{i}", _copies())
-            df = df.join(side, match & (F.col("_salt") == F.col(f"_salt{i}")), "left")
+        df = df.join(F.broadcast(side) if small else side, match, "left")
     replaced = {v: F.coalesce(F.col(f"_v{i}"), F.col(v)).alias(v) for i, (v, _) in enumerate(positions)}
     out = [replaced.get(c, F.col(f"`{c}`")) for c in columns]
     if mark:
@@ -159,10 +145,7 @@ def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str) ->
     side = keys.select(F.col(key).alias("_key"))
     if small:
         return df.join(F.broadcast(side), F.col(column) == F.col("_key"), how)
-    side = side.distinct().withColumn("_key_salt", _copies())
-    salted = df.withColumn("_salt", _salt_of(df))
-    match = (F.col(column) == F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))
-    return salted.join(side, match, how).drop("_salt")
+    return df.join(side.distinct(), F.col(column) == F.col("_key"), how)
 
 
 def keep(df: DataFrame, keys: DataFrame, column: str = "g", key: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from quadweave.functions import scalars as S
 from quadweave.operators import state
+from quadweave.operators.ranks import dense_rank_by_parts
 from quadweave.operators.state import instant
 from quadweave.schema import TABLES, Snapshot, Vocabulary, local_table, struct
 from quadweave.session import stage
@@ -355,6 +356,10 @@ def replay(log: DataFrame, users: DataFrame) -> DataFrame:
     ok, forbidden (no right to claim), not-found (no such draftset yet), ignored (not the owner,
     nothing changes), exists (created before).
     """
+    columns = log.columns
+    # Dense ranks for ``seq``, whatever its values: a segment then holds at most SEGMENT events.
+    log = dense_rank_by_parts(log.withColumn("_seq", F.col("seq")), "_rank", "draftset", "seq")
+    log = stage(log.withColumn("seq", F.col("_rank").cast("bigint")).drop("_rank"))
     action = F.col("action")
     roots = log.filter(action == CREATE).groupBy("draftset").agg(F.min("seq").alias("seq"))
     counted = _reachable(roots, _successors(log, users)).withColumn("_counts", F.lit(True))
@@ -371,7 +376,7 @@ def replay(log: DataFrame, users: DataFrame) -> DataFrame:
         .when(owns, "ok")
         .otherwise("ignored")
     )
-    return rows.select(*log.columns, outcome.alias("outcome"))
+    return rows.select(*[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in columns], outcome.alias("outcome"))
 
 
 def current_state(replayed: DataFrame) -> DataFrame:

@@ -59,15 +59,16 @@ def latest_modified(spark, sf_dir):
 
 @register(
     "d5_merged_versions",
-    """SELECT s_nationkey AS nation, 'http://example.org/quadweave/version/'||md5(string_agg(v, '' ORDER BY v)) AS version
-    FROM (SELECT s_nationkey, md5(CAST(s_suppkey AS VARCHAR)) AS v FROM supplier) GROUP BY s_nationkey""",
+    """SELECT l_orderkey AS scope, 'http://example.org/quadweave/version/'||md5(string_agg(v, '' ORDER BY v)) AS version
+    FROM (SELECT l_orderkey, md5(l_partkey||'-'||l_linenumber) AS v FROM lineitem) GROUP BY l_orderkey""",
 )
 def merged_versions(spark, sf_dir):
-    supplier = fx.read(spark, sf_dir, "supplier")
-    versions = supplier.select(
-        F.col("s_nationkey").alias("nation"), S.version_iri(F.md5(F.col("s_suppkey").cast("string")), fx.VOCAB).alias("v")
+    """One version of a few endpoints each, a scope per order: the merge collects the versions of one scope."""
+    line = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
+    versions = fx.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("scope"), S.version_iri(F.md5(line), fx.VOCAB).alias("v")
     )
-    return versions.groupBy("nation").agg(S.merged_version(F.collect_list("v"), fx.VOCAB).alias("version"))
+    return versions.groupBy("scope").agg(S.merged_version(F.collect_list("v"), fx.VOCAB).alias("version"))
 
 
 @register(

@@ -208,14 +208,8 @@ def _h(role: str, row: str, modulo: int) -> str:
 
 
 _GENERATED = f"""
-WITH n AS (SELECT count(*) AS n, count(*) * 5 // 100 AS r FROM orders),
-weights AS (SELECT i, {_h("size", "i", 65536)} + 1 AS w FROM (SELECT unnest(range(1, 21)) AS i)),
-shares AS (SELECT i, CAST(w * n // sum(w) OVER () AS BIGINT) AS sz, n, r FROM weights, n),
-sizes AS (SELECT i, n, r, sz + CASE WHEN i = 20 THEN n - sum(sz) OVER () ELSE 0 END AS size FROM shares),
-wanted AS (SELECT *, (size * r + n - 1) // n AS wanted, coalesce(sum(size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes),
-spread AS (SELECT *, greatest(0, least(wanted, r - coalesce(sum(wanted) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS refs FROM wanted),
-ids AS (SELECT unnest(range((SELECT n FROM n))) AS row_id),
-made AS (SELECT row_id, i, row_id - start < refs AS is_ref FROM ids JOIN spread ON row_id >= start AND row_id < start + size),
+WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders),
+made AS (SELECT o_orderkey AS row_id, o_custkey % 20 + 1 AS i, o_orderkey % 20 = 0 AS is_ref FROM orders),
 picked AS (SELECT *, CASE WHEN is_ref THEN {_h("positions", "row_id", 7)} + 1 ELSE 0 END AS bits,
   'http://example.com/graphs/'||({_h("target", "row_id", 20)} + 1) AS target, {_h("kind", "row_id", 7)} AS kind,
   {_h("number", "row_id", 100000)} AS num, substr(md5('7|word|'||row_id), 1, 12) AS word FROM made),
@@ -232,24 +226,24 @@ quads AS (SELECT row_id, is_ref, 'http://example.com/graphs/'||i AS g,
 
 
 def _generated(spark, sf_dir):
-    n = fx.read(spark, sf_dir, "orders").count()
-    return generator.generate(spark, n, GRAPHS_MADE, "5%", SEED), n
+    """A synthetic statement per order, in its customer's graph; one in twenty names a graph."""
+    key = F.col("o_orderkey").cast("bigint")
+    graph = (F.col("o_custkey") % GRAPHS_MADE + 1).cast("bigint")
+    rows = fx.read(spark, sf_dir, "orders").select(key.alias("row_id"), graph.alias("graph_no"), (key % 20 == 0).alias("is_ref"))
+    return generator.statements_from(rows, GRAPHS_MADE, SEED)
 
 
 @register("a11_generate_quads", _GENERATED + "SELECT row_id, is_ref, g, s, p, o, o_kind, o_lang FROM quads")
 def generate_quads(spark, sf_dir):
-    """As many synthetic statements as there are orders, one in twenty naming a graph."""
-    made, _ = _generated(spark, sf_dir)
-    return made.select("row_id", "is_ref", "g", "s", "p", "o", "o_kind", "o_lang")
+    return _generated(spark, sf_dir).select("row_id", "is_ref", "g", "s", "p", "o", "o_kind", "o_lang")
 
 
 @register("a12_delete_subset", _GENERATED + "SELECT g, s, p, o FROM quads WHERE row_id < (SELECT n // 2 FROM n)")
 def delete_subset(spark, sf_dir):
-    made, n = _generated(spark, sf_dir)
-    return generator.delete_subset(made, n).select("g", "s", "p", "o")
+    n = fx.read(spark, sf_dir, "orders").agg(F.max("o_orderkey") + 1).first()[0]
+    return generator.delete_subset(_generated(spark, sf_dir), n).select("g", "s", "p", "o")
 
 
 @register("a13_verify_generated", _GENERATED + "SELECT g, count(*) AS statements FROM quads GROUP BY ROLLUP (g)")
 def verify_generated(spark, sf_dir):
-    made, _ = _generated(spark, sf_dir)
-    return generator.verify(made.select(*QUAD_COLS))
+    return generator.verify(_generated(spark, sf_dir).select(*QUAD_COLS))

@@ -14,7 +14,7 @@ from quadweave.session import shared_folder
 from quadweave.sources import sinks
 from quadweave.streaming import ingest
 
-FILES, FILES_PER_BATCH = 3, 2
+FILES_PER_BATCH = 2
 
 
 def _folder(spark) -> str:
@@ -22,9 +22,9 @@ def _folder(spark) -> str:
 
 
 def _line_files(quads, path: str):
-    """Statement lines in several files, each starting with a line that is no statement."""
+    """Statement lines in as many files as the table has partitions, and one with a line that is no statement."""
     broken = quads.sparkSession.range(1).select(F.lit("this is no statement").alias("value"))
-    lines = sinks.quad_lines(quads).repartition(FILES).unionByName(broken)
+    lines = sinks.quad_lines(quads).unionByName(broken)
     lines.write.text(path)
     return path
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadweave.functions import scalars as S
+from quadweave.functions.scalars import version_iri
 from quadweave.operators import fingerprint, state, times, update, writes
 from quadweave.plans import fixtures as fx
 from quadweave.plans.catalog import register
@@ -115,17 +116,26 @@ def publish_times(spark, sf_dir):
 
 @register(
     "m6_stamp_endpoint",
-    f"""SELECT 'public' AS id, {_NOW_US} AS modified, true AS new_version, (SELECT max(epoch_us(ts)) FROM events) AS newest_event""",
+    f"""SELECT id, CASE WHEN id = 'public' AND modified IS NOT NULL THEN {_NOW_US} ELSE epoch_us(modified) END AS modified, id = 'public' AS new_version
+    FROM (SELECT user_id AS u, CASE WHEN user_id = (SELECT min(user_id) FROM events) THEN 'public' ELSE 'user-'||user_id END AS id,
+      CASE WHEN user_id % 7 <> 6 OR user_id = (SELECT min(user_id) FROM events) THEN max(ts) END AS modified FROM events GROUP BY user_id)""",
 )
 def stamp_endpoint(spark, sf_dir):
-    snap = fx.snapshot(spark, sf_dir)
-    stamped = times.stamp_endpoint(snap.endpoints, NOW, VOCAB)
-    before = snap.endpoints.select("id", F.col("version").alias("_old"))
-    newest = fx.read(spark, sf_dir, "events").agg(
-        F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("newest_event")
-    ).withColumn("id", F.lit("public"))
-    return stamped.join(before, "id").join(newest, "id").select(
-        "id", F.unix_micros("modified").alias("modified"), (F.col("version") != F.col("_old")).alias("new_version"), "newest_event"
+    """An endpoint per user of the events, the first of them public; some have no recorded time."""
+    events = fx.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = events.agg(F.min("user_id")).first()[0]
+    user = F.col("user_id")
+    recorded = (user % 7 != 6) | (user == first)
+    endpoints = events.groupBy("user_id").agg(F.max("ts").alias("last")).select(
+        F.when(user == first, "public").otherwise(F.concat(F.lit("user-"), user.cast("string"))).alias("id"),
+        F.col("last").alias("created"),
+        F.when(recorded, F.col("last")).alias("modified"),
+        version_iri(F.md5(user.cast("string")), VOCAB).alias("version"),
+    )
+    stamped = times.stamp_endpoint(endpoints, NOW, VOCAB)
+    before = endpoints.select("id", F.col("version").alias("_old"))
+    return stamped.join(before, "id").select(
+        "id", F.unix_micros("modified").alias("modified"), (F.col("version") != F.col("_old")).alias("new_version")
     )
 
 

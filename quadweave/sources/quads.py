@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadweave.functions import terms as T
+from quadweave.operators.ranks import dense_rank_by_parts
 from quadweave.schema import BNODE, IRI, LITERAL, QUAD_COLS, QUADS, RDF_LANG_STRING, XSD, local_table
-from quadweave.session import stage
 
 # N-Triples / N-Quads. Escapes are masked before matching, so a literal body is one character class
 # and texts of any length match without backtracking or recursion.
@@ -185,28 +185,13 @@ def check_graphs(quads: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.reason}: {r.s} {r.p} {r.o}" for r in bad))
 
 
-def dense_rank_by_parts(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds the 0-based rank of ``order``, a unique column of any values, without one global window.
-
-    Rows are dealt by range, counted per part, and ranked inside their part; only the counts, one row per
-    part, are put in order.
-    """
-    ranged = stage(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    bases = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    ranked = ranged.withColumn("_inside", inside).join(F.broadcast(bases), "_part")
-    return ranked.withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
-
-
 def batch_by_graph(df: DataFrame, order: str, size: int = 75_000, graph: str = "g") -> DataFrame:
     """Number the batches of at most ``size`` rows of one graph each.
 
     Rows are taken ``4 * size`` at a time in ``order`` (a unique column; its values may be sparse),
     then split by graph, so no window partition exceeds ``4 * size`` rows whatever the size of a graph.
     """
-    ranked = dense_rank_by_parts(df, order, "_rank")
+    ranked = dense_rank_by_parts(df, "_rank", order)
     ranked = ranked.withColumn("chunk", F.floor(F.col("_rank") / F.lit(4 * size))).drop("_rank")
     rank = F.row_number().over(Window.partitionBy("chunk", graph).orderBy(order)) - 1
     return ranked.withColumn("batch", F.floor(rank / F.lit(size)))
