@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 import quadweave
 
@@ -20,17 +20,23 @@ Batches = Iterator[pa.RecordBatch]
 SLICE_BYTES = 8 << 20
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package, once a context, to executors that may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quadweave_sent", False):
+        return
+    root = Path(quadweave.__file__).parent
+    package = Path(tempfile.mkdtemp(prefix="quadweave-code-")) / "quadweave.zip"
+    with zipfile.ZipFile(package, "w") as made:
+        for file in sorted(root.rglob("*.py")):
+            made.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(package))
+    context._quadweave_sent = True
+
+
 def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow``, with this package sent to executors that may not have it installed."""
-    context = df.sparkSession.sparkContext
-    if not getattr(context, "_quadweave_sent", False):
-        root = Path(quadweave.__file__).parent
-        package = Path(tempfile.mkdtemp(prefix="quadweave-code-")) / "quadweave.zip"
-        with zipfile.ZipFile(package, "w") as made:
-            for file in sorted(root.rglob("*.py")):
-                made.write(file, file.relative_to(root.parent))
-        context.addPyFile(str(package))
-        context._quadweave_sent = True
+    """``mapInArrow``, with this package on every executor."""
+    send_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

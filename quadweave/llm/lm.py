@@ -16,6 +16,7 @@ all Elias-Fano. Beside a successor stands its quantised log probability, smoothe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quadweave.llm.arrow import Batches, binaries, mapped, sliced
+from quadweave.llm.arrow import Batches, binaries, mapped, send_package, sliced
 from quadweave.llm.common import whole
 from quadweave.llm.succinct import EliasFano, bundle, smallest, unbundle
-from quadweave.session import stage
+from quadweave.session import shared_folder, stage
 
 #: Tokens in a chunk; a longer document has a chunk of its own.
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 20
 #: Training occurrences of a context beyond which its successors are spread over several shards.
 HOT = 1 << 20
 #: Smoothing by order, from pairs up.
@@ -275,29 +276,42 @@ def _ask_words(shards: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _prepared(rows: list[dict], shards: int, totals: Totals, order: int, strength: Sequence[float], hot: int) -> tuple[Chunk, dict]:
-    """A chunk from its own row and the answers of all levels so far; grams asked last, if any."""
-    own = next(r for r in rows if r["level"].as_py() == 0)
-    answers = lambda level: [(r["shard"].as_py(), unbundle(r["data"].as_py())) for r in rows if r["level"].as_py() == level]
-    chunk = Chunk(own["data"].as_py())
+def _prepared(data: bytes, answers: pa.Table, shards: int, totals: Totals, order: int, strength: Sequence[float], hot: int) -> Chunk:
+    """A chunk from its own data and the answers of all levels so far."""
+    levels, places = answers["level"].to_numpy(), answers["shard"].to_numpy()
+
+    def given(level: int) -> list[tuple[int, list[np.ndarray]]]:
+        rows = np.flatnonzero(levels == level)
+        return [(int(places[i]), unbundle(answers["data"][int(i)].as_py())) for i in rows[np.argsort(places[rows])]]
+
+    chunk = Chunk(data)
     ids, counts = [], []
-    for shard, (number, count) in sorted(answers(1), key=lambda x: x[0]):
+    for shard, (number, count) in given(1):
         number = number.astype(np.int64)
         ids.append(np.where(number > 0, number - 1 + totals.bases[shard], -1))
         counts.append(count.astype(np.int64))
     chunk.learn_words(np.concatenate(ids), np.concatenate(counts), totals)
     for level in range(2, order + 1):
         grams = chunk.grams()
-        shard = shard_of(grams[0], grams[1], grams[3], shards, hot)
-        place = np.argsort(shard, kind="stable")
-        found = [a for _, a in sorted(answers(level), key=lambda x: x[0])]
-        columns = [np.concatenate([a[i] for a in found]) if found else np.empty(0, np.int64) for i in range(len(found[0]) if found else 1)]
+        place = np.argsort(shard_of(grams[0], grams[1], grams[3], shards, hot), kind="stable")
+        found = [a for _, a in given(level)]
+        columns = [np.concatenate([a[i] for a in found]) for i in range(len(found[0]))] if found else [np.empty(0, np.int64)]
         spread = [np.empty_like(c) for c in columns]
         for a, b in zip(spread, columns):
             a[place] = b
         more = [x.astype(np.int64) for x in spread[1:]] or [None, None]
         chunk.learn_level(spread[0].astype(np.uint16), more[0], more[1], strength[level - 2])
-    return chunk, own
+    return chunk
+
+
+def _with_answers(chunks: DataFrame, answers: DataFrame, run: Callable[[int, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` for each chunk with its row and its answers; the answers come to the chunks, which stay where they are."""
+
+    def both(key: tuple, own: pa.Table, given: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(key[0].as_py(), own, given)))
+
+    send_package(chunks.sparkSession)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float], more: bool, hot: int) -> Callable[[Batches], Batches]:
@@ -306,11 +320,10 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
         lengths = np.diff(edges, append=len(contexts))
         return bundle(smallest(np.diff(contexts[edges], prepend=0)), smallest(lengths), smallest(counts[edges]), smallest(words), smallest(trained), codes)
 
-    def run(batches: Batches) -> Batches:
-        for name, rows in groups(batches, "chunk"):
-            chunk, _ = _prepared(rows, shards, totals, level - 1, strength, hot)
-            grams = chunk.grams()
-            yield _asks(name, shard_of(grams[0], grams[1], grams[3], shards, hot), grams, pack)
+    def run(name: int, own: pa.Table, given: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunk = _prepared(own["data"][0].as_py(), given, shards, totals, level - 1, strength, hot)
+        grams = chunk.grams()
+        yield _asks(name, shard_of(grams[0], grams[1], grams[3], shards, hot), grams, pack)
 
     def answer(batches: Batches) -> Batches:
         k = strength[level - 2]
@@ -370,13 +383,11 @@ def score(
     probability that one unseen token has. The levels are tables (shard, data) in the shared folder.
     """
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stage(chunks_of(docs, training, text, doc_id))
-    blank = F.lit(None).cast(chunks.schema["doc_ids"].dataType)
-    own = chunks.select("chunk", F.lit(0).alias("level"), F.lit(-1).alias("shard"), "data", "doc_ids")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * partitions
+    chunks = _bucketed(chunks_of(docs, training, text, doc_id), partitions)
     ask = _ask_words(shards)
-    asked = mapped(chunks.select("chunk", "words", "data"), ask, _ASK)
-    rows, levels = own, []
+    asked, answers, levels = mapped(chunks.select("chunk", "words", "data"), ask, _ASK), None, []
     for level in range(1, order + 1):
         dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
         answered = stage(mapped(dealt, ask.answer, _ANSWER))
@@ -389,23 +400,28 @@ def score(
                 bases[r["shard"]] = before
                 before += r["distinct"]
             totals = Totals(sum(r["tokens"] for r in found), before, sum(r["documents"] for r in found), bases)
-        answers = answered.filter("chunk >= 0").select("chunk", F.lit(level).alias("level"), "shard", "data", blank.alias("doc_ids"))
-        rows = rows.unionByName(answers)
+        given = answered.filter("chunk >= 0").select("chunk", F.lit(level).alias("level"), "shard", "data")
+        answers = given if answers is None else answers.unionByName(given)
         if level < order:
             ask = _ask_level(level + 1, shards, totals, strength, level + 1 < order, hot)
-            slim = rows.select("chunk", "level", "shard", "data").repartition("chunk").sortWithinPartitions("chunk", "level", "shard")
-            asked = mapped(slim, ask, _ASK)
+            asked = _with_answers(chunks.select("chunk", "data"), answers, ask, _ASK)
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def sums(batches: Batches) -> Batches:
-        for _, found in groups(batches, "chunk"):
-            chunk, own = _prepared(found, shards, totals, order, strength, hot)
-            starts = (np.cumsum(chunk.lengths) - chunk.lengths).astype(np.int64)
-            add = lambda x: np.add.reduceat(x, starts)
-            columns = [own["doc_ids"].values, pa.array(chunk.training.astype(bool)), pa.array(chunk.lengths.astype(np.int64))]
-            columns += [pa.array(add((chunk.known > 0).astype(np.int64))), pa.array(np.full(len(starts), totals.tokens, np.int64))]
-            columns += [pa.array(add(np.log10(chunk.probability))), pa.array(add(chunk.logs))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def sums(_: int, own: pa.Table, given: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunk = _prepared(own["data"][0].as_py(), given, shards, totals, order, strength, hot)
+        starts = (np.cumsum(chunk.lengths) - chunk.lengths).astype(np.int64)
+        add = lambda x: np.add.reduceat(x, starts)
+        columns = [own["doc_ids"][0].values, pa.array(chunk.training.astype(bool)), pa.array(chunk.lengths.astype(np.int64))]
+        columns += [pa.array(add((chunk.known > 0).astype(np.int64))), pa.array(np.full(len(starts), totals.tokens, np.int64))]
+        columns += [pa.array(add(np.log10(chunk.probability))), pa.array(add(chunk.logs))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mapped(rows.repartition("chunk").sortWithinPartitions("chunk", "level", "shard"), sums, schema), levels
+    return _with_answers(chunks.select("chunk", "data", "doc_ids"), answers, sums, schema), levels
+
+
+def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The chunks written in buckets of their number in the shared folder: each pass reads them without a shuffle."""
+    spark, name = chunks.sparkSession, f"quadweave_chunks_{uuid.uuid4().hex}"
+    chunks.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
