@@ -48,10 +48,13 @@ _POSITIONS = {
 def pattern(quads: DataFrame, s, p, o, g=None) -> DataFrame:
     """Match one statement pattern. Each position is a variable ``'?x'`` or a constant term.
 
-    Constants become plain column comparisons, which Parquet scans can use. A variable used twice
-    means equality. Without ``g`` the pattern matches the default graph: the merge of all graphs.
+    Constants become plain column comparisons, which Parquet scans can use; a draft view first gets
+    them in terms of its stored names. A variable used twice means equality. Without ``g`` the pattern matches the default graph: the merge of all graphs.
     """
     given = {"s": s, "p": p, "o": o}
+    fixed = {k: (x[0], x[1]) for k, x in {**given, "g": g}.items() if x is not None and not is_var(x)}
+    if fixed and hasattr(quads, "_within"):
+        quads = quads._within(fixed)
     if g is None:
         quads = quads.select(*TRIPLE_COLS)
     else:

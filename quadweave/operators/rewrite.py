@@ -108,6 +108,15 @@ def _with_value(t: Column, value: Column) -> Column:
     return F.when(t.isNotNull(), t.withField("value", value))
 
 
+def names_of(pairs: DataFrame, published: Iterable[str]) -> dict[str, str]:
+    """Draft names of a query's few constants: what is read of the mapping is one row per constant at most."""
+    wanted = list(dict.fromkeys(published))
+    if not wanted:
+        return {}
+    found = pairs.filter(F.col("lg").isin(wanted)).select("lg", "dg")
+    return {r.lg: r.dg for r in found.collect()}
+
+
 def rewrite_constant(mapping: Mapping[str, str], value: str, kind: str = IRI) -> str:
     """Name of a constant of a pattern: IRIs map, literals (also ones that look like IRIs) do not."""
     return mapping.get(value, value) if kind == IRI else value

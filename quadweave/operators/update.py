@@ -168,8 +168,10 @@ def update(
     )
     kept = lookup.drop(base, dropped, key="dg")
     final = lookup.once(writes.to_stored(final_rows(ops), before, pairs))
-    rest = lookup.minus(kept, final, like=final)
-    after = rest.select(*QUAD_COLS).unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
+    # Only the graphs that the batch names can lose any quad; the others pass by.
+    inside, outside = lookup.keep(kept, touched, key="dg"), lookup.drop(kept, touched, key="dg")
+    rest = outside.select(*QUAD_COLS).unionByName(lookup.minus(inside, final, like=final).select(*QUAD_COLS))
+    after = rest.unionByName(final.filter(F.col("op") == "insert").select(*QUAD_COLS))
     named = rewrite.non_empty(pairs, after).select("lg", "dg")
     # References change only for drafts that went from empty to filled or back.
     ended = lookup.local(before.join(named.select("dg"), "dg", "left_anti").select("lg", "dg"))

@@ -79,16 +79,18 @@ def append(
     pairs = lookup.local(old.unionByName(new_pairs))
     mine, others = split_draft(snap, draftset, old)
     clones = lookup.local(new_pairs.join(public, "lg", "left_semi"))
-    hit = pairs.join(touched, "lg", "left_semi")
+    hit = lookup.local(pairs.join(touched, "lg", "left_semi"))
     filled, started, base = with_clones(snap, mine, old, clones, hit)
     named = lookup.local(filled.unionByName(started))
-    after = lookup.add_new(base, to_stored(incoming, named, pairs), like=incoming)
+    # Only the graphs that the batch names can hold any of it; the others pass by.
+    inside, outside = lookup.keep(base, hit, key="dg"), lookup.drop(base, hit, key="dg")
+    after = outside.unionByName(lookup.add_new(inside, to_stored(incoming, named, pairs), like=incoming))
     snap = snap.but(
         draft=others.unionByName(after),
         managed_graphs=state.ensure_managed(snap.managed_graphs, fresh),
         draft_graphs=snap.draft_graphs.unionByName(created),
     )
-    return times.touch(snap, draftset, pairs.join(touched, "lg", "left_semi"), now, vocab)
+    return times.touch(snap, draftset, hit, now, vocab)
 
 
 def delete(
@@ -117,9 +119,12 @@ def delete(
     mine, others = split_draft(snap, draftset, old)
     filled, started, base = with_clones(snap, mine, old, new_pairs)
     named = lookup.local(filled.unionByName(started))
-    left = lookup.minus(base, to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
     hit = lookup.local(pairs.join(touched.select("lg"), "lg", "left_semi"))
-    still = rewrite.non_empty(hit, left)
+    # Only the graphs that the batch names can lose any quad; the others pass by.
+    inside, outside = lookup.keep(base, hit, key="dg"), lookup.drop(base, hit, key="dg")
+    rest = lookup.minus(inside, to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
+    left = outside.unionByName(rest)
+    still = rewrite.non_empty(hit, rest)
     # References to drafts that have just lost their last quad go back to the published name.
     ended = lookup.local(hit.join(still.select("dg"), "dg", "left_anti").select("lg", "dg"))
     after = left if is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)

@@ -129,7 +129,7 @@ def effective_dataset(spark, sf_dir):
 def rewritten_constants(spark, sf_dir):
     """A pattern over stored quads: IRI constants map to draft names, a literal that looks like one does not."""
     raw, pairs, _ = _raw(spark, sf_dir)
-    names = {r.lg: r.dg for r in pairs.collect()}
+    names = rewrite.names_of(pairs, [fx.GRAPH + "2", fx.GRAPH + "16"])
     graph = pt.iri(rewrite.rewrite_constant(names, fx.GRAPH + "2"))
     target = pt.iri(rewrite.rewrite_constant(names, fx.GRAPH + "16"))
     as_text = pt.text(rewrite.rewrite_constant(names, fx.GRAPH + "16", "literal"))
@@ -143,7 +143,7 @@ def rewritten_constants(spark, sf_dir):
 def rewritten_parameters(spark, sf_dir):
     """A pre-bound graph variable, set under its published name."""
     raw, pairs, _ = _raw(spark, sf_dir)
-    names = {r.lg: r.dg for r in pairs.collect()}
+    names = rewrite.names_of(pairs, [fx.GRAPH + "3"])
     bound = rewrite.rewrite_parameters(names, {"g": (fx.GRAPH + "3", "iri")})
     back = rewrite.rewrite_parameters({v: k for k, v in names.items()}, bound)
     if back != {"g": (fx.GRAPH + "3", "iri")}:

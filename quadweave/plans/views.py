@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadweave.functions.scalars import is_user_graph
 from quadweave.operators import lookup, rewrite, state
-from quadweave.schema import QUAD_COLS, TRIPLE_COLS, Snapshot, Vocabulary
+from quadweave.schema import IRI, QUAD_COLS, TRIPLE_COLS, Snapshot, Vocabulary
 
 
 def live_view(live: DataFrame, managed_graphs: DataFrame) -> DataFrame:
@@ -25,15 +25,31 @@ def draft_view(snap: Snapshot, draftset: str, union_with_live: bool = False) ->
     """The draft under published names; with ``union_with_live``, over the unchanged live graphs.
 
     One pass over the draft and one over live: graph lists are broadcast, no quad is shuffled. The
-    stored names map one to one, so no duplicates can arise.
+    stored names map one to one, so no duplicates can arise. A pattern over the view hands its
+    constants to the stored quads first (:func:`quadweave.operators.patterns.pattern`).
     """
     pairs = lookup.local(state.mapping(snap.draft_graphs, snap.managed_graphs, draftset).select("lg", "dg"))
     mine = lookup.keep(snap.draft, pairs, key="dg")
-    shown = rewrite.show_published(mine, pairs).select(*QUAD_COLS)
-    if not union_with_live:
-        return shown
     unchanged = state.live_graphs(snap.managed_graphs).join(pairs.select("lg"), "lg", "left_anti")
-    return shown.unionByName(lookup.keep(snap.live, unchanged, key="lg").select(*QUAD_COLS))
+    live = lookup.keep(snap.live, unchanged, key="lg").select(*QUAD_COLS) if union_with_live else None
+
+    def laid(stored: DataFrame) -> DataFrame:
+        shown = rewrite.show_published(stored, pairs).select(*QUAD_COLS)
+        return shown if live is None else shown.unionByName(live)
+
+    def within(constants: dict[str, tuple[str, str]]) -> DataFrame:
+        """The view of stored quads that may show these (value, kind) constants, by column."""
+        names = rewrite.names_of(pairs, [value for value, kind in constants.values() if kind == IRI])
+        stored = mine
+        for column, (value, kind) in constants.items():
+            # A published name is stored as itself or under its draft's name; literals as themselves.
+            both = [value, names[value]] if kind == IRI and value in names else [value]
+            stored = stored.filter(F.col(column).isin(both))
+        return laid(stored)
+
+    view = laid(mine)
+    view._within = within
+    return view
 
 
 def visible_graphs(pairs: DataFrame, managed_graphs: DataFrame, union_with_live: bool) -> DataFrame:

@@ -62,3 +62,24 @@ def test_minus_without_a_firm_variable(spark):
     assert shown(pt.minus(left, right), names) == [("-", "-"), ("-", "b"), ("c", "b")]
     with pytest.raises(ValueError, match="share"):
         pt.join(left, right)
+
+
+def test_constants_reach_the_stored_quads_of_a_draft(spark, tmp_path, quads):
+    """A pattern over a draft view filters the stored names; results are those of the whole view."""
+    from quadweave.plans.workspace import Workspace
+
+    space = Workspace(spark, str(tmp_path / "space"), buckets=4)
+    ds = space.create_draftset("ann")
+    rows = [("s1", "p", "o", "g1"), ("g1", "p", "g2", "g2"), ("s2", "g1", "'g2", "g2"), ("s3", "q", "g3", "g1")]
+    space.append(ds, quads(*rows))
+    view = space.view(ds)
+    plain = view.select("*")
+    for given in (dict(s=pt.iri("g1")), dict(p=pt.iri("g1")), dict(o=pt.iri("g2")), dict(o=pt.text("g2")), dict(o=pt.iri("g3")), dict(p=pt.iri("nothing"))):
+        asked = {"s": "?s", "p": "?p", "o": "?o", **given}
+        narrow, wide = (pt.pattern(v, asked["s"], asked["p"], asked["o"], "?g") for v in (view, plain))
+        assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect()))
+    plan = pt.pattern(view, "?s", pt.iri("q"), "?o", "?g")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert any("EqualTo(p,q)" in line or "In(p, [q])" in line for line in pushed), pushed
