@@ -9,6 +9,7 @@ lengths beside it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -170,16 +171,19 @@ class Numbers(dict):
 class Words:
     """A tokenizer over texts, with the ids of words remembered.
 
-    For vocabularies that drop white space and cut words at changes between letters, digits and
-    other signs: there the ids of a text are those of its words, and the signs after a word's last
-    letter can be taken alone. All ids learnt stand end to end; a word is a stretch of them.
+    For vocabularies that lower-case, drop white space and cut words at changes between letters,
+    digits and other signs: there the ids of a text are those of its words, and the signs after a
+    word's last letter can be taken alone. All ids learnt stand end to end; a word is a stretch of them.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges for words of a-z alone, which have nothing to normalise or to cut.
+        self.plain = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None}))
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -207,9 +211,12 @@ class Words:
         self.numbers.waiting.clear()
         cores = self.cores
         fresh = {x for pair in parts for x in pair}.difference(cores)
-        simple = [x for x in fresh if x.isalpha() or _LETTERS.match(x.decode())]
-        for at in range(0, len(simple), TOGETHER):
-            self._encode_letters(simple[at : at + TOGETHER])
+        plain = [x for x in fresh if x.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            self._encode_letters(plain[at : at + TOGETHER], self.plain)
+        others = [x for x in fresh if not x.isascii() and _LETTERS.match(x.decode())]
+        for at in range(0, len(others), TOGETHER):
+            self._encode_letters(others[at : at + TOGETHER], self.tokenizer)
         self._encode([x for x in fresh if x not in cores])
         mask, ids = (1 << 32) - 1, self.ids
         for core, tail in parts:
@@ -228,9 +235,9 @@ class Words:
             self.cores[word] = len(self.ids) << 32 | len(e.ids)
             self.ids.extend(e.ids)
 
-    def _encode_letters(self, words: list[bytes]) -> None:
+    def _encode_letters(self, words: list[bytes], tokenizer) -> None:
         """Words of letters alone, encoded as one text: each ends with the one token that ends words."""
-        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        (found,) = tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(words):
