@@ -40,22 +40,23 @@ def others(docs: DataFrame, names: Iterable[str]) -> list[Column]:
     return [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken]
 
 
+def _key(values: list[Column]) -> Column:
+    """Values as one string: different values, nulls among them, give different strings."""
+    text = [v.cast("string") for v in values]
+    return F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in text])
+
+
 def pick_rows(docs: DataFrame, keys: DataFrame, own: list[Column], names: list[str], *extra: str) -> DataFrame:
     """One row of ``docs``, packed as ``row``, with ``extra`` columns of ``keys`` for each row of ``keys``.
 
     ``own`` are expressions over ``docs`` that match the columns ``names`` of ``keys``, nulls with
-    nulls; of rows that agree in them one is taken. The text is shuffled once: rows meet their keys and
-    are numbered in the same partitions.
+    nulls; of rows that agree in them one is taken. The text is shuffled once: the key that brings rows
+    to their keys is the one they are numbered by.
     """
-    mine = [f"own{i}" for i in range(len(own))]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[x.alias(m) for x, m in zip(own, mine)])
-    rows = rows.withColumn("own", F.xxhash64(*mine))
-    keys = keys.select(F.xxhash64(*names).alias("key"), *[F.col(n).alias(f"key{i}") for i, n in enumerate(names)], *extra)
-    same = F.col("own") == F.col("key")
-    for i, name in enumerate(mine):
-        same = same & F.col(name).eqNullSafe(F.col(f"key{i}"))
-    first = F.row_number().over(Window.partitionBy("own", *mine).orderBy("own"))
-    return rows.join(keys, same).withColumn("first", first).filter("first = 1").select("row", *extra)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(own).alias("own"))
+    keys = keys.select(_key([F.col(n) for n in names]).alias("key"), *extra)
+    first = F.row_number().over(Window.partitionBy("own").orderBy("own"))
+    return rows.join(keys, F.col("own") == F.col("key")).withColumn("first", first).filter("first = 1").select("row", *extra)
 
 
 def fill_rank(df: DataFrame, group: str, part: Column, order: list[Column], name: str) -> DataFrame:
