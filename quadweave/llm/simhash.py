@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, links by pigeonhole blocks, and classes of linked texts.
+"""Near-duplicates: SimHash fingerprints, links by pigeonhole blocks or minima, and classes of linked texts.
 
 A fingerprint of 64 bits is cut into blocks. Two fingerprints that differ in at most d bits agree in all
 but d blocks, so with b blocks they share one of the C(b, b - d) choices of b - d whole blocks: each
@@ -204,39 +204,73 @@ def classes(docs: DataFrame, distance: int = 4, blocks: int = 7, width: int = 4,
     return whole_rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def sketches(docs: DataFrame, width: int, bands: int, rows: int, checks: int, seed: int = 42, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of ``docs`` with fp, the band keys k0, k1, ... and the sketch c0, c1, ... (long).
+
+    All are of the set of distinct ``width``-word shingles: ``fp`` is its hash, equal for equal sets. Of
+    64 * ``checks`` minima, each under a hash of its own, one bit goes to the sketch; the first ones
+    make the band keys, ``rows`` at a time.
+    """
+    slim = docs.select(*[F.col(c) for c in keep], whole(text).cast("binary").alias("_text"))
+    names = ["fp", *[f"k{i}" for i in range(bands)], *[f"c{i}" for i in range(checks)]]
+    fields = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in names])
+    if bands * rows > 64 * checks:
+        raise ValueError("more minima in bands than there are")
+    turns = np.random.default_rng(seed).integers(0, 1 << 63, (2, 64 * checks, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in sliced(batches, "_text"):
+            prints = np.zeros(batch.num_rows, np.uint64)
+            least = np.full((batch.num_rows, 64 * checks), (1 << 64) - 1, np.uint64)
+            for row, text in enumerate(batch["_text"].to_pylist()):
+                hashes = np.unique(shingle_hashes(text.lower().split(), width, seed))
+                prints[row] = xxhash.xxh64_intdigest(hashes.tobytes(), seed)
+                for at in range(0, len(hashes), 512):
+                    found = (hashes[at : at + 512] * turns[0] + turns[1]).min(axis=1)
+                    np.minimum(least[row], found, out=least[row])
+            least = remixed(least, 1)
+            bits = np.packbits((least >> np.uint64(63)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+            columns = [batch[c] for c in keep] + [pa.array(prints.view(np.int64))]
+            for band in range(bands):
+                key = np.full(batch.num_rows, band, np.uint64)
+                for i in range(band * rows, (band + 1) * rows):
+                    key = remixed(key ^ least[:, i], 2)
+                columns.append(pa.array(key.view(np.int64)))
+            columns += [pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in range(checks)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+
+    return mapped(slim, run, fields)
+
+
 def allowed_bits(similarity: float, bits: int) -> int:
-    """Differing bits, of so many, that two texts with this Jaccard similarity of shingles may have.
+    """Differing bits, of so many in a sketch, that two texts with this Jaccard similarity of shingles may have.
 
-    Their vectors of shingles meet at the angle whose cosine is 2s / (1 + s), and that angle's share of a half
-    turn is the chance of a bit to differ; 1.25 standard deviations are granted.
+    Minima differ with the chance 1 - s, and then so does every other bit; 4 standard deviations are granted.
     """
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * chance + 1.25 * math.sqrt(bits * chance * (1 - chance)))
+    chance = (1 - similarity) / 2
+    return math.floor(bits * chance + 4 * math.sqrt(bits * chance * (1 - chance)))
 
 
 def near_groups(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 3, blocks: int = 6, checks: int = 4, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, checks: int = 4, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """(doc_id, text_hash, least): every row with the (doc_id, text_hash) that stays for its group.
 
-    A single fingerprint of long shingles is too coarse for similar texts: at a similarity of 0.8 a
-    tenth of its bits differ. So texts meet by the blocks of ``tables`` fingerprints of their single
-    words, which few edits move, and are then held to the distance that ``similarity`` allows between
-    ``checks`` fingerprints of their distinct ``width``-word shingles. Groups are what links reach.
+    Texts meet by minima of their distinct ``width``-word shingles, in ``bands`` of ``rows``: whatever
+    an edit is, passages or single words, two texts miss each other with the chance
+    (1 - s ** rows) ** bands, 7 in 100 000 at a similarity of 0.8. They are then held to the distance
+    that ``similarity`` allows between sketches. Groups are what links reach.
     Texts without words are one group; the row with the smallest identifier stays, a null one last,
     and of rows that share an identifier the one with the smallest hash of its text.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    prints = stage(fingerprints(slim, [(1, 42, True, tables), (width, 42, True, checks)], keep=["doc_id", "text_hash"]))
-    names = [f"f{i}" for i in range(tables + checks)]
-    prints = prints.withColumn("fp", F.xxhash64(*names))
+    prints = stage(sketches(slim, width, bands, rows, checks, keep=["doc_id", "text_hash"]))
+    keys, check = [f"k{i}" for i in range(bands)], [f"c{i}" for i in range(checks)]
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    nodes = prints.groupBy("fp", *names).agg(F.min(own).alias("first"))
-    keys, choices = [], math.comb(blocks, 4)
-    for i in range(tables):
-        keys += block_keys(f"f{i}", blocks, 4, table=i * choices)
-    check = names[tables:]
-    found = links(nodes, keys, "fp", check, allowed_bits(similarity, 64 * checks))
+    nodes = prints.groupBy("fp", *keys, *check).agg(F.min(own).alias("first"))
+    found = links(nodes, [F.col(k) for k in keys], "fp", check, allowed_bits(similarity, 64 * checks))
     labels = component_ids(nodes.select("fp", "first"), found)
     return prints.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", F.col("_component").alias("least"))
 

@@ -172,6 +172,51 @@ def test_near_copies(docs, odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited_pairs(low, high, each, passages=(60, 200, 800)):
+    """Pairs of texts of one Zipf vocabulary, a passage appended or replaced or words changed; their similarity is in the range."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 50_000]
+    pairs = []
+    for kind in ("appended", "replaced", "scattered"):
+        for passage in passages if kind != "scattered" else (40,):
+            found = 0
+            while found < each:
+                aim = rng.uniform(low, high)
+                if kind == "appended":
+                    base = draw(int(passage * aim / (1 - aim)))
+                    other = base + draw(passage)
+                else:
+                    base = draw(int(passage * (1 + aim) / (1 - aim)))
+                    at = int(rng.integers(0, len(base) - passage))
+                    other = base[:at] + draw(passage) + base[at + passage :]
+                if kind == "scattered":
+                    other = [f"new{i}" if i % 53 == 7 and i < aim * 2000 else w for i, w in enumerate(base)]
+                a, b = " ".join(base), " ".join(other)
+                if kind == "scattered" or low <= jaccard(a, b) <= high:
+                    pairs.append((a, b))
+                    found += 1
+    return pairs
+
+
+def test_near_copies_by_passages(docs):
+    """Every pair at 0.8 or above is joined, whatever was edited."""
+    pairs = [(a, b) for a, b in edited_pairs(0.80, 0.87, 12) if jaccard(a, b) >= 0.8]
+    assert len(pairs) >= 72
+    rows = [(2 * i + side, t) for i, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    kept = {r.doc_id for r in simhash.keep_one(docs(*rows)).collect()}
+    assert kept == {2 * i for i in range(len(pairs))}
+
+
 # --- shards ------------------------------------------------------------------------------------
 
 
