@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.arrow import mapped, sliced
+from quadweave.llm.arrow import mapped, send_package, sliced
 from quadweave.llm.common import pick_rows, whole
 from quadweave.llm.graph import components
 from quadweave.session import stage
 
 #: Fingerprints in a chunk of a key with many; a task compares two chunks.
 CHUNK = 2048
+#: Texts in a chunk of a group of candidates too large for one task, and those of a group that go to all its chunks.
+SHARE, HUBS = 512, 8
 #: Shingles hashed at once.
 STEP = 1 << 16
 
@@ -253,15 +255,106 @@ def allowed_bits(similarity: float, bits: int) -> int:
     return math.floor(bits * chance + 4 * math.sqrt(bits * chance * (1 - chance)))
 
 
+def shingle_sets(docs: DataFrame, members: DataFrame, check: Sequence[str], width: int, seed: int = 42) -> DataFrame:
+    """(fp, root, shingles) and the ``check`` columns of ``members``, whose doc_id and text_hash find the text in ``docs``."""
+    own = [F.col("doc_id"), F.col("text_hash")]
+    found = pick_rows(docs, members, own, ["doc_id", "text_hash"], "fp", "root", *check)
+    names = ["fp", "root", *check]
+    slim = found.select(*names, whole(F.col("row.text")).cast("binary").alias("_text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "_text"):
+            sets = [np.unique(shingle_hashes(x.lower().split(), width, seed)).tobytes() for x in batch["_text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(sets, pa.binary())], [*names, "shingles"])
+
+    return stage(mapped(slim, run, ", ".join(f"{c} long" for c in names) + ", shingles binary"))
+
+
+def similar(labels: np.ndarray, active: np.ndarray, values: np.ndarray, sets: list[np.ndarray], distance: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (i, j) of at least this Jaccard similarity that join all labels which such links of ``active`` rows can join."""
+    labels, a, b = labels.copy(), [], []
+    edges = np.cumsum([0, *map(len, sets)])
+    numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(numbers), bool)
+    for at in np.flatnonzero(active).tolist():
+        apart = labels != labels[at]
+        apart[:at] &= ~active[:at]
+        rest = np.flatnonzero(apart)
+        near = rest[np.bitwise_count(values[rest] ^ values[at]).sum(axis=1) <= distance].tolist()
+        if not near:
+            continue
+        own = flat[edges[at] : edges[at + 1]]
+        marked[own] = True
+        for other in near:
+            if labels[other] == labels[at]:
+                continue
+            common = int(np.count_nonzero(marked[flat[edges[other] : edges[other + 1]]]))
+            if common >= similarity * (len(own) + len(sets[other]) - common) - 1e-9:
+                a.append(at)
+                b.append(other)
+                labels[labels == labels[other]] = labels[at]
+        marked[own] = False
+    return a, b
+
+
+def confirmed(sets: DataFrame, check: Sequence[str], distance: int, similarity: float, share: int = SHARE) -> DataFrame:
+    """(a, b): links of exactly ``similarity`` or more among the members of each ``root``, enough to reach all that such links reach.
+
+    A root with more than ``share`` members is cut into chunks of about so many. First each chunk is linked
+    on its own together with a few members that all chunks of the root get, which joins what is mostly
+    near copies. What is then outside the largest component of its root meets every chunk of the root.
+    """
+    names = ["root", "low", "high", "fp", "label", "active", *check, "shingles"]
+
+    def link(key: tuple, given: pa.Table) -> pa.Table:
+        given = given.combine_chunks().sort_by("fp")
+        fp = given["fp"].to_numpy()
+        values = np.stack([given[c].to_numpy() for c in check], axis=1).view(np.uint64)
+        held = [np.frombuffer(x, np.uint64) for x in given["shingles"].to_pylist()]
+        a, b = similar(given["label"].to_numpy(), given["active"].to_numpy(), values, held, distance, similarity)
+        return pa.table({"a": fp[a] if a else np.empty(0, np.int64), "b": fp[b] if b else np.empty(0, np.int64)})
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return stage(rows.select(*names).groupBy("root", "low", "high").applyInArrow(link, "a long, b long"))
+
+    send_package(sets.sparkSession)
+    counts = sets.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
+    large = stage(counts.select("_root", F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    cut = sets.join(F.broadcast(large), F.col("root") == F.col("_root"), "left")
+    part = F.pmod(F.xxhash64("fp"), F.coalesce("_parts", F.lit(1))).cast("int")
+    cut = cut.withColumns({"part": part, "_draw": F.xxhash64("fp", F.lit(1))})
+    hubs = cut.filter("_parts is not null").groupBy("root", F.pmod("_draw", F.lit(HUBS))).agg(F.min("fp").alias("_hub")).select("_hub")
+    first = cut.join(F.broadcast(hubs), F.col("fp") == F.col("_hub"), "left")
+    everywhere = F.when(F.col("_hub").isNotNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array("part"))
+    first = first.withColumns({"low": F.explode(everywhere), "high": F.lit(0), "label": F.col("fp"), "active": F.lit(True)})
+    within = linked(first)
+    if large.isEmpty():
+        return within
+    joined = components(within, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("_label"))
+    cut = cut.filter("_parts is not null").join(joined, F.col("fp") == F.col("_node"), "left").withColumn("label", F.coalesce("_label", "fp"))
+    labels = stage(cut.select("fp", "root", "label", "part", "_parts", "_draw"))
+    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("_size"))
+    main = sizes.groupBy("root").agg(F.max(F.struct("_size", "label")).alias("_main"), F.sum("_size").alias("_all"))
+    outside = F.col("_all") - F.col("_main._size")
+    main = main.filter(outside > 0).select(F.col("root").alias("_r"), F.col("_main.label").alias("_most"), F.ceil(outside / share).cast("int").alias("_others"))
+    open_ = labels.join(F.broadcast(main), F.col("root") == F.col("_r")).withColumn("_mine", F.pmod("_draw", F.col("_others")).cast("int"))
+    left = open_.withColumns({"low": F.col("part"), "high": F.explode(F.sequence(F.lit(0), F.col("_others") - 1)), "active": F.lit(False)})
+    right = open_.filter("label != _most").withColumns({"low": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "high": F.col("_mine"), "active": F.lit(True)})
+    places = [x.select(F.col("fp").alias("_fp"), "low", "high", "label", "active") for x in (left, right)]
+    again = places[0].unionByName(places[1]).join(sets, F.col("_fp") == F.col("fp"))
+    return within.unionByName(linked(again))
+
+
 def near_groups(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, checks: int = 4, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, checks: int = 4, text: str = "text", doc_id: str = "doc_id", share: int = SHARE
 ) -> DataFrame:
     """(doc_id, text_hash, least): every row with the (doc_id, text_hash) that stays for its group.
 
     Texts meet by minima of their distinct ``width``-word shingles, in ``bands`` of ``rows``: whatever
     an edit is, passages or single words, two texts miss each other with the chance
     (1 - s ** rows) ** bands, 7 in 100 000 at a similarity of 0.8. They are then held to the distance
-    that ``similarity`` allows between sketches. Groups are what links reach.
+    that ``similarity`` allows between sketches. What such links reach is only a group of candidates:
+    the groups are what links of :func:`confirmed` reach.
     Texts without words are one group; the row with the smallest identifier stays, a null one last,
     and of rows that share an identifier the one with the smallest hash of its text.
     """
@@ -270,8 +363,11 @@ def near_groups(
     keys, check = [f"k{i}" for i in range(bands)], [f"c{i}" for i in range(checks)]
     own = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     nodes = prints.groupBy("fp", *keys, *check).agg(F.min(own).alias("first"))
-    found = links(nodes, [F.col(k) for k in keys], "fp", check, allowed_bits(similarity, 64 * checks))
-    labels = component_ids(nodes.select("fp", "first"), found)
+    distance = allowed_bits(similarity, 64 * checks)
+    found = components(links(nodes, [F.col(k) for k in keys], "fp", check, distance), "a", "b")
+    members = nodes.select("fp", "first.doc_id", "first.text_hash", *check).join(found, F.col("fp") == F.col("node"))
+    sets = shingle_sets(slim, members, check, width)
+    labels = component_ids(nodes.select("fp", "first"), confirmed(sets, check, distance, similarity, share))
     return prints.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", F.col("_component").alias("least"))
 
 

@@ -217,6 +217,37 @@ def test_near_copies_by_passages(docs):
     assert kept == {2 * i for i in range(len(pairs))}
 
 
+def exact_groups(texts):
+    """For each text the first one that links of 0.8 or more reach."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("share", [simhash.SHARE, 5])
+def test_near_copies_are_confirmed(docs, share):
+    """Pairs below 0.8 stay apart, also where candidates chain and where a large group is cut into chunks."""
+    pairs = edited_pairs(0.65, 0.79, 6, passages=(60, 200))
+    texts = [t for pair in pairs for t in pair]
+    rng = np.random.default_rng(5)
+    base = [f"b{x}" for x in rng.integers(0, 4000, 400)]
+    for i in range(60):
+        text = list(base)
+        # Groups of three, each near copies of one another, whose likeness to other groups is below 0.8.
+        for at in np.random.default_rng(i // 3).choice(400, 9, replace=False):
+            text[int(at)] = f"group{i // 3}x{at}"
+        text[i % 3 * 100] = f"own{i}"
+        texts.append(" ".join(text))
+    groups = simhash.near_groups(docs(*enumerate(texts)), share=share).collect()
+    want = exact_groups(texts)
+    assert 12 < len(set(want[-60:])) < 60
+    assert {r.doc_id: r.least.doc_id for r in groups} == dict(enumerate(want))
+
+
 # --- shards ------------------------------------------------------------------------------------
 
 
