@@ -268,6 +268,14 @@ def test_lm_beats_single_tokens_on_held_out(spark):
     assert rows[0] > rows[1]
 
 
+def test_lm_query_has_contexts_of_two_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1
+    want = {r.doc_id: r.score for r in lm.score(docs, training, order=3)[0].collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op3_lm_scores"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 @pytest.mark.parametrize("n,top", [(0, 9), (1, 1), (1, 2**61), (7, 7), (900, 300), (900, 2**40), (5000, 2**16), (900, 2**62)])
 def test_elias_fano(n, top):
     rng = np.random.default_rng(n)
