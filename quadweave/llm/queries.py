@@ -121,7 +121,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_wavelet_tokens")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
-    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), added=True)
     return wavelet.digests(wavelet.read(spark, path))
 
 

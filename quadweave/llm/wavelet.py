@@ -174,9 +174,11 @@ class Words:
     For vocabularies that lower-case, drop white space and cut words at changes between letters,
     digits and other signs: there the ids of a text are those of its words, and the signs after a
     word's last letter can be taken alone. All ids learnt stand end to end; a word is a stretch of them.
+    With ``added``, a text that has an added token's string in it, in any case, goes whole to the
+    tokenizer as it is in the file, which gives that string its one id; without, it is text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -185,6 +187,8 @@ class Words:
         self.plain = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None}))
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.tokenizer.encode_special_tokens = True
+        self.unchanged = Tokenizer.from_file(path)
+        self.added = [t.content.lower().encode() for t in self.unchanged.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -248,6 +252,21 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
+        lowered = (x.lower() for x in texts)
+        marked = [i for i, x in enumerate(lowered) if any(t in x for t in self.added)] if self.added else []
+        if not marked:
+            return self._encode_words(texts)
+        rest = list(texts)
+        for i in marked:
+            rest[i] = b""
+        ids, lengths = self._encode_words(rest)
+        pieces = np.split(ids, np.cumsum(lengths)[:-1])
+        found = self.unchanged.encode_batch_fast([texts[i].decode() for i in marked], add_special_tokens=False)
+        for i, e in zip(marked, found):
+            pieces[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+
+    def _encode_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > MEMO:
             self.forget()
         split = [x.split() for x in texts]
@@ -266,8 +285,8 @@ class Words:
 
 
 @lru_cache(maxsize=1)
-def words_of(path: str) -> Words:
-    return Words(path)
+def words_of(path: str, added: bool = False) -> Words:
+    return Words(path, added)
 
 
 def shards_of(docs: Iterable[tuple[object, np.ndarray]], limit: int = SHARD_TOKENS) -> Iterator[tuple[list, list[int], Matrix]]:
@@ -284,13 +303,15 @@ def shards_of(docs: Iterable[tuple[object, np.ndarray]], limit: int = SHARD_TOKE
         yield names, lengths, Matrix.build(np.concatenate(parts))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, text: str = "text", doc_id: str = "doc_id") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, text: str = "text", doc_id: str = "doc_id", added: bool = False) -> None:
     """Encode whole texts and write them as shards, in ascending order of identifier.
 
     A null text counts as empty; every document ends with ``end_id``, if one is given. Nulls come
     first in order, rows with one identifier in the order of a hash of their text. An empty table
     makes a folder without shards. Documents are put in order by range, so a task holds one shard at
     a time, and each shard says how many ids come before it in its part (the task that wrote it).
+    With ``added``, strings of the tokenizer's added tokens have their single ids, as in the library's
+    own encoding.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -301,7 +322,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        words = words_of(tokenizer)
+        words = words_of(tokenizer, added)
 
         def encoded():
             for batch in sliced(batches, "text"):

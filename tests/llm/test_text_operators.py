@@ -340,6 +340,20 @@ def test_wavelet_query(spark):
         at += len(ids)
 
 
+def test_wavelet_query_takes_added_tokens_as_the_library(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b, don't", "<|ENDOFTEXT|> É <|endoftext|", "", "plain words", "<|endoftext|>" * 3]
+    docs(*enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    for r in sorted(QUERIES["op7_wavelet_tokens"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert at > 0
+
+
 def whole_bpe():
     import tiktoken
 
