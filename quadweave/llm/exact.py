@@ -1,10 +1,11 @@
-"""Exact de-duplication by a tree merge of digest runs.
-
-Every input partition is one sorted run of (digest, length) entries, each with the identifier that
-stays and the number of rows. Runs whose numbers share the upper bits are merged in rounds, ``fan_in``
-at a time, until one run is left; at every level an entry keeps the extreme identifier among entries
-whose digest and byte length both agree. The entries of a run are spread over tasks by digest, so no
-task ever holds a whole run, and a text that a third of all rows share is one entry per run.
+"""Exact de-duplication by a tree of salted aggregations over digests.
+
+Every input partition is one run, by its number modulo ``RUNS``, of (digest, length) entries, each
+with the identifier that stays and the number of rows. Runs whose numbers share the upper bits meet
+in rounds, ``fan_in`` at a time, until one is left; at every level an entry keeps the extreme
+identifier among entries whose digest and byte length both agree. No run is sorted or exchanged as a
+whole: a round is a grouping by (run, digest, length), whose entries are spread over tasks by hash, so
+no task ever holds a whole run, and a text that a third of all rows share is one entry per run.
 """
 
 from __future__ import annotations
