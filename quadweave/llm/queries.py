@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadweave.llm import bpe, exact, lm, mixing, quality, shards, simhash, toxicity, urls, wavelet
+from quadweave.llm import bpe, clusters, exact, lm, merkle, mixing, oracles, quality, shards, simhash, topk, toxicity, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
 from quadweave.session import shared_folder
@@ -139,3 +139,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+
+
+@query("op11_ns_bounds_clusters", oracles.kmeans(40, 5, 64))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, centroids, _ = clusters.kmeans(table(spark, sf_dir, "embeddings"))
+    return clusters.report(labels, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op12_merkle_manifest", oracles.manifest(8, 8, 3))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = merkle.manifest(table(spark, sf_dir, "documents"), touched)
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_exact_topk", oracles.TOPK)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
