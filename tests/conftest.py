@@ -5,10 +5,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
-from quadweave.schema import BNODE, IRI, LITERAL, QUADS, XSD, empty_snapshot, local_table  # noqa: E402
+from quadweave.schema import QUADS, empty_snapshot, local_table  # noqa: E402
 from quadweave.session import build_session  # noqa: E402
+from support import row  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,25 +28,11 @@ def spark():
     yield session
 
 
-def row(s, p, o, g):
-    """A quad of short names; ``"'x"`` is a plain literal, ``_:x`` a blank node, anything else an IRI."""
-    if o.startswith("'"):
-        return (g, s, IRI, p, o[1:], LITERAL, XSD + "string", "")
-    return (g, s, BNODE if s.startswith("_:") else IRI, p, o, BNODE if o.startswith("_:") else IRI, "", "")
-
-
 @pytest.fixture
 def quads(spark):
     return lambda *rows: local_table(spark, [row(*r) for r in rows], QUADS)
 
 
-def shown(df):
-    """Quads as a set of (s, p, o, g)."""
-    found = [(r.s, r.p, ("'" if r.o_kind == LITERAL else "") + r.o, r.g) for r in df.collect()]
-    assert len(found) == len(set(found)), "a graph is a set"
-    return set(found)
-
-
 @pytest.fixture
 def blank(spark):
     return empty_snapshot(spark)

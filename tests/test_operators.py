@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import row, shown
+from support import row, shown
 from quadweave.functions import terms as T
 from quadweave.operators import inference, retention, slices, times, update, workflow, writes
 from quadweave.operators import patterns as pt

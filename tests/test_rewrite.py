@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import shown
+from support import shown
 from quadweave.functions import terms as T
 from quadweave.operators import lookup, rewrite, validate
 from quadweave.schema import TABLES, local_table

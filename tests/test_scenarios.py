@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from conftest import shown
+from support import shown
 from quadweave.functions.scalars import draft_graph_iri
 from quadweave.operators import publish, state, workflow, writes
 from quadweave.schema import TABLES, Vocabulary, local_table

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import shown
+from support import shown
 from quadweave.schema import QUAD_COLS, RDF_LANG_STRING, XSD, struct
 from quadweave.schema import local_table
 from quadweave.sources import generator, quads as source, sinks

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import shown
+from support import shown
 from quadweave.plans.workspace import DraftsetExists, DraftsetNotFound, NotOwner, StaleCommit, Workspace
 from quadweave.session import release, stage
 from quadweave.sources import sinks
