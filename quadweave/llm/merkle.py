@@ -56,20 +56,26 @@ def _siblings(nodes: DataFrame, fan_out: int) -> DataFrame:
         turned = nodes.select("tree", "idx", "n", offset.alias("_offset"))
         asked = turned.withColumn("_wanted", F.col("idx") - slot + (slot + F.col("_offset")) % fan_out)
     asked = asked.filter(F.col("_wanted") < F.col("n")).select("tree", "idx", "_wanted")
-    others = nodes.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("digest").alias("_digest"))
+    others = nodes.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.unhex("digest").alias("_digest"))
     met = asked.join(others, (F.col("tree") == F.col("_tree")) & (F.col("_wanted") == F.col("_idx")))
     found = met.groupBy(F.col("tree").alias("_tree"), F.col("idx").alias("_idx")).agg(F.array_sort(F.collect_list(F.struct("_wanted", "_digest"))).alias("_others"))
     joined = nodes.join(found, (F.col("tree") == F.col("_tree")) & (F.col("idx") == F.col("_idx")), "left")
-    side = lambda keep: F.coalesce(F.array_join(F.transform(F.filter("_others", keep), lambda x: x["_digest"]), ""), F.lit(""))
-    return joined.withColumns({"left": side(lambda x: x["_wanted"] < F.col("idx")), "right": side(lambda x: x["_wanted"] > F.col("idx"))}).select("tree", "idx", "n", "digest", "left", "right")
+    text = lambda x: F.lower(F.hex(x["_digest"]))
+    side = lambda keep: F.coalesce(F.array_join(F.transform(F.filter("_others", keep), text), ""), F.lit(""))
+    before, after = side(lambda x: x["_wanted"] < F.col("idx")), side(lambda x: x["_wanted"] > F.col("idx"))
+    return joined.select(*nodes.columns, before.alias("left"), after.alias("right"))
 
 
 class Forest:
-    """The trees over leaves (tree, idx, n, digest), level by level; a tree ends at its only node."""
+    """The trees over ``leaves``, written rows with tree, idx, n and digest, level by level; a tree ends at its only node.
+
+    All columns of the leaves stay with them in their level.
+    """
 
     def __init__(self, leaves: DataFrame, fan_out: int) -> None:
         self.fan_out, self.levels = fan_out, []
-        nodes = stage(leaves.select("tree", "idx", "n", "digest"))
+        self.more = [c for c in leaves.columns if c not in ("tree", "idx", "n")]
+        nodes = leaves
         longest = nodes.agg(F.max("n")).first()[0] or 0
         while longest > 1:
             level = stage(_siblings(nodes.filter("n > 1"), fan_out))
@@ -85,28 +91,30 @@ class Forest:
 
     def roots(self) -> DataFrame:
         """(tree, digest) of every tree."""
-        alone = [single for _, single in self.levels]
+        alone = [single.select("tree", "digest") for _, single in self.levels]
         out = alone[0]
         for one in alone[1:]:
             out = out.unionByName(one)
-        return out.select("tree", "digest")
+        return out
 
     def paths(self, tops: DataFrame | None = None) -> DataFrame:
-        """(tree, idx, path, root, subroot) of every leaf: the siblings (left, right) of each level up to the root.
+        """Every leaf with path, root and subroot: the siblings (left, right) of each level up to the root.
 
         ``subroot`` is the root of the leaf's own tree; ``tops`` (tree, path, root) go on from there.
+        Only parents' paths are shuffled, one for ``fan_out`` nodes.
         """
         if tops is None:
             tops = self.roots().select("tree", F.array().cast(_STEP).alias("path"), F.col("digest").alias("root"))
         tops = tops.select(F.col("tree").alias("_tree"), "path", "root")
         below = None
-        for level, single in reversed(self.levels):
-            found = single.join(tops, F.col("tree") == F.col("_tree")).select("tree", "idx", "path", "root", F.col("digest").alias("subroot"))
+        for depth, (level, single) in reversed(list(enumerate(self.levels))):
+            names = ["tree", "idx", *(self.more if depth == 0 else []), "path", "root", "subroot"]
+            found = single.join(tops, F.col("tree") == F.col("_tree")).withColumn("subroot", F.col("digest")).select(*names)
             if level is not None:
                 parents = below.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("path").alias("_path"), "root", "subroot")
                 met = level.join(parents, (F.col("tree") == F.col("_tree")) & (self._above("idx") == F.col("_idx")))
                 own = F.array(F.struct("left", "right")).cast(_STEP)
-                found = found.unionByName(met.select("tree", "idx", F.concat(own, F.col("_path")).alias("path"), "root", "subroot"))
+                found = found.unionByName(met.withColumn("path", F.concat(own, F.col("_path"))).select(*names))
             below = found
         return below
 
@@ -155,10 +163,7 @@ def manifest(
     named = leaves.filter("idx = 0").select(F.col("tree").alias("_tree"), "group")
     roots = trees.roots().join(named, F.col("tree") == F.col("_tree"))
     tops = stage(_numbered(roots.select(F.lit("").alias("tree"), "group", "digest", F.col("tree").alias("member")), ["group"]))
-    above = Forest(tops, fan_out).paths().select(F.col("idx").alias("_idx"), "path", "root")
-    tops = stage(tops.join(above, F.col("idx") == F.col("_idx")).select(F.col("member").alias("tree"), "path", "root"))
-    paths = trees.paths(tops).select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), "path", "root", "subroot")
-    met = leaves.join(paths, (F.col("tree") == F.col("_tree")) & (F.col("idx") == F.col("_idx")))
-    folded = met.withColumn("folded_root", fold(F.coalesce("changed", "digest"), F.col("path")))
+    tops = stage(Forest(tops, fan_out).paths().select(F.col("member").alias("tree"), "path", "root"))
+    folded = trees.paths(tops).withColumn("folded_root", fold(F.coalesce("changed", "digest"), F.col("path")))
     verified = (F.col("folded_root") == F.col("root")).alias("verified")
     return folded.select("doc_id", "group", F.col("digest").alias("leaf"), "subroot", "root", "path", "folded_root", verified)
