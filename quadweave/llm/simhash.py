@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from quadweave.llm.arrow import mapped, send_package, sliced
 from quadweave.llm.common import pick_rows, whole
-from quadweave.llm.graph import components
+from quadweave.llm.graph import groups
 from quadweave.session import stage
 
 #: Fingerprints in a chunk of a key with many; a task compares two chunks.
 CHUNK = 2048
-#: Texts in a chunk of a group of candidates too large for one task, and those of a group that go to all its chunks.
-SHARE, HUBS = 512, 8
+#: Texts and shingles in a chunk of a group of candidates too large for one task, and texts of a group that go to all its chunks.
+SHARE, SHINGLES, HUBS = 512, 1 << 22, 8
 #: Shingles hashed at once.
 STEP = 1 << 16
 
@@ -207,14 +207,14 @@ def classes(docs: DataFrame, distance: int = 4, blocks: int = 7, width: int = 4,
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, checks: int, seed: int = 42, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with fp, the band keys k0, k1, ... and the sketch c0, c1, ... (long).
+    """The ``keep`` columns of ``docs`` with fp, size, the band keys k0, k1, ... and the sketch c0, c1, ... (long).
 
     All are of the set of distinct ``width``-word shingles: ``fp`` is its hash, equal for equal sets. Of
     64 * ``checks`` minima, each under a hash of its own, one bit goes to the sketch; the first ones
     make the band keys, ``rows`` at a time.
     """
     slim = docs.select(*[F.col(c) for c in keep], whole(text).cast("binary").alias("_text"))
-    names = ["fp", *[f"k{i}" for i in range(bands)], *[f"c{i}" for i in range(checks)]]
+    names = ["fp", "size", *[f"k{i}" for i in range(bands)], *[f"c{i}" for i in range(checks)]]
     fields = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in names])
     if bands * rows > 64 * checks:
         raise ValueError("more minima in bands than there are")
@@ -224,17 +224,17 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, checks: int, se
         import xxhash
 
         for batch in sliced(batches, "_text"):
-            prints = np.zeros(batch.num_rows, np.uint64)
+            prints, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
             least = np.full((batch.num_rows, 64 * checks), (1 << 64) - 1, np.uint64)
             for row, text in enumerate(batch["_text"].to_pylist()):
                 hashes = np.unique(shingle_hashes(text.lower().split(), width, seed))
-                prints[row] = xxhash.xxh64_intdigest(hashes.tobytes(), seed)
+                prints[row], sizes[row] = xxhash.xxh64_intdigest(hashes.tobytes(), seed), len(hashes)
                 for at in range(0, len(hashes), 512):
                     found = (hashes[at : at + 512] * turns[0] + turns[1]).min(axis=1)
                     np.minimum(least[row], found, out=least[row])
             least = remixed(least, 1)
             bits = np.packbits((least >> np.uint64(63)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-            columns = [batch[c] for c in keep] + [pa.array(prints.view(np.int64))]
+            columns = [batch[c] for c in keep] + [pa.array(prints.view(np.int64)), pa.array(sizes)]
             for band in range(bands):
                 key = np.full(batch.num_rows, band, np.uint64)
                 for i in range(band * rows, (band + 1) * rows):
@@ -255,11 +255,9 @@ def allowed_bits(similarity: float, bits: int) -> int:
     return math.floor(bits * chance + 4 * math.sqrt(bits * chance * (1 - chance)))
 
 
-def shingle_sets(docs: DataFrame, members: DataFrame, check: Sequence[str], width: int, seed: int = 42) -> DataFrame:
-    """(fp, root, shingles) and the ``check`` columns of ``members``, whose doc_id and text_hash find the text in ``docs``."""
-    own = [F.col("doc_id"), F.col("text_hash")]
-    found = pick_rows(docs, members, own, ["doc_id", "text_hash"], "fp", "root", *check)
-    names = ["fp", "root", *check]
+def shingle_sets(docs: DataFrame, members: DataFrame, names: Sequence[str], width: int, seed: int = 42) -> DataFrame:
+    """The columns ``names`` (long) of ``members`` with ``shingles``; their doc_id and text_hash find the text in ``docs``."""
+    found = pick_rows(docs, members, [F.col("doc_id"), F.col("text_hash")], ["doc_id", "text_hash"], *names)
     slim = found.select(*names, whole(F.col("row.text")).cast("binary").alias("_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +295,14 @@ def similar(labels: np.ndarray, active: np.ndarray, values: np.ndarray, sets: li
     return a, b
 
 
-def confirmed(sets: DataFrame, check: Sequence[str], distance: int, similarity: float, share: int = SHARE) -> DataFrame:
+def confirmed(docs: DataFrame, members: DataFrame, check: Sequence[str], distance: int, similarity: float, width: int, share: int = SHARE) -> DataFrame:
     """(a, b): links of exactly ``similarity`` or more among the members of each ``root``, enough to reach all that such links reach.
 
-    A root with more than ``share`` members is cut into chunks of about so many. First each chunk is linked
-    on its own together with a few members that all chunks of the root get, which joins what is mostly
-    near copies. What is then outside the largest component of its root meets every chunk of the root.
+    ``members`` have fp, root, size (shingles), the ``check`` columns, doc_id and text_hash. A root with
+    more than ``share`` members, or ``SHINGLES`` shingles, is cut into chunks of about so many. First each
+    chunk is linked on its own together with a few members that all chunks of the root get, which joins
+    what is mostly near copies. What is then outside the largest component of its root meets every
+    chunk of the root.
     """
     names = ["root", "low", "high", "fp", "label", "active", *check, "shingles"]
 
@@ -315,36 +315,54 @@ def confirmed(sets: DataFrame, check: Sequence[str], distance: int, similarity:
         return pa.table({"a": fp[a] if a else np.empty(0, np.int64), "b": fp[b] if b else np.empty(0, np.int64)})
 
     def linked(rows: DataFrame) -> DataFrame:
-        return stage(rows.select(*names).groupBy("root", "low", "high").applyInArrow(link, "a long, b long"))
-
-    send_package(sets.sparkSession)
-    counts = sets.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
-    large = stage(counts.select("_root", F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
-    cut = sets.join(F.broadcast(large), F.col("root") == F.col("_root"), "left")
-    part = F.pmod(F.xxhash64("fp"), F.coalesce("_parts", F.lit(1))).cast("int")
-    cut = cut.withColumns({"part": part, "_draw": F.xxhash64("fp", F.lit(1))})
-    hubs = cut.filter("_parts is not null").groupBy("root", F.pmod("_draw", F.lit(HUBS))).agg(F.min("fp").alias("_hub")).select("_hub")
-    first = cut.join(F.broadcast(hubs), F.col("fp") == F.col("_hub"), "left")
-    everywhere = F.when(F.col("_hub").isNotNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array("part"))
-    first = first.withColumns({"low": F.explode(everywhere), "high": F.lit(0), "label": F.col("fp"), "active": F.lit(True)})
-    within = linked(first)
+        return rows.select(*names).groupBy("root", "low", "high").applyInArrow(link, "a long, b long")
+
+    send_package(docs.sparkSession)
+    chunks = F.ceil(F.greatest(F.count("*") / share, F.sum("size") / SHINGLES))
+    large = stage(members.groupBy(F.col("root").alias("_root")).agg(chunks.cast("long").alias("parts")).filter("parts > 1"))
+    held = ["fp", "root", "part", *check]
     if large.isEmpty():
-        return within
-    joined = components(within, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("_label"))
-    cut = cut.filter("_parts is not null").join(joined, F.col("fp") == F.col("_node"), "left").withColumn("label", F.coalesce("_label", "fp"))
-    labels = stage(cut.select("fp", "root", "label", "part", "_parts", "_draw"))
+        sets = shingle_sets(docs, members.withColumn("part", F.lit(0).cast("long")), held, width)
+        return linked(sets.withColumns({"low": F.col("part"), "high": F.lit(0), "label": F.col("fp"), "active": F.lit(True)}))
+    cut = members.join(large, F.col("root") == F.col("_root"), "left").drop("_root")
+    cut = cut.withColumns({"part": F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))), "draw": F.xxhash64("fp", F.lit(1))})
+    cut = stage(cut.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))))
+    hubs = cut.filter("parts > 1").groupBy("root", F.pmod("draw", F.lit(HUBS))).agg(F.min("fp").alias("_hub")).select("_hub")
+    marked = cut.join(hubs, F.col("fp") == F.col("_hub"), "left").withColumn("hub", F.col("_hub").isNotNull().cast("long")).drop("_hub")
+    sets = shingle_sets(docs, marked, [*held, "parts", "hub"], width)
+    everywhere = F.when(F.col("hub") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = sets.withColumns({"low": F.explode(everywhere), "high": F.lit(0), "label": F.col("fp"), "active": F.lit(True)})
+    within = stage(linked(first))
+    roots = groups(within, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("_label"))
+    cut = cut.filter("parts > 1").join(roots, F.col("fp") == F.col("_node"), "left").withColumn("label", F.coalesce("_label", "fp"))
+    labels = stage(cut.select("fp", "root", "label", "part", "parts", "draw"))
     sizes = labels.groupBy("root", "label").agg(F.count("*").alias("_size"))
     main = sizes.groupBy("root").agg(F.max(F.struct("_size", "label")).alias("_main"), F.sum("_size").alias("_all"))
     outside = F.col("_all") - F.col("_main._size")
-    main = main.filter(outside > 0).select(F.col("root").alias("_r"), F.col("_main.label").alias("_most"), F.ceil(outside / share).cast("int").alias("_others"))
-    open_ = labels.join(F.broadcast(main), F.col("root") == F.col("_r")).withColumn("_mine", F.pmod("_draw", F.col("_others")).cast("int"))
+    main = stage(main.filter(outside > 0).select(F.col("root").alias("_r"), F.col("_main.label").alias("_most"), F.ceil(outside / F.lit(share)).cast("int").alias("_others")))
+    open_ = labels.join(main, F.col("root") == F.col("_r")).withColumn("_mine", F.pmod("draw", F.col("_others")).cast("int"))
     left = open_.withColumns({"low": F.col("part"), "high": F.explode(F.sequence(F.lit(0), F.col("_others") - 1)), "active": F.lit(False)})
-    right = open_.filter("label != _most").withColumns({"low": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "high": F.col("_mine"), "active": F.lit(True)})
+    right = open_.filter("label != _most").withColumns({"low": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "high": F.col("_mine"), "active": F.lit(True)})
     places = [x.select(F.col("fp").alias("_fp"), "low", "high", "label", "active") for x in (left, right)]
     again = places[0].unionByName(places[1]).join(sets, F.col("_fp") == F.col("fp"))
     return within.unionByName(linked(again))
 
 
+def _near(
+    docs: DataFrame, similarity: float, width: int, bands: int, rows: int, checks: int, text: str, doc_id: str, share: int
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (_fp, _component) of every fp: see :func:`near_groups`."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    prints = stage(sketches(slim, width, bands, rows, checks, keep=["doc_id", "text_hash"]))
+    keys, check = [f"k{i}" for i in range(bands)], [f"c{i}" for i in range(checks)]
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    nodes = stage(prints.groupBy("fp", "size", *keys, *check).agg(F.min(own).alias("first")))
+    distance = allowed_bits(similarity, 64 * checks)
+    found = groups(links(nodes, [F.col(k) for k in keys], "fp", check, distance), "a", "b")
+    members = stage(nodes.select("fp", "size", "first.doc_id", "first.text_hash", *check).join(found, F.col("fp") == F.col("node")).drop("node"))
+    return prints, component_ids(nodes.select("fp", "first"), confirmed(slim, members, check, distance, similarity, width, share))
+
+
 def near_groups(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, checks: int = 4, text: str = "text", doc_id: str = "doc_id", share: int = SHARE
 ) -> DataFrame:
@@ -358,28 +376,23 @@ def near_groups(
     Texts without words are one group; the row with the smallest identifier stays, a null one last,
     and of rows that share an identifier the one with the smallest hash of its text.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    prints = stage(sketches(slim, width, bands, rows, checks, keep=["doc_id", "text_hash"]))
-    keys, check = [f"k{i}" for i in range(bands)], [f"c{i}" for i in range(checks)]
-    own = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    nodes = prints.groupBy("fp", *keys, *check).agg(F.min(own).alias("first"))
-    distance = allowed_bits(similarity, 64 * checks)
-    found = components(links(nodes, [F.col(k) for k in keys], "fp", check, distance), "a", "b")
-    members = nodes.select("fp", "first.doc_id", "first.text_hash", *check).join(found, F.col("fp") == F.col("node"))
-    sets = shingle_sets(slim, members, check, width)
-    labels = component_ids(nodes.select("fp", "first"), confirmed(sets, check, distance, similarity, share))
+    prints, labels = _near(docs, similarity, width, bands, rows, checks, text, doc_id, share)
     return prints.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", F.col("_component").alias("least"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of near copies, with all its columns; see :func:`near_groups`."""
-    least = near_groups(docs, similarity, width, text=text, doc_id=doc_id).select("least.doc_id", "least.text_hash").distinct()
+    _, labels = _near(docs, similarity, width, 24, 5, 4, text, doc_id, SHARE)
+    least = labels.select("_component.doc_id", "_component.text_hash").distinct()
     return pick_rows(docs, least, [F.col(doc_id), F.xxhash64(F.col(text))], ["doc_id", "text_hash"]).select("row.*")
 
 
 def component_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(_fp, _component): for each node its component's smallest ``first``."""
-    roots = components(found, "a", "b").select(F.col("node").alias("_node"), "root")
-    rooted = nodes.join(roots, F.col("fp") == F.col("_node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_component"))
+    """(_fp, _component): for each node its component's smallest ``first``.
+
+    The table of the smallest is written, so that adaptive execution can cut a large component's rows in its join.
+    """
+    roots = groups(found, "a", "b").select(F.col("node").alias("_node"), "root")
+    rooted = stage(nodes.join(roots, F.col("fp") == F.col("_node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    smallest = stage(rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("_component")))
     return rooted.join(smallest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "_component")
