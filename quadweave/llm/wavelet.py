@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -173,9 +174,10 @@ class Words:
 
     For vocabularies that lower-case, drop white space and cut words at changes between letters,
     digits and other signs: there the ids of a text are those of its words, and the signs after a
-    word's last letter can be taken alone. All ids learnt stand end to end; a word is a stretch of them.
-    With ``added``, a text that has an added token's string in it, in any case, goes whole to the
-    tokenizer as it is in the file, which gives that string its one id; without, it is text like any other.
+    word can be taken alone if the word, composed and lower-cased, ends in a letter or a digit.
+    All ids learnt stand end to end; a word is a stretch of them.
+    With ``added``, a text that may have an added token's string in it goes whole to the tokenizer as
+    it is in the file, which gives that string its one id; without, it is text like any other.
     """
 
     def __init__(self, path: str, added: bool = False) -> None:
@@ -188,7 +190,12 @@ class Words:
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.tokenizer.encode_special_tokens = True
         self.unchanged = Tokenizer.from_file(path)
-        self.added = [t.content.lower().encode() for t in self.unchanged.get_added_tokens_decoder().values()] if added else []
+        tokens = list(self.unchanged.get_added_tokens_decoder().values()) if added else []
+        # Strings looked for in the text as it is, by what all of them begin with, and in the lower-cased one.
+        exact = [t.content.encode() for t in tokens if not t.normalized]
+        begins = os.path.commonprefix(exact)
+        self.exact = [begins] if begins else exact
+        self.loose = [t.content.lower().encode() for t in tokens if t.normalized]
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -209,7 +216,7 @@ class Words:
                 continue
             core = word.rstrip(_ENDING)
             tail = word[len(core) :]
-            if tail and not (core and (core[-1] in _PLAIN or _LETTER_END.search(core.decode()))):
+            if tail and not (core and (core[-1] in _PLAIN or _LETTER_END.search(unicodedata.normalize("NFC", core.decode()).lower()))):
                 core, tail = word, b""
             parts.append((core.lower() if core.isascii() else core, tail))
         self.numbers.waiting.clear()
@@ -252,8 +259,9 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
-        lowered = (x.lower() for x in texts)
-        marked = [i for i, x in enumerate(lowered) if any(t in x for t in self.added)] if self.added else []
+        marked = [i for i, x in enumerate(texts) if any(t in x for t in self.exact)]
+        if self.loose:
+            marked = [i for i, x in enumerate(texts) if any(t in x for t in self.exact) or any(t in x.lower() for t in self.loose)]
         if not marked:
             return self._encode_words(texts)
         rest = list(texts)
