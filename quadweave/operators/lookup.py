@@ -4,7 +4,8 @@ A dictionary of graph names is usually tiny next to the quads, but nothing guara
 helper here measures the small side first, reading at most ``BROADCAST_ROWS + 1`` row sizes of it:
 
 * up to ``LOCAL_ROWS`` rows become a local relation, so the dictionary is computed once however
-  often the plan uses it, and Catalyst knows its exact size;
+  often the plan uses it, and Catalyst knows its exact size; up to ``PUSHDOWN_KEYS`` of these are
+  literals of one projection or filter, without any join;
 * up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes are broadcast;
 * beyond that, it is a plain shuffle join, with the dictionary on the side that is repeated: adaptive
   execution cuts the partition of a hot graph, subject or predicate into as many tasks as its size
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +75,12 @@ def is_small(df: DataFrame) -> bool:
 
 
 def _localise(df: DataFrame, rows: list[tuple]) -> DataFrame:
-    made = local_table(df.sparkSession, rows, df.schema)
+    return _held(df.sparkSession, rows, df.schema)
+
+
+def _held(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    made = local_table(spark, rows, T.StructType(fields))
     made._settled, made._rows = True, rows
     return made
 
@@ -84,6 +90,31 @@ def local(df: DataFrame) -> DataFrame:
     return settle(df)[0]
 
 
+def join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``a.join(b, on, how)`` (inner, left, left_semi, left_anti); two local relations meet without a job."""
+    if not (_is_local(a) and _is_local(b)):
+        return a.join(b, on, how)
+    at, to = a.columns.index(on), b.columns.index(on)
+    found: dict = {}
+    for row in b._rows:
+        if row[to] is not None:
+            found.setdefault(row[to], []).append(row[:to] + row[to + 1 :])
+    if how in ("left_semi", "left_anti"):
+        return _localise(a, [r for r in a._rows if (r[at] in found) == (how == "left_semi")])
+    none = [(None,) * (len(b.columns) - 1)] if how == "left" else []
+    rows = [(r[at], *r[:at], *r[at + 1 :], *more) for r in a._rows for more in found.get(r[at], none)]
+    rest = [f for f in a.schema.fields if f.name != on] + [T.StructField(f.name, f.dataType) for f in b.schema.fields if f.name != on]
+    return _held(a.sparkSession, rows, T.StructType([a.schema[on], *rest]))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a.unionByName(b)``; of two local relations one is made without a job."""
+    if not (_is_local(a) and _is_local(b)):
+        return a.unionByName(b)
+    order = [b.columns.index(c) for c in a.columns]
+    return _localise(a, [*a._rows, *[tuple(r[i] for i in order) for r in b._rows]])
+
+
 def once(df: DataFrame) -> DataFrame:
     """``df``, computed once: a local relation if very small, else staged in the shared folder.
 
@@ -122,6 +153,11 @@ def translate(
     """
     pairs, small = settle(pairs if _is_local(pairs) else pairs.select(source, target))
     columns = df.columns
+    if _is_local(pairs) and len(pairs._rows) <= PUSHDOWN_KEYS:
+        found = _found_in(pairs, source, target, positions)
+        out = [F.coalesce(found[c], F.col(f"`{c}`")).alias(c) if c in found else F.col(f"`{c}`") for c in columns]
+        hit = F.coalesce(*found.values()).isNotNull() if found else F.lit(False)
+        return df.select(*out, *([hit.alias(mark)] if mark else []))
     for i, (value, kind) in enumerate(positions):
         side = pairs.select(F.col(source).alias(f"_k{i}"), F.col(target).alias(f"_v{i}"))
         match = F.col(value) == F.col(f"_k{i}")
@@ -135,6 +171,40 @@ def translate(
     return df.select(*out)
 
 
+def _found_in(pairs: DataFrame, source: str, target: str, positions: Sequence[tuple[str, str | None]]) -> dict[str, Column]:
+    """For each position the name that the few ``pairs`` give it, as an expression; NULL where they have none.
+
+    The test by hash set comes first, so only rows that hold one of the names search the map.
+    """
+    at, to = pairs.columns.index(source), pairs.columns.index(target)
+    given = {r[at]: r[to] for r in pairs._rows if r[at] is not None}
+    if not given:
+        return {}
+    known = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
+    inside = lambda value, kind: F.col(value).isin(list(given)) & (F.col(kind) == IRI if kind else F.lit(True))
+    return {value: F.when(inside(value, kind), F.element_at(known, F.col(value))) for value, kind in positions}
+
+
+def mentions(pairs: DataFrame, names: Sequence[str], positions: Sequence[tuple[str, str | None]]) -> Column | None:
+    """Does a row hold an IRI of any of the ``names`` columns of ``pairs``? None if they are too many for a filter."""
+    if not _is_local(pairs) or len(pairs._rows) * len(names) > PUSHDOWN_KEYS:
+        return None
+    at = [pairs.columns.index(n) for n in names]
+    known = list(dict.fromkeys(r[i] for r in pairs._rows for i in at if r[i] is not None))
+    found = F.lit(False)
+    for value, kind in positions if known else []:
+        found = found | F.col(value).isin(known) & (F.col(kind) == IRI if kind else F.lit(True))
+    return found
+
+
+def among(keys: DataFrame, key: str, column: str) -> Column | None:
+    """Is ``column`` one of ``keys``? None if they are too many for a filter."""
+    if not _is_local(keys) or len(keys._rows) > PUSHDOWN_KEYS:
+        return None
+    at = keys.columns.index(key)
+    return F.col(column).isin([r[at] for r in keys._rows])
+
+
 def _by_key(df: DataFrame, keys: DataFrame, column: str, key: str, how: str) -> DataFrame:
     keys, small = settle(keys if _is_local(keys) else keys.select(key))
     if _is_local(keys) and len(keys._rows) <= PUSHDOWN_KEYS:

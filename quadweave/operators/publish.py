@@ -31,7 +31,7 @@ def published_managed(snap: Snapshot, draftset: str, now, vocab: Vocabulary) ->
     no longer managed, unless another draftset also drafts it: then it stays, public but empty.
     """
     pairs = writes.user_pairs(snap, draftset, vocab)
-    filled = rewrite.non_empty(pairs, snap.draft).select("lg")
+    filled = rewrite.non_empty(pairs, snap.names("draft")).select("lg")
     elsewhere = snap.draft_graphs.filter(F.col("draftset") != draftset).select("lg")
     removed = pairs.select("lg").join(filled, "lg", "left_anti").join(elsewhere, "lg", "left_anti")
     touched = pairs.select("lg", F.lit(True).alias("_hit")).distinct()

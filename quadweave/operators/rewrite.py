@@ -20,16 +20,19 @@ ALL_POSITIONS = [*GRAPH_POSITION, *GRAPH_REF_POSITIONS]
 
 
 def non_empty(pairs: DataFrame, draft: DataFrame) -> DataFrame:
-    """Pairs whose draft graph holds at least one quad. Only the distinct graph names are shuffled."""
-    return lookup.local(pairs.join(_names(pairs, draft), "dg", "left_semi"))
+    """Pairs whose draft graph holds at least one quad. Only the distinct graph names are shuffled.
+
+    ``draft`` may also be the names alone, as :meth:`Snapshot.names` gives them without reading quads.
+    """
+    return lookup.local(lookup.join(lookup.local(pairs), _names(pairs, draft), "dg", "left_semi"))
 
 
 def _names(pairs: DataFrame, draft: DataFrame) -> DataFrame:
-    return lookup.keep(draft.select(F.col("g").alias("dg")), pairs, "dg", "dg").distinct()
+    return lookup.local(lookup.keep(draft.select(F.col("g").alias("dg")), pairs, "dg", "dg").distinct())
 
 
 def emptied(pairs: DataFrame, draft: DataFrame) -> DataFrame:
-    return lookup.local(pairs.join(_names(pairs, draft), "dg", "left_anti"))
+    return lookup.local(lookup.join(lookup.local(pairs), _names(pairs, draft), "dg", "left_anti"))
 
 
 def _select_pairs(
@@ -52,8 +55,16 @@ def _apply(draft: DataFrame, scope: DataFrame, pairs: DataFrame, source: str, ta
     """Translate the rows of the graphs in ``scope``; two quads that become equal are one quad.
 
     Only rows that mention a mapped graph under either name can collide, so only those are
-    deduplicated; the bulk of the data passes through without a shuffle.
+    deduplicated; the bulk of the data passes through without a shuffle. Few names are literals: then
+    one pass filters the rows that mention them, another lets all others through, and nothing is joined.
     """
+    scope, pairs = lookup.local(scope), lookup.local(pairs)
+    mentioned = lookup.mentions(pairs, [source, target], GRAPH_REF_POSITIONS)
+    inside_scope = lookup.among(scope, "dg", "g")
+    if mentioned is not None and inside_scope is not None:
+        hit = F.coalesce(inside_scope & mentioned, F.lit(False))
+        moved = lookup.translate(draft.filter(hit), pairs, source, target)
+        return draft.filter(~hit).select(*QUAD_COLS).unionByName(moved.select(*QUAD_COLS).dropDuplicates())
     inside = lookup.keep(draft, scope, key="dg")
     outside = lookup.drop(draft, scope, key="dg")
     names = pairs.select(F.col(source).alias("from"), F.col(target).alias("to"))
@@ -64,10 +75,13 @@ def _apply(draft: DataFrame, scope: DataFrame, pairs: DataFrame, source: str, ta
     return outside.select(*QUAD_COLS).unionByName(plain).unionByName(merged)
 
 
-def rewrite_draftset(draft: DataFrame, draft_graphs: DataFrame, draftset: str) -> DataFrame:
-    """Published names to draft names inside a draftset, skipping references to emptied drafts."""
+def rewrite_draftset(draft: DataFrame, draft_graphs: DataFrame, draftset: str, names: DataFrame | None = None) -> DataFrame:
+    """Published names to draft names inside a draftset, skipping references to emptied drafts.
+
+    ``names(g)`` are the graphs that hold quads, if they are known.
+    """
     scope = lookup.local(_select_pairs(draft_graphs, draftset, None, None))
-    return _apply(draft, scope, non_empty(scope, draft), "lg", "dg")
+    return _apply(draft, scope, non_empty(scope, draft if names is None else names), "lg", "dg")
 
 
 def unrewrite_draftset(
@@ -77,12 +91,16 @@ def unrewrite_draftset(
     only_emptied: bool = False,
     live_graphs: Iterable[str] | None = None,
     drafts: Iterable[str] | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Draft names back to published names; ``only_emptied`` limits it to references to empty drafts."""
+    """Draft names back to published names; ``only_emptied`` limits it to references to empty drafts.
+
+    ``names(g)`` are the graphs that hold quads, if they are known.
+    """
     scope = lookup.local(_select_pairs(draft_graphs, draftset, None, None))
     pairs = _select_pairs(scope, None, live_graphs, drafts)
     if only_emptied:
-        pairs = emptied(pairs, draft)
+        pairs = emptied(pairs, draft if names is None else names)
     return _apply(draft, scope, pairs, "dg", "lg")
 
 

@@ -144,7 +144,10 @@ def graph_status(is_public: Column, has_content: Column) -> Column:
 
 
 def change_rows(draft_graphs: DataFrame, managed_graphs: DataFrame, draft: DataFrame) -> DataFrame:
-    """``(draftset, lg, dg, status)`` of every draft graph."""
+    """``(draftset, lg, dg, status)`` of every draft graph.
+
+    ``draft`` may be the names alone of the graphs that hold quads, as :meth:`Snapshot.names` has them.
+    """
     filled = draft.select(F.col("g").alias("dg")).distinct().withColumn("_filled", F.lit(True))
     return (
         draft_graphs.join(managed_graphs.select("lg", "is_public"), "lg")
@@ -168,8 +171,12 @@ def changes_map(changes: DataFrame) -> DataFrame:
 
 def bounded_counts(quads: DataFrame, most: int | None = None) -> DataFrame:
     """Statements per graph, reported as ``most + 1`` beyond the bound if there is one."""
-    size = F.count("*") if most is None else F.least(F.count("*"), F.lit(most + 1))
-    return quads.groupBy("g").agg(size.alias("size"))
+    return bounded(quads.groupBy("g").agg(F.count("*").alias("n")), most)
+
+
+def bounded(sizes: DataFrame, most: int | None = None) -> DataFrame:
+    """Kept sizes ``(g, n)`` as :func:`bounded_counts` reports them, without a look at the quads."""
+    return sizes.select("g", (F.col("n") if most is None else F.least("n", F.lit(most + 1))).alias("size"))
 
 
 def graph_size(quads: DataFrame, graph: str, most: int) -> int:

@@ -67,22 +67,20 @@ def affected(ops: DataFrame) -> DataFrame:
     )
 
 
-def graph_meta(
-    graphs_: DataFrame,
-    draftset: str,
-    live: DataFrame,
-    draft: DataFrame,
-    managed_graphs: DataFrame,
-    draft_graphs: DataFrame,
-    most: int | None = None,
-) -> DataFrame:
+def _sizes(snap: Snapshot, store: str, graphs_: DataFrame, key: str, most: int | None) -> DataFrame:
+    """Bounded sizes of the graphs named: kept ones if there are any, else counted among those graphs alone."""
+    if snap.counts is not None:
+        return state.bounded(snap.sizes(store), most)
+    return state.bounded_counts(lookup.keep(getattr(snap, store), graphs_, key=key), most)
+
+
+def graph_meta(graphs_: DataFrame, draftset: str, snap: Snapshot, most: int | None = None) -> DataFrame:
     """State and bounded sizes of ``graphs_(lg)``; drafts in other draftsets do not count."""
-    mine = draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg")
-    public = managed_graphs.filter("is_public").select("lg", F.lit(True).alias("_live"))
+    mine = snap.draft_graphs.filter(F.col("draftset") == draftset).select("lg", "dg")
+    public = snap.managed_graphs.filter("is_public").select("lg", F.lit(True).alias("_live"))
     wanted = graphs_.join(mine, "lg", "left").join(public, "lg", "left")
-    live_sizes = state.bounded_counts(lookup.keep(live, graphs_, key="lg"), most)
-    drafts = wanted.filter(F.col("dg").isNotNull()).select("dg")
-    draft_sizes = state.bounded_counts(lookup.keep(draft, drafts, key="dg"), most)
+    live_sizes = _sizes(snap, "live", graphs_, "lg", most)
+    draft_sizes = _sizes(snap, "draft", wanted.filter(F.col("dg").isNotNull()).select("dg"), "dg", most)
     zero = F.lit(0).cast("bigint")
     return (
         wanted.join(live_sizes.select(F.col("g").alias("lg"), F.col("size").alias("_ls")), "lg", "left")
@@ -115,7 +113,7 @@ def plan(snap: Snapshot, draftset: str, ops: DataFrame, max_size: int | None = N
     drop, or a loud drop of a graph that is not there yet.
     """
     about = affected(ops)
-    meta = graph_meta(about.select("lg"), draftset, snap.live, snap.draft, snap.managed_graphs, snap.draft_graphs, max_size)
+    meta = graph_meta(about.select("lg"), draftset, snap, max_size)
     joined = about.join(meta, "lg")
     data_first = F.col("first_op") != "drop"
     missing = (F.col("state") == "unmanaged") & F.col("first_loud_drop").isNotNull() & (

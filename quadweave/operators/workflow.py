@@ -121,7 +121,7 @@ def summary(snap: Snapshot) -> DataFrame:
         F.array_sort(F.collect_set("view_user")).alias("view_users"),
         F.array_sort(F.collect_set("view_permission")).alias("view_permissions"),
     )
-    changes = state.changes_map(state.change_rows(snap.draft_graphs, snap.managed_graphs, snap.draft))
+    changes = state.changes_map(state.change_rows(snap.draft_graphs, snap.managed_graphs, snap.names("draft")))
     return (
         snap.draftsets.join(snap.submissions, "draftset", "left")
         .join(shares, "draftset", "left")

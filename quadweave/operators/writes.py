@@ -39,21 +39,28 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def with_clones(
-    snap: Snapshot, mine: DataFrame, old: DataFrame, clones: DataFrame, started: DataFrame | None = None
+    snap: Snapshot,
+    mine: DataFrame,
+    old: DataFrame,
+    clones: DataFrame,
+    started: DataFrame | None = None,
+    names: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs that held quads, pairs that now start to, stored quads with the clones added).
 
     ``clones(lg, dg)`` are live graphs to copy in; ``started`` the drafts that get quads now, by
-    default the clones. Stored references change only for graphs that start to hold quads.
+    default the clones; ``names(g)`` the draft graphs that hold quads, by default those of ``snap``.
+    Stored references change only for graphs that start to hold quads.
     """
-    filled = rewrite.non_empty(old, mine).select("lg", "dg")
+    filled = rewrite.non_empty(old, snap.names("draft") if names is None else names).select("lg", "dg")
     started = clones if started is None else started
-    started = lookup.local(started.join(filled.select("lg"), "lg", "left_anti").select("lg", "dg"))
+    filled = lookup.local(filled)
+    started = lookup.local(lookup.join(lookup.local(started), filled, "dg", "left_anti").select("lg", "dg"))
     base = mine.select(*QUAD_COLS)
     if not is_empty(started):
         base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
     if not is_empty(clones):
-        named = lookup.local(filled.unionByName(started))
+        named = lookup.local(lookup.union(filled, started))
         cloned = graphs.clone(snap.live, clones)
         base = base.unionByName(lookup.translate(cloned, named, "lg", "dg", GRAPH_REF_POSITIONS))
     return filled, started, base
@@ -72,16 +79,16 @@ def append(
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
-    fresh = lookup.local(touched.join(old, "lg", "left_anti"))
+    fresh = lookup.local(lookup.join(touched, old, "lg", "left_anti"))
     created = state.new_drafts(fresh, draftset, now, vocab)
     new_pairs = lookup.local(created.select("lg", "dg"))
-    public = snap.managed_graphs.filter("is_public").select("lg")
-    pairs = lookup.local(old.unionByName(new_pairs))
+    public = lookup.local(lookup.keep(snap.managed_graphs.filter("is_public").select("lg"), fresh, "lg"))
+    pairs = lookup.local(lookup.union(old, new_pairs))
     mine, others = split_draft(snap, draftset, old)
-    clones = lookup.local(new_pairs.join(public, "lg", "left_semi"))
-    hit = lookup.local(pairs.join(touched, "lg", "left_semi"))
+    clones = lookup.local(lookup.join(new_pairs, public, "lg", "left_semi"))
+    hit = lookup.local(lookup.join(pairs, touched, "lg", "left_semi"))
     filled, started, base = with_clones(snap, mine, old, clones, hit)
-    named = lookup.local(filled.unionByName(started))
+    named = lookup.local(lookup.union(filled, started))
     # Only the graphs that the batch names can hold any of it; the others pass by.
     inside, outside = lookup.keep(base, hit, key="dg"), lookup.drop(base, hit, key="dg")
     after = outside.unionByName(lookup.add_new(inside, to_stored(incoming, named, pairs), like=incoming))
@@ -105,32 +112,33 @@ def delete(
         quads = assign_graph(quads, graph)
     outgoing = lookup.once(quads if quads.columns == QUAD_COLS else quads.select(*QUAD_COLS))
     check_graphs(outgoing)
-    managed = snap.managed_graphs.select("lg", "is_public")
-    touched = lookup.local(outgoing.select(F.col("g").alias("lg")).distinct().join(managed, "lg"))
+    sizes = lookup.local(outgoing.groupBy(F.col("g").alias("lg")).agg(F.count("*").alias("gone")))
+    managed = lookup.local(lookup.keep(snap.managed_graphs.select("lg", "is_public"), sizes, "lg", "lg"))
+    touched = lookup.local(lookup.join(sizes, managed, "lg"))
     if is_empty(touched):
         return snap
     state.check_unprotected(touched, vocab)
     old = pairs_of(snap, draftset)
-    created = state.new_drafts(
-        touched.filter("is_public").join(old, "lg", "left_anti"), draftset, now, vocab
-    )
+    public = lookup.local(touched.filter("is_public"))
+    created = state.new_drafts(lookup.join(public, old, "lg", "left_anti"), draftset, now, vocab)
     new_pairs = lookup.local(created.select("lg", "dg"))
-    pairs = lookup.local(old.unionByName(new_pairs))
+    pairs = lookup.local(lookup.union(old, new_pairs))
     mine, others = split_draft(snap, draftset, old)
     filled, started, base = with_clones(snap, mine, old, new_pairs)
-    named = lookup.local(filled.unionByName(started))
-    hit = lookup.local(pairs.join(touched.select("lg"), "lg", "left_semi"))
+    named = lookup.local(lookup.union(filled, started))
+    hit = lookup.local(lookup.join(pairs, touched, "lg", "left_semi"))
     # Only the graphs that the batch names can lose any quad; the others pass by.
     inside, outside = lookup.keep(base, hit, key="dg"), lookup.drop(base, hit, key="dg")
     rest = lookup.minus(inside, to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
     left = outside.unionByName(rest)
-    still = rewrite.non_empty(hit, rest)
+    # Only a graph with no more quads than the batch names in it can have lost all of them.
+    unsure = _within(snap, lookup.join(hit, lookup.local(touched.select("lg", "gone")), "lg"), new_pairs)
+    still = rewrite.non_empty(unsure, lookup.keep(rest, unsure, key="dg"))
     # References to drafts that have just lost their last quad go back to the published name.
-    ended = lookup.local(hit.join(still.select("dg"), "dg", "left_anti").select("lg", "dg"))
+    ended = lookup.local(lookup.join(unsure, still, "dg", "left_anti").select("lg", "dg"))
     after = left if is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
-    vanished = lookup.local(
-        ended.join(touched.filter(~F.col("is_public")), "lg", "left_semi").select("lg", "dg")
-    )
+    private = lookup.local(touched.filter(~F.col("is_public")))
+    vanished = lookup.local(lookup.join(ended, private, "lg", "left_semi"))
     draft_graphs = snap.draft_graphs.unionByName(created).join(vanished.select("dg"), "dg", "left_anti")
     draft_graphs = draft_graphs.select(*state.columns_of("draft_graphs"))
     snap = snap.but(
@@ -138,10 +146,22 @@ def delete(
         draft_graphs=draft_graphs,
         managed_graphs=times.drop_orphans(snap.managed_graphs, draft_graphs, vanished),
     )
-    kept = lookup.local(hit.join(vanished.select("dg"), "dg", "left_anti"))
+    kept = lookup.local(lookup.join(hit, vanished, "dg", "left_anti"))
     return _after_delete(snap, draftset, kept, vanished, now, vocab)
 
 
+def _within(snap: Snapshot, hit: DataFrame, cloned: DataFrame) -> DataFrame:
+    """The pairs of ``hit(lg, dg, gone)`` that hold at most ``gone`` quads, clones counted with the live graph; all, if no counts are kept."""
+    if snap.counts is None:
+        return lookup.local(hit.select("lg", "dg"))
+    live = lookup.local(lookup.keep(snap.sizes("live").select(F.col("g").alias("lg"), F.col("n").alias("_c")), cloned, "lg", "lg"))
+    copies = lookup.local(lookup.join(cloned, live, "lg").select("dg", "_c"))
+    stored = lookup.local(lookup.keep(snap.sizes("draft").select(F.col("g").alias("dg"), F.col("n").alias("_n")), hit, "dg", "dg"))
+    sized = lookup.local(lookup.join(lookup.join(lookup.local(hit), stored, "dg", "left"), copies, "dg", "left"))
+    held = F.coalesce("_n", F.lit(0)) + F.coalesce("_c", F.lit(0))
+    return lookup.local(sized.filter(held <= F.col("gone")).select("lg", "dg"))
+
+
 def _after_delete(snap: Snapshot, draftset: str, kept: DataFrame, vanished: DataFrame, now, vocab: Vocabulary):
     """Drafts still there get a new time; without any, only the vanished times go."""
     if not is_empty(kept):
@@ -200,10 +220,11 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     target = lookup.local(pairs.filter(F.col("lg") == graph))
     mine, others = split_draft(snap, draftset, pairs)
     emptied = lookup.drop(mine, target, key="dg")
-    if state.is_graph_empty(snap.live, graph):
+    if state.is_graph_empty(snap.names("live"), graph):
         after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS)
     else:
-        _, _, after = with_clones(snap, emptied, pairs, target)
+        others_filled = lookup.drop(snap.names("draft"), target, key="dg")
+        _, _, after = with_clones(snap, emptied, pairs, target, names=others_filled)
     return snap.but(draft=others.unionByName(after))
 
 

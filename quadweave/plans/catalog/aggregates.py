@@ -15,6 +15,13 @@ from quadweave.plans.fixtures import sql
 
 @register("d1_bounded_counts", sql("SELECT g, least(count(*), 3001) AS size FROM view_q GROUP BY g"))
 def bounded_counts(spark, sf_dir):
+    """From the counts that every commit keeps: no quad is read."""
+    return state.bounded(views.sizes(fx.snapshot(spark, sf_dir), fx.DS1, union_with_live=True), 3000)
+
+
+@register("d1_counted_sizes", sql("SELECT g, least(count(*), 3001) AS size FROM view_q GROUP BY g"))
+def counted_sizes(spark, sf_dir):
+    """The same for any quads, by counting them."""
     view = views.draft_view(fx.snapshot(spark, sf_dir), fx.DS1, union_with_live=True)
     return state.bounded_counts(view, 3000)
 
@@ -96,7 +103,7 @@ _STATUS = """CASE WHEN m.is_public AND d.filled THEN 'updated' WHEN NOT m.is_pub
 )
 def changes_per_draftset(spark, sf_dir):
     reg = fx.registry(spark, sf_dir)
-    maps = state.changes_map(state.change_rows(reg.draft_graphs, reg.managed_graphs, reg.draft))
+    maps = state.changes_map(state.change_rows(reg.draft_graphs, reg.managed_graphs, reg.names("draft")))
     shown = F.transform(F.map_entries("changes"), lambda e: F.concat_ws("=", e["key"], e["value"]["status"]))
     return maps.select("draftset", F.concat_ws(" ", shown).alias("changes"))
 

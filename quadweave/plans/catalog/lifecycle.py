@@ -9,6 +9,7 @@ from quadweave.operators import graphs, publish, rewrite, state, update, writes
 from quadweave.plans import fixtures as fx
 from quadweave.plans import views
 from quadweave.plans.catalog import register
+from quadweave.plans.workspace import Workspace
 from quadweave.plans.fixtures import DS1, EX, GRAPH, NOW, VOCAB, P, sql
 from quadweave.schema import QUAD_COLS
 from quadweave.sources.quads import from_table
@@ -140,7 +141,7 @@ def _mixed(spark, sf_dir):
 @register("h8_rewrite_draftset", sql(f"SELECT {_COLS} FROM draft_q"))
 def rewrite_draftset(spark, sf_dir):
     snap, draft = _mixed(spark, sf_dir)
-    return rewrite.rewrite_draftset(draft, snap.draft_graphs, DS1)
+    return rewrite.rewrite_draftset(draft, snap.draft_graphs, DS1, snap.names("draft"))
 
 
 @register(
@@ -165,7 +166,8 @@ def unrewrite_emptied(spark, sf_dir):
     snap = fx.snapshot(spark, sf_dir)
     dg = state.find_draft(snap.draft_graphs, DS1, GRAPH + "1")
     draft = graphs.drop_graph(snap.draft, dg)
-    return rewrite.unrewrite_draftset(draft, snap.draft_graphs, DS1, only_emptied=True).select("g", "s", "p", "o")
+    names = graphs.drop_graph(snap.names("draft"), dg)
+    return rewrite.unrewrite_draftset(draft, snap.draft_graphs, DS1, only_emptied=True, names=names).select("g", "s", "p", "o")
 
 
 @register("h10_append_quads", sql(_stored(f"{_MINE} UNION ALL {_LIVE} WHERE g = '{GRAPH}6' UNION ALL {_IN}")))
@@ -188,6 +190,25 @@ def append_state(spark, sf_dir):
     return after.managed_graphs.select("lg", "is_public").join(mine, "lg", "left")
 
 
+_KEPT = _stored(f"{_MINE} AND g <> '{GRAPH}1' UNION ALL {_LIVE} WHERE g = '{GRAPH}6' UNION ALL {_IN}")
+
+
+@register(
+    "d1_kept_counts",
+    sql(
+        f"""{_KEPT.replace("SELECT " + _dg("g"), ", kept AS (SELECT " + _dg("g"), 1)})
+        SELECT 'live' AS store, g, count(*) AS n FROM live_q GROUP BY g UNION ALL SELECT 'draft', g, count(*) FROM kept GROUP BY g
+        UNION ALL SELECT 'draft', g, count(*) FROM draft_q WHERE draftset = 'ds-2' GROUP BY g"""
+    ),
+)
+def kept_counts(spark, sf_dir):
+    """Counts kept by commits: a graph of a draft deleted, then quads appended to five."""
+    space = Workspace(spark, buckets=16, clock=lambda: NOW).load(fx.snapshot(spark, sf_dir))
+    space.delete_graph(DS1, GRAPH + "1")
+    space.append(DS1, customer_quads(spark, sf_dir))
+    return space.snapshot().counts
+
+
 _STATUS = f"SELECT {_COLS} FROM live_q WHERE p = 'http://example.com/p/status'"
 _GONE = f"""{_STATUS} AND g IN ({_g(0, 7)})
   UNION ALL SELECT '{GRAPH}19', * EXCLUDE (g, k) FROM live_q WHERE p = 'http://example.com/p/status' AND g = '{GRAPH}2'
@@ -334,7 +355,7 @@ def append_triples(spark, sf_dir):
 )
 def change_status(spark, sf_dir):
     reg = fx.registry(spark, sf_dir)
-    return state.change_rows(reg.draft_graphs, reg.managed_graphs, reg.draft)
+    return state.change_rows(reg.draft_graphs, reg.managed_graphs, reg.names("draft"))
 
 
 @register(
@@ -352,7 +373,7 @@ def graph_meta(spark, sf_dir):
     named = fx.read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit(fx.PART_GRAPH), (F.col("l_partkey") * 2).cast("string")).alias("lg")
     )
-    return update.graph_meta(named.distinct(), "ds-3", reg.live, reg.draft, reg.managed_graphs, reg.draft_graphs, 2)
+    return update.graph_meta(named.distinct(), "ds-3", reg, 2)
 
 
 _HOMES = [0, 8, 18, 9, 17]

@@ -138,7 +138,7 @@ def existence_checks(spark, sf_dir):
     wanted = fx.read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit(fx.PART_GRAPH), (F.col("l_partkey") * 2).cast("string")).alias("lg")
     )
-    return state.existence(wanted.distinct(), reg.managed_graphs, reg.live)
+    return state.existence(wanted.distinct(), reg.managed_graphs, reg.names("live"))
 
 
 @register("b11_draft_lookup", sql("SELECT draftset, lg, dg FROM part_drafts WHERE lg IN (SELECT lg FROM part_graphs WHERE is_public)"))

@@ -52,6 +52,17 @@ def draft_view(snap: Snapshot, draftset: str, union_with_live: bool = False) ->
     return view
 
 
+def sizes(snap: Snapshot, draftset: str, union_with_live: bool = False) -> DataFrame:
+    """``(g, n)``: statements of each graph that a draft view shows, from the kept counts where there are any."""
+    pairs = lookup.local(state.mapping(snap.draft_graphs, snap.managed_graphs, draftset).select("lg", "dg"))
+    mine = lookup.keep(snap.sizes("draft"), pairs, key="dg")
+    shown = lookup.translate(mine, pairs, "dg", "lg", rewrite.GRAPH_POSITION).select("g", "n")
+    if not union_with_live:
+        return shown
+    unchanged = state.live_graphs(snap.managed_graphs).join(pairs.select("lg"), "lg", "left_anti")
+    return shown.unionByName(lookup.keep(snap.sizes("live"), unchanged, key="lg").select("g", "n"))
+
+
 def visible_graphs(pairs: DataFrame, managed_graphs: DataFrame, union_with_live: bool) -> DataFrame:
     """Published names of the graphs a draft shows."""
     mine = pairs.select("lg")
@@ -116,8 +127,7 @@ def changed_graphs_report(snap: Snapshot, draftset: str, vocab: Vocabulary) -> D
     """Visible graphs of the draft over live, with statement and subject counts and what changed."""
     view = draft_view(snap, draftset, union_with_live=True)
     pairs = snap.draft_graphs.filter(F.col("draftset") == draftset)
-    mine = lookup.keep(snap.draft.select("g"), pairs, key="dg")
-    changes = state.change_rows(pairs, snap.managed_graphs, mine).select(F.col("lg").alias("g"), "status")
+    changes = state.change_rows(pairs, snap.managed_graphs, lookup.keep(snap.names("draft"), pairs, key="dg")).select(F.col("lg").alias("g"), "status")
     # Distinct subjects first, partially aggregated: one huge graph never meets in one task.
     subjects = view.groupBy("g", "s", "s_kind").agg(F.count("*").alias("n"))
     counts = subjects.groupBy("g").agg(F.sum("n").alias("statements"), F.count("*").alias("subjects"))

@@ -20,6 +20,7 @@ from quadweave.functions.scalars import draft_graph_iri
 from quadweave.operators import lookup, publish, state, times, update, workflow, writes
 from quadweave.plans import views
 from quadweave.schema import (
+    COUNTS,
     QUAD_COLS,
     QUADS,
     TABLES,
@@ -36,6 +37,7 @@ from quadweave.sources.quads import assign_graph
 QUAD_TABLES = ("live", "draft")
 MANIFEST = struct("table STRING, bucket INT, path STRING")
 NO_BUCKET = -1
+COUNTED = "counts"
 FIRST_BUCKETS, FEWEST_BUCKETS = 256, 16
 LIVE = "live"
 
@@ -146,8 +148,13 @@ class Workspace:
         for name, schema in TABLES.items():
             if name not in QUAD_TABLES:
                 tables[name] = self.spark.read.schema(schema).parquet(manifest[name][NO_BUCKET])
+        counted = manifest.get(COUNTED, {}).get(NO_BUCKET)
         return Snapshot(
-            live=self._read_quads(manifest, "live", live), draft=self._read_quads(manifest, "draft", draft), **tables, commit=commit
+            live=self._read_quads(manifest, "live", live),
+            draft=self._read_quads(manifest, "draft", draft),
+            **tables,
+            commit=commit,
+            counts=self.spark.read.schema(COUNTS).parquet(counted) if counted else None,
         )
 
     def commit(
@@ -183,6 +190,8 @@ class Workspace:
             for name, (touched, paths) in written.items():
                 kept = {b: p for b, p in entries.get(name, {}).items() if touched is not None and b not in touched}
                 entries[name] = {**kept, **paths}
+            counted = self._count(entries, written, f"{base}/{COUNTED}-{uuid.uuid4()}")
+            entries.update({COUNTED: {NO_BUCKET: counted}} if counted else {})
             rows = [(t, b, p) for t, buckets in entries.items() for b, p in buckets.items()]
             folder = f"{number + 1}-{uuid.uuid4()}"
             local_table(self.spark, rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/{folder}")
@@ -197,6 +206,29 @@ class Workspace:
                     raise StaleCommit(f"commit {newest} changed {name}, which was read at commit {number}")
             number, manifest = newest, theirs
 
+    def _count(self, entries, written, path: str) -> str | None:
+        """Statements per graph after a commit: those of the buckets it replaced are counted in the new files alone."""
+        stores = [n for n in QUAD_TABLES if n in written]
+        held = entries.get(COUNTED, {}).get(NO_BUCKET)
+        if not stores or not held and any(written[n][0] is not None for n in stores):
+            return held
+        parts = [self.spark.read.schema(COUNTS).parquet(held)] if held else []
+        for name in stores:
+            touched, paths = written[name]
+            again = F.col("store") == name
+            if touched is not None:
+                again = again & self._bucket_of(F.col("g"), int(paths[NO_BUCKET])).isin(list(touched))
+            parts = [p.filter(~again) for p in parts]
+            files = [p for b, p in paths.items() if b != NO_BUCKET]
+            if files:
+                sizes = self.spark.read.schema(QUADS).parquet(*files).groupBy("g").agg(F.count("*").alias("n"))
+                parts.append(sizes.select(F.lit(name).alias("store"), "g", "n"))
+        rows = parts[0] if parts else local_table(self.spark, [], COUNTS)
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        rows.select(*COUNTS.fieldNames()).write.parquet(path)
+        return path
+
     def _claim(self, number: int, folder: str) -> bool:
         """Make the file of a commit if there is none: the one step that decides between writers."""
         path, files = hadoop_path(self.spark, f"{self.root}/log/{number}")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.functions import col, count
 from pyspark.sql.pandas.types import to_arrow_schema
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -58,6 +59,8 @@ TABLES: dict[str, T.StructType] = {
     "endpoints": struct("id STRING, created TIMESTAMP, modified TIMESTAMP, version STRING"),
 }
 LIVE_SCOPE = "live"
+#: Statements per graph of the quads tables ``live`` and ``draft``.
+COUNTS = struct("store STRING, g STRING, n BIGINT")
 
 
 @dataclass(frozen=True)
@@ -120,10 +123,24 @@ class Snapshot:
     endpoints: DataFrame
     #: Number of the commit that the tables were read from, if they were read from a workspace.
     commit: int | None = None
+    #: Kept counts of statements; None once quads have changed and until they are committed.
+    counts: DataFrame | None = None
 
     def but(self, **tables: DataFrame) -> Snapshot:
+        if "live" in tables or "draft" in tables:
+            tables = {"counts": None, **tables}
         return replace(self, **tables)
 
+    def sizes(self, store: str) -> DataFrame:
+        """``(g, n)``: statements of each graph of ``live`` or ``draft`` that has any, from the kept counts if there are any."""
+        if self.counts is None:
+            return getattr(self, store).groupBy("g").agg(count("*").alias("n"))
+        return self.counts.filter((col("store") == store) & (col("n") > 0)).select("g", "n")
+
+    def names(self, store: str) -> DataFrame:
+        """``(g)`` of the graphs that hold quads; without kept counts, the column itself."""
+        return getattr(self, store).select("g") if self.counts is None else self.sizes(store).select("g")
+
     def at(self, commit: int) -> Snapshot:
         return replace(self, commit=commit)
 
