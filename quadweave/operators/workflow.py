@@ -1,9 +1,6 @@
 """Ownership, submission, sharing: summaries, listings, permissions, and replay of an action log.
 
-Replaying a log looks sequential: whether an action counts depends on who owned the draftset at that
-moment. Here it is joins and windows only. Every ownership event has one successor, the next event
-that would count if this one did; the events that did count are those reachable from the creation,
-found by pointer doubling. No draftset's log is ever gathered in one task.
+Replaying a log is a prefix scan over composed transitions, in :mod:`quadweave.operators.replay`.
 """
 
 from __future__ import annotations
@@ -11,16 +8,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadweave.functions import scalars as S
 from quadweave.operators import state
-from quadweave.operators.ranks import dense_rank_by_parts
+from quadweave.operators.replay import CLAIM, CREATE, SUBMIT_PERMISSION, SUBMIT_USER, SUBMITS, outcomes
 from quadweave.operators.state import instant
 from quadweave.schema import TABLES, Snapshot, Vocabulary, local_table, struct
-from quadweave.session import stage
 
 # What each role adds to the one before it.
 ROLE_STEPS = [
@@ -259,124 +255,17 @@ LOG = struct(
     "draftset STRING, seq BIGINT, actor STRING, action STRING, target STRING, permission STRING, "
     "title STRING, description STRING"
 )
-CREATE, CLAIM = "create", "claim"
-SUBMIT_USER, SUBMIT_PERMISSION = "submit_to_user", "submit_to_permission"
 SHARE_USER, SHARE_PERMISSION, UNSHARE = "share_with_user", "share_with_permission", "unshare"
 METADATA = "set_metadata"
-SUBMITS = [SUBMIT_USER, SUBMIT_PERMISSION]
-SEGMENT = 10_000
-
-
-def _segment() -> Column:
-    return F.floor(F.col("seq") / SEGMENT)
-
-
-def next_after(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``next``: the smallest candidate ``seq`` beyond each query's, for the same (draftset, key).
-
-    Two levels: first inside segments of the log, then across segments, so a key holding most of the
-    log is spread over its segments.
-    """
-    key = ["draftset", "key"]
-    both = queries.select(*key, "seq", F.lit(False).alias("_c")).unionByName(
-        candidates.select(*key, "seq", F.lit(True).alias("_c"))
-    ).withColumn("seg", _segment())
-    found = F.when(F.col("_c"), F.col("seq"))
-    segments = both.groupBy(*key, "seg").agg(F.min(found).alias("first"))
-    later = Window.partitionBy(*key).orderBy("seg").rowsBetween(1, Window.unboundedFollowing)
-    carry = segments.select(*key, "seg", F.min("first").over(later).alias("_carry"))
-    inside = Window.partitionBy(*key, "seg").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
-    near = both.withColumn("_near", F.min(found).over(inside)).filter(~F.col("_c"))
-    return near.join(carry, [*key, "seg"]).select(*key, "seq", F.coalesce("_near", "_carry").alias("next"))
-
-
-def last_before(rows: DataFrame, value: Column) -> DataFrame:
-    """Adds ``state``: the latest non-NULL ``value`` strictly before each row of its draftset."""
-    rows = rows.withColumn("seg", _segment()).withColumn("_v", value)
-    carried = (
-        rows.groupBy("draftset", "seg")
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("seq"))).alias("_last"))
-    )
-    earlier = Window.partitionBy("draftset").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carried.select("draftset", "seg", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    inside = Window.partitionBy("draftset", "seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("_near", F.last("_v", ignorenulls=True).over(inside))
-    return near.join(carry, ["draftset", "seg"]).withColumn("state", F.coalesce("_near", "_carry")).drop(
-        "seg", "_v", "_near", "_carry"
-    )
-
-
-def _successors(log: DataFrame, users: DataFrame) -> DataFrame:
-    """``(draftset, seq, next)``: the ownership event that counts next if this one counts."""
-    action = F.col("action")
-    first_create = log.filter(action == CREATE).groupBy("draftset").agg(F.min("seq").alias("seq"))
-    events = log.filter(action.isin(*SUBMITS, CLAIM)).unionByName(
-        log.join(first_create, ["draftset", "seq"], "left_semi").filter(action == CREATE)
-    )
-    keyed = F.concat_ws("|", F.lit("claim"), F.col("actor"))
-    keys = (
-        F.when(action.isin(CREATE, CLAIM), F.array(F.concat_ws("|", F.lit("submit"), F.col("actor"))))
-        .when(action == SUBMIT_USER, F.array(keyed, F.concat_ws("|", F.lit("claim"), F.col("target"))))
-        .otherwise(F.array(keyed, F.concat_ws("|", F.lit("permission"), F.col("permission"))))
-    )
-    queries = events.select("draftset", "seq", F.explode(F.array_distinct(keys)).alias("key"))
-    submits = log.filter(action.isin(*SUBMITS)).select(
-        "draftset", "seq", F.concat_ws("|", F.lit("submit"), F.col("actor")).alias("key")
-    )
-    claims = log.filter(action == CLAIM)
-    by_name = claims.select("draftset", "seq", keyed.alias("key"))
-    held = users.select(F.col("user").alias("actor"), F.explode("permissions").alias("permission"))
-    offered = log.filter(action == SUBMIT_PERMISSION).select("permission").distinct()
-    held = held.join(offered, "permission", "left_semi")
-    by_permission = claims.select("draftset", "seq", "actor").join(held, "actor").select(
-        "draftset", "seq", F.concat_ws("|", F.lit("permission"), F.col("permission")).alias("key")
-    )
-    found = next_after(queries, submits.unionByName(by_name).unionByName(by_permission))
-    return found.groupBy("draftset", "seq").agg(F.min("next").alias("next")).filter(F.col("next").isNotNull())
-
-
-def _reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes reachable from ``roots`` along ``(draftset, seq) -> next``, in O(log n) joins."""
-    jumps = [stage(edges)]
-    while not jumps[-1].limit(1).isEmpty():
-        last = jumps[-1]
-        further = last.select("draftset", F.col("next").alias("seq"), F.col("seq").alias("_from"))
-        further = further.join(last, ["draftset", "seq"]).select("draftset", F.col("_from").alias("seq"), "next")
-        jumps.append(stage(further))
-    reached = roots.select("draftset", "seq")
-    for jump in reversed(jumps[:-1]):
-        ahead = jump.join(reached, ["draftset", "seq"], "left_semi").select("draftset", F.col("next").alias("seq"))
-        reached = stage(reached.unionByName(ahead))
-    return reached
 
 
 def replay(log: DataFrame, users: DataFrame) -> DataFrame:
-    """The log with the ``outcome`` of each action.
+    """The log with the ``outcome`` of each action: see :mod:`quadweave.operators.replay`.
 
     ok, forbidden (no right to claim), not-found (no such draftset yet), ignored (not the owner,
     nothing changes), exists (created before).
     """
-    columns = log.columns
-    # Dense ranks for ``seq``, whatever its values: a segment then holds at most SEGMENT events.
-    log = dense_rank_by_parts(log.withColumn("_seq", F.col("seq")), "_rank", "draftset", "seq")
-    log = stage(log.withColumn("seq", F.col("_rank").cast("bigint")).drop("_rank"))
-    action = F.col("action")
-    roots = log.filter(action == CREATE).groupBy("draftset").agg(F.min("seq").alias("seq"))
-    counted = _reachable(roots, _successors(log, users)).withColumn("_counts", F.lit(True))
-    rows = log.join(counted, ["draftset", "seq"], "left").withColumn("_counts", F.coalesce("_counts", F.lit(False)))
-    # Owner after an ownership event: the actor, or '' while submitted.
-    owner = F.when(F.col("_counts"), F.when(action.isin(*SUBMITS), F.lit("")).otherwise(F.col("actor")))
-    rows = last_before(rows, owner)
-    owns = F.col("state") == F.col("actor")
-    outcome = (
-        F.when((action == CREATE) & F.col("_counts"), "ok")
-        .when(F.col("state").isNull(), "not-found")
-        .when(action == CREATE, "exists")
-        .when(action == CLAIM, F.when(F.col("_counts") | owns, "ok").otherwise("forbidden"))
-        .when(owns, "ok")
-        .otherwise("ignored")
-    )
-    return rows.select(*[F.col("_seq").alias("seq") if c == "seq" else F.col(c) for c in columns], outcome.alias("outcome"))
+    return outcomes(log, users)
 
 
 def current_state(replayed: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,20 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package, once a context, to executors that may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quadweave_sent", False):
+        return
+    root = Path(__file__).parent
+    package = Path(tempfile.mkdtemp(prefix="quadweave-code-")) / "quadweave.zip"
+    with zipfile.ZipFile(package, "w") as made:
+        for file in sorted(root.rglob("*.py")):
+            made.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(package))
+    context._quadweave_sent = True
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The path and its file system, of whatever kind."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

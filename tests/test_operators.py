@@ -308,8 +308,7 @@ def fold(log, users):
     return state, outcomes
 
 
-def test_replay_against_fold(spark, monkeypatch):
-    monkeypatch.setattr(workflow, "SEGMENT", 5)  # many segments in a short log
+def test_replay_against_fold(spark):
     rng = random.Random(11)
     users = {f"u{i}": ([f"p{i % 2}"] if i > 1 else []) for i in range(4)}
     actions = ["submit_to_user", "submit_to_permission", "claim", "claim", "claim", "share_with_user", "share_with_permission", "unshare"]
