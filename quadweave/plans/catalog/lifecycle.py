@@ -138,7 +138,7 @@ def _mixed(spark, sf_dir):
     return snap, raw.select(*QUAD_COLS).unionByName(_mine(snap, fx.DS2))
 
 
-@register("h8_rewrite_draftset", sql(f"SELECT {_COLS} FROM draft_q"))
+@register("h8_rewrite_draftset", sql(_stored(_MINE) + f" UNION ALL SELECT {_COLS} FROM draft_q WHERE draftset = 'ds-2'"))
 def rewrite_draftset(spark, sf_dir):
     snap, draft = _mixed(spark, sf_dir)
     return rewrite.rewrite_draftset(draft, snap.draft_graphs, DS1, snap.names("draft"))

@@ -150,9 +150,11 @@ def draft_lookup(spark, sf_dir):
 @register(
     "c1_pattern_join",
     sql(
-        """SELECT a.s AS line, a.o AS "order", b.o AS customer, c.o AS shipped FROM view_q a
-        JOIN view_q b ON a.o = b.s JOIN view_q c ON c.s = a.s
-        WHERE a.p = 'http://example.com/p/partOf' AND b.p = 'http://example.com/p/customer' AND c.p = 'http://example.com/p/shipDate' AND c.g = a.g"""
+        """, part_of AS MATERIALIZED (SELECT g, s, o FROM view_q WHERE p = 'http://example.com/p/partOf'),
+        ship AS MATERIALIZED (SELECT g, s, o FROM view_q WHERE p = 'http://example.com/p/shipDate'),
+        home AS MATERIALIZED (SELECT s, o FROM view_q WHERE p = 'http://example.com/p/customer'),
+        both_of AS MATERIALIZED (SELECT a.s AS line, a.o AS ord, c.o AS shipped FROM part_of a JOIN ship c ON c.s = a.s AND c.g = a.g)
+        SELECT line, ord AS "order", home.o AS customer, shipped FROM both_of JOIN home ON home.s = both_of.ord"""
     ),
 )
 def pattern_join(spark, sf_dir):
@@ -167,8 +169,9 @@ def pattern_join(spark, sf_dir):
 @register(
     "c2_optional",
     sql(
-        """SELECT a.s, a.o AS status, b.o AS see FROM view_q a LEFT JOIN view_q b
-        ON b.s = a.s AND b.g = a.g AND b.p = 'http://example.com/p/seeAlso' WHERE a.p = 'http://example.com/p/status'"""
+        """, stat AS MATERIALIZED (SELECT g, s, o FROM view_q WHERE p = 'http://example.com/p/status'),
+        see AS MATERIALIZED (SELECT g, s, o FROM view_q WHERE p = 'http://example.com/p/seeAlso')
+        SELECT stat.s, stat.o AS status, see.o AS see FROM stat LEFT JOIN see ON see.s = stat.s AND see.g = stat.g"""
     ),
 )
 def optional(spark, sf_dir):

@@ -207,9 +207,7 @@ def _h(role: str, row: str, modulo: int) -> str:
     return _HASH.format(role=role, row=row, modulo=modulo)
 
 
-_GENERATED = f"""
-WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders),
-made AS (SELECT o_orderkey AS row_id, o_custkey % 20 + 1 AS i, o_orderkey % 20 = 0 AS is_ref FROM orders),
+_PICKED = f"""
 picked AS (SELECT *, CASE WHEN is_ref THEN {_h("positions", "row_id", 7)} + 1 ELSE 0 END AS bits,
   'http://example.com/graphs/'||({_h("target", "row_id", 20)} + 1) AS target, {_h("kind", "row_id", 7)} AS kind,
   {_h("number", "row_id", 100000)} AS num, substr(md5('7|word|'||row_id), 1, 12) AS word FROM made),
@@ -223,6 +221,9 @@ quads AS (SELECT row_id, is_ref, 'http://example.com/graphs/'||i AS g,
   CASE WHEN bits & 4 = 0 AND kind = 1 THEN ['en','es','fr','de'][num % 4 + 1] ELSE '' END AS o_lang
   FROM picked)
 """
+_GENERATED = f"""
+WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders),
+made AS (SELECT o_orderkey AS row_id, o_custkey % 20 + 1 AS i, o_orderkey % 20 = 0 AS is_ref FROM orders),{_PICKED}"""
 
 
 def _generated(spark, sf_dir):
@@ -238,6 +239,28 @@ def generate_quads(spark, sf_dir):
     return _generated(spark, sf_dir).select("row_id", "is_ref", "g", "s", "p", "o", "o_kind", "o_lang")
 
 
+@register(
+    "a11_generate_plan",
+    f"""
+    WITH total AS (SELECT count(*) AS n, count(*) * 15 // 100 AS r FROM orders),
+    weights AS (SELECT i, {_h("size", "i", 65536)} + 1 AS w FROM (SELECT unnest(range(1, {GRAPHS_MADE + 1})) AS i)),
+    shares AS (SELECT i, w * n // sum(w) OVER () AS part FROM weights, total),
+    sizes AS (SELECT i, part + CASE WHEN i = {GRAPHS_MADE} THEN (SELECT n FROM total) - sum(part) OVER () ELSE 0 END AS size FROM shares),
+    wanted AS (SELECT i, size, (size * r + n - 1) // n AS wanted FROM sizes, total),
+    spread AS (SELECT i, size, coalesce(sum(size) OVER before, 0) AS start,
+      greatest(0, least(wanted, (SELECT r FROM total) - coalesce(sum(wanted) OVER before, 0))) AS refs
+      FROM wanted WINDOW before AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    made AS (SELECT (start + pos)::BIGINT AS row_id, i, pos < refs AS is_ref FROM (
+      SELECT i, start, refs, unnest(range(size::BIGINT)) AS pos FROM spread)),{_PICKED}
+    SELECT row_id, is_ref, g, s, p, o, o_kind, o_lang FROM quads""",
+)
+def generate_by_plan(spark, sf_dir):
+    """As many statements as there are orders, in graphs of weighted sizes; 15 % of them mention a graph."""
+    statements = fx.read(spark, sf_dir, "orders").count()
+    made = generator.generate(spark, statements, GRAPHS_MADE, "15%", SEED)
+    return made.select("row_id", "is_ref", "g", "s", "p", "o", "o_kind", "o_lang")
+
+
 @register("a12_delete_subset", _GENERATED + "SELECT g, s, p, o FROM quads WHERE row_id < (SELECT n // 2 FROM n)")
 def delete_subset(spark, sf_dir):
     n = fx.read(spark, sf_dir, "orders").agg(F.max("o_orderkey") + 1).first()[0]
