@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +45,6 @@ def settle(df: DataFrame) -> tuple[DataFrame, bool]:
     """
     if _is_local(df):
         return df, True
-    if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
-        raise TypeError("only text, boolean and integer columns can be settled")
     fetched = _fetch(df)
     return (df, is_small(df)) if fetched is None else (_localise(df, fetched), True)
 
@@ -56,6 +54,8 @@ def _fetch(df: DataFrame) -> list[tuple] | None:
     not fetched at all."""
     if _is_local(df):
         return df._rows
+    if not all(isinstance(f.dataType, _PLAIN) for f in df.schema.fields):
+        raise TypeError("only text, boolean and integer columns can be settled")
     narrow = _row_size(df) <= BROADCAST_BYTES // max(LOCAL_ROWS, 1)
     row = F.when(narrow, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     fetched = df.select(row.alias("row")).limit(LOCAL_ROWS + 1).collect()
@@ -65,12 +65,12 @@ def _fetch(df: DataFrame) -> list[tuple] | None:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Within the bounds for a broadcast? Reads lengths only, and no more than the bound."""
+    """Within the bounds for a broadcast? Reads lengths only, and no more rows than the bound."""
     known = getattr(df, "_small", None)
     if known is None:
-        sizes = df.select(_row_size(df).alias("n")).limit(BROADCAST_ROWS + 1).collect()
-        known = len(sizes) <= BROADCAST_ROWS and sum(r.n for r in sizes) <= BROADCAST_BYTES
-        df._small = known
+        sizes = df.select(_row_size(df).alias("n")).limit(BROADCAST_ROWS + 1)
+        total = sizes.agg(F.count("*").alias("rows"), F.sum("n").alias("size")).first()
+        known = df._small = total.rows <= BROADCAST_ROWS and (total.size or 0) <= BROADCAST_BYTES
     return known
 
 
@@ -87,7 +87,8 @@ def _held(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataF
 
 def local(df: DataFrame) -> DataFrame:
     """``df``, computed once and held as a local relation if it is very small."""
-    return settle(df)[0]
+    fetched = _fetch(df)
+    return df if fetched is None else _localise(df, fetched)
 
 
 def join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -120,17 +121,16 @@ def once(df: DataFrame) -> DataFrame:
 
     For input that several passes read, such as a batch parsed from text.
     """
-    if getattr(df, "_once", False):
+    if getattr(df, "_once", False) or _is_local(df):
         return df
-    fetched = _fetch(df)
-    if fetched is not None:
-        made = _localise(df, fetched)
-        made._once = True
-        return made
-    staged = stage(df)
+    total = Observation()
+    counted = df.observe(total, F.count(F.lit(1)).alias("rows"), F.sum(_row_size(df)).alias("size"))
+    staged = stage(counted)
+    rows, size = total.get["rows"], total.get["size"] or 0
+    if rows <= LOCAL_ROWS:
+        staged = local(staged)
     staged._once = True
-    total = staged.agg(F.count("*").alias("rows"), F.sum(_row_size(staged)).alias("size")).first()
-    staged._small = total.rows <= BROADCAST_ROWS and (total.size or 0) <= BROADCAST_BYTES
+    staged._small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return staged
 
 
