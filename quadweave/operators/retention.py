@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from quadweave.operators import quantiles
+from quadweave.session import stage
+
 # Fixed value: file names are livemod[-draftmod][_version][.ext], "empty" standing for no livemod.
 _NAME = r"^(empty|[0-9]+)(?:-([0-9]+))?(?:_[^.]*)?(?:\.[^.]*)?$"
 FANOUT = 4096
@@ -70,7 +73,7 @@ def _crossing(df: DataFrame, key: Column, wanted: int) -> tuple[int, int] | None
         sums = (
             keyed.filter(F.col("k").between(lo, hi))
             .groupBy(bucket.alias("b"))
-            .agg(F.sum("size_bytes").alias("n"))
+            .agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n"))
             .orderBy("b")
             .collect()
         )
@@ -93,30 +96,42 @@ def _tie_rank(file: Column) -> Column:
 def oldest_to_free(manifest: DataFrame, wanted: int, file: str = "file") -> DataFrame:
     """Oldest files by last access, just enough to free ``wanted`` bytes; the file that crosses is included.
 
-    Files with equal access time are taken in the order of a hash of their name.
+    Files with equal access time are taken in the order of a hash of their name. One pass makes a
+    digest of sizes over (time, hash); a second one sums what is surely freed and writes the few
+    files between which the total crosses. Files of unknown time go only when all do.
     """
     if wanted <= 0:
         return manifest.limit(0)
-    time = F.col("last_access").cast("bigint")
-    cut = _crossing(manifest, time, wanted)
-    if cut is None:
+    time, rank = F.col("last_access").cast("bigint"), _tie_rank(F.col(file))
+    between = quantiles.interval(quantiles.digest(manifest, time, rank, F.col("size_bytes")), wanted)
+    if between is None:
         return manifest
-    at, before = cut
-    tied = manifest.filter(time == at)
-    rank = _tie_rank(F.col(file))
-    inner = _crossing(tied, rank, wanted - before)
-    last_rank, freed = inner if inner else (1 << 60, 0)
-    # Names whose 60-bit hashes collide are the only rows left to order.
+    low, high = between
+    below, inside = ~quantiles.beyond(time, rank, low), quantiles.beyond(time, rank, low) & ~quantiles.beyond(time, rank, high)
+    sure = Observation()
+    size = F.coalesce(F.sum(F.when(below, F.col("size_bytes"))), F.lit(0)).cast("bigint")
+    cell = stage(manifest.observe(sure, size.alias("n")).filter(inside))
+    key, left = _crossing_key(cell, time, rank, wanted - sure.get["n"])
+    return manifest.filter(below).unionByName(_through(cell, time, rank, key, left, file))
+
+
+def _crossing_key(cell: DataFrame, time: Column, rank: Column, wanted: int) -> tuple[tuple[int, int], int]:
+    """(key that crosses, bytes still wanted at it) among the few files of a cell."""
+    when, before = _crossing(cell, time, wanted)
+    last, freed = _crossing(cell.filter(time == when), rank, wanted - before)
+    return (when, last), wanted - before - freed
+
+
+def _through(cell: DataFrame, time: Column, rank: Column, key: tuple[int, int], wanted: int, file: str) -> DataFrame:
+    """The files of a cell before a key, and those of it, by name, until ``wanted`` bytes are freed.
+
+    Names whose hashes collide are the only rows put in order.
+    """
+    own = (time == key[0]) & (rank == key[1])
     previous = Window.partitionBy("_rank").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        tied.withColumn("_rank", rank)
-        .filter(F.col("_rank") == last_rank)
-        .withColumn("_freed", F.coalesce(F.sum("size_bytes").over(previous), F.lit(0)))
-        .filter(F.col("_freed") < F.lit(wanted - before - freed))
-        .drop("_rank", "_freed")
-    )
-    surely = manifest.filter((time < at) | ((time == at) & (rank < last_rank)))
-    return surely.unionByName(edge)
+    edge = cell.filter(own).withColumn("_rank", rank).withColumn("_freed", F.coalesce(F.sum(F.coalesce("size_bytes", F.lit(0))).over(previous), F.lit(0)))
+    edge = edge.filter(F.col("_freed") < F.lit(wanted)).drop("_rank", "_freed")
+    return cell.filter(~quantiles.beyond(time, rank, key) & ~own).unionByName(edge)
 
 
 def removal_plan(manifest: DataFrame, archive_at: int, archive_until: int, file: str = "file") -> DataFrame:
@@ -127,7 +142,7 @@ def removal_plan(manifest: DataFrame, archive_at: int, archive_until: int, file:
     """
     if not 0 <= archive_until <= archive_at:
         raise ValueError("0 <= archive_until <= archive_at")
-    flagged = with_expiry(manifest)
+    flagged = stage(with_expiry(manifest))
     sizes = flagged.agg(
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("expired"), F.col("size_bytes"))), F.lit(0)).alias("expired"),
