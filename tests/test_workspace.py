@@ -94,6 +94,47 @@ def test_failed_batch_keeps_finished_ones_and_replay_changes_nothing(space, spar
     assert shown(space.view(ds)) == set(rows)
 
 
+def test_ledger_applies_batches_together_once(space, spark, quads, tmp_path):
+    ds = space.create_draftset("ann")
+    written = []
+
+    def write(found):
+        if found.filter("s = 'bad'").count():
+            raise RuntimeError("refused")
+        written.append(found.count())
+        space.append(ds, found)
+
+    ledger = ingest.Ledger(spark, str(tmp_path / "ledger"), write, 2)
+    batches = [quads((f"s{i}", "p", "o", "g"), (f"t{i}", "p", "o", "g")) for i in range(5)]
+    for i, batch in enumerate(batches[:4]):
+        ledger.take(batch, i)
+    assert written == [4, 4] and ledger.applied() == 3 and ledger.pending() == []
+    ledger.take(batches[0], 3)  # a replayed batch is skipped
+    ledger.take(quads(("bad", "p", "o", "g")), 4)
+    with pytest.raises(RuntimeError):
+        ledger.flush()
+    assert ledger.pending() == [4] and space.view(ds).count() == 8
+    again = ingest.Ledger(spark, str(tmp_path / "ledger"), write, None)  # a restart; the batch runs again and replaces itself
+    again.take(batches[4], 4)
+    assert again.flush() == 1 and again.flush() == 0 and space.view(ds).count() == 10
+
+
+def test_streams_restart_where_they_failed(space, spark, quads, tmp_path):
+    ds = space.create_draftset("ann")
+    rows = [(f"s{i}", "p", "o", "g1") for i in range(12)]
+    lines = sinks.quad_lines(quads(*rows))
+    lines.repartition(3).write.text(str(tmp_path / "in"))
+    commits = space.latest()
+    stream = lambda: ingest.read_line_stream(spark, str(tmp_path / "in"), 1)
+    ingest.append_stream(stream(), space, ds, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert shown(space.view(ds)) == set(rows) and space.latest() == commits + 1
+    sinks.quad_lines(quads(("new", "p", "o", "g2"))).write.mode("append").text(str(tmp_path / "in"))
+    ingest.append_stream(stream(), space, ds, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert shown(space.view(ds)) == {*rows, ("new", "p", "o", "g2")} and space.latest() == commits + 2
+    ingest.delete_stream(stream(), space, ds, str(tmp_path / "cp2"), every=2, once=True).awaitTermination()
+    assert space.view(ds).count() == 0
+
+
 def test_unknown_draftsets_and_other_owners_are_refused(space, quads):
     ds = space.create_draftset("ann", id="one")
     with pytest.raises(DraftsetExists):
