@@ -61,6 +61,40 @@ def test_exact_any_partitions(docs, empty):
     assert exact.dedup(empty).count() == 0 and exact.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("runs,bits,start", [(1, 3, 50), (2, 1, 7), (8, 3, 1 << 18), (64, 2, 11), (256, 1, 40), (None, 3, 3)])
+def test_sorted_runs_merge_in_rounds(docs, monkeypatch, runs, bits, start):
+    """A hot text, null identifiers and repeated rows, from one run to many short ones."""
+    monkeypatch.setattr(exact, "START", start)
+    rows = [(None if i % 11 == 0 else i % 400, "hot" if i % 3 else f"text {i % 50}") for i in range(700)]
+    entries = docs(*rows).select("doc_id", exact.digest(F.col("text")).alias("digest"), F.length("text").alias("n_bytes")).repartition(6)
+    for largest in (True, False):
+        want = defaultdict(list)
+        for k, t in rows:
+            want[hashlib.sha256(t.encode()).hexdigest(), len(t)].append(k)
+        best = {k: ((max if largest else min)([x for x in v if x is not None], default=None), len(v)) for k, v in want.items()}
+        got = exact.merge_runs(entries, largest, runs, bits).collect()
+        assert len(got) == len(best) and {(r.digest, r.n_bytes): (r.keep_id, r.group_size) for r in got} == best
+    with pytest.raises(ValueError):
+        exact.merge_runs(entries, runs=3)
+
+
+def test_runs_exchange_every_digest_to_its_range():
+    keys = np.sort(np.frombuffer(np.random.default_rng(3).bytes(40 * 500), "S40"))
+    run = exact.Run(keys, np.arange(500), np.ones(500, np.int64))
+    for runs, bits in ((16, 1), (64, 4), (8, 3)):
+        held = {5: run}
+        for shift, width in exact._plan(runs, bits):
+            sent = [exact._sent(n, r, runs, shift, width) for n, r in held.items()]
+            pieces = defaultdict(list)
+            for batch in sent:
+                for row in batch.to_pylist():
+                    pieces[row["run"]].append(exact.Run.of(row))
+            held = {n: exact.multiway(p, True) for n, p in pieces.items()}
+        top = 32 - (runs.bit_length() - 1)
+        assert sum(len(r.keys) for r in held.values()) == 500
+        assert all((exact.prefixes(r.keys) >> np.uint64(top) == n).all() for n, r in held.items())
+
+
 # --- components and near copies ----------------------------------------------------------------
 
 
@@ -339,6 +373,23 @@ def test_mix(docs, odd, block):
     assert sorted(p.words for p in pieces.collect()) and all(p.words <= block for p in pieces.collect())
 
 
+def test_mix_with_a_very_long_document(docs, odd):
+    """A document of many blocks, alone in its source or most of one, is read in part or twice like any other."""
+    rng = np.random.default_rng(8)
+    rows = [(100 + i, "w " * int(rng.integers(0, 90)), "s" if i % 2 else None) for i in range(200)]
+    given = [(r[0], r[1], r[2] if len(r) > 2 else "s") for r in ODD] + rows + [(900, "long " * 9_000, "s")]
+    sizes = Counter()
+    for _, t, s in given:
+        sizes[s] += len(lowered(t).split())
+    table = odd.unionByName(docs(*rows, (900, "long " * 9_000, "s")))
+    got, want, taken = mixing.taken(*mixing.mix(table, block=256)).collect(), plain_targets(sizes), Counter()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((k, len(lowered(t).split())) for k, t, _ in given)
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in want.items())
+
+
 def test_mix_of_nothing(docs, empty):
     assert mixing.taken(*mixing.mix(empty)).count() == 0 and mixing.mixed_rows(empty).count() == 0
     got = mixing.taken(*mixing.mix(docs((1, None), (2, "")))).collect()

@@ -7,7 +7,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -183,6 +183,58 @@ def test_toxicity_learns_and_scores_whole_texts(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def plain_ftrl(rows, how):
+    """Per-coordinate FTRL-proximal, a cell at a time: z and n as in the published algorithm."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(cell):
+        l1 = 0.0 if cell == "bias" else how.l1
+        if abs(z[cell]) <= l1:
+            return 0.0
+        return -(z[cell] - math.copysign(l1, z[cell])) / ((how.beta + math.sqrt(n[cell])) / how.alpha + how.l2)
+
+    for _ in range(how.rounds):
+        for words, pairs, label in rows:
+            value = {c: how.pair_value for c in pairs} | {c: 1.0 for c in words} | {"bias": 1.0}
+            weights = {c: weight(c) for c in value}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(weights[c] * v for c, v in value.items())))))
+            for c, v in value.items():
+                g = (p - label) * v * (how.positive if label else 1.0)
+                sigma = (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / how.alpha
+                z[c] += g - sigma * weights[c]
+                n[c] += g * g
+    return {c: weight(c) for c in z if weight(c)}
+
+
+@pytest.mark.parametrize("how", [toxicity.Ftrl(), toxicity.Ftrl(0.3, 0.5, 0.2, 0.1, 3, 0.7, 2.0)])
+def test_toxicity_weights_are_those_of_plain_ftrl(spark, docs, how):
+    """Same rows, order and weights, from texts to the model and on to the scores."""
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"W{x}." for x in rng.integers(0, 60, rng.integers(0, 25))) + (" vile word" if i % 4 == 0 else "") for i in range(160)]
+    labels = [(i, int(i % 4 == 0)) for i in range(160)]
+    model = toxicity.fit(docs(*enumerate(texts)), local_table(spark, labels, T.StructType.fromDDL("doc_id long, toxic int")), how=how)
+
+    def cells(text):
+        h = [xxhash.xxh64_intdigest(w) for w in (x.strip(".").encode() for x in text.lower().split())]
+        pair = lambda a, b, k: (a * 0x9E3779B97F4A7C15 ^ (b + k) * 0xC2B2AE3D27D4EB4F) % (1 << 64)
+        shift = 64 - toxicity.BITS
+        return {x >> shift for x in h}, {pair(a % (1 << 64), b, k) % (1 << 64) >> shift for k in (1, 2) for a, b in zip(h, h[k:])}
+
+    order = [r[0] for r in spark.range(160).select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()]
+    rows = [(*map(list, cells(texts[i])), labels[i][1]) for i in order]
+    want = plain_ftrl(rows, how)
+    bias = want.pop("bias", 0.0)
+    got = dict(zip(model.cells.tolist(), model.weights.tolist()))
+    assert got.pop(1 << toxicity.BITS, 0.0) == pytest.approx(bias, abs=1e-9)
+    assert got == pytest.approx(want, abs=1e-9) and len(got) > 3
+    for r in toxicity.score(docs(*enumerate(texts)), model).collect():
+        words, pairs = cells(texts[r.doc_id])
+        total = bias + sum(want.get(c, 0) for c in words) + how.pair_value * sum(want.get(c, 0) for c in pairs - words)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.fit(odd, local_table(spark, [], T.StructType.fromDDL("doc_id long, toxic int")))
     assert {r.score for r in toxicity.score(odd, model).collect()} == {0.5}
@@ -354,6 +406,23 @@ def test_wavelet_query_takes_added_tokens_as_the_library(spark, docs, tmp_path):
     assert at > 0
 
 
+def test_words_give_the_ids_of_the_library_on_random_texts():
+    """Latin letters, combining marks, white space, signs and strings like added tokens, in any order."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words = Tokenizer.from_file(path), wavelet.Words(path, added=True)
+    rng = np.random.default_rng(17)
+    odd = [chr(c) for c in [*range(1, 0x250), *range(0x300, 0x370), 0x1E9E, 0x212A, 0x212B, 0x2126, 0x3A3, 0x3C2, 0xFB01, 0x4E2D, 0x1F600]]
+    common = [*"abcxyz019.,!?-' ", "'s", "'ll", "n't", "i\u0307", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    pick = lambda: "".join(rng.choice(odd if rng.random() < 0.4 else common) for _ in range(rng.integers(0, 14)))
+    texts = [pick() for _ in range(6000)] + ["1\u0130.", "a\u0130! b\u0130", "\u0130\u0130..x"]
+    ids, lengths = words.encode([t.encode() for t in texts])
+    ends = np.cumsum(lengths)
+    for text, start, end in zip(texts, (ends - lengths).tolist(), ends.tolist()):
+        assert ids[start:end].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def whole_bpe():
     import tiktoken
 
