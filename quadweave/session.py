@@ -23,6 +23,7 @@ SETTINGS = {
 
 
 _STAGED: list[str] = []
+_TABLES: list[str] = []
 
 
 def build_session(app: str = "quadweave", master: str | None = None, **extra: str) -> SparkSession:
@@ -59,11 +60,19 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def owned(path: str | None = None, table: str | None = None) -> None:
+    """A folder or table that :func:`release` removes like staged ones."""
+    _STAGED.extend([path] if path else [])
+    _TABLES.extend([table] if table else [])
+
+
 def release(spark: SparkSession) -> int:
     """Remove all that :func:`stage` has written since the last call; results not yet read from it are lost.
 
     For the end of a unit of work whose results are written. Returns the number of folders.
     """
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS `{_TABLES.pop()}`")
     paths = [_STAGED.pop() for _ in range(len(_STAGED))]
     for path in paths:
         folder, files = hadoop_path(spark, path)
