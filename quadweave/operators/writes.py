@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quadweave.functions.scalars import is_user_graph
 from quadweave.operators import graphs, lookup, rewrite, state, times
 from quadweave.operators.state import GraphNotFound
-from quadweave.schema import GRAPH_REF_POSITIONS, QUAD_COLS, Snapshot, Vocabulary
+from quadweave.schema import GRAPH_REF_POSITIONS, QUAD_COLS, Snapshot, Vocabulary, local_table, struct
 from quadweave.sources.quads import assign_graph, check_graphs
 
 
@@ -169,24 +169,48 @@ def _after_delete(snap: Snapshot, draftset: str, kept: DataFrame, vanished: Data
     return times.forget(snap, draftset, vanished, now, vocab)
 
 
+def _one(snap: Snapshot, graph: str) -> DataFrame:
+    return lookup.local(local_table(snap.spark, [(graph,)], struct("lg STRING")))
+
+
+def _with_draft(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocabulary) -> tuple[Snapshot, DataFrame, DataFrame]:
+    """(snapshot in which the graph has a draft in this draftset, all pairs of the draftset, the graph's own)."""
+    one = _one(snap, graph)
+    pairs = pairs_of(snap, draftset)
+    missing = lookup.local(lookup.join(one, pairs, "lg", "left_anti"))
+    created = state.new_drafts(missing, draftset, now, vocab)
+    pairs = lookup.local(lookup.union(pairs, lookup.local(created.select("lg", "dg"))))
+    if not is_empty(missing):
+        snap = snap.but(draft_graphs=snap.draft_graphs.unionByName(created))
+    return snap, pairs, lookup.local(pairs.filter(F.col("lg") == graph))
+
+
+def _recounted(snap: Snapshot, gone: DataFrame, copied: str | None = None) -> DataFrame | None:
+    """Kept counts without the drafts ``gone(dg)``, or with the size of a live graph for the one that copies it."""
+    if snap.counts is None:
+        return None
+    names = [row[gone.columns.index("dg")] for row in gone._rows]
+    rest = snap.counts.filter((F.col("store") != "draft") | ~F.col("g").isin(names))
+    if copied is None:
+        return rest
+    copy = snap.sizes("live").filter(F.col("g") == copied).select(F.lit("draft").alias("store"), F.lit(names[0]).alias("g"), "n")
+    return rest.unionByName(copy)
+
+
 def delete_graph(
     snap: Snapshot, draftset: str, graph: str, now, vocab: Vocabulary, silent: bool = False
 ) -> Snapshot:
     """Empty the draft of a graph, making one if needed; publishing it deletes the graph."""
-    one = snap.spark.range(1).select(F.lit(graph).alias("lg"))
-    state.check_unprotected(one, vocab)
+    state.check_unprotected(_one(snap, graph), vocab)
     if not state.is_graph_managed(snap.managed_graphs, graph):
         if silent:
             return snap
         raise GraphNotFound(graph)
-    draft_graphs = state.create_drafts(snap.draft_graphs, one, draftset, now, vocab)
-    snap = snap.but(draft_graphs=draft_graphs)
-    pairs = pairs_of(snap, draftset)
-    target = lookup.local(pairs.filter(F.col("lg") == graph))
+    snap, pairs, target = _with_draft(snap, draftset, graph, now, vocab)
     mine, others = split_draft(snap, draftset, pairs)
     emptied = lookup.drop(mine, target, key="dg")
     after = lookup.translate(emptied, target, "dg", "lg", GRAPH_REF_POSITIONS)
-    snap = snap.but(draft=others.unionByName(after))
+    snap = snap.but(draft=others.unionByName(after), counts=_recounted(snap, target))
     return times.touch(snap, draftset, target, now, vocab)
 
 
@@ -195,7 +219,7 @@ def revert_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocabula
     dg = state.find_draft(snap.draft_graphs, draftset, graph)
     if dg is None:
         return "not-found", snap
-    one = snap.draft_graphs.filter(F.col("dg") == dg).select("lg", "dg")
+    one = lookup.local(local_table(snap.spark, [(graph, dg)], struct("lg STRING, dg STRING")))
     mine, others = split_draft(snap, draftset)
     # References to the reverted draft become references to the published graph.
     rest = lookup.translate(mine.filter(F.col("g") != dg), one, "dg", "lg", GRAPH_REF_POSITIONS)
@@ -204,6 +228,7 @@ def revert_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocabula
         draft=others.unionByName(rest),
         draft_graphs=draft_graphs,
         managed_graphs=times.drop_orphans(snap.managed_graphs, draft_graphs, [graph]),
+        counts=_recounted(snap, one),
     )
     return "reverted", times.forget(after, draftset, one.select("dg"), now, vocab)
 
@@ -212,12 +237,8 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     """Replace the draft of a live graph by the live content. Modified times stay as they are."""
     if not state.is_graph_live(snap.managed_graphs, graph):
         raise GraphNotFound(f"not live: {graph}")
-    one = snap.spark.range(1).select(F.lit(graph).alias("lg"))
-    state.check_unprotected(one, vocab)
-    draft_graphs = state.create_drafts(snap.draft_graphs, one, draftset, now, vocab)
-    snap = snap.but(draft_graphs=draft_graphs)
-    pairs = pairs_of(snap, draftset)
-    target = lookup.local(pairs.filter(F.col("lg") == graph))
+    state.check_unprotected(_one(snap, graph), vocab)
+    snap, pairs, target = _with_draft(snap, draftset, graph, now, vocab)
     mine, others = split_draft(snap, draftset, pairs)
     emptied = lookup.drop(mine, target, key="dg")
     if state.is_graph_empty(snap.names("live"), graph):
@@ -225,7 +246,7 @@ def copy_live_graph(snap: Snapshot, draftset: str, graph: str, now, vocab: Vocab
     else:
         others_filled = lookup.drop(snap.names("draft"), target, key="dg")
         _, _, after = with_clones(snap, emptied, pairs, target, names=others_filled)
-    return snap.but(draft=others.unionByName(after))
+    return snap.but(draft=others.unionByName(after), counts=_recounted(snap, target, graph))
 
 
 def delete_draftset(snap: Snapshot, draftset: str) -> Snapshot:
@@ -246,5 +267,6 @@ def delete_draftset(snap: Snapshot, draftset: str) -> Snapshot:
     )
 
 
-def user_pairs(snap: Snapshot, draftset: str, vocab: Vocabulary) -> DataFrame:
-    return pairs_of(snap, draftset).filter(is_user_graph(F.col("lg"), vocab))
+def user_pairs(snap: Snapshot, draftset: str, vocab: Vocabulary, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = pairs_of(snap, draftset) if pairs is None else pairs
+    return lookup.local(pairs.filter(is_user_graph(F.col("lg"), vocab)))
