@@ -18,18 +18,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quadweave.llm.arrow import Batches, binaries, mapped, send_package, sliced
 from quadweave.llm.common import whole
 from quadweave.llm.succinct import EliasFano, bundle, smallest, unbundle
-from quadweave.session import shared_folder, stage
+from quadweave.session import owned, shared_folder, stage
 
 #: Tokens in a chunk; a longer document has a chunk of its own.
 CHUNK_TOKENS = 1 << 20
@@ -37,18 +38,35 @@ CHUNK_TOKENS = 1 << 20
 HOT = 1 << 20
 #: Smoothing by order, from pairs up.
 STRENGTH = (500.0, 10.0, 10.0, 10.0)
-#: Steps of a quantised log10 probability, and the largest code.
-STEPS, MOST = 3000, 65535
+#: Steps of a quantised log10 probability; codes beyond EVEN grow by a part of GROWTH each, down to 1e-300 and below.
+STEPS, EVEN, GROWTH = 3000, 60_000, 2000
 _KEY_BITS = 62
 END, START = b" ", b"  "
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-log10 * STEPS), MOST).astype(np.uint16)
+    """Codes of 16 bits: even steps to 1e-20, then steps in proportion, so that nothing is clipped."""
+    steps = -log10 * STEPS
+    far = steps > EVEN
+    if far.any():
+        steps = np.where(far, EVEN + GROWTH * np.log(np.maximum(steps, EVEN) / EVEN), steps)
+    return np.rint(steps).astype(np.uint16)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) / -STEPS
+    steps = codes.astype(np.float64)
+    far = steps > EVEN
+    if far.any():
+        steps = np.where(far, EVEN * np.exp((steps - EVEN) / GROWTH), steps)
+    return steps / -STEPS
+
+
+def in_order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by (context, word), by one key where both fit in it."""
+    wide = int(word.max(initial=0)) + 1
+    if int(context.max(initial=0)) < (1 << 62) // wide:
+        return np.argsort(context * wide + word)
+    return np.lexsort((word, context))
 
 
 def word_key(word: bytes) -> int:
@@ -124,7 +142,7 @@ class Chunk:
     def grams(self) -> tuple[np.ndarray, ...]:
         """Distinct (context, word) pairs of known parts: their positions, and where each is asked."""
         self.asked = np.flatnonzero((self.context >= 0) & (self.word >= 0) & (self.context_count > 0))
-        order = np.lexsort((self.word[self.asked], self.context[self.asked]))
+        order = in_order(self.context[self.asked], self.word[self.asked])
         c, w = self.context[self.asked][order], self.word[self.asked][order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
@@ -314,7 +332,10 @@ def _with_answers(chunks: DataFrame, answers: DataFrame, run: Callable[[int, pa.
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)
 
 
-def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float], more: bool, hot: int) -> Callable[[Batches], Batches]:
+def _ask_level(
+    level: int, shards: int, totals: Totals, strength: Sequence[float], more: bool, hot: int, keep: bool, turn: int = 0, turns: int = 1
+) -> Callable[[Batches], Batches]:
+    """Asks of a level for the shards whose number leaves ``turn`` when divided by ``turns``."""
     def pack(contexts: np.ndarray, words: np.ndarray, trained: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
         edges = np.flatnonzero(np.diff(contexts, prepend=-1))
         lengths = np.diff(edges, append=len(contexts))
@@ -323,7 +344,9 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
     def run(name: int, own: pa.Table, given: pa.Table) -> Iterator[pa.RecordBatch]:
         chunk = _prepared(own["data"][0].as_py(), given, shards, totals, level - 1, strength, hot)
         grams = chunk.grams()
-        yield _asks(name, shard_of(grams[0], grams[1], grams[3], shards, hot), grams, pack)
+        shard = shard_of(grams[0], grams[1], grams[3], shards, hot)
+        mine = np.flatnonzero(shard % turns == turn)
+        yield _asks(name, shard[mine], [g[mine] for g in grams], pack)
 
     def answer(batches: Batches) -> Batches:
         k = strength[level - 2]
@@ -332,7 +355,7 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
             context = np.concatenate([np.repeat(np.cumsum(s[0]), s[1]) for s in sent])
             total = np.concatenate([np.repeat(s[2], s[1]) for s in sent])
             word, trained, lower = (np.concatenate([s[i] for s in sent]) for i in (3, 4, 5))
-            order = np.lexsort((word, context))
+            order = in_order(context, word)
             c, w = context[order], word[order]
             fresh = np.ones(len(order), bool)
             fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
@@ -350,7 +373,7 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
             trie = Level(arrays)
             rank, at = trie.find(c.astype(np.uint64), w)
             own = trie.codes[np.maximum(at, 0)] if len(trie.codes) else np.zeros(len(at), np.uint16)
-            backed = np.minimum(trie.backoffs[rank].astype(np.int64) + quantise(lower), MOST).astype(np.uint16)
+            backed = quantise(dequantise(trie.backoffs[rank]) + lower)
             code = np.where(at >= 0, own, backed)[back]
             ends = np.cumsum([len(s[3]) for s in sent])[:-1]
             out = [code]
@@ -358,7 +381,7 @@ def _ask_level(level: int, shards: int, totals: Totals, strength: Sequence[float
                 out += [np.where(at >= 0, at * shards + shard, -1)[back] + 1, count[back]]
             parts = [np.split(x, ends) for x in out]
             answers = [bundle(p[0], *[smallest(x) for x in p[1:]]) for p in zip(*parts)]
-            yield _answers(shard, rows, answers, bundle(*arrays), int(count.sum()), int(seen.sum()))
+            yield _answers(shard, rows, answers, bundle(*arrays) if keep else b"", int(count.sum()), int(seen.sum()))
 
     run.answer = answer
     return run
@@ -372,6 +395,8 @@ def score(
     text: str = "text",
     doc_id: str = "doc_id",
     hot: int = HOT,
+    keep: bool = True,
+    turns: int = 2,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Scores of all documents by a model of those marked ``training``, and the model's levels.
 
@@ -380,31 +405,37 @@ def score(
     token, a null or empty text has the end token alone. Scores are log10 probabilities of the whole
     text, ``base_score`` by smoothed counts of single tokens, ``score`` by the model of ``order``
     words. A null ``training`` counts as false; without a training document every token has the
-    probability that one unseen token has. The levels are tables (shard, data) in the shared folder.
+    probability that one unseen token has. The levels are tables (shard, data) in the shared folder;
+    with ``keep=False`` a level from 2 on lives only in the tasks that build it and answer from it. The
+    last level is asked for in ``turns``, a part of its shards at a time, so that its n-grams are never
+    all on disk at once.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 2 * partitions
-    chunks = _bucketed(chunks_of(docs, training, text, doc_id), partitions)
-    ask = _ask_words(shards)
-    asked, answers, levels = mapped(chunks.select("chunk", "words", "data"), ask, _ASK), None, []
-    for level in range(1, order + 1):
-        dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-        answered = stage(mapped(dealt, ask.answer, _ANSWER))
-        levels.append(answered.filter("chunk < 0").select("shard", "data"))
-        if level == 1:
-            # One row of numbers per shard.
-            found = answered.filter("chunk < 0").select("shard", "tokens", "distinct", "documents").orderBy("shard").collect()
-            before, bases = 0, {}
-            for r in found:
-                bases[r["shard"]] = before
-                before += r["distinct"]
-            totals = Totals(sum(r["tokens"] for r in found), before, sum(r["documents"] for r in found), bases)
-        given = answered.filter("chunk >= 0").select("chunk", F.lit(level).alias("level"), "shard", "data")
-        answers = given if answers is None else answers.unionByName(given)
-        if level < order:
-            ask = _ask_level(level + 1, shards, totals, strength, level + 1 < order, hot)
-            asked = _with_answers(chunks.select("chunk", "data"), answers, ask, _ASK)
+    with _files_removed(spark):
+        chunks = _bucketed(chunks_of(docs, training, text, doc_id), partitions)
+        ask = _ask_words(shards)
+        answered = _answered(mapped(chunks.select("chunk", "words", "data"), ask, _ASK), ask, shards)
+        levels = [answered.filter("chunk < 0").select("shard", "data")]
+        # One row of numbers per shard.
+        found = answered.filter("chunk < 0").select("shard", "tokens", "distinct", "documents").orderBy("shard").collect()
+        before, bases = 0, {}
+        for r in found:
+            bases[r["shard"]] = before
+            before += r["distinct"]
+        totals = Totals(sum(r["tokens"] for r in found), before, sum(r["documents"] for r in found), bases)
+        answers = _given(answered, 1)
+        for level in range(2, order + 1):
+            parts, known, model = (turns if level == order else 1), answers, None
+            for turn in range(parts):
+                ask = _ask_level(level, shards, totals, strength, level < order, hot, keep, turn, parts)
+                asked = _with_answers(chunks.select("chunk", "data"), known, ask, _ASK)
+                answered = _answered(asked, ask, shards)
+                own = answered.filter("chunk < 0").select("shard", "data")
+                model = own if model is None else model.unionByName(own)
+                answers = answers.unionByName(_given(answered, level))
+            levels += [model] if keep else []
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def sums(_: int, own: pa.Table, given: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -420,8 +451,30 @@ def score(
     return _with_answers(chunks.select("chunk", "data", "doc_ids"), answers, sums, schema), levels
 
 
+def _answered(asked: DataFrame, ask: Callable, shards: int) -> DataFrame:
+    dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
+    return stage(mapped(dealt, ask.answer, _ANSWER))
+
+
+def _given(answered: DataFrame, level: int) -> DataFrame:
+    return answered.filter("chunk >= 0").select("chunk", F.lit(level).alias("level"), "shard", "data")
+
+
+@contextmanager
+def _files_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the write that made them, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
     """The chunks written in buckets of their number in the shared folder: each pass reads them without a shuffle."""
     spark, name = chunks.sparkSession, f"quadweave_chunks_{uuid.uuid4().hex}"
+    owned(f"{shared_folder(spark)}/{name}", name)
     chunks.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quadweave.llm import bpe, clusters, exact, lm, merkle, mixing, oracles, quality, shards, simhash, topk, toxicity, urls, wavelet
 from quadweave.llm.common import table
 from quadweave.schema import local_table
-from quadweave.session import shared_folder
+from quadweave.session import owned, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,7 +79,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
-    scored, _ = lm.score(docs, ~held_out, order=3)
+    scored, _ = lm.score(docs, ~held_out, order=3, keep=False)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -121,6 +121,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_wavelet_tokens")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
+    owned(path)
     wavelet.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), added=True)
     return wavelet.digests(wavelet.read(spark, path))
 
