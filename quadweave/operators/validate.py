@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.functions.scalars import draft_graph_iri, is_user_graph
-from quadweave.operators import lookup
+from quadweave.operators import compare, lookup
 from quadweave.operators.rewrite import ALL_POSITIONS
 from quadweave.operators.state import instant
 from quadweave.schema import LIVE_SCOPE, QUAD_COLS, Snapshot, Vocabulary
@@ -82,13 +82,12 @@ def backfill_claim_permissions(submissions: DataFrame, vocab: Vocabulary, role:
 
 
 def consistency_gaps(stored: DataFrame, inputs: DataFrame, deletes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Quads by which a stored draft differs from mapping(inputs - deletes); empty when consistent."""
+    """Quads by which a stored draft differs from mapping(inputs - deletes); empty when consistent.
+
+    Digests tell which parts of graphs differ; a consistent draft costs one aggregate of each side.
+    """
     left = lookup.minus(inputs.select(*QUAD_COLS).dropDuplicates(), deletes)
     expected = lookup.translate(left, pairs, "lg", "dg", ALL_POSITIONS)
-    # One pass over both sides: +1 for stored, -1 for expected, a set is equal when all cancel.
-    sides = stored.select(*QUAD_COLS, F.lit(1).alias("_n")).unionByName(
-        expected.select(*QUAD_COLS, F.lit(-1).alias("_n"))
-    )
-    gap = sides.groupBy(*QUAD_COLS).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
-    return gap.withColumn("side", F.when(F.col("_n") > 0, "only stored").otherwise("only expected")).drop("_n")
+    found = compare.gaps(stored, expected)
+    return found.withColumn("side", F.when(F.col("side") > 0, "only stored").otherwise("only expected"))
 

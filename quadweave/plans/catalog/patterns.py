@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadweave.functions import scalars as S
 from quadweave.functions import terms as T
-from quadweave.operators import lookup, state, times
+from quadweave.operators import compare, lookup, state, times
 from quadweave.operators import patterns as pt
 from quadweave.plans import fixtures as fx
 from quadweave.plans import views
@@ -452,3 +452,22 @@ def key_diff(spark, sf_dir):
 def quad_difference(spark, sf_dir):
     snap = fx.snapshot(spark, sf_dir)
     return lookup.minus(snap.live, views.draft_view(snap, fx.DS2)).select("g", "s", "p", "o")
+
+
+@register(
+    "g7_difference_by_digests",
+    sql(
+        """, later AS (SELECT g, s, p, CASE WHEN g = 'http://example.com/graph/3' AND p = 'http://example.com/p/status' AND k % 97 = 0 THEN 'lost' ELSE o END AS o
+          FROM live_q WHERE NOT (g = 'http://example.com/graph/7' AND k % 5 = 0) AND g <> 'http://example.com/graph/11')
+        SELECT 1 AS side, * FROM (SELECT g, s, p, o FROM live_q EXCEPT SELECT * FROM later)
+        UNION ALL SELECT -1, * FROM (SELECT * FROM later EXCEPT SELECT g, s, p, o FROM live_q)"""
+    ),
+)
+def difference_by_digests(spark, sf_dir):
+    """The published quads against a later state: some changed in one graph, some gone in another, one graph gone."""
+    live = fx.snapshot(spark, sf_dir).live
+    number = F.regexp_extract("s", r"(\d+)$", 1).cast("bigint")
+    of_graph = lambda n: F.col("g") == fx.GRAPH + str(n)
+    changed = of_graph(3) & (F.col("p") == fx.P + "status") & (number % 97 == 0)
+    later = live.filter(~(of_graph(7) & (number % 5 == 0)) & ~of_graph(11))
+    return compare.gaps(live, later.withColumn("o", F.when(changed, "lost").otherwise(F.col("o")))).select("side", "g", "s", "p", "o")
