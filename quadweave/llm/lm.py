@@ -61,6 +61,19 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
     return steps / -STEPS
 
 
+def steps_of(places: np.ndarray) -> np.ndarray:
+    """Places that never fall, -1 for none, as small numbers: 0 for none, else one more than the step from the last."""
+    out, there = np.zeros(len(places), np.int64), places >= 0
+    out[there] = np.diff(places[there], prepend=0) + 1
+    return out
+
+
+def places_of(steps: np.ndarray) -> np.ndarray:
+    out, there = np.full(len(steps), -1, np.int64), steps > 0
+    out[there] = np.cumsum(steps[there].astype(np.int64) - 1)
+    return out
+
+
 def in_order(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The order by (context, word), by one key where both fit in it."""
     wide = int(word.max(initial=0)) + 1
@@ -282,10 +295,10 @@ def _ask_words(shards: int) -> Callable[[Batches], Batches]:
             level = EliasFano.of(parts)
             inside = np.where(keys >= low, keys - low, np.uint64((1 << _KEY_BITS) - 1))
             rank = level.find(inside)
-            number = np.where(rank >= 0, rank + 1, 0)[back]
+            number = rank[back]
             total = np.where(rank >= 0, seen[np.maximum(rank, 0)] if len(seen) else 0, 0)[back]
             ends = np.cumsum([len(s[0]) for s in sent])[:-1]
-            out = [bundle(smallest(a), smallest(b)) for a, b in zip(np.split(number, ends), np.split(total, ends))]
+            out = [bundle(smallest(steps_of(a)), smallest(b)) for a, b in zip(np.split(number, ends), np.split(total, ends))]
             documents = int(counts[keys == end].sum())
             model = bundle(np.array([low]), *parts, smallest(seen))
             yield _answers(shard, rows, out, model, int(counts.sum()), len(own), documents)
@@ -305,20 +318,23 @@ def _prepared(data: bytes, answers: pa.Table, shards: int, totals: Totals, order
     chunk = Chunk(data)
     ids, counts = [], []
     for shard, (number, count) in given(1):
-        number = number.astype(np.int64)
-        ids.append(np.where(number > 0, number - 1 + totals.bases[shard], -1))
+        number = places_of(number)
+        ids.append(np.where(number >= 0, number + totals.bases[shard], -1))
         counts.append(count.astype(np.int64))
     chunk.learn_words(np.concatenate(ids), np.concatenate(counts), totals)
     for level in range(2, order + 1):
         grams = chunk.grams()
         place = np.argsort(shard_of(grams[0], grams[1], grams[3], shards, hot), kind="stable")
-        found = [a for _, a in given(level)]
-        columns = [np.concatenate([a[i] for a in found]) for i in range(len(found[0]))] if found else [np.empty(0, np.int64)]
+        found = given(level)
+        columns = [np.concatenate([a[0] for _, a in found])] if found else [np.empty(0, np.uint16), *[np.empty(0, np.int64)] * 2]
+        if found and len(found[0][1]) > 1:
+            numbers = [places_of(a[1]) for _, a in found]
+            numbers = [np.where(n >= 0, n * shards + shard, -1) for n, (shard, _) in zip(numbers, found)]
+            columns += [np.concatenate(numbers), np.concatenate([a[2] for _, a in found]).astype(np.int64)]
         spread = [np.empty_like(c) for c in columns]
         for a, b in zip(spread, columns):
             a[place] = b
-        more = [x.astype(np.int64) for x in spread[1:]] or [None, None]
-        chunk.learn_level(spread[0].astype(np.uint16), more[0], more[1], strength[level - 2])
+        chunk.learn_level(spread[0], *(spread[1:] or [None, None]), strength[level - 2])
     return chunk
 
 
@@ -378,9 +394,9 @@ def _ask_level(
             ends = np.cumsum([len(s[3]) for s in sent])[:-1]
             out = [code]
             if more:
-                out += [np.where(at >= 0, at * shards + shard, -1)[back] + 1, count[back]]
+                out += [at[back], count[back]]
             parts = [np.split(x, ends) for x in out]
-            answers = [bundle(p[0], *[smallest(x) for x in p[1:]]) for p in zip(*parts)]
+            answers = [bundle(p[0], *[smallest(x) for x in (steps_of(p[1]), p[2])]) if more else bundle(p[0]) for p in zip(*parts)]
             yield _answers(shard, rows, answers, bundle(*arrays) if keep else b"", int(count.sum()), int(seen.sum()))
 
     run.answer = answer

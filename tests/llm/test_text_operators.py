@@ -287,7 +287,7 @@ def plain_scores(rows, order, strength):
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_scores(spark, docs, odd, order, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(lm.chunks_of, "__defaults__", (50,))
     rng = np.random.default_rng(order)
     rows = [(100 + i, " ".join(f"W{x}" for x in rng.zipf(1.6, 30) % 40)) for i in range(60)]
     table = odd.unionByName(docs(*rows)).repartition(3)
@@ -302,6 +302,26 @@ def test_lm_scores(spark, docs, odd, order, monkeypatch):
         assert abs(a[5] - b[5]) < 1e-6 * a[2] and abs(a[6] - b[6]) < 5e-4 * a[2]
 
 
+def test_lm_of_words_never_seen(spark, docs, monkeypatch):
+    """A chunk in which nothing can be asked backs off once, whatever the order."""
+    monkeypatch.setattr(lm.chunks_of, "__defaults__", (1,))
+    rows = [(i, f"a b c{i % 3} a") for i in range(0, 40, 2)] + [(1, "zzz"), (3, "yyy xxx"), (5, ""), (7, "a zzz b c1")]
+    training = F.col("doc_id") % 2 == 0
+    for order in (2, 3, 4):
+        got = {r.doc_id: r.score for r in lm.score(docs(*rows), training, order=order, strength=(5.0, 2.0, 2.0))[0].collect()}
+        for key, *_, want in plain_scores([(k, k % 2 == 0, t) for k, t in rows], order, (5.0, 2.0, 2.0)):
+            assert got[key] == pytest.approx(want, abs=5e-3)
+
+
+def test_lm_codes_of_any_size():
+    logs = -np.concatenate([np.linspace(0, 30, 4000), np.geomspace(1e-3, 300, 500)])
+    back = lm.dequantise(lm.quantise(logs))
+    assert np.all(np.abs(back - logs) <= np.maximum(2e-4, -logs * 3e-4))
+    assert np.array_equal(lm.quantise(lm.dequantise(np.arange(65_536))), np.arange(65_536))
+    places = np.array([-1, 0, 0, 5, -1, 9, 9, 10**12, -1])
+    assert np.array_equal(lm.places_of(lm.steps_of(places)), places) and len(lm.places_of(lm.steps_of(places[:0]))) == 0
+
+
 def test_lm_hot_contexts_and_no_training(docs, empty):
     rows = [(i, "hot " + " hot ".join(f"x{j}" for j in range(i, i + 20))) for i in range(30)]
     training = F.col("doc_id") % 2 == 0
