@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.operators import lookup
-from quadweave.schema import IRI, OWL_THING, QUAD_COLS, RDF_TYPE, RDFS_SUBCLASS
+from quadweave.schema import IRI, OWL_THING, QUAD_COLS, RDF_TYPE, RDFS_SUBCLASS, local_table, struct
 from quadweave.session import stage
 
 
@@ -19,10 +19,15 @@ def subclass_edges(quads: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All ``(sub, sup)`` pairs reachable in one or more steps. Cycles are fine.
 
-    Each round joins only the pairs found in the round before with all known ones, so path lengths
-    double and no pair of old paths meets twice. Rounds end when one finds nothing new; each is
-    staged in the shared folder, so plans stay short and lost executors do not restart it all.
+    A hierarchy of few edges and pairs is walked as a local relation. Beyond that each round joins only
+    the pairs found in the round before with all known ones, so path lengths double and no pair of old
+    paths meets twice. Rounds end when one finds nothing new; each is staged in the shared folder, so
+    plans stay short and lost executors do not restart it all.
     """
+    edges = lookup.local(edges.select("sub", "sup"))
+    pairs = _walked(edges._rows, lookup.BROADCAST_ROWS) if hasattr(edges, "_rows") else None
+    if pairs is not None:
+        return local_table(edges.sparkSession, pairs, struct("sub STRING, sup STRING"))
     known = new = stage(edges.select("sub", "sup").distinct())
     while True:
         ahead = new.select("sub", F.col("sup").alias("mid")).join(known.select(F.col("sub").alias("mid"), "sup"), "mid")
@@ -34,6 +39,26 @@ def closure(edges: DataFrame) -> DataFrame:
         known = stage(known.unionByName(new))
 
 
+def _walked(edges: list[tuple[str, str]], most: int) -> list[tuple[str, str]] | None:
+    """The pairs of a small hierarchy, from every class upwards; None if there are more than ``most``."""
+    above: dict[str, set[str]] = {}
+    for sub, sup in edges:
+        if sub is not None and sup is not None:
+            above.setdefault(sub, set()).add(sup)
+    found: list[tuple[str, str]] = []
+    for start in above:
+        seen, open_ = set(), [start]
+        while open_:
+            for sup in above.get(open_.pop(), ()):
+                if sup not in seen:
+                    seen.add(sup)
+                    open_.append(sup)
+            if len(found) + len(seen) > most:
+                return None
+        found += [(start, sup) for sup in seen]
+    return found
+
+
 def inferred_types(quads: DataFrame, closed: DataFrame | None = None, with_thing: bool = False) -> DataFrame:
     """rdf:type quads that follow from the hierarchy and are not stated. ``with_thing`` adds the top class."""
     closed = closure(subclass_edges(quads)) if closed is None else closed

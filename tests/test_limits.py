@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadweave.functions import scalars
-from quadweave.operators import workflow
+from quadweave.operators import lookup, workflow
 from quadweave.operators.inference import closure
 from quadweave.schema import BNODE, IRI, LITERAL, XSD, Vocabulary, local_table, struct
 from quadweave.sources import generator, quads, sinks
@@ -47,7 +47,9 @@ def test_batches_of_a_sparse_order(spark):
     assert all(sum(x.g == g and x.batch == b for x in c) <= 4 for c in chunks.values() for g in "gh" for b in range(5))
 
 
-def test_closure_of_a_deep_hierarchy(spark):
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_closure_of_a_deep_hierarchy(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)  # beyond it, rounds of joins
     edges = local_table(spark, [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("c40", "c0")], struct("sub STRING, sup STRING"))
     assert closure(edges).count() == 41 * 41
     chain = local_table(spark, [(f"c{i:03}", f"c{i + 1:03}") for i in range(70)], struct("sub STRING, sup STRING"))
