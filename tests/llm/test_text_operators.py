@@ -287,7 +287,7 @@ def plain_scores(rows, order, strength):
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_scores(spark, docs, odd, order, monkeypatch):
-    monkeypatch.setattr(lm.chunks_of, "__defaults__", (50,))
+    monkeypatch.setattr(lm.chunks_of, "__defaults__", (200,))
     rng = np.random.default_rng(order)
     rows = [(100 + i, " ".join(f"W{x}" for x in rng.zipf(1.6, 30) % 40)) for i in range(60)]
     table = odd.unionByName(docs(*rows)).repartition(3)
@@ -304,7 +304,7 @@ def test_lm_scores(spark, docs, odd, order, monkeypatch):
 
 def test_lm_of_words_never_seen(spark, docs, monkeypatch):
     """A chunk in which nothing can be asked backs off once, whatever the order."""
-    monkeypatch.setattr(lm.chunks_of, "__defaults__", (1,))
+    monkeypatch.setattr(lm.chunks_of, "__defaults__", (12,))
     rows = [(i, f"a b c{i % 3} a") for i in range(0, 40, 2)] + [(1, "zzz"), (3, "yyy xxx"), (5, ""), (7, "a zzz b c1")]
     training = F.col("doc_id") % 2 == 0
     for order in (2, 3, 4):
