@@ -235,13 +235,24 @@ def _batch(df: DataFrame, like: DataFrame | None) -> tuple[DataFrame, bool]:
     return (local(df), True) if _is_local(like) else (df, is_small(like))
 
 
+def _rows_in(df: DataFrame, side: DataFrame, columns: Sequence[str], how: str, small: bool) -> DataFrame:
+    """Semi or anti join over whole rows, none of them NULL: by one hash, then by every column.
+
+    Hashing, sorting and comparing a long costs a fraction of the same with eight texts.
+    """
+    key = F.xxhash64(*columns)
+    named = side.select(key.alias("_hash"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(columns)])
+    match = F.col("_key") == F.col("_hash")
+    for i, c in enumerate(columns):
+        match = match & (F.col(c) == F.col(f"_r{i}"))
+    return df.withColumn("_key", key).join(F.broadcast(named) if small else named, match, how).drop("_key")
+
+
 def minus(df: DataFrame, gone: DataFrame, columns: Sequence[str] = QUAD_COLS, like: DataFrame | None = None) -> DataFrame:
     """Set difference over whole terms. A small ``gone`` is broadcast, so ``df`` is not shuffled."""
     columns = list(columns)
     side, small = _batch(gone.select(*columns), like)
-    if small:
-        return df.join(F.broadcast(side), columns, "left_anti")
-    return df.join(side.dropDuplicates(), columns, "left_anti")
+    return _rows_in(df, side, columns, "left_anti", small)
 
 
 def add_new(existing: DataFrame, incoming: DataFrame, like: DataFrame | None = None) -> DataFrame:
@@ -252,7 +263,7 @@ def add_new(existing: DataFrame, incoming: DataFrame, like: DataFrame | None = N
     """
     incoming, small = _batch(incoming.select(*QUAD_COLS), like)
     if small:
-        seen = existing.join(F.broadcast(incoming), QUAD_COLS, "left_semi").select(*QUAD_COLS)
-        fresh = incoming.dropDuplicates().join(seen, QUAD_COLS, "left_anti")
+        seen = _rows_in(existing, incoming, QUAD_COLS, "left_semi", True).select(*QUAD_COLS)
+        fresh = _rows_in(incoming.dropDuplicates(), seen, QUAD_COLS, "left_anti", False)
         return existing.select(*QUAD_COLS).unionByName(fresh)
     return existing.select(*QUAD_COLS).unionByName(incoming).dropDuplicates()

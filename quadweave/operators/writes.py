@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.functions.scalars import is_user_graph
-from quadweave.operators import graphs, lookup, rewrite, state, times
+from quadweave.operators import compare, graphs, lookup, rewrite, state, times
 from quadweave.operators.state import GraphNotFound
 from quadweave.schema import GRAPH_REF_POSITIONS, QUAD_COLS, Snapshot, Vocabulary, local_table, struct
 from quadweave.sources.quads import assign_graph, check_graphs
@@ -133,7 +133,9 @@ def delete(
     left = outside.unionByName(rest)
     # Only a graph with no more quads than the batch names in it can have lost all of them.
     unsure = _within(snap, lookup.join(hit, lookup.local(touched.select("lg", "gone")), "lg"), new_pairs)
-    still = rewrite.non_empty(unsure, lookup.keep(rest, unsure, key="dg"))
+    # Where the batch is all there is, the digests of both are equal; only other graphs are looked at by rows.
+    differ = _unlike(lookup.keep(base, unsure, key="dg"), lookup.keep(to_stored(outgoing, named, pairs), unsure, key="dg"), unsure)
+    still = rewrite.non_empty(differ, lookup.keep(rest, differ, key="dg"))
     # References to drafts that have just lost their last quad go back to the published name.
     ended = lookup.local(lookup.join(unsure, still, "dg", "left_anti").select("lg", "dg"))
     after = left if is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
@@ -150,6 +152,14 @@ def delete(
     return _after_delete(snap, draftset, kept, vanished, now, vocab)
 
 
+def _unlike(stored: DataFrame, batch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose stored quads are not just those of the batch, by order-free digests."""
+    if is_empty(pairs):
+        return pairs
+    other = lookup.local(compare.unequal(stored, batch, "g").select(F.col("g").alias("dg")))
+    return lookup.local(lookup.join(pairs, other, "dg", "left_semi"))
+
+
 def _within(snap: Snapshot, hit: DataFrame, cloned: DataFrame) -> DataFrame:
     """The pairs of ``hit(lg, dg, gone)`` that hold at most ``gone`` quads, clones counted with the live graph; all, if no counts are kept."""
     if snap.counts is None:
