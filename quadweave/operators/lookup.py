@@ -87,6 +87,8 @@ def _held(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataF
 
 def local(df: DataFrame) -> DataFrame:
     """``df``, computed once and held as a local relation if it is very small."""
+    if _is_local(df):
+        return df
     fetched = _fetch(df)
     return df if fetched is None else _localise(df, fetched)
 
@@ -108,6 +110,20 @@ def join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
     return _held(a.sparkSession, rows, T.StructType([a.schema[on], *rest]))
 
 
+def pick(df: DataFrame, *columns: str) -> DataFrame:
+    """``df.select(*columns)``; of a local relation without planning a query."""
+    if not _is_local(df):
+        return df.select(*columns)
+    if list(columns) == df.columns:
+        return df
+    at = [df.columns.index(c) for c in columns]
+    return _held(df.sparkSession, [tuple(r[i] for i in at) for r in df._rows], T.StructType([df.schema[c] for c in columns]))
+
+
+def is_empty(df: DataFrame) -> bool:
+    return not df._rows if _is_local(df) else df.limit(1).isEmpty()
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """``a.unionByName(b)``; of two local relations one is made without a job."""
     if not (_is_local(a) and _is_local(b)):

@@ -24,7 +24,8 @@ def non_empty(pairs: DataFrame, draft: DataFrame) -> DataFrame:
 
     ``draft`` may also be the names alone, as :meth:`Snapshot.names` gives them without reading quads.
     """
-    return lookup.local(lookup.join(lookup.local(pairs), _names(pairs, draft), "dg", "left_semi"))
+    pairs = lookup.local(pairs)
+    return pairs if lookup.is_empty(pairs) else lookup.local(lookup.join(pairs, _names(pairs, draft), "dg", "left_semi"))
 
 
 def _names(pairs: DataFrame, draft: DataFrame) -> DataFrame:

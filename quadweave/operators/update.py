@@ -174,8 +174,9 @@ def _filled_after(
     judged = lookup.local(asked.select("lg", "dg", verdict.alias("verdict")))
     surely = lookup.local(judged.filter("verdict = 'filled'").select("lg", "dg"))
     open_ = lookup.local(judged.filter("verdict = 'open'").select("lg", "dg"))
-    found = rewrite.non_empty(open_, lookup.keep(after, open_, key="dg")).select("lg", "dg")
-    others = lookup.join(before, touched, "dg", "left_anti").select("lg", "dg")
+    found = open_ if writes.is_empty(open_) else rewrite.non_empty(open_, lookup.keep(after, open_, key="dg"))
+    found = lookup.pick(found, "lg", "dg")
+    others = lookup.pick(lookup.join(before, touched, "dg", "left_anti"), "lg", "dg")
     return lookup.local(lookup.union(lookup.union(lookup.local(others), surely), lookup.local(found)))
 
 
@@ -192,7 +193,7 @@ def update(
         kind = GraphNotFound if failed.error == "not_found" else CannotCopy
         raise kind(f"{failed.error}: {failed.lg}")
     work = lookup.local(needs.filter(F.col("setup") != "nothing"))
-    if work.limit(1).isEmpty():
+    if writes.is_empty(work):
         return snap
     fresh = lookup.local(work.filter(F.col("setup") != "touch").select("lg"))
     created = state.new_drafts(fresh, draftset, now, vocab)
@@ -216,11 +217,11 @@ def update(
     size = F.when(F.col("setup") == "touch", F.col("draft_size")).when(F.col("setup") == "clone", F.col("live_size"))
     # A size beyond a bound is told as one more than it: still a lower bound of what a graph holds.
     sizes = lookup.local(work.select("lg", size.alias("_size")))
-    sized = lookup.local(lookup.join(touched, sizes, "lg").select("dg", "_size"))
+    sized = lookup.local(lookup.pick(lookup.join(touched, sizes, "lg"), "dg", "_size"))
     named = _filled_after(snap, before, touched, sized, dropped, final, after)
     # References change only for drafts that went from empty to filled or back.
-    ended = lookup.local(lookup.join(before, named, "dg", "left_anti").select("lg", "dg"))
-    begun = lookup.local(lookup.join(named, before, "dg", "left_anti").select("lg", "dg"))
+    ended = lookup.local(lookup.pick(lookup.join(before, named, "dg", "left_anti"), "lg", "dg"))
+    begun = lookup.local(lookup.pick(lookup.join(named, before, "dg", "left_anti"), "lg", "dg"))
     if not writes.is_empty(ended):
         after = lookup.translate(after, ended, "dg", "lg", GRAPH_REF_POSITIONS)
     if not writes.is_empty(begun):

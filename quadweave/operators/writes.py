@@ -34,8 +34,7 @@ def to_stored(quads: DataFrame, named: DataFrame, all_pairs: DataFrame) -> DataF
     return lookup.translate(moved, named, "lg", "dg", GRAPH_REF_POSITIONS)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.limit(1).isEmpty()
+is_empty = lookup.is_empty
 
 
 def with_clones(
@@ -52,10 +51,10 @@ def with_clones(
     default the clones; ``names(g)`` the draft graphs that hold quads, by default those of ``snap``.
     Stored references change only for graphs that start to hold quads.
     """
-    filled = rewrite.non_empty(old, snap.names("draft") if names is None else names).select("lg", "dg")
+    filled = lookup.pick(rewrite.non_empty(old, snap.names("draft") if names is None else names), "lg", "dg")
     started = clones if started is None else started
     filled = lookup.local(filled)
-    started = lookup.local(lookup.join(lookup.local(started), filled, "dg", "left_anti").select("lg", "dg"))
+    started = lookup.local(lookup.pick(lookup.join(lookup.local(started), filled, "dg", "left_anti"), "lg", "dg"))
     base = mine.select(*QUAD_COLS)
     if not is_empty(started):
         base = lookup.translate(base, started, "lg", "dg", GRAPH_REF_POSITIONS)
@@ -132,12 +131,12 @@ def delete(
     rest = lookup.minus(inside, to_stored(outgoing, named, pairs), like=outgoing).select(*QUAD_COLS)
     left = outside.unionByName(rest)
     # Only a graph with no more quads than the batch names in it can have lost all of them.
-    unsure = _within(snap, lookup.join(hit, lookup.local(touched.select("lg", "gone")), "lg"), new_pairs)
+    unsure = _within(snap, lookup.join(hit, lookup.local(lookup.pick(touched, "lg", "gone")), "lg"), new_pairs)
     # Where the batch is all there is, the digests of both are equal; only other graphs are looked at by rows.
     differ = _unlike(lookup.keep(base, unsure, key="dg"), lookup.keep(to_stored(outgoing, named, pairs), unsure, key="dg"), unsure)
     still = rewrite.non_empty(differ, lookup.keep(rest, differ, key="dg"))
     # References to drafts that have just lost their last quad go back to the published name.
-    ended = lookup.local(lookup.join(unsure, still, "dg", "left_anti").select("lg", "dg"))
+    ended = lookup.local(lookup.pick(lookup.join(unsure, still, "dg", "left_anti"), "lg", "dg"))
     after = left if is_empty(ended) else lookup.translate(left, ended, "dg", "lg", GRAPH_REF_POSITIONS)
     private = lookup.local(touched.filter(~F.col("is_public")))
     vanished = lookup.local(lookup.join(ended, private, "lg", "left_semi"))
@@ -165,7 +164,7 @@ def _within(snap: Snapshot, hit: DataFrame, cloned: DataFrame) -> DataFrame:
     if snap.counts is None:
         return lookup.local(hit.select("lg", "dg"))
     live = lookup.local(lookup.keep(snap.sizes("live").select(F.col("g").alias("lg"), F.col("n").alias("_c")), cloned, "lg", "lg"))
-    copies = lookup.local(lookup.join(cloned, live, "lg").select("dg", "_c"))
+    copies = lookup.local(lookup.pick(lookup.join(cloned, live, "lg"), "dg", "_c"))
     stored = lookup.local(lookup.keep(snap.sizes("draft").select(F.col("g").alias("dg"), F.col("n").alias("_n")), hit, "dg", "dg"))
     sized = lookup.local(lookup.join(lookup.join(lookup.local(hit), stored, "dg", "left"), copies, "dg", "left"))
     held = F.coalesce("_n", F.lit(0)) + F.coalesce("_c", F.lit(0))
