@@ -31,11 +31,8 @@ _PLAIN = (T.StringType, T.BooleanType, T.IntegerType, T.LongType)
 
 
 def _row_size(df: DataFrame) -> Column:
-    size = F.lit(16)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    return size
+    names = [f.name.replace("`", "``") for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return F.expr(" + ".join(["16", *[f"coalesce(octet_length(`{n}`), 0)" for n in names]]))
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, bool]:
