@@ -39,7 +39,7 @@ def more_than_one_draft(spark, sf_dir):
     ),
 )
 def group_concat(spark, sf_dir):
-    shares = fx.registry(spark, sf_dir).shares
+    shares = fx.derived_registry(spark, sf_dir).shares
     users = pt.group_concat(shares, ["draftset"], F.col("view_user"), distinct=True, name="users")
     permissions = pt.group_concat(shares, ["draftset"], F.col("view_permission"), distinct=True, name="permissions")
     return users.join(permissions, "draftset")
