@@ -84,10 +84,11 @@ def backfill_claim_permissions(submissions: DataFrame, vocab: Vocabulary, role:
 def consistency_gaps(stored: DataFrame, inputs: DataFrame, deletes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Quads by which a stored draft differs from mapping(inputs - deletes); empty when consistent.
 
-    Digests tell which parts of graphs differ; a consistent draft costs one aggregate of each side.
+    Digests tell which parts of graphs differ; a consistent draft costs one aggregate of each side. What is
+    expected is made once and staged, as both the digests and the parts that differ read it.
     """
     left = lookup.minus(inputs.select(*QUAD_COLS).dropDuplicates(), deletes)
-    expected = lookup.translate(left, pairs, "lg", "dg", ALL_POSITIONS)
+    expected = lookup.once(lookup.translate(left, pairs, "lg", "dg", ALL_POSITIONS))
     found = compare.gaps(stored, expected)
     return found.withColumn("side", F.when(F.col("side") > 0, "only stored").otherwise("only expected"))
 
