@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quadweave.functions import terms as T
+from quadweave.operators import validate
 from quadweave.plans import fixtures as fx
 from quadweave.plans.workspace import Workspace
-from quadweave.schema import QUAD_COLS, XSD
+from quadweave.schema import QUAD_COLS, XSD, local_table, struct
 from quadweave.sources import quads as source
 from quadweave.sources.quads import from_table
 
@@ -95,3 +96,13 @@ def test_bookkeeping_alone_stores_no_quads(spark, monkeypatch, name):
     for stored in ("snapshot", "registry"):
         monkeypatch.setattr(fx, stored, refuse)
     assert sorted(map(repr, entry.queries()[name](spark, SF).collect())) == sorted(map(repr, expected))
+
+
+def test_a_consistency_check_makes_what_is_expected_once(spark, quads, monkeypatch):
+    staged, stage = [], validate.lookup.stage
+    monkeypatch.setattr(validate.lookup, "stage", lambda df: staged.append(df.columns) or stage(df))
+    inputs = quads(("s1", "p", "o", "g"), ("s2", "p", "o", "g"))
+    pairs = local_table(spark, [("g", "d")], struct("lg STRING, dg STRING"))
+    rows = validate.consistency_gaps(quads(("s1", "p", "o", "d")), inputs, quads(), pairs).collect()
+    assert [(r.g, r.s, r.side) for r in rows] == [("d", "s2", "only expected")]
+    assert QUAD_COLS in staged
