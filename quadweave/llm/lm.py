@@ -117,7 +117,9 @@ class Level:
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank of the context, index of the successor), -1 where there is none."""
-        rank = self.contexts.find(contexts)
+        edges = np.flatnonzero(contexts[1:] != contexts[:-1]) + 1  # asked for once where equal ones follow each other
+        edges = np.concatenate([[0], edges]) if len(contexts) else edges
+        rank = np.repeat(self.contexts.find(contexts[edges]), np.diff(edges, append=len(contexts)))
         there = np.flatnonzero((rank >= 0) & (words < self.universe))
         at = np.full(len(rank), -1, np.int64)
         raised = words[there].astype(np.uint64) + rank[there].astype(np.uint64) * np.uint64(self.universe)
@@ -138,8 +140,8 @@ class Chunk:
         """Words' numbers (-1: not in training) and counts, in the chunk's own numbering."""
         self.word = ids[self.tokens]
         self.known = counts[self.tokens]
-        self.probability = totals.base(self.known)
-        self.logs = np.log10(self.probability)
+        self.base_logs = np.log10(totals.base(counts))[self.tokens]
+        self.logs = self.base_logs.copy()
         self.order = 1
         # The context of the next order: the word before, or the start.
         self.gram, self.gram_count = self.word, self.known
@@ -152,8 +154,8 @@ class Chunk:
         self.context = np.where(self.first, start[0], context)
         self.context_count = np.where(self.first, start[1], count)
 
-    def grams(self) -> tuple[np.ndarray, ...]:
-        """Distinct (context, word) pairs of known parts: their positions, and where each is asked."""
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        """Distinct (context, word) pairs of known parts with the contexts' counts; keeps where each is asked."""
         self.asked = np.flatnonzero((self.context >= 0) & (self.word >= 0) & (self.context_count > 0))
         order = in_order(self.context[self.asked], self.word[self.asked])
         c, w = self.context[self.asked][order], self.word[self.asked][order]
@@ -161,16 +163,20 @@ class Chunk:
         fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
         self.slot = np.empty(len(order), np.int64)
         self.slot[order] = np.cumsum(fresh) - 1
-        trained = np.bincount(self.slot, weights=self.trained[self.asked], minlength=int(fresh.sum())).astype(np.int64)
-        at = self.asked[order[fresh]]
-        return self.context[at], self.word[at], trained, self.context_count[at], quantise(self.logs[at])
+        self.at = self.asked[order[fresh]]
+        return c[fresh], w[fresh], self.context_count[self.at]
+
+    def grams(self) -> tuple[np.ndarray, ...]:
+        """(context, word, occurrences in training, the context's count, code of the next shorter order) of the pairs."""
+        context, word, count = self.pairs()
+        trained = np.bincount(self.slot[self.trained[self.asked]], minlength=len(self.at))
+        return context, word, trained, count, quantise(self.logs[self.at])
 
     def learn_level(self, codes: np.ndarray, ids: np.ndarray | None, counts: np.ndarray | None, strength: float) -> None:
-        """The answers for :meth:`grams`; whatever was not asked backs off."""
+        """The answers for :meth:`pairs`; an unknown word after a known context, not asked for, backs off."""
         self.order += 1
-        known = (self.context >= 0) & (self.context_count > 0)
-        back = np.log10(strength / (np.maximum(self.context_count, 1) + strength))
-        self.logs = np.where(known, back + self.logs, self.logs)
+        rest = np.flatnonzero((self.context >= 0) & (self.context_count > 0) & (self.word < 0))
+        self.logs[rest] += np.log10(strength / (self.context_count[rest] + strength))
         self.logs[self.asked] = dequantise(codes)[self.slot]
         if ids is not None:
             self.gram, self.gram_count = np.full(len(self.tokens), -1, np.int64), np.zeros(len(self.tokens), np.int64)
@@ -190,9 +196,14 @@ class Totals:
 
 def shard_of(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, shards: int, hot: int) -> np.ndarray:
     """Contexts' shards; the words after a hot context are spread in proportion to its count."""
-    parts = (counts // hot + 1).astype(np.uint64)
-    part = _mixed(words.astype(np.uint64)) % parts
-    return (_mixed(_mixed(contexts.astype(np.uint64)) + part) % np.uint64(shards)).astype(np.int64)
+    mixed, spread = _mixed(contexts.astype(np.uint64)), np.flatnonzero(counts >= hot)
+    mixed[spread] += _mixed(words[spread].astype(np.uint64)) % (counts[spread] // hot + 1).astype(np.uint64)
+    return (_mixed(mixed) % np.uint64(shards)).astype(np.int64)
+
+
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """The order by shard, stable; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(smallest(shard), kind="stable")
 
 
 def groups(batches: Batches, key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -259,7 +270,7 @@ _ANSWER = "chunk long, shard int, data binary, tokens long, distinct long, docum
 
 def _asks(chunk: int, shard: np.ndarray, columns: Sequence[np.ndarray], pack: Callable[..., bytes]) -> pa.RecordBatch:
     """A row for every shard: its entries of the columns, in their order."""
-    order = np.argsort(shard, kind="stable")
+    order = _by_shard(shard)
     edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
     blobs = [pack(*[x[part] for x in columns]) for part in np.split(order, edges[1:])] if len(order) else []
     found = pa.array(shard[order][edges] if len(order) else [], pa.int32())
@@ -323,8 +334,7 @@ def _prepared(data: bytes, answers: pa.Table, shards: int, totals: Totals, order
         counts.append(count.astype(np.int64))
     chunk.learn_words(np.concatenate(ids), np.concatenate(counts), totals)
     for level in range(2, order + 1):
-        grams = chunk.grams()
-        place = np.argsort(shard_of(grams[0], grams[1], grams[3], shards, hot), kind="stable")
+        place = _by_shard(shard_of(*chunk.pairs(), shards, hot))
         found = given(level)
         columns = [np.concatenate([a[0] for _, a in found])] if found else [np.empty(0, np.uint16), *[np.empty(0, np.int64)] * 2]
         if found and len(found[0][1]) > 1:
@@ -378,7 +388,7 @@ def _ask_level(
             group = np.cumsum(fresh) - 1
             back = np.empty(len(order), np.int64)
             back[order] = group
-            count = np.bincount(group, weights=trained[order], minlength=int(fresh.sum())).astype(np.int64)
+            count = np.add.reduceat(trained[order], np.flatnonzero(fresh)) if len(order) else trained
             c, w, total, lower = c[fresh], w[fresh], total[order][fresh], dequantise(lower[order][fresh])
             edge = np.flatnonzero(np.diff(c, prepend=-1))
             seen = count > 0
@@ -460,7 +470,7 @@ def score(
         add = lambda x: np.add.reduceat(x, starts)
         columns = [own["doc_ids"][0].values, pa.array(chunk.training.astype(bool)), pa.array(chunk.lengths.astype(np.int64))]
         columns += [pa.array(add((chunk.known > 0).astype(np.int64))), pa.array(np.full(len(starts), totals.tokens, np.int64))]
-        columns += [pa.array(add(np.log10(chunk.probability))), pa.array(add(chunk.logs))]
+        columns += [pa.array(add(chunk.base_logs)), pa.array(add(chunk.logs))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

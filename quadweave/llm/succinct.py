@@ -49,7 +49,10 @@ class Bits:
         self.before = [np.concatenate([[0], np.cumsum(x)]) for x in (64 - ones, ones)]
 
     def select(self, which: np.ndarray, one: bool) -> np.ndarray:
-        """Positions of the which-th (from 0) set or clear bit."""
+        """Positions of the which-th (from 0) set or clear bit; of many, by one pass over all bits."""
+        if len(which) > 16 * len(self.words):
+            bits = np.unpackbits(self.words.view(np.uint8), bitorder="little")
+            return np.flatnonzero(bits == one)[which]
         before = self.before[one]
         word = np.searchsorted(before, which, side="right") - 1
         left = which - before[word]
@@ -80,7 +83,8 @@ class EliasFano:
         top = int(values[-1]) + 1 if len(values) else 1
         width = max(0, (top // max(len(values), 1)).bit_length() - 1)
         lows = values & np.uint64((1 << width) - 1)
-        bits = ((lows[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        planes = np.ascontiguousarray(lows, "<u8").view(np.uint8).reshape(len(lows), 8)
+        bits = np.unpackbits(planes, axis=1, count=width, bitorder="little") if width else planes[:, :0]
         low = np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8))
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(len(values))
         unary = np.zeros(((len(values) + (top >> width) + 1) // 64 + 1) * 64, np.uint8)
@@ -113,11 +117,12 @@ class EliasFano:
         start = np.where(high > 0, self.high.select(np.maximum(high - 1, 0), False) - high + 1, 0)
         end = np.minimum(self.high.select(high, False) - high, self.size)
         low, top = start.copy(), end.copy()
-        while len(low) and np.any(low < top):
-            middle = (low + top) // 2
-            open_ = low < top
-            less = open_ & (self._low(np.minimum(middle, self.size - 1)) < want)
-            low, top = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, top)
+        open_ = np.flatnonzero(low < top)
+        while len(open_):
+            middle = (low[open_] + top[open_]) // 2
+            less = self._low(middle) < want[open_]
+            low[open_[less]], top[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < top[open_]]
         hit = low < end
         hit[hit] = self._low(low[hit]) == want[hit]
         out[asked[hit]] = low[hit]

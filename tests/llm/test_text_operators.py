@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from quadweave.llm import bpe, lm, quality, toxicity, urls, wavelet
 from quadweave.llm.queries import QUERIES
-from quadweave.llm.succinct import EliasFano, bundle, unbundle
+from quadweave.llm.succinct import Bits, EliasFano, bundle, unbundle
 from quadweave.llm.wavelet import Matrix
 from quadweave.schema import local_table
 
@@ -360,6 +360,28 @@ def test_elias_fano(n, top):
     assert held.find(asked).tolist() == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 900])
+def test_a_level_looks_up_a_context_once(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    contexts, words = np.arange(0, 3 * n, 3), np.sort(rng.integers(0, 1000, (n, 4)), axis=1)
+    codes = np.arange(4 * n).astype(np.uint16)
+    level = lm.Level(lm.Level.arrays(contexts.astype(np.uint64), np.full(n, 4), words.ravel(), codes, codes[:n]))
+    sizes, find = [], EliasFano.find
+    monkeypatch.setattr(EliasFano, "find", lambda self, values: sizes.append(len(values)) or find(self, values))
+    rank, at = level.find(np.repeat(contexts, 4).astype(np.uint64), words.ravel())
+    assert rank.tolist() == np.repeat(np.arange(n), 4).tolist()
+    assert (words.ravel()[at] == words.ravel()).all() and (at // 4 == rank).all()
+    assert sizes == [n, 4 * n]
+
+
+def test_many_bits_are_selected_in_one_pass():
+    words = np.random.default_rng(3).integers(0, 1 << 62, 50).astype(np.uint64)
+    bits = Bits(words)
+    for one in (False, True):
+        all_of = np.arange(bits.before[one][-1])
+        assert bits.select(all_of, one).tolist() == [int(bits.select(np.array([i]), one)[0]) for i in all_of]
+
+
 # --- token ids ---------------------------------------------------------------------------------
 
 
