@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quadweave.operators import lookup
 from quadweave.schema import QUAD_COLS, QUADS
 from quadweave.session import hadoop_path, stage
 from quadweave.sources.quads import Parsed, assign_graph, graph_problems, parse_lines
@@ -68,7 +69,7 @@ class Ledger:
         waiting = self.pending()
         if not waiting:
             return 0
-        self.apply(self.spark.read.schema(QUADS).parquet(*[f"{self.folder}/batches/{n}" for n in waiting]))
+        self.apply(lookup.kept(self.spark.read.schema(QUADS).parquet(*[f"{self.folder}/batches/{n}" for n in waiting])))
         before = self._numbers("applied")
         mark, files = hadoop_path(self.spark, f"{self.folder}/applied/{waiting[-1]}")
         files.create(mark, True).close()

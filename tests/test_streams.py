@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quadweave.schema import local_table, struct
+from quadweave.operators import lookup
+from quadweave.schema import QUAD_COLS, local_table, struct
+from quadweave.sources import quads as source
 from quadweave.streaming import ingest
 
 
@@ -47,3 +49,29 @@ def test_latest_times_of_a_stream(spark, tmp_path, how):
         assert max(state) < 16 and state[-1] <= 8  # two graphs a day, of few days
     else:
         assert state[-1] == 9  # a row for every graph there ever was
+
+
+LINES = ['<s> <p> "a\\u00e9\\n" <g> .', "<s> <p> _:b .", "no statement", '<s> <p> "x\\q" <g> .', '<s> <p> "plain"@EN .', "# note"]
+
+
+def test_what_became_of_lines_is_kept(spark):
+    """A quad, or a line with its reason: nothing is matched again when quads and rejects are read."""
+    lines, held = local_table(spark, [(x,) for x in LINES], struct("value STRING")), []
+    parsed = source.parse_lines(lines, keep=lambda df: held.append(df) or df)
+    plain = source.parse_lines(lines)
+    assert held[0].columns == ["line", "reason", *QUAD_COLS]
+    assert sorted(map(repr, parsed.quads.collect())) == sorted(map(repr, plain.quads.collect()))
+    assert sorted(map(tuple, parsed.rejects.collect())) == sorted(map(tuple, plain.rejects.collect()))
+    assert parsed.rejects.count() == 2 and parsed.quads.count() == 3
+    assert held[0].filter("(line IS NULL) = (reason IS NULL) AND (reason IS NULL) = (s IS NOT NULL)").count() == 5
+
+
+def test_a_ledger_is_applied_without_another_copy(spark, quads, tmp_path, monkeypatch):
+    rows = quads(*[(f"s{i}", "p", "o", "g") for i in range(5)])
+    monkeypatch.setattr(lookup, "LOCAL_ROWS", 2)
+    monkeypatch.setattr(lookup, "stage", lambda df: pytest.fail("copied"))
+    seen = []
+    ledger = ingest.Ledger(spark, str(tmp_path / "ledger"), lambda given: seen.append(lookup.once(given).collect()), None)
+    ledger.take(rows, 0)
+    assert ledger.flush() == 1
+    assert sorted(map(repr, seen[0])) == sorted(map(repr, rows.collect()))
