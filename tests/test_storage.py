@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quadweave.functions import terms as T
-from quadweave.operators import validate
+from quadweave.operators import lookup, validate
 from quadweave.plans import fixtures as fx
 from quadweave.plans.workspace import Workspace
 from quadweave.schema import QUAD_COLS, XSD, local_table, struct
@@ -106,3 +106,27 @@ def test_a_consistency_check_makes_what_is_expected_once(spark, quads, monkeypat
     rows = validate.consistency_gaps(quads(("s1", "p", "o", "d")), inputs, quads(), pairs).collect()
     assert [(r.g, r.s, r.side) for r in rows] == [("d", "s2", "only expected")]
     assert QUAD_COLS in staged
+
+
+def _numbered(spark, start, end, graph="g"):
+    number = F.col("id").cast("string")
+    return from_table(spark.range(start, end), F.lit(graph), F.concat(F.lit("s"), number), {"p": T.iri(number), "q": T.iri(number)})
+
+
+def _told_apart_after_one_deal(df, parts):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    (dealt,) = exchanges(df)
+    assert f", {parts}), REPARTITION_BY_NUM" in dealt
+    return plan.rfind("Aggregate(") < plan.find("Exchange ")
+
+
+@pytest.mark.parametrize("most, parts", [(200, 14), (3, 3)])
+def test_a_large_batch_is_told_apart_after_its_deal(spark, monkeypatch, most, parts):
+    monkeypatch.setattr(source, "DEALT_ROWS", 10)
+    monkeypatch.setattr(lookup, "UNSORTED_PARTS", most)
+    for bound in ("LOCAL_ROWS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(lookup, bound, 5)
+    batch = _numbered(spark, 30, 50).unionByName(_numbered(spark, 45, 50))
+    after = lookup.add_new(_numbered(spark, 0, 40), batch.unionByName(_numbered(spark, 0, 5)))
+    assert _told_apart_after_one_deal(after, parts)
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, _numbered(spark, 0, 50).collect()))
