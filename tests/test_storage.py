@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quadweave.functions import terms as T
-from quadweave.operators import lookup, validate
+from quadweave.operators import graphs, lookup, update, validate
 from quadweave.plans import fixtures as fx
+from quadweave.plans import views
 from quadweave.plans.workspace import Workspace
 from quadweave.schema import QUAD_COLS, XSD, local_table, struct
 from quadweave.sources import quads as source
@@ -130,3 +131,11 @@ def test_a_large_batch_is_told_apart_after_its_deal(spark, monkeypatch, most, pa
     after = lookup.add_new(_numbered(spark, 0, 40), batch.unionByName(_numbered(spark, 0, 5)))
     assert _told_apart_after_one_deal(after, parts)
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, _numbered(spark, 0, 50).collect()))
+
+
+def test_merged_graphs_are_told_apart_after_their_deal(spark, monkeypatch):
+    monkeypatch.setattr(source, "DEALT_ROWS", 10)
+    both = _numbered(spark, 0, 20).unionByName(_numbered(spark, 10, 30, "h"))
+    merged = views.default_graph(both)
+    assert _told_apart_after_one_deal(merged, 8)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, _numbered(spark, 0, 30).drop("g").collect()))
