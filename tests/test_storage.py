@@ -139,3 +139,18 @@ def test_merged_graphs_are_told_apart_after_their_deal(spark, monkeypatch):
     merged = views.default_graph(both)
     assert _told_apart_after_one_deal(merged, 8)
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, _numbered(spark, 0, 30).drop("g").collect()))
+
+
+def test_an_upsert_meets_only_its_predicates(spark, tmp_path, monkeypatch):
+    nameless = _numbered(spark, 2, 4).withColumn("p", F.lit(None).cast("string"))
+    _numbered(spark, 0, 6).unionByName(nameless).write.parquet(str(tmp_path / "quads"))
+    held = spark.read.parquet(str(tmp_path / "quads"))
+    values = _numbered(spark, 1, 8).filter("p = 'q' AND o != '5'").withColumn("o", F.lit("new"))
+    values = values.unionByName(nameless.filter("s = 's2'").limit(1))
+    after = graphs.upsert_single_value(held, values)
+    assert "EqualTo(p,q)" in after._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.s, r.p or "", r.o) for r in after.collect())
+    monkeypatch.setattr(lookup, "PUSHDOWN_KEYS", 0)
+    assert rows == sorted((r.s, r.p or "", r.o) for r in graphs.upsert_single_value(held, values).collect())
+    assert [r for r in rows if r[1] == "q"] == sorted([("s0", "q", "0"), ("s5", "q", "5"), *[(f"s{i}", "q", "new") for i in (1, 2, 3, 4, 6, 7)]])
+    assert len(rows) == 6 + 8 + 4 + 1
