@@ -154,3 +154,14 @@ def test_an_upsert_meets_only_its_predicates(spark, tmp_path, monkeypatch):
     assert rows == sorted((r.s, r.p or "", r.o) for r in graphs.upsert_single_value(held, values).collect())
     assert [r for r in rows if r[1] == "q"] == sorted([("s0", "q", "0"), ("s5", "q", "5"), *[(f"s{i}", "q", "new") for i in (1, 2, 3, 4, 6, 7)]])
     assert len(rows) == 6 + 8 + 4 + 1
+
+
+def test_many_graphs_are_computed_once(spark, blank, monkeypatch):
+    for bound in ("LOCAL_ROWS", "PUSHDOWN_KEYS"):
+        monkeypatch.setattr(lookup, bound, 5)
+    staged = []
+    monkeypatch.setattr(lookup, "stage", lambda df, stage=lookup.stage: staged.append(stage(df)) or staged[-1])
+    named = spark.range(20).select(F.concat(F.lit("g"), (F.col("id") % 10).cast("string")).alias("lg")).distinct()
+    meta = update.graph_meta(named, "ds", blank, 2)
+    assert {(r.lg, r.state, r.draft_size) for r in meta.collect()} == {(f"g{i}", "unmanaged", 0) for i in range(10)}
+    assert len(staged) == 1 and set(staged[0].inputFiles()) <= set(meta.inputFiles())
