@@ -77,6 +77,34 @@ def test_lines_are_a_set_made_from_numbers(spark, monkeypatch):
     assert len(before) == 1 and "hashpartitioning(order" in before[0]
 
 
+def test_lines_are_dealt_as_flat_numbers_and_drafts_deal_the_orders_they_clone(spark, monkeypatch):
+    schema = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ"
+    orders = spark.createDataFrame([(k, k if k else None, "O", "1", 2.0, None) for k in range(40)], schema)
+    dealt, deal = [], fx.deal
+    monkeypatch.setattr(fx, "deal", lambda df, *by: dealt.append(df) or deal(df, *by))
+    contents = fx.draft_contents(orders, _lines(spark))
+    of_orders, of_lines = sorted(dealt, key=lambda df: "line" in df.columns)
+    assert {r.o_custkey % 16 for r in of_orders.collect()} == {0, 1, 2, 3, 5}
+    assert {kind for _, kind in of_lines.dtypes} <= {"int", "bigint"}
+    live = fx.order_quads(orders)
+    for draftset, graphs, left in ((fx.DS1, fx.DS1_CHANGED, 7), (fx.DS2, fx.DS2_CHANGED, 11)):
+        cloned = fx.in_graphs(live, graphs).filter(fx._order_number() % left != 0)
+        whole = contents[draftset].filter(F.startswith("s", F.lit(fx.ORDER)))
+        assert sorted(map(repr, whole.collect())) == sorted(map(repr, cloned.collect())) != []
+
+
+def test_quads_are_stored_by_what_differs_from_the_quad_before(spark, tmp_path):
+    number = F.format_string("%07d", F.col("id"))
+    quads = from_table(spark.range(0, 60_000, 1, 1), F.lit("g"), F.concat(F.lit("http://example.com/s/"), number), {"p": T.literal(F.lit("o"))})
+    space = Workspace(spark, str(tmp_path / "space"), buckets=4)
+    (path,) = space._write_quads(quads, str(tmp_path / "quads"), 4).values()
+    (file,) = (tmp_path / "quads").glob("bucket=*/*.parquet")
+    quads.sortWithinPartitions("s").write.parquet(str(tmp_path / "plain"))
+    (plain,) = (tmp_path / "plain").glob("*.parquet")
+    assert file.stat().st_size * 2 < plain.stat().st_size
+    assert spark.read.parquet(path).select(*QUAD_COLS).exceptAll(quads).isEmpty()
+
+
 def test_a_draft_of_the_registry_is_a_set_made_from_numbers(spark, monkeypatch):
     read = fx.read
     monkeypatch.setattr(source, "DEALT_ROWS", 3)
